@@ -349,3 +349,10 @@ def missing_required(headers: DataFrame, required: Column) -> DataFrame:
         headers.select("dataset", "file_path", "file_seq", "columns", missing.alias("missing"))
         .where(F.size("missing") > 0)
     )
+
+
+def merge_status(files: DataFrame) -> DataFrame:
+    """Per dataset the number of files, and whether it is merged or skipped as a single file."""
+    n_files = F.count("*")
+    status = F.when(n_files == 1, F.lit("skipped_single_file")).otherwise(F.lit("merge"))
+    return files.groupBy("dataset").agg(n_files.alias("n_files"), status.alias("status"))
