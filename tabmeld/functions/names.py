@@ -8,7 +8,7 @@ whitespace is Unicode whitespace.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -29,7 +29,11 @@ STANDARD_NAMES = {
     "zip_code": "ZIP",
 }
 
-# Unicode white space plus the four ASCII separator controls.
+# Unicode white space plus the four ASCII separator controls.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -62,7 +66,7 @@ def column(name: str) -> Column:
 
 def strip(name: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(name, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(name, F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(name: Column) -> Column:
@@ -100,10 +104,13 @@ def canonical_name(name: Column, aliases: Mapping[str, str], patterns: Iterable[
     return F.coalesce(_lookup(aliases, name), by_rule) if aliases else by_rule
 
 
-def clean_name(name: Column, raw_header: Column | None, rules: NameRules) -> Column:
-    """All header rules in order. ``raw_header`` is the file's array of raw names."""
-    if not rules.enabled:
-        return name
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once per row, so that a lambda does not compute it once per element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _respell(name: Column, rules: NameRules) -> Column:
+    """White space, case, special characters and standard spellings, in this order."""
     out = name
     if rules.strip_whitespace:
         out = strip(out)
@@ -113,18 +120,39 @@ def clean_name(name: Column, raw_header: Column | None, rules: NameRules) -> Col
         out = F.lower(out)
     if rules.remove_special_chars:
         out = drop_special(out)
-    if rules.handle_common_variations:
-        out = standard_spelling(out)
+    return let(out, standard_spelling) if rules.handle_common_variations else out
+
+
+def clean_name(name: Column, taken: Column | None, rules: NameRules) -> Column:
+    """All header rules in order. ``taken`` is an array of names that a plural must not become."""
+    if not rules.enabled:
+        return name
+
+    def unless_taken(plural: Column) -> Column:
+        if taken is None:
+            return singular(plural)
+        return let(
+            singular(plural), lambda one: F.when((one != plural) & F.array_contains(taken, one), plural).otherwise(one)
+        )
+
+    out = _respell(name, rules)
     if rules.normalize_plural_singular:
-        one = singular(out)
-        taken = F.array_contains(raw_header, one) if raw_header is not None else F.lit(False)
-        out = F.when(taken, out).otherwise(one)
-    return canonical_name(out, rules.aliases, rules.patterns)
+        out = let(out, unless_taken)
+    if rules.aliases or rules.patterns:
+        out = let(out, lambda clean: canonical_name(clean, rules.aliases, rules.patterns))
+    return out
 
 
 def clean_header(raw_header: Column, rules: NameRules) -> Column:
     """Clean a whole header held as an array of names."""
-    return F.transform(raw_header, lambda name: clean_name(name, raw_header, rules))
+    if not (rules.enabled and rules.normalize_plural_singular):
+        return F.transform(raw_header, lambda name: clean_name(name, None, rules))
+    # Raw names that some name's singular would collide with: found by hashing, and few.
+    singulars = F.transform(raw_header, lambda name: let(_respell(name, rules), singular))
+    return let(
+        F.array_intersect(raw_header, singulars),
+        lambda taken: F.transform(raw_header, lambda name: clean_name(name, taken, rules)),
+    )
 
 
 def header_changes(raw_header: Column, clean: Column) -> Column:
@@ -143,18 +171,16 @@ def longer_forms(name: Column) -> Column:
 
 
 def shorter_forms(name: Column) -> Column:
-    """The names of which ``name`` counts as a plural (empty names left out)."""
+    """The names of which ``name`` counts as a plural; NULL where there is none."""
     size = F.length(name)
-    return F.array_compact(
-        F.array(
-            F.when(name.endswith("s") & (size > 1), F.substring(name, F.lit(1), size - 1)),
-            F.when(name.endswith("es") & (size > 2), F.substring(name, F.lit(1), size - 2)),
-        )
+    return F.array(
+        F.when(name.endswith("s") & (size > 1), F.substring(name, F.lit(1), size - 1)),
+        F.when(name.endswith("es") & (size > 2), F.substring(name, F.lit(1), size - 2)),
     )
 
 
 def plural_forms(name: Column) -> Column:
-    """Every name that forms a plural/singular pair with ``name``."""
+    """Every name that forms a plural/singular pair with ``name`` (and NULLs)."""
     return F.concat(longer_forms(name), shorter_forms(name))
 
 

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmeld.functions.names import column_letters, is_plural_pair, longer_forms, plural_forms, strip
+from tabmeld.functions.names import column_letters, is_plural_pair, let, longer_forms, plural_forms, strip
 from tabmeld.operators.spread import salted_left_join
 from tabmeld.session import materialize
 
@@ -108,18 +108,17 @@ def _conflicts(columns: Column) -> Column:
 def same_file_conflicts(headers: DataFrame) -> DataFrame:
     """First plural/singular pair inside each file that has one."""
     trimmed = F.filter(F.transform("columns", strip), lambda name: name != "")
-    return (
-        headers.select("dataset", "file_path", "file_seq", trimmed.alias("names"))
-        .withColumn("pair", F.try_element_at(_conflicts(F.col("names")), F.lit(1)))
-        .where("pair IS NOT NULL")
-        .select(
-            "dataset",
-            "file_path",
-            "file_seq",
-            F.element_at("names", F.col("pair.first").cast("int")).alias("name_a"),
-            F.element_at("names", F.col("pair.second").cast("int")).alias("name_b"),
-        )
+    named = let(
+        trimmed,
+        lambda names: F.transform(
+            F.slice(_conflicts(names), 1, 1),
+            lambda pair: F.struct(
+                F.element_at(names, pair["first"].cast("int")).alias("name_a"),
+                F.element_at(names, pair["second"].cast("int")).alias("name_b"),
+            ),
+        ),
     )
+    return headers.select("dataset", "file_path", "file_seq", F.inline(named))
 
 
 def fold_conflicts(columns: Sequence[str], policy: str | Mapping[str, str]) -> list[tuple[str, str]]:
@@ -266,26 +265,63 @@ def _against_reference(headers: DataFrame, reference: DataFrame | None) -> DataF
     )
 
 
+def _placed(names: Column, home: Column) -> Column:
+    """(column_index, column_name) of each name, by its first position in ``home``.
+
+    Sorting puts a name's marker right before its position, so wide headers need no scan
+    per name.
+    """
+    marks = F.transform(names, lambda name: F.struct(name.alias("name"), F.lit(-1).alias("at")))
+    places = F.transform(home, lambda name, at: F.struct(name.alias("name"), at.alias("at")))
+
+    def picked(items: Column) -> Column:
+        found = F.transform(
+            items,
+            lambda item, at: F.when(
+                item["at"] == -1,
+                F.struct(F.get(items, at + 1)["at"].alias("column_index"), item["name"].alias("column_name")),
+            ),
+        )
+        return F.array_compact(found)
+
+    return let(F.sort_array(F.concat(marks, places)), picked)
+
+
 def structure_issues(
     headers: DataFrame, allow_missing: bool = False, reference: DataFrame | None = None
 ) -> DataFrame:
     """Missing and extra columns of every file against its dataset's reference layout."""
     compared = _against_reference(headers, reference)
-    # Few names have a partner, so the lists searched for a hint stay short.
-    near_missing = F.array_intersect("extra", F.flatten(F.transform("missing", plural_forms)))
-    near_extra = F.array_intersect("reference_columns", F.flatten(F.transform("extra", plural_forms)))
-    compared = compared.withColumn("near_missing", near_missing).withColumn("near_extra", near_extra)
 
-    def rows(kind: str, names: str, home: str, near: str, text: str) -> DataFrame:
-        issues = compared.select("*", F.explode(names).alias("column_name"))
+    def partners(of: str | Column, among: str) -> Column:
+        return F.array_intersect(among, F.flatten(F.transform(of, plural_forms)))
+
+    # Names without a partner are by far the most; only the others are compared one by one.
+    near = {
+        "missing": let(
+            partners("extra", "missing"),
+            lambda few: F.struct(few.alias("names"), partners(few, "extra").alias("others")),
+        ),
+        "extra": let(
+            partners("extra", "reference_columns"),
+            lambda few: F.struct(partners(few, "extra").alias("names"), few.alias("others")),
+        ),
+    }
+
+    def rows(kind: str, home: str, text: str) -> DataFrame:
+        issues = compared.withColumn("near", near[kind])
+        issues = issues.select("*", F.inline(_placed(F.col(kind), F.col(home))))
         name = F.col("column_name")
-        partner = F.try_element_at(F.filter(near, lambda other: is_plural_pair(name, other)), F.lit(1))
+        partner = F.when(
+            F.array_contains("near.names", name),
+            F.try_element_at(F.filter("near.others", lambda other: is_plural_pair(name, other)), F.lit(1)),
+        )
         return issues.select(
             "dataset",
             "file_path",
             "file_seq",
             name,
-            (F.array_position(home, name) - 1).cast("int").alias("column_index"),
+            "column_index",
             F.lit(kind).alias("issue_type"),
             F.concat(F.lit(text), name).alias("message"),
             F.when(
@@ -293,11 +329,9 @@ def structure_issues(
             ).alias("hint"),
         )
 
-    issues = rows("extra", "extra", "columns", "near_extra", "Extra column (not in reference): ")
+    issues = rows("extra", "columns", "Extra column (not in reference): ")
     if not allow_missing:
-        issues = rows(
-            "missing", "missing", "reference_columns", "near_missing", "Missing column (expected by reference): "
-        ).union(issues)
+        issues = rows("missing", "reference_columns", "Missing column (expected by reference): ").union(issues)
     return issues.select(
         "dataset", "file_path", "file_seq", "column_name", "column_index",
         column_letters(F.col("column_index")).alias("excel_ref"), "issue_type", "message", "hint",

@@ -41,19 +41,23 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     """(equal, note) for one query: columns by name, rows as a multiset, value kinds."""
     got = contract.queries()[name](spark, sf_dir)
     columns = sorted(got.columns)
+    start = time.time()
     rows = [tuple(row[got.columns.index(c)] for c in columns) for row in got.collect()]
+    spent = f"collect {time.time() - start:.2f}s"
     sql = contract.oracle_sql().get(name)
     if sql is None:
         return True, f"rows only: {len(rows)}"
+    start = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()] if sorted(names) == columns else None
+    spent += f", sql {time.time() - start:.2f}s"
     if want is None:
         return False, f"columns {columns} vs {sorted(names)}"
     left = sorted(tuple(map(_cell, row)) for row in rows)
     right = sorted(tuple(map(_cell, row)) for row in want)
     if left == right:
-        return True, f"{len(left)} rows"
+        return True, f"{len(left)} rows, {spent}"
     odd_left = [row for row in left if row not in set(right)][:2]
     odd_right = [row for row in right if row not in set(left)][:2]
     return False, f"{len(left)} vs {len(right)} rows\n   spark {str(odd_left)[:700]}\n   sql   {str(odd_right)[:700]}"

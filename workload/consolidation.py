@@ -1,0 +1,186 @@
+"""End-to-end consolidation, sinks and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabmeld.plans.consolidate import consolidate
+from tabmeld.plans.report import metric_table, output_shapes, run_summary
+from tabmeld.plans.sink import stacked, write_outputs, write_partitioned
+from workload import query, table
+from workload.exports import new_root, write_csv
+
+
+def _ads(spark, sf_dir, label: str) -> str:
+    """lineitem as three exports with differing headers, customers and a lone table beside it."""
+    root = new_root(spark, label)
+    lineitem = table(spark, sf_dir, "lineitem")
+    common = ["l_orderkey AS ` Order   Key`", "l_linestatus AS State"]
+    write_csv(
+        lineitem.where("l_returnflag = 'R'").selectExpr(
+            *common, "l_returnflag AS Flag", "l_quantity AS Impression", "l_extendedprice AS `Media Cost (USD)`", "l_tax AS Tax"
+        ), root, "ads", sep=";",
+    )
+    write_csv(
+        lineitem.where("l_returnflag = 'A'").selectExpr(
+            *common, "l_returnflag AS Flags", "l_quantity AS Impressions", "l_extendedprice AS `Media Cost (Adv)`"
+        ), root, "ads",
+    )
+    write_csv(
+        lineitem.where("l_returnflag = 'N'").selectExpr(
+            *common, "l_returnflag AS Flag", "l_quantity AS Impressions", "l_extendedprice AS Spend"
+        ), root, "ads", sep="\t",
+    )
+    customer = table(spark, sf_dir, "customer")
+    write_csv(customer.where("c_nationkey < 10").selectExpr("c_custkey AS id", "c_mktsegment AS Segment"), root, "people")
+    write_csv(
+        customer.where("c_nationkey >= 10").selectExpr("c_custkey AS ID", "c_mktsegment AS Segment", "c_acctbal AS balance"),
+        root, "people",
+    )
+    # A table read as one partition gives one file.
+    write_csv(table(spark, sf_dir, "region"), root, "lone")
+    return root
+
+
+_OPTIONS = {
+    "column_aliases": {"Spend": "Media Cost"},
+    "column_canonical_patterns": [{"base": "Media Cost", "canonical": "Media Cost"}],
+    "group_by": ["Flag", "State"],
+    "max_rows_before_aggregate": 100,
+    "aggregate_columns": {"Impressions": "sum", "Media Cost": "median", "Order Key": "max"},
+    "sort_by": "Media Cost",
+    "preflight": "report",
+    "subdirectories": {"people": {"group_by": None, "sort_by": ["balance"], "sort_ascending": True}},
+}
+
+
+@query(
+    "consolidate_aggregated",
+    """SELECT l_returnflag AS "Flag", l_linestatus AS "State", round(sum(l_quantity), 2) AS "Impressions",
+       median(l_extendedprice) AS "Media Cost", max(l_orderkey) AS "Order Key" FROM lineitem GROUP BY ALL""",
+)
+def consolidate_aggregated(spark, sf_dir):
+    """Header rules, aliases, patterns, plural vote, union, aggregation and sort from raw files."""
+    out = consolidate(spark, _ads(spark, sf_dir, "aggregated"), _OPTIONS).outputs["ads"]
+    return out.withColumn("Impressions", F.round("Impressions", 2))
+
+
+@query(
+    "consolidate_rows",
+    """SELECT l_orderkey AS "Order Key", l_linestatus AS "State", l_returnflag AS "Flag", l_quantity AS "Impressions",
+       l_extendedprice AS "Media Cost", CASE WHEN l_returnflag = 'R' THEN l_tax END AS "Tax" FROM lineitem""",
+)
+def consolidate_rows(spark, sf_dir):
+    """The same files without aggregation: every row, one layout."""
+    options = {key: _OPTIONS[key] for key in ("column_aliases", "column_canonical_patterns")}
+    return consolidate(spark, _ads(spark, sf_dir, "rows"), options).outputs["ads"]
+
+
+@query(
+    "consolidate_dataset_override",
+    """SELECT c_custkey AS "ID", c_mktsegment AS "Segment", CASE WHEN c_nationkey >= 10 THEN c_acctbal END AS balance,
+       row_number() OVER (ORDER BY CASE WHEN c_nationkey >= 10 THEN c_acctbal END ASC NULLS LAST, c_custkey) AS place
+       FROM customer""",
+)
+def consolidate_override(spark, sf_dir):
+    """One dataset sorts upwards and does not aggregate."""
+    from tabmeld.operators.order import rank_rows
+
+    people = consolidate(spark, _ads(spark, sf_dir, "override"), _OPTIONS).outputs["people"]
+    return rank_rows(people, "balance", ascending=True, ties=[F.col("ID")], rank="place")
+
+
+@query(
+    "consolidate_renames",
+    "SELECT 'ads' AS dataset, 'Impression' AS from_name, 'Impressions' AS to_name FROM lineitem WHERE l_returnflag <> 'R' "
+    "HAVING count(*) > 0 UNION ALL SELECT 'ads', 'Flags', 'Flag' FROM lineitem WHERE l_returnflag <> 'A' HAVING count(*) > 0",
+)
+def consolidate_renames(spark, sf_dir):
+    return consolidate(spark, _ads(spark, sf_dir, "renames"), _OPTIONS).renames
+
+
+@query(
+    "consolidate_selected_columns",
+    """SELECT NULL::DOUBLE AS "Unknown", l_quantity AS "Impressions", CASE WHEN l_returnflag = 'R' THEN l_tax END AS "Tax"
+       FROM lineitem""",
+)
+def consolidate_columns(spark, sf_dir):
+    """Only the configured columns, in configured order; absent ones as NULL."""
+    options = {"columns": ["Unknown", "Impressions", "Tax"], "preflight": "report", "subdir_include": ["ads"]}
+    return consolidate(spark, _ads(spark, sf_dir, "columns"), options).outputs["ads"]
+
+
+@query(
+    "consolidate_preflight_abort",
+    """SELECT 'ads' AS dataset, 'Tax' AS missing, l_returnflag <> 'R' AS lacking, false AS success
+       FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL""",
+)
+def preflight_abort(spark, sf_dir):
+    """A file without a required column stops the whole run before anything is merged."""
+    run = consolidate(spark, _ads(spark, sf_dir, "abort"), {"sort_by": ["Tax"], "subdir_include": ["ads"]})
+    return run.missing_required.select(
+        "dataset", F.array_join("missing", ",").alias("missing"), F.lit(True).alias("lacking"),
+        F.lit(run.success or bool(run.outputs)).alias("success"),
+    ).distinct()
+
+
+@query(
+    "consolidate_written_partitions",
+    """SELECT 'ads' AS dataset, count(*) AS n_rows, round(sum(l_quantity), 2) AS total FROM lineitem
+       UNION ALL SELECT 'people', count(*), 0 FROM customer""",
+)
+def written_partitions(spark, sf_dir):
+    """All merged datasets as one table partitioned by dataset, read back."""
+    run = consolidate(spark, _ads(spark, sf_dir, "partitioned"), {"preflight": "report"})
+    path = write_partitioned(spark, run, new_root(spark, "written"))
+    back = spark.read.parquet(path)
+    return back.groupBy("dataset").agg(
+        F.count("*").alias("n_rows"), F.round(F.coalesce(F.sum("Impressions"), F.lit(0.0)), 2).alias("total")
+    )
+
+
+@query(
+    "consolidate_stacked",
+    """SELECT 'people' AS dataset, c_mktsegment AS "Segment", count(*) AS n FROM customer GROUP BY ALL
+       UNION ALL SELECT 'ads', NULL, count(*) FROM lineitem""",
+)
+def stacked_rows(spark, sf_dir):
+    run = consolidate(spark, _ads(spark, sf_dir, "stacked"))
+    return stacked(spark, run).groupBy("dataset", "Segment").agg(F.count("*").alias("n"))
+
+
+@query(
+    "consolidate_output_shapes",
+    """SELECT 'ads' AS dataset, true AS written, count(*) AS n_rows, 'Order Key,State,Flag,Impressions,Media Cost,Tax' AS columns
+       FROM lineitem UNION ALL SELECT 'people', true, count(*), 'ID,Segment,balance' FROM customer
+       UNION ALL SELECT 'lone', false, NULL, NULL FROM region HAVING count(*) > 0""",
+)
+def shapes(spark, sf_dir):
+    options = {key: _OPTIONS[key] for key in ("column_aliases", "column_canonical_patterns")}
+    run = consolidate(spark, _ads(spark, sf_dir, "shapes"), options)
+    written = write_outputs(run, new_root(spark, "outputs"))
+    out = output_shapes(spark, run, written)
+    ordered = F.array_join("columns", ",")
+    return out.withColumn("columns", ordered)
+
+
+@query(
+    "consolidate_summary_table",
+    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'skipped_single_file', 'errors'])
+       AS metric, unnest(['true', '3', '3', '1', '0']) AS value FROM (SELECT count(*) FROM lineitem))""",
+)
+def summary_table(spark, sf_dir):
+    run = consolidate(spark, _ads(spark, sf_dir, "summary"))
+    # The number of files depends on how Spark splits the exports.
+    return metric_table(run_summary(spark, run)).where("metric <> 'total_files_merged'")
+
+
+@query(
+    "consolidate_status",
+    """SELECT 'ads' AS dataset, 'merged' AS status, count(*) AS n_rows FROM lineitem
+       UNION ALL SELECT 'people', 'merged', count(*) FROM customer
+       UNION ALL SELECT 'lone', 'skipped_single_file', NULL FROM region HAVING count(*) > 0""",
+)
+def dataset_status(spark, sf_dir):
+    run = consolidate(spark, _ads(spark, sf_dir, "status"))
+    return run.status_table(spark).select("dataset", "status", "n_rows")
