@@ -20,11 +20,16 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Bytes read from a CSV file at first, and the most that a probe reads of a longer one.
 HEAD_BYTES = 1 << 20
+HEAD_LIMIT = 1 << 26
 
 # Delimiters in the order in which they are tried.
 DELIMITERS = (",", ";", "\t", "|")
 
+# Readers of last resort for UTF-8 files: comma with default options, then apostrophes.
+FALLBACKS = ({"sep": ",", "quotechar": '"'}, {"sep": ",", "quotechar": "'"})
+
 # Built-in spreadsheet number formats that show dates or times.
 DATE_FORMAT_IDS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
@@ -47,17 +52,26 @@ def open_file(uri: str):
 def decode_head(data: bytes, complete: bool) -> tuple[str, str]:
     """(Spark charset, text) of a file head: BOM first, then UTF-8, then Latin-1."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16", _whole_lines(data[: len(data) // 2 * 2].decode("utf-16", "replace"), complete)
-    if not complete:
-        data = data[: data.rfind(b"\n") + 1] or data
-    try:
-        return "UTF-8", data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return "ISO-8859-1", data.decode("latin-1")
+        charset, text = "UTF-16", data[: len(data) // 2 * 2].decode("utf-16", "replace")
+    else:
+        if not complete:
+            data = data[: data.rfind(b"\n") + 1] or data
+        try:
+            charset, text = "UTF-8", data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            charset, text = "ISO-8859-1", data.decode("latin-1")
+    return charset, text if complete else whole_records(text)
 
 
-def _whole_lines(text: str, complete: bool) -> str:
-    return text if complete else text[: text.rfind("\n") + 1] or text
+def whole_records(text: str) -> str:
+    """Cut a head after its last line break that is not inside quotes."""
+    end = text.rfind("\n") + 1
+    odd = text.count('"', 0, end) % 2
+    while end and odd:
+        start = text.rfind("\n", 0, end - 1) + 1
+        odd = (odd + text.count('"', start, end)) % 2
+        end = start
+    return text[:end] or text
 
 
 def probe_csv(data: bytes, complete: bool) -> dict:
@@ -65,8 +79,8 @@ def probe_csv(data: bytes, complete: bool) -> dict:
     charset, text = decode_head(data, complete)
     rows = None if complete else 500
     attempts = [dict(sep=mark, quotechar='"', skipinitialspace=True) for mark in DELIMITERS]
-    if charset == "UTF-8":
-        attempts += [dict(sep=",", quotechar='"'), dict(sep=",", quotechar="'")]
+    if charset == "UTF-8" and complete:
+        attempts += FALLBACKS
     for number, attempt in enumerate(attempts):
         try:
             table = pd.read_csv(io.StringIO(text), on_bad_lines="skip", dtype=str, nrows=rows, **attempt)
@@ -86,6 +100,37 @@ def probe_csv(data: bytes, complete: bool) -> dict:
     return {"status": "failed", "error": "no encoding and delimiter gave a table"}
 
 
+def probe_csv_file(uri: str, size: int) -> dict:
+    """Probe with a growing head, until one holds whole records or the file ends."""
+    head = HEAD_BYTES
+    with open_file(uri) as handle:
+        data = handle.read(head)
+        while True:
+            found = probe_csv(data, size <= head)
+            if found["status"] == "ok" or size <= head:
+                return found
+            if head >= HEAD_LIMIT:
+                # A long file without a delimiter: one column, or one quoted with apostrophes.
+                return probe_single(data) or found
+            data += handle.read(head)
+            head *= 2
+
+
+def probe_single(data: bytes) -> dict | None:
+    """The fallback readers, on the head of a long file."""
+    charset, text = decode_head(data, False)
+    for attempt in FALLBACKS if charset == "UTF-8" else ():
+        try:
+            names = pd.read_csv(io.StringIO(text), on_bad_lines="skip", dtype=str, nrows=500, **attempt).columns
+        except Exception:
+            continue
+        return {
+            "status": "ok", "charset": charset, "sep": ",", "quote": attempt["quotechar"], "skip_lead": False,
+            "header": [str(name) for name in names], "multiline": False,
+        }
+    return None
+
+
 class Workbook:
     """Streaming reader for the first sheet of an .xlsx file."""
 

@@ -22,13 +22,13 @@ PROBE_SCHEMA = (
 def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFrame:
     """One row per supported file: read status, dialect and raw header.
 
-    Tasks read at most the first MiB of a CSV file and the first row of a workbook. What a
-    head cannot prove about a longer CSV file (valid UTF-8 to the end, no quoted line break)
-    is settled by :func:`verify_long_files`.
+    Tasks read the first MiB of a CSV file (more only while it holds no whole record) and
+    the first row of a workbook. What a head cannot prove about a longer CSV file (valid
+    UTF-8 to the end, no quoted line break) is settled by :func:`verify_long_files`.
     """
     large_bytes = None if large_file_mb is None else int(large_file_mb * 1024 * 1024)
     head_bytes = decode.HEAD_BYTES
-    probe_csv, probe_workbook, open_file = decode.probe_csv, decode.probe_workbook, decode.open_file
+    probe_csv_file, probe_workbook = decode.probe_csv_file, decode.probe_workbook
     columns = [part.split()[0] for part in PROBE_SCHEMA.split(", ")]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,11 +42,12 @@ def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFra
                         found = {"error": "no decoder for the legacy binary workbook format"}
                     elif row["file_format"] == "excel":
                         found = probe_workbook(row["file_path"], large)
-                        found["read_method"] = "workbook (blocks)" if large else "workbook"
+                        method = "workbook (blocks)" if large else "workbook"
                     else:
-                        with open_file(row["file_path"]) as handle:
-                            found = probe_csv(handle.read(head_bytes), whole)
-                        found["read_method"] = "csv" if whole else "csv (split)"
+                        found = probe_csv_file(row["file_path"], row["size"])
+                        method = "csv" if whole else "csv (split)"
+                    if found.get("status") == "ok":
+                        found["read_method"] = method
                 except Exception as error:
                     found = {"status": "failed", "error": f"{type(error).__name__}: {error}"}
                 rows.append({**dict.fromkeys(columns), **row, "whole": whole, **found})

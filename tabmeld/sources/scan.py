@@ -79,7 +79,9 @@ def field_count(record: Column, dialect: Dialect) -> Column:
 def is_overlong(width: int, dialect: Dialect) -> Column:
     """True for records with more fields than the header; short ones are padded instead."""
     record = F.col(RECORD)
-    return record.isNotNull() & (field_count(record, dialect) > width)
+    # Spark refuses a scan that reads nothing but the raw record, hence a look at one cell.
+    readable = F.length(F.concat_ws("", record, cell(0))) >= 0
+    return record.isNotNull() & readable & (field_count(record, dialect) > width)
 
 
 def good_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
@@ -91,9 +93,7 @@ def good_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
 
 def rejected_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
     """Records with too many fields: their leading cells and their raw text."""
-    # Spark refuses a scan that reads nothing but the raw record, hence a look at one cell.
-    readable = F.length(F.concat_ws("", RECORD, cell(0))) >= 0
-    return scan.where(is_overlong(width, dialect) & readable).select(
+    return scan.where(is_overlong(width, dialect)).select(
         F.col("_file").alias("file_path"),
         field_count(F.col(RECORD), dialect).alias("n_fields"),
         F.lit(width).alias("n_columns"),
