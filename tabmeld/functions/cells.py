@@ -16,8 +16,9 @@ NA_TOKENS = (
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
-# Number texts that only a Java parser accepts: type suffixes and hexadecimal floats.
-_JAVA_ONLY = r"[xXpP]|[0-9.][dDfF]\s*$"
+# The number texts that pandas reads as whole numbers and as decimals.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
 def null_if_missing(cell: Column) -> Column:
@@ -26,17 +27,34 @@ def null_if_missing(cell: Column) -> Column:
 
 
 def as_integer(cell: Column) -> Column:
-    return cell.try_cast("bigint")
+    # A failing cast is slow, so only number texts reach it; an overlong one gives NULL.
+    return F.when(cell.rlike(_WHOLE), cell.try_cast("bigint"))
 
 
 def as_double(cell: Column) -> Column:
-    return F.when(~cell.rlike(_JAVA_ONLY), cell.try_cast("double"))
+    return F.when(cell.rlike(_DECIMAL), cell.try_cast("double"))
 
 
 def as_boolean(cell: Column) -> Column:
     return F.when(cell.isin(*TRUE_TOKENS), F.lit(True)).when(cell.isin(*FALSE_TOKENS), F.lit(False))
 
 
+def unreadable_as(cell: Column, dated: Column) -> Column:
+    """Bit mask of what a cell is not: 1 whole number, 2 number, 4 boolean, 8 date.
+
+    Bit 16 marks that there is a value at all. An absent cell gives 0, so that masks of a
+    column combine by OR.
+    """
+    return (
+        F.when(cell.isNull(), 0)
+        .when(as_integer(cell).isNotNull(), 16 + 4 + 8)
+        .when(cell.rlike(_DECIMAL), 16 + 1 + 4 + 8)
+        .when(cell.isin(*TRUE_TOKENS, *FALSE_TOKENS), 16 + 1 + 2 + 8)
+        .when(dated, 16 + 1 + 2 + 4)
+        .otherwise(16 + 1 + 2 + 4 + 8)
+    )
+
+
 def read_as(cell: Column, data_type: T.DataType) -> Column:
     """Convert cell text to the type chosen for its output column."""
     if isinstance(data_type, T.LongType):

@@ -191,6 +191,8 @@ def plural_components(names: DataFrame) -> DataFrame:
         "plural-edges",
     )
     labels = edges.groupBy("dataset", "name").agg(F.least(F.col("name"), F.min("other")).alias("component"))
+    if edges.isEmpty():
+        return labels
     while True:
         labels = materialize(labels, "plural-labels")
         offered = edges.join(

@@ -9,29 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabmeld.functions.cells import as_boolean, as_double, as_integer, read_as
+from tabmeld.functions.cells import read_as, unreadable_as
 from tabmeld.functions.names import column
 
 
 @dataclass(frozen=True)
 class ColumnProfile:
-    """How many values a text column holds and how many read as each narrower type."""
+    """What the cells of a text column read as, all taken together."""
 
-    values: int
-    integers: int
-    doubles: int
-    booleans: int
-    dates: int
+    mask: int
+
+    @property
+    def has_values(self) -> bool:
+        return bool(self.mask & 16)
 
     def data_type(self) -> T.DataType:
-        if self.values == self.integers and self.values:
-            return T.LongType()
-        if self.values == self.doubles:
+        """The narrowest type that reads every value; numbers when there is none."""
+        if not self.has_values:
             return T.DoubleType()
-        if self.values == self.booleans:
-            return T.BooleanType()
-        if self.values == self.dates:
-            return T.TimestampType()
+        for bit, kind in ((1, T.LongType()), (2, T.DoubleType()), (4, T.BooleanType()), (8, T.TimestampType())):
+            if not self.mask & bit:
+                return kind
         return T.StringType()
 
 
@@ -43,17 +41,19 @@ def profile_text(
     ``dated`` marks cells that came from a workbook date cell.
     """
     dated = dated or {}
-    counts = [F.count("*").alias("rows")]
-    for i, name in enumerate(names):
-        cell = column(name)
-        date = F.count_if(dated[name] & cell.isNotNull()) if name in dated else F.lit(0)
-        counts.append(
-            F.struct(
-                F.count(cell), F.count(as_integer(cell)), F.count(as_double(cell)), F.count(as_boolean(cell)), date
-            ).alias(f"p{i}")
-        )
-    row = df.agg(*counts).first()
-    return row["rows"], {name: ColumnProfile(*row[f"p{i}"]) for i, name in enumerate(names)}
+    cells = F.array(
+        *[F.struct(column(name).alias("cell"), dated.get(name, F.lit(False)).alias("dated")) for name in names]
+    )
+    # One narrow row per cell keeps the generated code small, however wide the table is.
+    exploded = df.select(F.posexplode(cells).alias("place", "c"))
+    found = (
+        exploded.groupBy("place")
+        .agg(F.count("*").alias("rows"), F.bit_or(unreadable_as(F.col("c.cell"), F.col("c.dated"))).alias("mask"))
+        .collect()
+    )
+    masks = {names[row["place"]]: row["mask"] for row in found}
+    n_rows = found[0]["rows"] if found else 0
+    return n_rows, {name: ColumnProfile(masks.get(name, 0)) for name in names}
 
 
 def apply_types(df: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:

@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ from tabmeld.sources.scan import Dialect, cell, good_rows, rejected_rows, scan_c
 
 ROW_ORDER = "__row_order"
 
+# Files named in the messages of a run; the DataFrames of the run hold all of them.
+LOGGED_FILES = 1000
+
 STATUS_SCHEMA = "dataset string, status string, n_files bigint, n_merged bigint, n_rows bigint, error string"
 _LAYOUT_KEYS = ("file_format", "charset", "sep", "quote", "skip_lead", "multiline", "header", "clean", "folds")
 
@@ -72,6 +76,8 @@ class LayoutGroup:
     folds: tuple[tuple[str, str], ...]
     n_files: int
     next_seq: str
+    reference: str
+    first: str
 
 
 def file_headers(probes: DataFrame, options: MergeOptions) -> DataFrame:
@@ -87,17 +93,19 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     configure(spark)
     if not isinstance(options, MergeOptions):
         options = MergeOptions.from_dict(options)
-    errors = check_root(spark, root)
-    if errors:
-        return Consolidation(success=False, errors=errors)
-    listing = list_files(spark, root)
+    try:
+        listing = list_files(spark, root)
+    except AnalysisException:
+        return Consolidation(success=False, errors=check_root(spark, root))
     chosen = select_datasets(listing, options.subdir_include, options.subdir_exclude)
     probes = probe_catalog(supported_files(chosen), root, options.large_file_threshold_mb)
     run = Consolidation(success=True, files=probes)
     headers = file_headers(probes, options)
     run.headers = headers.select("dataset", "file_path", "file_seq", "columns")
 
-    datasets = _dataset_counts(chosen, probes)
+    datasets, n_csv = _dataset_counts(chosen, probes)
+    if not datasets and listing.isEmpty():
+        return Consolidation(success=False, errors=check_root(spark, root))
     if not _preflight(run, options, datasets):
         return run
 
@@ -111,8 +119,11 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
             run.status.append((name, "failed", n_files, 0, None, "no readable file"))
         else:
             merging.append(name)
-    for row in probes.where("status <> 'ok'").select("dataset", "file_name", "error").orderBy("dataset", "file_name").limit(1000).collect():
-        run.warnings.append((row["dataset"], f"not read: {row['file_name']}: {row['error']}"))
+    if any(n_ok < n_files for n_files, n_ok in datasets.values()):
+        unread = probes.where("status <> 'ok'").select("dataset", "file_name", "error")
+        # The log shows the first ones; ``files`` holds them all.
+        for row in unread.orderBy("dataset", "file_name").limit(LOGGED_FILES).collect():
+            run.warnings.append((row["dataset"], f"not read: {row['file_name']}: {row['error']}"))
     if not merging:
         return run
 
@@ -123,13 +134,10 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
         run.errors.append(message)
         run.status.append((name, "failed", datasets[name][0], 0, None, message))
     groups = _layout_groups(probes, headers)
-    order = {row["dataset"]: (row["reference"], row["first"]) for row in _file_starts(headers).collect()}
-    paths = _scan_paths(root, listing, probes, headers, groups)
+    paths = _scan_paths(root, n_csv, probes, headers, groups)
 
     def build(name: str):
-        return _build_dataset(
-            spark, name, [g for g in groups if g.dataset == name], paths, renames.get(name, {}), order[name], options
-        )
+        return _build_dataset(spark, name, [g for g in groups if g.dataset == name], paths, renames.get(name, {}), options)
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_datasets)) as pool:
         built = dict(zip(merging, pool.map(build, merging)))
@@ -152,13 +160,14 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     return run
 
 
-def _dataset_counts(chosen: DataFrame, probes: DataFrame) -> dict[str, tuple[int, int]]:
-    every = chosen.select("dataset").distinct()
+def _dataset_counts(chosen: DataFrame, probes: DataFrame) -> tuple[dict[str, tuple[int, int]], dict[str, int]]:
+    """Per dataset (supported files, readable files), and the CSV files of its whole folder."""
+    every = chosen.groupBy("dataset").agg(F.count_if(F.col("file_name").endswith(".csv")).alias("n_csv"))
     counts = probes.groupBy("dataset").agg(
         F.count("*").alias("n_files"), F.count_if(F.col("status") == "ok").alias("n_ok")
     )
     rows = every.join(counts, "dataset", "left").na.fill(0).orderBy("dataset").collect()
-    return {row["dataset"]: (row["n_files"], row["n_ok"]) for row in rows}
+    return {r["dataset"]: (r["n_files"], r["n_ok"]) for r in rows}, {r["dataset"]: r["n_csv"] for r in rows}
 
 
 def _preflight(run: Consolidation, options: MergeOptions, datasets: Mapping[str, tuple[int, int]]) -> bool:
@@ -170,7 +179,7 @@ def _preflight(run: Consolidation, options: MergeOptions, datasets: Mapping[str,
     unreadable = [name for name, (_, n_ok) in datasets.items() if required[name] and n_ok == 0]
     run.errors += [f"dataset '{name}': no readable file, required columns cannot be checked" for name in unreadable]
     lacking = run.missing_required
-    for row in lacking.orderBy("dataset", "file_seq").limit(1000).collect():
+    for row in lacking.orderBy("dataset", "file_seq").limit(LOGGED_FILES).collect():
         file_name = row["file_path"].rsplit("/", 1)[-1]
         run.errors.append(f"dataset '{row['dataset']}', file '{file_name}': missing required columns: {row['missing']}")
     if run.errors and options.preflight == "abort":
@@ -206,10 +215,11 @@ def _resolve(run: Consolidation, headers: DataFrame, options: MergeOptions):
         headers = materialize(layout.resolve_conflicts(headers, options.conflict_policy), "headers")
     if refused:
         headers = headers.where(~F.col("dataset").isin(*refused))
-    run.renames = materialize(layout.canonical_renames(headers), "renames")
-    renames: dict[str, dict[str, str]] = {}
     # Variant names of the chosen datasets: bounded by the distinct header names.
-    for row in run.renames.collect():
+    found = layout.canonical_renames(headers).collect()
+    run.renames = headers.sparkSession.createDataFrame(found, "dataset string, from_name string, to_name string")
+    renames: dict[str, dict[str, str]] = {}
+    for row in found:
         renames.setdefault(row["dataset"], {})[row["from_name"]] = row["to_name"]
     if renames:
         settled = layout.apply_renames(headers, run.renames)
@@ -226,7 +236,7 @@ def _layout_groups(probes: DataFrame, headers: DataFrame) -> list[LayoutGroup]:
     moved = _moved(F.col("file_seq"), F.col("reference"), F.col("first"))
     starts = _file_starts(headers)
     described = salted_left_join(described, starts, ["dataset"], ["file_path"]).withColumn("next_seq", moved)
-    kept = [F.any_value(name).alias(name) for name in _LAYOUT_KEYS]
+    kept = [F.any_value(name).alias(name) for name in (*_LAYOUT_KEYS, "reference", "first")]
     rows = (
         described.groupBy("dataset", "layout_id")
         .agg(*kept, F.count("*").alias("n_files"), F.min("next_seq").alias("next_seq"))
@@ -246,6 +256,8 @@ def _layout_groups(probes: DataFrame, headers: DataFrame) -> list[LayoutGroup]:
             folds=tuple((f["kept"], f["dropped"]) for f in row["folds"]),
             n_files=row["n_files"],
             next_seq=row["next_seq"],
+            reference=row["reference"],
+            first=row["first"],
         )
         for row in rows
     ]
@@ -273,11 +285,9 @@ def _moved(seq: Column, reference: Column, first: Column) -> Column:
 
 
 def _scan_paths(
-    root: str, listing: DataFrame, probes: DataFrame, headers: DataFrame, groups: list[LayoutGroup]
+    root: str, n_csv: Mapping[str, int], probes: DataFrame, headers: DataFrame, groups: list[LayoutGroup]
 ) -> dict[tuple[str, str], list[str]]:
     """Paths to read per layout group: the folder when it holds nothing else, else the files."""
-    census = listing.where(F.col("file_name").endswith(".csv")).groupBy("dataset").count()
-    n_csv = {row["dataset"]: row["count"] for row in census.collect()}
     paths: dict[tuple[str, str], list[str]] = {}
     listed = []
     for group in groups:
@@ -339,11 +349,9 @@ def _build_dataset(
     groups: list[LayoutGroup],
     paths: Mapping[tuple[str, str], list[str]],
     renames: Mapping[str, str],
-    order: tuple[str, str],
     options: MergeOptions,
 ) -> _Built:
     own = options.for_dataset(name)
-    reference, first = order
     groups = sorted(groups, key=lambda g: g.next_seq)
     maps = [_mapped(group, renames) for group in groups]
     names = list(own.columns) or list(dict.fromkeys(n for mapped in maps for n in mapped))
@@ -362,7 +370,7 @@ def _build_dataset(
             rows = scan_workbooks(spark.createDataFrame([(p,) for p in where], "file_path string"), width)
         rank = "0:" if group.file_format == "excel" else "2:"
         seq = F.concat(F.lit(rank), F.element_at(F.split("_file", "/"), -1))
-        seq = _moved(seq, F.lit(reference), F.lit(first))
+        seq = _moved(seq, F.lit(group.reference), F.lit(group.first))
         blank = (F.lit(None).cast("string"), F.lit(False))
         cells = [mapped.get(n, blank) for n in names]
         flags = [d.alias(f"t{i}") for i, (_, d) in enumerate(cells)] if with_dates else []
@@ -384,7 +392,7 @@ def _build_dataset(
     )
     warnings = [
         f"requested column not present in any file: {n}" for v, n in zip(texts, names)
-        if own.columns and profiles[v].values == 0
+        if own.columns and not profiles[v].has_values
     ]
     errors: list[str] = []
     try:
