@@ -95,6 +95,7 @@ def aggregate_by(
     median: str = "auto",
     sort_groups: bool = True,
     skip: Sequence[str] = (),
+    n_rows: int | None = None,
     errors: list[str] | None = None,
     warnings: list[str] | None = None,
 ) -> DataFrame:
@@ -103,7 +104,8 @@ def aggregate_by(
     Rows with a missing key are dropped unless ``null_keys`` is ``keep``. A key that the
     data lacks is reported in ``errors`` and the rows come back as they are. Without value
     columns the result is the distinct keys. ``order`` decides ``first`` and ``last``;
-    columns in ``skip`` (such as the row order itself) are no value columns.
+    columns in ``skip`` (such as the row order itself) are no value columns. ``n_rows`` is
+    the number of rows where it is known.
 
     ``median`` is ``auto`` (built-in while the largest group is small, ranked beyond),
     ``builtin`` or ``ranked``; all are exact.
@@ -122,7 +124,7 @@ def aggregate_by(
     rows = drop_missing_keys(df, group_by) if null_keys == "drop" else df
 
     medians = [name for name, function in plan.items() if function == "median"]
-    ranked = median == "ranked" or (median == "auto" and medians and _largest_group(rows, group_by) > MEDIAN_GROUP_ROWS)
+    ranked = median == "ranked" or (median == "auto" and medians and _has_large_group(rows, group_by, n_rows))
     apart = medians if ranked else []
     totals = [aggregate_column(n, f, kinds[n], order) for n, f in plan.items() if n not in apart]
     out = rows.groupBy(*keys).agg(*(totals or [F.count("*").alias("__rows")]))
@@ -140,9 +142,11 @@ def drop_missing_keys(df: DataFrame, group_by: Sequence[str]) -> DataFrame:
     return df
 
 
-def _largest_group(rows: DataFrame, group_by: Sequence[str]) -> int:
+def _has_large_group(rows: DataFrame, group_by: Sequence[str], n_rows: int | None) -> bool:
+    if n_rows is not None and n_rows <= MEDIAN_GROUP_ROWS:
+        return False
     sizes = rows.groupBy(*[column(key) for key in group_by]).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
+    return (sizes.agg(F.max("count")).first()[0] or 0) > MEDIAN_GROUP_ROWS
 
 
 def ranked_median(rows: DataFrame, group_by: Sequence[str], name: str) -> DataFrame:
@@ -189,7 +193,7 @@ def aggregate_if_tall(
         return df
     tall = n_rows > threshold if n_rows is not None else is_tall(df, threshold)
     if not tall or any(key not in df.columns for key in group_by):
-        return aggregate_by(df, group_by, chosen, **options) if tall else df
+        return aggregate_by(df, group_by, chosen, n_rows=n_rows, **options) if tall else df
     # Default aggregates of other columns would be thrown away again, so they are not computed.
     skip = list(options.pop("skip", ()))
     kept = [name for name in (chosen or {}) if name in df.columns and name not in group_by and name not in skip]
@@ -198,4 +202,4 @@ def aggregate_if_tall(
         rows = drop_missing_keys(df, group_by) if options.get("null_keys", "drop") == "drop" else df
         return rows.select(*keys).dropDuplicates()
     spare = [name for name in df.columns if name not in kept and name not in group_by]
-    return aggregate_by(df, group_by, chosen, skip=spare, **options)
+    return aggregate_by(df, group_by, chosen, skip=spare, n_rows=n_rows, **options)

@@ -205,20 +205,19 @@ def plural_components(names: DataFrame) -> DataFrame:
         labels = moved.select("dataset", "name", F.least("component", "seen").alias("component"))
 
 
-def canonical_renames(headers: DataFrame) -> DataFrame:
+def canonical_renames(headers: DataFrame, weight: str | None = None) -> DataFrame:
     """Majority vote over each variant group: (dataset, from_name, to_name).
 
     The name found in most files wins; then the one in the reference layout; then the
-    smallest name.
+    smallest name. ``weight`` names a column with the number of files that a row stands for.
     """
-    name = strip(F.col("name"))
     files = (
-        layout_catalog(headers)
-        .select("dataset", "file_path", name.alias("name"))
+        headers.select("dataset", F.array_distinct(F.transform("columns", strip)).alias("names"),
+                       (F.col(weight) if weight else F.lit(1)).alias("weight"))
+        .select("dataset", "weight", F.explode("names").alias("name"))
         .where("name <> ''")
-        .distinct()
         .groupBy("dataset", "name")
-        .agg(F.count("*").alias("n_files"))
+        .agg(F.sum("weight").alias("n_files"))
     )
     files = materialize(files, "name-counts")
     in_reference = (

@@ -1,17 +1,18 @@
 """End-to-end consolidation of a root folder: one lazy result per dataset.
 
 Stages: file catalogue, head probe, header cleaning, pre-flight, conflict and variant
-resolution, then per dataset a union of one scan per layout group, typed, optionally
-aggregated, sorted and put in column order. File and header facts live in DataFrames; the
-driver sees distinct layouts only, plus the path lists that a reader call needs.
+resolution, then per dataset a union of one scan per layout, typed, optionally aggregated,
+sorted and put in column order. File facts stay in DataFrames; the driver sees distinct
+layouts, plus the path lists that a reader call needs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -23,7 +24,6 @@ from tabmeld.functions.names import clean_header, column
 from tabmeld.operators import layout
 from tabmeld.operators.aggregate import AggregateError, aggregate_if_tall
 from tabmeld.operators.order import sort_rows
-from tabmeld.operators.spread import salted_left_join
 from tabmeld.operators.typing import profile_text
 from tabmeld.operators.union import order_columns, union_by_name
 from tabmeld.plans.options import DatasetOptions, MergeOptions
@@ -38,7 +38,7 @@ ROW_ORDER = "__row_order"
 LOGGED_FILES = 1000
 
 STATUS_SCHEMA = "dataset string, status string, n_files bigint, n_merged bigint, n_rows bigint, error string"
-_LAYOUT_KEYS = ("file_format", "charset", "sep", "quote", "skip_lead", "multiline", "header", "clean", "folds")
+LAYOUT_KEYS = ("file_format", "charset", "sep", "quote", "skip_lead", "multiline", "header", "clean")
 
 
 @dataclass
@@ -54,10 +54,19 @@ class Consolidation:
     files: DataFrame | None = None
     headers: DataFrame | None = None
     renames: DataFrame | None = None
-    issues: DataFrame | None = None
-    extra_columns: DataFrame | None = None
     missing_required: DataFrame | None = None
     rejects: DataFrame | None = None
+    _per_file: Callable[[Callable[[DataFrame], DataFrame]], DataFrame] | None = None
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        """Columns that files have beyond their dataset's reference layout, with hints."""
+        return self._per_file(lambda layouts: layout.structure_issues(layouts, allow_missing=True))
+
+    @cached_property
+    def extra_columns(self) -> DataFrame:
+        """(dataset, column, file) for every column that the reference layout lacks."""
+        return self._per_file(layout.extra_column_files).drop("file_seq")
 
     def status_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.status, STATUS_SCHEMA)
@@ -73,18 +82,27 @@ class LayoutGroup:
     dialect: Dialect
     header: tuple[str, ...]
     clean: tuple[str, ...]
+    columns: tuple[str, ...]
     folds: tuple[tuple[str, str], ...]
     n_files: int
-    next_seq: str
+    lead_seq: str
+    lead_path: str
     reference: str
     first: str
 
 
-def file_headers(probes: DataFrame, options: MergeOptions) -> DataFrame:
-    """Cleaned header of every readable file."""
+def describe_files(probes: DataFrame, options: MergeOptions) -> DataFrame:
+    """Readable files with their clean header and the layout they belong to.
+
+    A layout is everything that decides how a file is read and mapped, so files of one
+    layout are read by one scan.
+    """
     clean = clean_header(F.col("header"), options.rules)
-    return probes.where("status = 'ok'").select(
-        "dataset", "file_path", "file_seq", "header", clean.alias("clean"), F.array_distinct(clean).alias("columns")
+    described = probes.where("status = 'ok'").withColumn("clean", clean)
+    return described.select(
+        "dataset", "path", "file_path", "file_seq", *LAYOUT_KEYS,
+        F.array_distinct("clean").alias("columns"),
+        F.sha2(F.to_json(F.struct(*LAYOUT_KEYS)), 256).alias("layout_id"),
     )
 
 
@@ -100,8 +118,8 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     chosen = select_datasets(listing, options.subdir_include, options.subdir_exclude)
     probes = probe_catalog(supported_files(chosen), root, options.large_file_threshold_mb)
     run = Consolidation(success=True, files=probes)
-    headers = file_headers(probes, options)
-    run.headers = headers.select("dataset", "file_path", "file_seq", "columns")
+    files = describe_files(probes, options)
+    run.headers = files.select("dataset", "file_path", "file_seq", "columns")
 
     datasets, n_csv = _dataset_counts(chosen, probes)
     if not datasets and listing.isEmpty():
@@ -127,17 +145,17 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     if not merging:
         return run
 
-    headers = headers.where(F.col("dataset").isin(*merging))
-    headers, renames, refused = _resolve(run, headers, options)
-    merging = [name for name in merging if name not in refused]
+    files = files.where(F.col("dataset").isin(*merging))
+    groups = _layout_groups(files)
+    groups, renames, refused = _resolve(spark, run, files, groups, options)
     for name, message in refused.items():
         run.errors.append(message)
         run.status.append((name, "failed", datasets[name][0], 0, None, message))
-    groups = _layout_groups(probes, headers)
-    paths = _scan_paths(root, n_csv, probes, headers, groups)
+    merging = [name for name in merging if name not in refused]
+    paths = _scan_paths(root, n_csv, files, [g for name in merging for g in groups[name]])
 
     def build(name: str):
-        return _build_dataset(spark, name, [g for g in groups if g.dataset == name], paths, renames.get(name, {}), options)
+        return _build_dataset(spark, name, groups[name], paths, renames.get(name, {}), options)
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_datasets)) as pool:
         built = dict(zip(merging, pool.map(build, merging)))
@@ -175,108 +193,151 @@ def _preflight(run: Consolidation, options: MergeOptions, datasets: Mapping[str,
     required = {name: options.for_dataset(name).required() for name in datasets}
     if not any(required.values()):
         return True
-    run.missing_required = layout.missing_required(run.headers, options.required_columns(F.col("dataset")))
+    lacking = layout.missing_required(run.headers, options.required_columns(F.col("dataset")))
+    run.missing_required = lacking
     unreadable = [name for name, (_, n_ok) in datasets.items() if required[name] and n_ok == 0]
     run.errors += [f"dataset '{name}': no readable file, required columns cannot be checked" for name in unreadable]
-    lacking = run.missing_required
     for row in lacking.orderBy("dataset", "file_seq").limit(LOGGED_FILES).collect():
         file_name = row["file_path"].rsplit("/", 1)[-1]
         run.errors.append(f"dataset '{row['dataset']}', file '{file_name}': missing required columns: {row['missing']}")
-    if run.errors and options.preflight == "abort":
-        run.success = False
-        return False
-    return True
+    run.success = not run.errors or options.preflight != "abort"
+    return run.success
+
+
+def _layout_groups(files: DataFrame) -> dict[str, list[LayoutGroup]]:
+    """Distinct layouts per dataset, in the order in which their files enter the union.
+
+    The reference file (most columns, then first) leads, and the first file takes its place.
+    """
+    kept = [F.any_value(name).alias(name) for name in (*LAYOUT_KEYS, "columns")]
+    lead = F.min(F.struct("file_seq", "file_path")).alias("lead")
+    rows = files.groupBy("dataset", "layout_id").agg(*kept, F.count("*").alias("n_files"), lead).collect()
+    datasets: dict[str, list] = {}
+    for row in rows:
+        datasets.setdefault(row["dataset"], []).append(row)
+    starts, shared = {}, []
+    for name, found in datasets.items():
+        reference = min(found, key=lambda row: (-len(row["columns"]), row["lead"]["file_seq"]))
+        first = min(found, key=lambda row: row["lead"]["file_seq"])
+        starts[name] = (reference["lead"]["file_seq"], first["lead"]["file_seq"])
+        if first is not reference and first["n_files"] > 1:
+            shared.append(first)
+    after_first = {}
+    if shared:
+        # Layouts that hold the first file and others: their next file decides their place.
+        leads = [row["lead"]["file_path"] for row in shared]
+        rest = files.where(F.col("layout_id").isin(*[row["layout_id"] for row in shared]))
+        rest = rest.where(~F.col("file_path").isin(*leads)).groupBy("dataset", "layout_id")
+        for row in rest.agg(F.min("file_seq").alias("seq")).collect():
+            after_first[row["dataset"], row["layout_id"]] = row["seq"]
+
+    out: dict[str, list[LayoutGroup]] = {}
+    for name, found in sorted(datasets.items()):
+        reference, first = starts[name]
+
+        def place(row) -> str:
+            seq = row["lead"]["file_seq"]
+            if seq == reference:
+                return ""
+            if seq == first:
+                return min(reference, after_first.get((name, row["layout_id"]), reference))
+            return seq
+
+        out[name] = [_layout_group(row, reference, first) for row in sorted(found, key=place)]
+    return out
 
 
-def _resolve(run: Consolidation, headers: DataFrame, options: MergeOptions):
-    """Settle same-file conflicts and cross-file variants; report structure issues."""
-    refused: dict[str, str] = {}
-    if options.on_duplicate == "error":
-        doubled = headers.where(F.size("clean") > F.size("columns"))
-        for row in doubled.groupBy("dataset").agg(F.min("file_path").alias("file")).collect():
-            refused[row["dataset"]] = f"columns share a name after cleaning in {row['file']}"
-    empty = F.array().cast("array<struct<kept:string,dropped:string>>")
-    if not options.validate_structure:
-        headers = headers.withColumn("folds", empty)
-        run.extra_columns = layout.extra_column_files(headers)
-        return headers, {}, refused
-    if options.conflict_policy == "fail":
-        first = layout.same_file_conflicts(headers).groupBy("dataset").agg(
-            F.min(F.struct("file_seq", "file_path", "name_a", "name_b")).alias("c")
-        )
-        for row in first.collect():
-            hit = row["c"]
-            refused[row["dataset"]] = (
-                f"Same-file column conflict in {hit['file_path'].rsplit('/', 1)[-1]} "
-                f"(both '{hit['name_a']}' and '{hit['name_b']}')"
-            )
-        headers = headers.withColumn("folds", empty)
-    else:
-        headers = materialize(layout.resolve_conflicts(headers, options.conflict_policy), "headers")
-    if refused:
-        headers = headers.where(~F.col("dataset").isin(*refused))
-    # Variant names of the chosen datasets: bounded by the distinct header names.
-    found = layout.canonical_renames(headers).collect()
-    run.renames = headers.sparkSession.createDataFrame(found, "dataset string, from_name string, to_name string")
-    renames: dict[str, dict[str, str]] = {}
-    for row in found:
-        renames.setdefault(row["dataset"], {})[row["from_name"]] = row["to_name"]
-    if renames:
-        settled = layout.apply_renames(headers, run.renames)
-        headers = headers.drop("columns").join(settled.select("dataset", "file_path", "columns"), ["dataset", "file_path"])
-        headers = materialize(headers, "headers-renamed")
-    run.issues = layout.structure_issues(headers, allow_missing=True)
-    run.extra_columns = layout.extra_column_files(headers)
-    return headers, renames, refused
-
-
-def _layout_groups(probes: DataFrame, headers: DataFrame) -> list[LayoutGroup]:
-    """Distinct (dialect, header, mapping) combinations, with their number of files."""
-    described = _described(probes, headers)
-    moved = _moved(F.col("file_seq"), F.col("reference"), F.col("first"))
-    starts = _file_starts(headers)
-    described = salted_left_join(described, starts, ["dataset"], ["file_path"]).withColumn("next_seq", moved)
-    kept = [F.any_value(name).alias(name) for name in (*_LAYOUT_KEYS, "reference", "first")]
-    rows = (
-        described.groupBy("dataset", "layout_id")
-        .agg(*kept, F.count("*").alias("n_files"), F.min("next_seq").alias("next_seq"))
-        .orderBy("dataset", "next_seq")
-        .collect()
+def _layout_group(row, reference: str, first: str) -> LayoutGroup:
+    csv = row["file_format"] == "csv"
+    return LayoutGroup(
+        dataset=row["dataset"],
+        layout_id=row["layout_id"],
+        file_format=row["file_format"],
+        dialect=Dialect(row["charset"], row["sep"], row["quote"], row["skip_lead"], row["multiline"]) if csv else Dialect(),
+        header=tuple(row["header"]),
+        clean=tuple(row["clean"]),
+        columns=tuple(row["columns"]),
+        folds=(),
+        n_files=row["n_files"],
+        lead_seq=row["lead"]["file_seq"],
+        lead_path=row["lead"]["file_path"],
+        reference=reference,
+        first=first,
     )
-    return [
-        LayoutGroup(
-            dataset=row["dataset"],
-            layout_id=row["layout_id"],
-            file_format=row["file_format"],
-            dialect=Dialect(row["charset"], row["sep"], row["quote"], row["skip_lead"], row["multiline"])
-            if row["file_format"] == "csv"
-            else Dialect(),
-            header=tuple(row["header"]),
-            clean=tuple(row["clean"]),
-            folds=tuple((f["kept"], f["dropped"]) for f in row["folds"]),
-            n_files=row["n_files"],
-            next_seq=row["next_seq"],
-            reference=row["reference"],
-            first=row["first"],
-        )
-        for row in rows
-    ]
 
 
-def _described(probes: DataFrame, headers: DataFrame) -> DataFrame:
-    facts = probes.select(
-        "dataset", "file_path", "path", "file_format", "charset", "sep", "quote", "skip_lead", "multiline"
+def _layout_table(spark: SparkSession, groups: Iterable[LayoutGroup]) -> DataFrame:
+    """Layouts as headers: the first file of each stands for all of its files."""
+    rows = [(g.dataset, g.lead_path, g.lead_seq, list(g.columns), g.n_files, g.layout_id) for g in groups]
+    return spark.createDataFrame(
+        rows, "dataset string, file_path string, file_seq string, columns array<string>, n_files bigint, layout_id string"
     )
-    joined = headers.select("dataset", "file_path", "file_seq", "header", "clean", "folds").join(
-        facts, ["dataset", "file_path"]
+
+
+def _has_variants(groups: Sequence[LayoutGroup]) -> bool:
+    names = {name.strip() for group in groups for name in group.columns}
+    return any(name and (name + "s" in names or name + "es" in names) for name in names)
+
+
+def _resolve(
+    spark: SparkSession, run: Consolidation, files: DataFrame, groups: dict[str, list[LayoutGroup]], options: MergeOptions
+):
+    """Settle same-file conflicts and cross-file variants; report structure issues.
+
+    All of it works on distinct layouts weighted by their number of files.
+    """
+    refused: dict[str, str] = {}
+    renames: dict[str, dict[str, str]] = {}
+    for name, found in groups.items():
+        doubled = [g for g in found if len(g.clean) > len(g.columns)]
+        if doubled and options.on_duplicate == "error":
+            refused[name] = f"columns share a name after cleaning in {doubled[0].lead_path}"
+    variants = [g for found in groups.values() if options.validate_structure and _has_variants(found) for g in found]
+    if variants:
+        table = _layout_table(spark, variants)
+        if options.conflict_policy == "fail":
+            for row in layout.same_file_conflicts(table).orderBy(F.col("file_seq").desc()).collect():
+                refused[row["dataset"]] = (
+                    f"Same-file column conflict in {row['file_path'].rsplit('/', 1)[-1]} "
+                    f"(both '{row['name_a']}' and '{row['name_b']}')"
+                )
+        else:
+            settled = layout.resolve_conflicts(table, options.conflict_policy).where(F.size("folds") > 0).collect()
+            changed = {(row["dataset"], row["layout_id"]): row for row in settled}
+            groups = {
+                name: [
+                    replace(
+                        g, columns=tuple(changed[name, g.layout_id]["columns"]),
+                        folds=tuple((f["kept"], f["dropped"]) for f in changed[name, g.layout_id]["folds"]),
+                    ) if (name, g.layout_id) in changed else g
+                    for g in found
+                ]
+                for name, found in groups.items()
+            }
+            table = _layout_table(spark, [g for found in groups.values() for g in found])
+        table = table.where(~F.col("dataset").isin(*refused)) if refused else table
+        for row in layout.canonical_renames(table, weight="n_files").collect():
+            renames.setdefault(row["dataset"], {})[row["from_name"]] = row["to_name"]
+    run.renames = spark.createDataFrame(
+        [(name, old, new) for name, found in renames.items() for old, new in sorted(found.items())],
+        "dataset string, from_name string, to_name string",
     )
-    return joined.withColumn("layout_id", F.sha2(F.to_json(F.struct(*_LAYOUT_KEYS)), 256))
+    final = [
+        replace(g, columns=tuple(dict.fromkeys(renames.get(name, {}).get(c, c) for c in g.columns)))
+        for name, found in groups.items() if name not in refused for g in found
+    ]
+    table = _layout_table(spark, final)
+    of_layout = files.select("dataset", "layout_id", "file_path", "file_seq")
+    keyed = table.select("dataset", F.col("file_path").alias("lead"), "layout_id")
 
+    def per_file(find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Findings about a layout's first file, repeated for each of its files."""
+        led = find(table).withColumnRenamed("file_path", "lead").drop("file_seq").join(keyed, ["dataset", "lead"])
+        return led.join(of_layout, ["dataset", "layout_id"]).drop("lead", "layout_id")
 
-def _file_starts(headers: DataFrame) -> DataFrame:
-    """Per dataset: sequence key of the reference file and of the first file."""
-    best = F.min(F.struct(-F.size("columns"), F.col("file_seq").alias("seq")))["seq"]
-    return headers.groupBy("dataset").agg(best.alias("reference"), F.min("file_seq").alias("first"))
+    run.headers = of_layout.join(table.select("dataset", "layout_id", "columns"), ["dataset", "layout_id"]).drop("layout_id")
+    run._per_file = per_file
+    return groups, renames, refused
 
 
 def _moved(seq: Column, reference: Column, first: Column) -> Column:
@@ -285,25 +346,25 @@ def _moved(seq: Column, reference: Column, first: Column) -> Column:
 
 
 def _scan_paths(
-    root: str, n_csv: Mapping[str, int], probes: DataFrame, headers: DataFrame, groups: list[LayoutGroup]
+    root: str, n_csv: Mapping[str, int], files: DataFrame, groups: Sequence[LayoutGroup]
 ) -> dict[tuple[str, str], list[str]]:
     """Paths to read per layout group: the folder when it holds nothing else, else the files."""
     paths: dict[tuple[str, str], list[str]] = {}
     listed = []
     for group in groups:
-        key = (group.dataset, group.layout_id)
         if group.file_format == "csv" and group.n_files == n_csv.get(group.dataset):
-            paths[key] = [_literal_path(f"{normal_root(root)}/{group.dataset}")]
+            paths[group.dataset, group.layout_id] = [_literal_path(f"{normal_root(root)}/{group.dataset}")]
         else:
-            paths[key] = []
-            listed.append(group.layout_id)
+            listed.append((group.dataset, group.layout_id))
     if listed:
         # The same paths that Spark's file index of these readers holds.
-        rows = _described(probes, headers).where(F.col("layout_id").isin(*listed))
-        for row in rows.select("dataset", "layout_id", "path", "file_path", "file_format").collect():
+        wanted = F.col("dataset").isin(*{d for d, _ in listed}) & F.col("layout_id").isin(*{i for _, i in listed})
+        for row in files.where(wanted).select("dataset", "layout_id", "path", "file_path", "file_format").collect():
             key = (row["dataset"], row["layout_id"])
-            if paths[key][:1] != [_literal_path(f"{normal_root(root)}/{row['dataset']}")]:
-                paths[key].append(_literal_path(row["path"]) if row["file_format"] == "csv" else row["file_path"])
+            if key in listed:
+                paths.setdefault(key, []).append(
+                    _literal_path(row["path"]) if row["file_format"] == "csv" else row["file_path"]
+                )
     return paths
 
 
@@ -352,7 +413,6 @@ def _build_dataset(
     options: MergeOptions,
 ) -> _Built:
     own = options.for_dataset(name)
-    groups = sorted(groups, key=lambda g: g.next_seq)
     maps = [_mapped(group, renames) for group in groups]
     names = list(own.columns) or list(dict.fromkeys(n for mapped in maps for n in mapped))
     with_dates = any(group.file_format == "excel" for group in groups)
