@@ -350,12 +350,12 @@ def _scan_paths(
 ) -> dict[tuple[str, str], list[str]]:
     """Paths to read per layout group: the folder when it holds nothing else, else the files."""
     paths: dict[tuple[str, str], list[str]] = {}
-    listed = []
+    listed: set[tuple[str, str]] = set()
     for group in groups:
         if group.file_format == "csv" and group.n_files == n_csv.get(group.dataset):
             paths[group.dataset, group.layout_id] = [_literal_path(f"{normal_root(root)}/{group.dataset}")]
         else:
-            listed.append((group.dataset, group.layout_id))
+            listed.add((group.dataset, group.layout_id))
     if listed:
         # The same paths that Spark's file index of these readers holds.
         wanted = F.col("dataset").isin(*{d for d, _ in listed}) & F.col("layout_id").isin(*{i for _, i in listed})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,24 +12,34 @@ from tabmeld.plans.consolidate import Consolidation
 
 
 def write_outputs(
-    run: Consolidation, output_path: str, fmt: str = "parquet", single_file: bool = False, mode: str = "errorifexists"
+    run: Consolidation,
+    output_path: str,
+    fmt: str = "parquet",
+    single_file: bool = False,
+    mode: str = "errorifexists",
+    parallel: int = 4,
 ) -> dict[str, str]:
     """Write each merged dataset to ``<output_path>/<dataset>_merged``; returns the paths.
 
-    A failed write is recorded as an error and the other datasets go on. ``single_file``
-    funnels a result through one task and is meant for small results only.
+    Datasets are independent jobs, ``parallel`` of them at a time. A failed write is
+    recorded as an error and the others go on. ``single_file`` funnels a result through one
+    task and is meant for small results only.
     """
-    written: dict[str, str] = {}
-    for name, table in run.outputs.items():
+
+    def write(item: tuple[str, DataFrame]) -> tuple[str, str, Exception | None]:
+        name, table = item
         path = f"{output_path.rstrip('/')}/{name}_merged"
         try:
             out = table.coalesce(1) if single_file else table
             out.write.mode(mode).format(fmt).option("header", True).save(path)
         except Exception as error:
-            run.errors.append(f"Error saving merged dataset {path}: {error}")
-            continue
-        written[name] = path
-    return written
+            return name, path, error
+        return name, path, None
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        done = list(pool.map(write, run.outputs.items()))
+    run.errors += [f"Error saving merged dataset {path}: {error}" for _, path, error in done if error]
+    return {name: path for name, path, error in done if not error}
 
 
 def stacked(spark: SparkSession, run: Consolidation) -> DataFrame:

@@ -131,7 +131,7 @@ def test_head_is_cut_at_a_record_end():
         (b"only\n1\n", ("UTF-8", ",", '"', ["only"])),
         (b"a,b\n", ("UTF-8", ",", '"', ["a", "b"])),
         (b"a,,a\n1,2,3\n", ("UTF-8", ",", '"', ["a", "Unnamed: 1", "a.1"])),
-        (b"a,b\n'x\",y'\n", ("UTF-8", ",", "'", ["a", "b"])),
+        (b'a,b\n"x,y\n1,2\n', ("UTF-8", ",", "'", ["a", "b"])),
     ],
 )
 def test_probe_choices(data, expected):
