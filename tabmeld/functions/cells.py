@@ -21,9 +21,10 @@ _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 _DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
-def null_if_missing(cell: Column) -> Column:
-    """NULL for every missing-value token."""
-    return F.when(~cell.isin(*NA_TOKENS), cell)
+def null_if_missing(cell: str) -> Column:
+    """NULL for every missing-value token; ``cell`` is the SQL text of a string column."""
+    tokens = ", ".join(f"'{token}'" for token in NA_TOKENS)
+    return F.expr(f"CASE WHEN {cell} NOT IN ({tokens}) THEN {cell} END")
 
 
 def as_integer(cell: Column) -> Column:

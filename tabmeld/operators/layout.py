@@ -184,12 +184,10 @@ def plural_components(names: DataFrame) -> DataFrame:
     changes; a group's label is its smallest name. Names without a variant are left out.
     """
     pairs = plural_pairs(names, ["dataset"])
-    edges = materialize(
-        pairs.selectExpr("dataset", "short_name AS name", "long_name AS other")
-        .union(pairs.selectExpr("dataset", "long_name", "short_name"))
-        .distinct(),
-        "plural-edges",
+    both_ways = F.expr(
+        "inline(array(struct(short_name AS name, long_name AS other), struct(long_name AS name, short_name AS other)))"
     )
+    edges = materialize(pairs.select("dataset", both_ways), "plural-edges")
     labels = edges.groupBy("dataset", "name").agg(F.least(F.col("name"), F.min("other")).alias("component"))
     if edges.isEmpty():
         return labels

@@ -12,6 +12,16 @@ from tabmeld.session import materialize
 SALTS = 32
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer partitions than the cluster has slots.
+
+    Meant for costly row-wise work on few, large splits; a big input already has more
+    partitions than slots and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def salted_left_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = SALTS
 ) -> DataFrame:

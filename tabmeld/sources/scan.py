@@ -87,7 +87,7 @@ def is_overlong(width: int, dialect: Dialect) -> Column:
 def good_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
     """Records that fit the header, with missing-value tokens as NULL."""
     return scan.where(~is_overlong(width, dialect)).select(
-        *[null_if_missing(F.col(cell(i))).alias(cell(i)) for i in range(width)], *PROVENANCE
+        *[null_if_missing(cell(i)).alias(cell(i)) for i in range(width)], *PROVENANCE
     )
 
 
@@ -127,7 +127,7 @@ def scan_workbooks(files: DataFrame, width: int) -> DataFrame:
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
     rows = files.select("file_path").repartition(tasks).mapInPandas(read, schema)
     return rows.select(
-        *[null_if_missing(F.col("cells")[i]).alias(cell(i)) for i in range(width)],
+        *[null_if_missing(f"cells[{i}]").alias(cell(i)) for i in range(width)],
         *[F.col("dated")[i].alias(f"d{i}") for i in range(width)],
         *PROVENANCE,
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabmeld.operators.spread import widen
 from tabmeld.plans.consolidate import consolidate
 from tabmeld.plans.report import metric_table, output_shapes, run_summary
 from tabmeld.plans.sink import stacked, write_outputs, write_partitioned
@@ -14,7 +15,7 @@ from workload.exports import new_root, write_csv
 def _ads(spark, sf_dir, label: str) -> str:
     """lineitem as three exports with differing headers, customers and a lone table beside it."""
     root = new_root(spark, label)
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = widen(table(spark, sf_dir, "lineitem"))
     common = ["l_orderkey AS ` Order   Key`", "l_linestatus AS State"]
     write_csv(
         lineitem.where("l_returnflag = 'R'").selectExpr(

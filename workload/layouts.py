@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabmeld.operators import layout
+from tabmeld.operators.spread import widen
 from tabmeld.plans.options import MergeOptions, options_table
 from workload import query, table
 
@@ -62,7 +63,7 @@ _PARTNER = "({b} = {a} || 's' OR {b} = {a} || 'es' OR {a} = {b} || 's' OR {a} =
 
 def headers(spark, sf_dir):
     words = F.filter(F.split("text", r"\s+"), lambda word: word != "")
-    return table(spark, sf_dir, "documents").select(
+    return widen(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
         F.col("lang").alias("dataset"),
         F.col("doc_id").cast("string").alias("file_path"),
         F.col("doc_id").alias("file_seq"),
