@@ -199,6 +199,8 @@ def aggregate_if_tall(
     kept = [name for name in (chosen or {}) if name in df.columns and name not in group_by and name not in skip]
     if not kept:
         keys = [column(key) for key in group_by]
+        if all(name in group_by or name in skip for name in df.columns):
+            return distinct_keys(df, group_by)
         rows = drop_missing_keys(df, group_by) if options.get("null_keys", "drop") == "drop" else df
         return rows.select(*keys).dropDuplicates()
     spare = [name for name in df.columns if name not in kept and name not in group_by]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmeld.functions.cells import read_as
-from tabmeld.functions.names import clean_header, column
+from tabmeld.functions.names import clean_header, column, header_changes
 from tabmeld.operators import layout
 from tabmeld.operators.aggregate import AggregateError, aggregate_if_tall
 from tabmeld.operators.order import sort_rows
@@ -53,6 +53,7 @@ class Consolidation:
     errors: list[str] = field(default_factory=list)
     files: DataFrame | None = None
     headers: DataFrame | None = None
+    name_changes: DataFrame | None = None
     renames: DataFrame | None = None
     missing_required: DataFrame | None = None
     rejects: DataFrame | None = None
@@ -120,11 +121,14 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     run = Consolidation(success=True, files=probes)
     files = describe_files(probes, options)
     run.headers = files.select("dataset", "file_path", "file_seq", "columns")
+    changes = header_changes(F.col("header"), F.col("clean"))
+    run.name_changes = files.select("dataset", "file_path", F.explode(changes).alias("change"))
 
     datasets, n_csv = _dataset_counts(chosen, probes)
     if not datasets and listing.isEmpty():
         return Consolidation(success=False, errors=check_root(spark, root))
     if not _preflight(run, options, datasets):
+        run.status = [(name, "aborted", n_files, 0, None, None) for name, (n_files, _) in datasets.items()]
         return run
 
     merging = []

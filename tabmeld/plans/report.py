@@ -15,7 +15,7 @@ def run_summary(spark: SparkSession, run: Consolidation) -> DataFrame:
 
 def summarize(status: DataFrame, success: bool, n_errors: int) -> DataFrame:
     """Totals over a status table; skipped single-file datasets count as processed."""
-    processed = F.count_if(F.col("status") != "failed")
+    processed = F.count_if(F.col("status").isin("merged", "skipped_single_file", "no_files"))
     return status.agg(
         F.lit(success).alias("success"),
         processed.alias("processed_datasets"),

@@ -17,6 +17,7 @@ SQL_SETTINGS = {
 }
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def build_session(app_name: str = "tabmeld", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,4 +67,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables this process materialized; call it when their results are no longer read."""
+    context = spark.sparkContext
+    n_paths = len(_WRITTEN)
+    while _WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return n_paths

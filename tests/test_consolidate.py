@@ -245,3 +245,21 @@ def test_options_coercions():
     assert options.rules.patterns == () and set(options.subdirectories) == {"d"}
     assert options.for_dataset("d").columns == ("a",) and options.for_dataset("d").group_by == ()
     assert options.for_dataset("z").required() == ["a", "g", "v"]
+
+
+def test_keys_only_table_keeps_missing_keys(spark, write):
+    write("k/1.csv", "g,h\na,1\n,1\n")
+    root = write("k/2.csv", "g,h\na,1\n")
+    out = consolidate(spark, root, {"group_by": ["g", "h"], "max_rows_before_aggregate": 1}).outputs["k"]
+    assert rows(out, "g") == [(None, 1), ("a", 1)]
+
+
+def test_name_change_log_and_scratch(spark, write):
+    from tabmeld.session import clear_scratch
+
+    write("n/1.csv", " id ,b\n1,2\n")
+    root = write("n/2.csv", "ID,b\n1,2\n")
+    run = consolidate(spark, root)
+    assert [r["change"] for r in run.name_changes.collect()] == ["'id ' → 'ID'"]
+    assert run.outputs["n"].count() == 2
+    assert clear_scratch(spark) > 0 and clear_scratch(spark) == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -60,16 +61,18 @@ def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: st
     spark.range(0).write.mode("append").csv(target)
     build = sheet_bytes
     titles = list(header)
+    batch_id = uuid.uuid4().hex
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        # A task that runs again writes the same file again.
+        part = TaskContext.get().partitionId()
         rows = [row for batch in batches for row in batch.itertuples(index=False, name=None)]
         if rows:
             system, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
-            with system.open_output_stream(f"{path}/part-{uuid.uuid4().hex}.xlsx") as out:
+            with system.open_output_stream(f"{path}/part-{batch_id}-{part:05d}.xlsx") as out:
                 out.write(build(titles, rows))
         yield pd.DataFrame({"n": [len(rows)]})
 
