@@ -192,15 +192,14 @@ def plural_components(names: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return labels
     while True:
-        labels = materialize(labels, "plural-labels")
         offered = edges.join(
             labels.select("dataset", F.col("name").alias("other"), F.col("component").alias("seen")), ["dataset", "other"]
         )
         better = offered.groupBy("dataset", "name").agg(F.min("seen").alias("seen"))
-        moved = labels.join(better, ["dataset", "name"])
+        moved = materialize(labels.join(better, ["dataset", "name"]), "plural-labels")
+        labels = moved.select("dataset", "name", F.least("component", "seen").alias("component"))
         if moved.where("seen < component").isEmpty():
             return labels
-        labels = moved.select("dataset", "name", F.least("component", "seen").alias("component"))
 
 
 def canonical_renames(headers: DataFrame, weight: str | None = None) -> DataFrame:
