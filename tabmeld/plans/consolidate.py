@@ -431,7 +431,9 @@ def _build_dataset(
             over = rejected_rows(scan, width, group.dialect)
             rejects.append(over.select(F.lit(name).alias("dataset"), "file_path", "n_fields", "n_columns", "cells", "record"))
         else:
-            rows = scan_workbooks(spark.createDataFrame([(p,) for p in where], "file_path string"), width)
+            # Decoding a sheet costs more than writing its rows, and they are read twice.
+            sheets = scan_workbooks(spark.createDataFrame([(p,) for p in where], "file_path string"), width)
+            rows = materialize(sheets, "sheets")
         rank = "0:" if group.file_format == "excel" else "2:"
         seq = F.concat(F.lit(rank), F.element_at(F.split("_file", "/"), -1))
         seq = _moved(seq, F.lit(group.reference), F.lit(group.first))

@@ -174,6 +174,8 @@ class Workbook:
         return out
 
     def _text(self, node) -> str:
+        if node.find(self._MAIN + "r") is None and node.find(self._MAIN + "rPh") is None:
+            return node.findtext(self._MAIN + "t") or ""
         skip = {id(t) for run in node.iter(self._MAIN + "rPh") for t in run.iter(self._MAIN + "t")}
         return "".join(t.text or "" for t in node.iter(self._MAIN + "t") if id(t) not in skip)
 
@@ -200,7 +202,7 @@ class Workbook:
                     continue
                 number = int(node.get("r") or last + 1)
                 cells: list[tuple[str | None, bool]] = []
-                for cell in node.iter(self._MAIN + "c"):
+                for cell in node.iterfind(self._MAIN + "c"):
                     position = self._position(cell.get("r"), len(cells))
                     cells.extend([(None, False)] * (position - len(cells)))
                     cells.append(self._cell(cell))
@@ -227,7 +229,8 @@ class Workbook:
     def _cell(self, cell) -> tuple[str | None, bool]:
         kind = cell.get("t") or "n"
         if kind == "inlineStr":
-            return self._text(cell) or None, False
+            inline = cell.find(self._MAIN + "is")
+            return (None if inline is None else self._text(inline) or None), False
         value = cell.findtext(self._MAIN + "v")
         if value is None or value == "" or kind == "e":
             return None, False
