@@ -228,3 +228,13 @@ def test_warc_round_trip(ready, tmp_path):
     assert pick(back) == pick(rows)
     sources = {r.record_id for r in warc.responses(pages, "url", "html", "page_id").collect()}
     assert {r.refers_to for r in rows} == sources
+
+
+@pytest.mark.parametrize("most", [0, 3, 40, 1000])
+def test_common_words_are_bounded(ready, most):
+    counts = [1] * 50 + [2] * 20 + [7] * 10 + [100] * 5 + [5000]
+    tokens = ready.createDataFrame(list(enumerate(counts)), "token long, count long")
+    threshold = suffix_tree.common_from(tokens, most)
+    assert sum(c >= threshold for c in counts) <= most
+    assert threshold == {0: 5001, 3: 5000, 40: 2, 1000: 1}[most]
+    assert suffix_tree.common_from(tokens.limit(0)) == 1
