@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabmeld.functions.cells import drop_nan
 from tabmeld.functions.names import column
-from tabmeld.operators.spread import with_global_rank
 from tabmeld.operators.union import distinct_keys
 
 # The aggregate functions that an option may name.
 AGGREGATES = ("sum", "mean", "count", "first", "last", "min", "max", "median", "std")
 _ARITHMETIC = ("sum", "mean", "median", "std")
 
-# Largest group, in rows, whose median is left to the built-in hash-map aggregate.
-MEDIAN_GROUP_ROWS = 1_000_000
+# Accuracy of the rank estimates that bracket a median: about 2 / MEDIAN_ACCURACY of a group's
+# distinct values lie in the bracket.
+MEDIAN_ACCURACY = 5_000
 
 
 class AggregateError(ValueError):
@@ -107,8 +107,8 @@ def aggregate_by(
     columns in ``skip`` (such as the row order itself) are no value columns. ``n_rows`` is
     the number of rows where it is known.
 
-    ``median`` is ``auto`` (built-in while the largest group is small, ranked beyond),
-    ``builtin`` or ``ranked``; all are exact.
+    ``median`` is ``auto`` or ``ranked`` (bracketed, for groups of any size) or ``builtin``
+    (Spark's own, which holds a group's distinct values in memory); all are exact.
     """
     absent = [key for key in group_by if key not in df.columns]
     if absent:
@@ -124,12 +124,11 @@ def aggregate_by(
     rows = drop_missing_keys(df, group_by) if null_keys == "drop" else df
 
     medians = [name for name, function in plan.items() if function == "median"]
-    ranked = median == "ranked" or (median == "auto" and medians and _has_large_group(rows, group_by, n_rows))
-    apart = medians if ranked else []
+    apart = [] if median == "builtin" else medians
     totals = [aggregate_column(n, f, kinds[n], order) for n, f in plan.items() if n not in apart]
     out = rows.groupBy(*keys).agg(*(totals or [F.count("*").alias("__rows")]))
-    for name in apart:
-        out = _join_keys(out, ranked_median(rows, group_by, name), group_by)
+    if apart:
+        out = _join_keys(out, bracketed_medians(rows, group_by, apart), group_by)
     out = out.select(*keys, *[column(name) for name in plan])
     return out.orderBy(*keys) if sort_groups else out
 
@@ -142,30 +141,52 @@ def drop_missing_keys(df: DataFrame, group_by: Sequence[str]) -> DataFrame:
     return df
 
 
-def _has_large_group(rows: DataFrame, group_by: Sequence[str], n_rows: int | None) -> bool:
-    if n_rows is not None and n_rows <= MEDIAN_GROUP_ROWS:
-        return False
-    sizes = rows.groupBy(*[column(key) for key in group_by]).count()
-    return (sizes.agg(F.max("count")).first()[0] or 0) > MEDIAN_GROUP_ROWS
+def bracketed_medians(rows: DataFrame, group_by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns per group, without holding any group in one task.
 
-
-def ranked_median(rows: DataFrame, group_by: Sequence[str], name: str) -> DataFrame:
-    """Exact median per group without holding any group in one task.
-
-    Values are ranked by one distributed sort over (group, value, row); the middle one or
-    two ranks of each group are then looked up by rank.
+    Rank estimates with a proven error, combined map-side, give two values between which the
+    median must lie. Values below them are only counted; those between are few, are counted per
+    distinct value, and the middle ranks are looked up among them.
     """
-    kind = rows.schema[name].dataType
-    value = drop_nan(column(name), kind).cast("double")
-    slim = rows.select(*[column(key) for key in group_by], value.alias("__value")).where("__value IS NOT NULL")
-    slim = slim.withColumn("__tie", F.monotonically_increasing_id())
     keys = [column(key) for key in group_by]
-    ranked = with_global_rank(slim, [*keys, F.col("__value"), F.col("__tie")], "__rank")
-    spans = ranked.groupBy(*keys).agg(F.min("__rank").alias("__start"), F.count("*").alias("__n"))
-    middle = F.array_distinct(F.array(F.expr("__start + (__n - 1) div 2"), F.expr("__start + __n div 2")))
-    wanted = spans.select(*keys, F.explode(middle).alias("__rank"))
-    hits = wanted.join(ranked.select("__rank", "__value"), "__rank")
-    return hits.groupBy(*keys).agg(F.avg("__value").alias(name))
+    marks = [f"__k{i}" for i in range(len(group_by))]
+    # Two units of the rank error on either side of the middle.
+    around = [0.5 - 2 / MEDIAN_ACCURACY, 0.5 + 2 / MEDIAN_ACCURACY]
+    values = [drop_nan(column(n), rows.schema[n].dataType).cast("double").alias(f"__v{i}") for i, n in enumerate(names)]
+    slim = rows.select(*[key.alias(mark) for key, mark in zip(keys, marks, strict=True)], *values)
+    bracket = [
+        F.struct(F.percentile_approx(f"__v{i}", around, MEDIAN_ACCURACY).alias("ends"), F.count(f"__v{i}").alias("n"))
+        for i in range(len(names))
+    ]
+    brackets = slim.groupBy(*marks).agg(F.array(*bracket).alias("__b"))
+    paired = brackets.toDF(*[f"{mark}_b" for mark in marks], "__b")
+    same = [F.col(mark).eqNullSafe(F.col(f"{mark}_b")) for mark in marks]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("place"),
+                F.col("__b")[i]["n"].alias("n"),
+                # Values below the bracket all count as one.
+                F.when(F.col(f"__v{i}") >= F.col("__b")[i]["ends"][0], F.col(f"__v{i}")).alias("value"),
+                (F.col(f"__v{i}") <= F.col("__b")[i]["ends"][1]).alias("inside"),
+            )
+            for i in range(len(names))
+        ]
+    )
+    counted = (
+        slim.join(paired, same)
+        .select(*marks, F.inline(F.filter(cells, lambda c: c["inside"])))
+        .groupBy(*marks, "place", "n", "value")
+        .agg(F.count("*").alias("times"))
+    )
+    order = Window.partitionBy(*marks, "place").orderBy(F.col("value").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    covers = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("times") < rank)
+    middle = (F.max(F.when(covers(low), F.col("value"))) + F.max(F.when(covers(high), F.col("value")))) / 2
+    medians = ranked.groupBy(*marks, "place").agg(middle.alias("median"))
+    wide = [F.max(F.when(F.col("place") == i, F.col("median"))).alias(name) for i, name in enumerate(names)]
+    return medians.groupBy(*marks).agg(*wide)
 
 
 def _join_keys(left: DataFrame, right: DataFrame, group_by: Sequence[str]) -> DataFrame:

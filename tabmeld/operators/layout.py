@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tabmeld.functions.names import column_letters, is_plural_pair, let, longer_forms, plural_forms, strip
 from tabmeld.operators.spread import salted_left_join
-from tabmeld.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -124,7 +123,8 @@ def same_file_conflicts(headers: DataFrame) -> DataFrame:
 def fold_conflicts(columns: Sequence[str], policy: str | Mapping[str, str]) -> list[tuple[str, str]]:
     """(kept, dropped) name pairs that settle one header's plural/singular conflicts, in order.
 
-    ``policy`` is ``keep_first``, ``keep_second`` or a map from a variant to the name to keep.
+    ``columns`` are trimmed. ``policy`` is ``keep_first``, ``keep_second`` or a map from a variant
+    to the name to keep; ValueError if the map names neither of two variants.
     """
     place: dict[str, int] = {}
     for position, name in enumerate(columns):
@@ -138,7 +138,7 @@ def fold_conflicts(columns: Sequence[str], policy: str | Mapping[str, str]) -> l
         for second in sorted((p for p in partners if p in place and place[p] > place[first]), key=place.get):
             if first in gone:
                 break
-            if second in gone or not first.strip() or not second.strip():
+            if second in gone or not first or not second:
                 continue
             if isinstance(policy, Mapping):
                 keep = policy.get(first, policy.get(second))
@@ -153,53 +153,84 @@ def fold_conflicts(columns: Sequence[str], policy: str | Mapping[str, str]) -> l
 
 
 def resolve_conflicts(headers: DataFrame, policy: str | Mapping[str, str]) -> DataFrame:
-    """Headers with their conflicts settled, plus ``folds``: ordered (kept, dropped) pairs.
+    """Headers with trimmed names and their conflicts settled.
 
-    Only files that have a conflict reach the Arrow-batched helper.
+    Adds ``folds``, ordered (kept, dropped) pairs, and ``refused``, the reason why a header could
+    not be settled (null otherwise). Only files that have a conflict reach the Arrow-batched helper.
     """
     settle = _settler(policy)
+    trimmed = headers.withColumn("columns", F.transform("columns", strip))
     clash = F.arrays_overlap(F.flatten(F.transform("columns", longer_forms)), F.col("columns"))
     none = F.array().cast("array<struct<kept:string,dropped:string>>")
-    clean = headers.where(~clash).withColumn("folds", none)
-    clashing = headers.where(clash).withColumn("folds", settle("columns"))
+    clean = trimmed.where(~clash).withColumn("folds", none).withColumn("refused", F.lit(None).cast("string"))
+    clashing = trimmed.where(clash).withColumn("settled", settle("columns"))
+    clashing = clashing.withColumn("folds", F.col("settled.folds")).withColumn("refused", F.col("settled.refused"))
     dropped = F.transform("folds", lambda fold: fold["dropped"])
     kept = F.filter("columns", lambda name: ~F.array_contains(dropped, name))
-    return clean.unionByName(clashing.withColumn("columns", kept))
+    return clean.unionByName(clashing.withColumn("columns", kept).drop("settled"))
 
 
 def _settler(policy: str | Mapping[str, str]):
     fold = fold_conflicts
 
-    @F.pandas_udf("array<struct<kept:string,dropped:string>>")
-    def settle(headers: pd.Series) -> pd.Series:
-        return headers.map(lambda names: [{"kept": k, "dropped": d} for k, d in fold(list(names), policy)])
+    @F.pandas_udf("struct<folds:array<struct<kept:string,dropped:string>>,refused:string>")
+    def settle(headers: pd.Series) -> pd.DataFrame:
+        rows = []
+        for names in headers:
+            try:
+                rows.append(([{"kept": k, "dropped": d} for k, d in fold(list(names), policy)], None))
+            except ValueError as error:
+                rows.append(([], str(error)))
+        return pd.DataFrame(rows, columns=["folds", "refused"])
 
     return settle
 
 
+def _stem(name: Column) -> Column:
+    """The name without its trailing run of the letters e and s, which no plural ending changes."""
+    return F.regexp_replace(name, "[es]+$", "")
+
+
+def variant_groups(names: Sequence[str]) -> list[list[str]]:
+    """Groups of names that plural endings connect; names without a variant are left out."""
+    group = {name: name for name in names}
+
+    def root(name: str) -> str:
+        while group[name] != name:
+            name = group[name]
+        return name
+
+    for name in group:
+        for ending in ("s", "es"):
+            short = name[: -len(ending)]
+            if name.endswith(ending) and short in group:
+                low, high = sorted((root(short), root(name)))
+                group[high] = low
+    found: dict[str, list[str]] = {}
+    for name in sorted(group):
+        found.setdefault(root(name), []).append(name)
+    return [members for members in found.values() if len(members) > 1]
+
+
 def plural_components(names: DataFrame) -> DataFrame:
     """Connected groups of plural/singular variants per dataset.
 
-    ``names`` holds distinct (dataset, name). Labels move along the pairs until none
-    changes; a group's label is its smallest name. Names without a variant are left out.
+    ``names`` holds distinct (dataset, name). All variants of a name share its stem, so one
+    shuffle brings them together, and the few names of a stem are settled in their row. A
+    group's label is its smallest name. Names without a variant are left out.
     """
-    pairs = plural_pairs(names, ["dataset"])
-    both_ways = F.expr(
-        "inline(array(struct(short_name AS name, long_name AS other), struct(long_name AS name, short_name AS other)))"
-    )
-    edges = materialize(pairs.select("dataset", both_ways), "plural-edges")
-    labels = edges.groupBy("dataset", "name").agg(F.least(F.col("name"), F.min("other")).alias("component"))
-    if edges.isEmpty():
-        return labels
-    while True:
-        offered = edges.join(
-            labels.select("dataset", F.col("name").alias("other"), F.col("component").alias("seen")), ["dataset", "other"]
+    groups_of = variant_groups
+
+    @F.pandas_udf("array<struct<name:string,component:string>>")
+    def settle(stems: pd.Series) -> pd.Series:
+        return stems.map(
+            lambda found: [
+                {"name": name, "component": min(members)} for members in groups_of(list(found)) for name in members
+            ]
         )
-        better = offered.groupBy("dataset", "name").agg(F.min("seen").alias("seen"))
-        moved = materialize(labels.join(better, ["dataset", "name"]), "plural-labels")
-        labels = moved.select("dataset", "name", F.least("component", "seen").alias("component"))
-        if moved.where("seen < component").isEmpty():
-            return labels
+
+    stems = names.groupBy("dataset", _stem(F.col("name")).alias("stem")).agg(F.collect_list("name").alias("found"))
+    return stems.where(F.size("found") > 1).select("dataset", F.inline(settle("found")))
 
 
 def canonical_renames(headers: DataFrame, weight: str | None = None) -> DataFrame:
@@ -216,25 +247,34 @@ def canonical_renames(headers: DataFrame, weight: str | None = None) -> DataFram
         .groupBy("dataset", "name")
         .agg(F.sum("weight").alias("n_files"))
     )
-    files = materialize(files, "name-counts")
     in_reference = (
         reference_layout(headers)
         .select("dataset", F.explode("reference_columns").alias("name"))
         .select("dataset", strip(F.col("name")).alias("name"), F.lit(1).alias("in_reference"))
         .distinct()
     )
-    members = (
-        plural_components(files.select("dataset", "name"))
-        .join(files, ["dataset", "name"])
-        .join(in_reference, ["dataset", "name"], "left")
-    )
-    score = F.struct(-F.col("n_files"), -F.coalesce(F.col("in_reference"), F.lit(0)), F.col("name"))
-    winners = members.groupBy("dataset", "component").agg(F.min_by("name", score).alias("to_name"))
-    return (
-        members.join(winners, ["dataset", "component"])
-        .where("name <> to_name")
-        .select("dataset", F.col("name").alias("from_name"), "to_name")
+    groups_of = variant_groups
+
+    @F.pandas_udf("array<struct<from_name:string,to_name:string>>")
+    def vote(stems: pd.Series) -> pd.Series:
+        def renames(found):
+            place = {row["name"]: (-row["n_files"], -row["in_reference"], row["name"]) for row in found}
+            out = []
+            for members in groups_of(list(place)):
+                winner = min(members, key=place.get)
+                out += [{"from_name": name, "to_name": winner} for name in members if name != winner]
+            return out
+
+        return stems.map(renames)
+
+    name = F.struct("name", "n_files", F.coalesce("in_reference", F.lit(0)).alias("in_reference"))
+    stems = (
+        files.join(in_reference, ["dataset", "name"], "left")
+        .groupBy("dataset", _stem(F.col("name")).alias("stem"))
+        .agg(F.collect_list(name).alias("found"))
+        .where(F.size("found") > 1)
     )
+    return stems.select("dataset", F.inline(vote("found")))
 
 
 def apply_renames(headers: DataFrame, renames: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmeld.functions.cells import read_as
-from tabmeld.functions.names import clean_header, column, header_changes
+from tabmeld.functions.names import clean_header, column, header_changes, strip
 from tabmeld.operators import layout
 from tabmeld.operators.aggregate import AggregateError, aggregate_if_tall
 from tabmeld.operators.order import sort_rows
@@ -34,9 +34,6 @@ from tabmeld.sources.scan import Dialect, cell, good_rows, rejected_rows, scan_c
 
 ROW_ORDER = "__row_order"
 
-# Files named in the messages of a run; the DataFrames of the run hold all of them.
-LOGGED_FILES = 1000
-
 STATUS_SCHEMA = "dataset string, status string, n_files bigint, n_merged bigint, n_rows bigint, error string"
 LAYOUT_KEYS = ("file_format", "charset", "sep", "quote", "skip_lead", "multiline", "header", "clean")
 
@@ -56,9 +53,31 @@ class Consolidation:
     name_changes: DataFrame | None = None
     renames: DataFrame | None = None
     missing_required: DataFrame | None = None
+    unread: DataFrame | None = None
+    # Errors about single files, beyond the one line per dataset that ``errors`` holds.
+    more_errors: int = 0
     rejects: DataFrame | None = None
     _per_file: Callable[[Callable[[DataFrame], DataFrame]], DataFrame] | None = None
 
+    @property
+    def n_errors(self) -> int:
+        """Number of errors, every file counted."""
+        return len(self.errors) + self.more_errors
+
+    def findings(self, spark: SparkSession) -> DataFrame:
+        """(dataset, file_name, level, message): one row per file that was not read or lacks columns."""
+        parts = [spark.createDataFrame([], "dataset string, file_name string, level string, message string")]
+        if self.unread is not None:
+            message = F.concat(F.lit("not read: "), F.col("error"))
+            parts.append(self.unread.select("dataset", "file_name", F.lit("warning").alias("level"), message.alias("message")))
+        if self.missing_required is not None:
+            message = F.concat(F.lit("missing required columns: "), F.array_join("missing", ", "))
+            name = F.element_at(F.split("file_path", "/"), -1)
+            parts.append(
+                self.missing_required.select("dataset", name.alias("file_name"), F.lit("error").alias("level"), message.alias("message"))
+            )
+        return union_by_name(spark, parts)
+
     @cached_property
     def issues(self) -> DataFrame:
         """Columns that files have beyond their dataset's reference layout, with hints."""
@@ -98,7 +117,8 @@ def describe_files(probes: DataFrame, options: MergeOptions) -> DataFrame:
     A layout is everything that decides how a file is read and mapped, so files of one
     layout are read by one scan.
     """
-    clean = clean_header(F.col("header"), options.rules)
+    # Names are compared trimmed everywhere, so they are trimmed here once; positions stay.
+    clean = F.transform(clean_header(F.col("header"), options.rules), strip)
     described = probes.where("status = 'ok'").withColumn("clean", clean)
     return described.select(
         "dataset", "path", "file_path", "file_seq", *LAYOUT_KEYS,
@@ -142,10 +162,12 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
         else:
             merging.append(name)
     if any(n_ok < n_files for n_files, n_ok in datasets.values()):
-        unread = probes.where("status <> 'ok'").select("dataset", "file_name", "error")
-        # The log shows the first ones; ``files`` holds them all.
-        for row in unread.orderBy("dataset", "file_name").limit(LOGGED_FILES).collect():
-            run.warnings.append((row["dataset"], f"not read: {row['file_name']}: {row['error']}"))
+        run.unread = probes.where("status <> 'ok'").select("dataset", "file_name", "error")
+        first = F.min(F.struct("file_name", "error")).alias("first")
+        # One line per dataset; ``findings`` has a row per file.
+        for row in run.unread.groupBy("dataset").agg(F.count("*").alias("n"), first).orderBy("dataset").collect():
+            text = f"{row['n']} file(s) not read, first: {row['first']['file_name']}: {row['first']['error']}"
+            run.warnings.append((row["dataset"], text))
     if not merging:
         return run
 
@@ -184,7 +206,8 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
 
 def _dataset_counts(chosen: DataFrame, probes: DataFrame) -> tuple[dict[str, tuple[int, int]], dict[str, int]]:
     """Per dataset (supported files, readable files), and the CSV files of its whole folder."""
-    every = chosen.groupBy("dataset").agg(F.count_if(F.col("file_name").endswith(".csv")).alias("n_csv"))
+    listed = F.col("visible") & (F.col("size") > 0) & F.col("file_name").endswith(".csv")
+    every = chosen.groupBy("dataset").agg(F.count_if(listed).alias("n_csv"))
     counts = probes.groupBy("dataset").agg(
         F.count("*").alias("n_files"), F.count_if(F.col("status") == "ok").alias("n_ok")
     )
@@ -201,9 +224,14 @@ def _preflight(run: Consolidation, options: MergeOptions, datasets: Mapping[str,
     run.missing_required = lacking
     unreadable = [name for name, (_, n_ok) in datasets.items() if required[name] and n_ok == 0]
     run.errors += [f"dataset '{name}': no readable file, required columns cannot be checked" for name in unreadable]
-    for row in lacking.orderBy("dataset", "file_seq").limit(LOGGED_FILES).collect():
-        file_name = row["file_path"].rsplit("/", 1)[-1]
-        run.errors.append(f"dataset '{row['dataset']}', file '{file_name}': missing required columns: {row['missing']}")
+    # One line per dataset; ``findings`` has a row per file.
+    first = F.min_by(F.struct("file_path", "missing"), "file_seq").alias("first")
+    for row in lacking.groupBy("dataset").agg(F.count("*").alias("n"), first).orderBy("dataset").collect():
+        file_name = row["first"]["file_path"].rsplit("/", 1)[-1]
+        run.errors.append(
+            f"dataset '{row['dataset']}': {row['n']} file(s) lack required columns, first '{file_name}': {row['first']['missing']}"
+        )
+        run.more_errors += row["n"] - 1
     run.success = not run.errors or options.preflight != "abort"
     return run.success
 
@@ -299,26 +327,38 @@ def _resolve(
     variants = [g for found in groups.values() if options.validate_structure and _has_variants(found) for g in found]
     if variants:
         table = _layout_table(spark, variants)
-        if options.conflict_policy == "fail":
-            for row in layout.same_file_conflicts(table).orderBy(F.col("file_seq").desc()).collect():
-                refused[row["dataset"]] = (
-                    f"Same-file column conflict in {row['file_path'].rsplit('/', 1)[-1]} "
-                    f"(both '{row['name_a']}' and '{row['name_b']}')"
-                )
-        else:
-            settled = layout.resolve_conflicts(table, options.conflict_policy).where(F.size("folds") > 0).collect()
-            changed = {(row["dataset"], row["layout_id"]): row for row in settled}
-            groups = {
-                name: [
-                    replace(
-                        g, columns=tuple(changed[name, g.layout_id]["columns"]),
-                        folds=tuple((f["kept"], f["dropped"]) for f in changed[name, g.layout_id]["folds"]),
-                    ) if (name, g.layout_id) in changed else g
-                    for g in found
-                ]
-                for name, found in groups.items()
-            }
-            table = _layout_table(spark, [g for found in groups.values() for g in found])
+        # Datasets with one policy are settled together.
+        chosen: dict[str, tuple[str | Mapping[str, str], list[str]]] = {}
+        for name in dict.fromkeys(g.dataset for g in variants):
+            policy = options.for_dataset(name).conflict_policy
+            chosen.setdefault(repr(policy), (policy, []))[1].append(name)
+        changed = {}
+        for policy, names in chosen.values():
+            part = table.where(F.col("dataset").isin(*names))
+            if policy == "fail":
+                first = F.min_by(F.struct("file_path", "name_a", "name_b"), "file_seq").alias("first")
+                for row in layout.same_file_conflicts(part).groupBy("dataset").agg(first).collect():
+                    found = row["first"]
+                    refused[row["dataset"]] = (
+                        f"Same-file column conflict in {found['file_path'].rsplit('/', 1)[-1]} "
+                        f"(both '{found['name_a']}' and '{found['name_b']}')"
+                    )
+                continue
+            for row in layout.resolve_conflicts(part, policy).where("size(folds) > 0 OR refused IS NOT NULL").collect():
+                if row["refused"] is not None:
+                    refused[row["dataset"]] = f"dataset '{row['dataset']}', {row['file_path'].rsplit('/', 1)[-1]}: {row['refused']}"
+                changed[row["dataset"], row["layout_id"]] = row
+        groups = {
+            name: [
+                replace(
+                    g, columns=tuple(changed[name, g.layout_id]["columns"]),
+                    folds=tuple((f["kept"], f["dropped"]) for f in changed[name, g.layout_id]["folds"]),
+                ) if (name, g.layout_id) in changed else g
+                for g in found
+            ]
+            for name, found in groups.items()
+        }
+        table = _layout_table(spark, [g for found in groups.values() for g in found])
         table = table.where(~F.col("dataset").isin(*refused)) if refused else table
         for row in layout.canonical_renames(table, weight="n_files").collect():
             renames.setdefault(row["dataset"], {})[row["from_name"]] = row["to_name"]

@@ -11,7 +11,24 @@ from pyspark.sql import functions as F
 
 from tabmeld.functions.names import NameRules
 
-_OVERRIDES = ("group_by", "max_rows_before_aggregate", "aggregate_columns", "aggregate_default", "sort_by", "sort_ascending")
+_OVERRIDES = (
+    "group_by", "max_rows_before_aggregate", "aggregate_columns", "aggregate_default", "sort_by", "sort_ascending",
+    "conflict_policy",
+)
+
+# The values that an option may have; ``conflict_policy`` may also be a map of names.
+CHOICES = {
+    "conflict_policy": ("fail", "keep_first", "keep_second"),
+    "on_duplicate": ("coalesce", "error"),
+    "preflight": ("abort", "report"),
+    "null_keys": ("drop", "keep"),
+    "median": ("auto", "builtin", "ranked"),
+}
+
+
+def _check(key: str, value: Any, where: str = "") -> None:
+    if key in CHOICES and value not in CHOICES[key] and not (key == "conflict_policy" and isinstance(value, Mapping)):
+        raise ValueError(f"option {where}{key} must be one of {', '.join(CHOICES[key])}: {value!r}")
 
 
 def _names(value: Any) -> list[str]:
@@ -39,6 +56,7 @@ class DatasetOptions:
     aggregate_default: str | None = None
     sort_by: tuple[str, ...] = ()
     sort_ascending: bool = False
+    conflict_policy: str | Mapping[str, str] = "fail"
 
     def required(self) -> list[str]:
         """Columns that every file must have."""
@@ -56,7 +74,6 @@ class MergeOptions:
     large_file_threshold_mb: float | None = None
     rules: NameRules = NameRules()
     validate_structure: bool = True
-    conflict_policy: str | Mapping[str, str] = "fail"
     on_duplicate: str = "coalesce"
     preflight: str = "abort"
     null_keys: str = "drop"
@@ -66,8 +83,14 @@ class MergeOptions:
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any] | None = None) -> MergeOptions:
-        """Read a dict with the documented keys, with the same coercions as an options file."""
+        """Read a dict with the documented keys, with the same coercions as an options file.
+
+        ValueError for a value that an option does not know.
+        """
         given = dict(given or {})
+        for key in CHOICES:
+            if key in given:
+                _check(key, given[key])
         threshold = given.get("large_file_threshold_mb")
         try:
             threshold = float(threshold) if threshold is not None and float(threshold) > 0 else None
@@ -87,10 +110,13 @@ class MergeOptions:
         overrides = given.get("subdirectories") or given.get("subdirectory_config") or {}
         extra = {
             key: given[key]
-            for key in ("validate_structure", "conflict_policy", "on_duplicate", "preflight", "null_keys",
+            for key in ("validate_structure", "on_duplicate", "preflight", "null_keys",
                         "median", "stage", "parallel_datasets")
             if key in given
         }
+        for name, own in overrides.items():
+            if isinstance(own, Mapping) and "conflict_policy" in own:
+                _check("conflict_policy", own["conflict_policy"], f"subdirectories.{name}.")
         return cls(
             base=DatasetOptions(
                 columns=tuple(_names(given.get("columns"))),
@@ -100,6 +126,7 @@ class MergeOptions:
                 aggregate_default=given.get("aggregate_default") or None,
                 sort_by=tuple(_names(given.get("sort_by"))),
                 sort_ascending=bool(given.get("sort_ascending") or False),
+                conflict_policy=given.get("conflict_policy", "fail"),
             ),
             subdirectories={str(k): dict(v) for k, v in overrides.items() if isinstance(v, Mapping)},
             subdir_include=None if include is None else tuple(_names(include)),
@@ -122,6 +149,7 @@ class MergeOptions:
             aggregate_default=picked["aggregate_default"],
             sort_by=tuple(_names(picked["sort_by"])),
             sort_ascending=bool(picked["sort_ascending"]),
+            conflict_policy=picked["conflict_policy"],
         )
 
     def required_columns(self, dataset: Column) -> Column:

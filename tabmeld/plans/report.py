@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmeld.plans.consolidate import Consolidation
+from tabmeld.plans.sink import read_output
 
 
 def run_summary(spark: SparkSession, run: Consolidation) -> DataFrame:
     """One row of totals over the per-dataset status."""
-    return summarize(run.status_table(spark), run.success, len(run.errors))
+    return summarize(run.status_table(spark), run.success, run.n_errors)
 
 
 def summarize(status: DataFrame, success: bool, n_errors: int) -> DataFrame:
@@ -42,7 +43,7 @@ def output_shapes(spark: SparkSession, run: Consolidation, written: dict[str, st
                                               F.lit(None).cast("bigint").alias("n_rows"),
                                               F.lit(None).cast("array<string>").alias("columns")))
             continue
-        table = spark.read.format(fmt).option("header", True).load(path)
+        table = read_output(spark, path, fmt)
         names = F.array(*[F.lit(c) for c in table.columns])
         rows.append(table.agg(F.count("*").alias("n_rows")).select(
             F.lit(name).alias("dataset"), F.lit(True).alias("written"), "n_rows", names.alias("columns")))

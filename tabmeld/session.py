@@ -54,8 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tabmeld/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which :func:`clear_scratch` deletes."""
+    path = f"{shared_dir(spark)}/tabmeld/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -67,12 +69,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> int:
-    """Delete the tables this process materialized; call it when their results are no longer read."""
+    """Delete the tables and exports this process wrote; call it when nothing reads them any more."""
     context = spark.sparkContext
     n_paths = len(_WRITTEN)
     while _WRITTEN:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmeld.sources import decode
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 # Extensions in the order in which their files follow each other.
@@ -39,8 +42,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     ``status`` is ``supported``, ``unsupported`` (legacy binary workbooks), ``lock``,
     ``own_output`` (an earlier merge result of that dataset), ``nested`` (deeper than the
-    dataset folder) or ``ignored``. Spark's file listing leaves out names that start with
-    ``_`` or ``.``. ``file_seq`` orders the files of a dataset.
+    dataset folder) or ``ignored``. Spark's file listing leaves out empty files and names that
+    start with ``_`` or ``.``; table files of that kind are added by a listing of the dataset
+    folders in tasks, and ``visible`` is false for the names. ``file_seq`` orders the files of
+    a dataset.
     """
     root = normal_root(root)
     plain_root = re.sub(_SCHEME, "", root).rstrip("/")
@@ -48,8 +53,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
-        .select("path", "length", "modificationTime", F.col("_metadata.file_path").alias("file_path"))
+        .select(
+            "path", "length", "modificationTime", F.col("_metadata.file_path").alias("file_path"), F.lit(True).alias("visible")
+        )
     )
+    files = files.unionByName(_unlisted(spark, root))
     plain = F.regexp_replace("path", _SCHEME, "")
     parts = F.split(F.substring(plain, F.lit(len(plain_root) + 2), F.length(plain)), "/")
     files = files.withColumn("_parts", parts).where(F.size("_parts") >= 2)
@@ -77,9 +85,31 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         file_format(name).alias("file_format"),
         F.concat(rank.cast("string"), F.lit(":"), F.element_at(F.split("file_path", "/"), -1)).alias("file_seq"),
         status.alias("status"),
+        "visible",
     )
 
 
+def _unlisted(spark: SparkSession, root: str) -> DataFrame:
+    """Empty and hidden table files of the dataset folders; one task lists a folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    entries = system.listStatus(hadoop_path) if system.exists(hadoop_path) else []
+    # One entry per dataset; hidden folders hold no datasets.
+    folders = [(e.getPath().toString(),) for e in entries if e.isDirectory() and e.getPath().getName()[0] not in "_."]
+    found = decode.unlisted_files
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                rows = [(path, size, modified, uri, name[0] not in "_.") for name, path, uri, size, modified in found(folder)]
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["path", "length", "modificationTime", "file_path", "visible"]
+    schema = "path string, length bigint, modificationTime timestamp, file_path string, visible boolean"
+    tasks = max(1, min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(folders, "folder string").repartition(tasks).mapInPandas(listing, schema)
+
+
 def select_datasets(
     files: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None
 ) -> DataFrame:

@@ -10,9 +10,9 @@ import io
 import re
 import sys
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
@@ -20,9 +20,8 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Bytes read from a CSV file at first, and the most that a probe reads of a longer one.
+# Bytes read from a CSV file at first; what they leave open is settled by a scan of the whole file.
 HEAD_BYTES = 1 << 20
-HEAD_LIMIT = 1 << 26
 
 # Delimiters in the order in which they are tried.
 DELIMITERS = (",", ";", "\t", "|")
@@ -30,25 +29,44 @@ DELIMITERS = (",", ";", "\t", "|")
 # Readers of last resort for UTF-8 files: comma with default options, then apostrophes.
 FALLBACKS = ({"sep": ",", "quotechar": '"'}, {"sep": ",", "quotechar": "'"})
 
+NO_TABLE = "no encoding and delimiter gave a table"
+
 # Built-in spreadsheet number formats that show dates or times.
 DATE_FORMAT_IDS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 
-def open_file(uri: str):
-    """Random-access handle on a Hadoop-style URI, through Arrow's file systems."""
+def locate(uri: str):
+    """(file system, path) of a Hadoop-style URI, through Arrow's file systems."""
     from pyarrow import fs
 
     scheme, _, rest = uri.partition(":")
     if not rest or "/" in scheme:
-        return fs.LocalFileSystem().open_input_file(unquote(uri))
+        return fs.LocalFileSystem(), unquote(uri)
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_file(unquote("/" + rest.lstrip("/")))
+        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
     if scheme in ("s3a", "s3n"):
         uri = "s3:" + rest
-    system, path = fs.FileSystem.from_uri(unquote(uri))
+    return fs.FileSystem.from_uri(unquote(uri))
+
+
+def open_file(uri: str):
+    """Random-access handle on a Hadoop-style URI."""
+    system, path = locate(uri)
     return system.open_input_file(path)
 
 
+def unlisted_files(folder: str) -> Iterator[tuple]:
+    """(name, path, uri, size, modified) of table files in a folder that Spark's listing leaves out."""
+    from pyarrow import fs
+
+    system, path = locate(quote(folder, safe="/:"))
+    for info in system.get_file_info(fs.FileSelector(path)):
+        name = info.base_name
+        table = name.lower().endswith((".csv", ".xlsx", ".xls"))
+        if info.type == fs.FileType.File and table and (name[0] in "_." or not info.size):
+            yield name, f"{folder}/{name}", f"{quote(folder, safe='/:')}/{quote(name)}", info.size, info.mtime
+
+
 def decode_head(data: bytes, complete: bool) -> tuple[str, str]:
     """(Spark charset, text) of a file head: BOM first, then UTF-8, then Latin-1."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -74,34 +92,79 @@ def whole_records(text: str) -> str:
     return text[:end] or text
 
 
+def quoted_field(sep: str, mark: str, skip_lead: bool) -> str:
+    """Pattern of a whole quoted field, where a field starts; doubled quotes stand for one."""
+    return f"{field_start(sep, skip_lead)}{mark}(?:[^{mark}]|{mark}{mark})*+{mark}"
+
+
+def open_quote(sep: str, mark: str, skip_lead: bool) -> str:
+    """Pattern of a quote at the start of a field; once whole fields are gone, one that stays open."""
+    return field_start(sep, skip_lead) + mark
+
+
+def field_start(sep: str, skip_lead: bool) -> str:
+    lead = "" if not skip_lead else " *" if sep == "\t" else "[ \t]*"
+    return f"(?:^|(?<={re.escape(sep)})){lead}"
+
+
+def has_open_quote(line: str, sep: str, mark: str, skip_lead: bool) -> bool:
+    """True if a line that starts outside quotes ends inside them."""
+    bare = re.sub(quoted_field(sep, mark, skip_lead), "x", line)
+    return re.search(open_quote(sep, mark, skip_lead), bare) is not None
+
+
+def read_head(text: str, attempt: dict, rows: int | None) -> pd.DataFrame | None:
+    try:
+        return pd.read_csv(io.StringIO(text), on_bad_lines="skip", dtype=str, nrows=rows, **attempt)
+    except Exception:
+        return None
+
+
+def dialect(charset: str, attempt: dict, text: str, names: Sequence[str]) -> dict:
+    sep, mark, skip_lead = attempt["sep"], attempt["quotechar"], "skipinitialspace" in attempt
+    return {
+        "status": "ok",
+        "charset": charset,
+        "sep": sep,
+        "quote": mark,
+        "skip_lead": skip_lead,
+        "header": [str(name) for name in names],
+        "multiline": charset == "UTF-16"
+        or any(mark in line and has_open_quote(line, sep, mark, skip_lead) for line in text.splitlines()),
+    }
+
+
 def probe_csv(data: bytes, complete: bool) -> dict:
-    """Dialect and header of one CSV file, from its head (all of it when it is small)."""
+    """Dialect and header of one CSV file, from its head (all of it when ``complete``).
+
+    The first delimiter that gives two columns and a row wins; files without one fall to the
+    readers of last resort. A head can't tell whether a quote is open at the end of the file, in
+    which case the last of these readers counts, so its header comes back as ``alt_header``.
+    """
     charset, text = decode_head(data, complete)
     rows = None if complete else 500
-    attempts = [dict(sep=mark, quotechar='"', skipinitialspace=True) for mark in DELIMITERS]
-    if charset == "UTF-8" and complete:
-        attempts += FALLBACKS
-    for number, attempt in enumerate(attempts):
-        try:
-            table = pd.read_csv(io.StringIO(text), on_bad_lines="skip", dtype=str, nrows=rows, **attempt)
-        except Exception:
-            continue
-        if number >= len(DELIMITERS) or (len(table.columns) > 1 and len(table) > 0):
-            quote = attempt["quotechar"]
-            return {
-                "status": "ok",
-                "charset": charset,
-                "sep": attempt["sep"],
-                "quote": quote,
-                "skip_lead": "skipinitialspace" in attempt,
-                "header": [str(name) for name in table.columns],
-                "multiline": charset == "UTF-16" or any(line.count(quote) % 2 for line in text.splitlines()),
-            }
-    return {"status": "failed", "error": "no encoding and delimiter gave a table"}
+    found, one_column = None, True
+    for mark in DELIMITERS:
+        attempt = dict(sep=mark, quotechar='"', skipinitialspace=True)
+        table = read_head(text, attempt, rows)
+        if table is not None and len(table.columns) > 1:
+            one_column = False
+            if len(table) > 0:
+                found = dialect(charset, attempt, text, table.columns)
+                break
+    if found is None and charset == "UTF-8" and (complete or one_column):
+        tables = ((attempt, read_head(text, attempt, rows)) for attempt in FALLBACKS)
+        found = next((dialect(charset, a, text, t.columns) for a, t in tables if t is not None), None)
+    if found is None:
+        return {"status": "failed", "error": NO_TABLE}
+    if not complete:
+        table = read_head(text, FALLBACKS[-1], rows)
+        found["alt_header"] = None if table is None else [str(name) for name in table.columns]
+    return found
 
 
 def probe_csv_file(uri: str, size: int) -> dict:
-    """Probe with a growing head, until one holds whole records or the file ends."""
+    """Probe with a growing head, until it gives a table or the file ends."""
     head = HEAD_BYTES
     with open_file(uri) as handle:
         data = handle.read(head)
@@ -109,28 +172,10 @@ def probe_csv_file(uri: str, size: int) -> dict:
             found = probe_csv(data, size <= head)
             if found["status"] == "ok" or size <= head:
                 return found
-            if head >= HEAD_LIMIT:
-                # A long file without a delimiter: one column, or one quoted with apostrophes.
-                return probe_single(data) or found
             data += handle.read(head)
             head *= 2
 
 
-def probe_single(data: bytes) -> dict | None:
-    """The fallback readers, on the head of a long file."""
-    charset, text = decode_head(data, False)
-    for attempt in FALLBACKS if charset == "UTF-8" else ():
-        try:
-            names = pd.read_csv(io.StringIO(text), on_bad_lines="skip", dtype=str, nrows=500, **attempt).columns
-        except Exception:
-            continue
-        return {
-            "status": "ok", "charset": charset, "sep": ",", "quote": attempt["quotechar"], "skip_lead": False,
-            "header": [str(name) for name in names], "multiline": False,
-        }
-    return None
-
-
 class Workbook:
     """Streaming reader for the first sheet of an .xlsx file."""
 

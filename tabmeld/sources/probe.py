@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabmeld.session import materialize
 from tabmeld.sources import decode
 from tabmeld.sources.catalog import normal_root
+from tabmeld.sources.scan import KEEPS, line_code, then
 
 PROBE_SCHEMA = (
     "dataset string, file_name string, path string, file_path string, size bigint, file_format string, "
     "file_seq string, status string, error string, read_method string, charset string, sep string, "
-    "quote string, skip_lead boolean, multiline boolean, whole boolean, header array<string>"
+    "quote string, skip_lead boolean, multiline boolean, whole boolean, header array<string>, alt_header array<string>"
 )
 
 
 def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFrame:
     """One row per supported file: read status, dialect and raw header.
 
-    Tasks read the first MiB of a CSV file (more only while it holds no whole record) and
-    the first row of a workbook. What a head cannot prove about a longer CSV file (valid
-    UTF-8 to the end, no quoted line break) is settled by :func:`verify_long_files`.
+    Tasks read the first MiB of a CSV file (more only while it gives no table) and the first
+    row of a workbook. What a head cannot prove about a longer CSV file (valid UTF-8, quotes
+    closed at the end, quoted line breaks) is settled by :func:`verify_long_files`, so that
+    files of any size follow one rule.
     """
     large_bytes = None if large_file_mb is None else int(large_file_mb * 1024 * 1024)
     head_bytes = decode.HEAD_BYTES
@@ -38,7 +40,9 @@ def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFra
                 large = large_bytes is not None and row["size"] >= large_bytes
                 whole = row["size"] <= head_bytes
                 try:
-                    if row["status"] == "unsupported":
+                    if not row["visible"]:
+                        found = {"status": "failed", "error": "Spark's readers leave out names that start with _ or ."}
+                    elif row["status"] == "unsupported":
                         found = {"error": "no decoder for the legacy binary workbook format"}
                     elif row["file_format"] == "excel":
                         found = probe_workbook(row["file_path"], large)
@@ -53,49 +57,87 @@ def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFra
                 rows.append({**dict.fromkeys(columns), **row, "whole": whole, **found})
             yield pd.DataFrame(rows, columns=columns)
 
-    wanted = files.select("dataset", "file_name", "path", "file_path", "size", "file_format", "file_seq", "status")
+    wanted = files.select("dataset", "file_name", "path", "file_path", "size", "file_format", "file_seq", "status", "visible")
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
     return wanted.repartition(tasks).mapInPandas(probe, PROBE_SCHEMA)
 
 
+# The dialects whose quoting a long file is tested for: every delimiter, then the last resort.
+_QUOTINGS = [*((sep, '"', True) for sep in decode.DELIMITERS), (",", "'", False)]
+
+
+def _folded(items: Column, codes: Callable[[Column], Column]) -> Column:
+    """Codes of many pieces of text in order, per quoting."""
+    start = F.array(*[F.lit(KEEPS)] * len(_QUOTINGS))
+    return F.aggregate(items, start, lambda done, item: F.zip_with(done, codes(item), then))
+
+
 def verify_long_files(probes: DataFrame, root: str) -> DataFrame:
-    """Settle charset and quoted line breaks of files that are longer than the probed head.
+    """Settle charset, quoting and line breaks of files that are longer than the probed head.
 
-    A line-split text scan checks every byte, so one huge file is checked by many tasks, and
-    the verdict per file is a partially aggregated boolean.
+    A line-split text scan checks every byte, so one huge file is checked by many tasks. What
+    quotes do to a line is a code that combines along the file, per split first: the file's
+    code tells whether a quote is open at its end, in which case the reader of last resort
+    counts, as for short files.
     """
     long_csv = probes.where("status = 'ok' AND file_format = 'csv' AND NOT whole AND charset <> 'UTF-16'")
     datasets = [row["dataset"] for row in long_csv.select("dataset").distinct().collect()]
     if not datasets:
         return probes
     spark = probes.sparkSession
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    verdict = (
+    codes = F.array(*[line_code(F.col("value"), *quoting) for quoting in _QUOTINGS])
+    quoted = F.col("value").contains('"') | F.col("value").contains("'")
+    lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .text([f"{normal_root(root)}/{dataset}" for dataset in datasets])
-        .groupBy(F.col("_metadata.file_path").alias("file_path"))
-        .agg(
-            F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
-            F.bool_or(quotes % 2 == 1).alias("_broken"),
+        .select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.is_valid_utf8("value").alias("utf8"),
+            F.when(quoted, F.struct(F.monotonically_increasing_id().alias("row"), codes.alias("codes"))).alias("line"),
         )
     )
+    opens = [F.bool_or(F.col("line.codes")[i] % 2 == 1) for i in range(len(_QUOTINGS))]
+    per_split = lines.groupBy("file_path", "block").agg(
+        F.bool_and("utf8").alias("utf8"),
+        F.array(*[F.coalesce(o, F.lit(False)) for o in opens]).alias("opens"),
+        F.array_sort(F.collect_list("line")).alias("lines"),
+    )
+    per_split = per_split.withColumn("codes", _folded(F.col("lines"), lambda line: line["codes"]))
+    verdict = per_split.groupBy("file_path").agg(
+        F.bool_and("utf8").alias("_utf8"),
+        F.array(*[F.bool_or(F.col("opens")[i]) for i in range(len(_QUOTINGS))]).alias("_opens"),
+        F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("splits"),
+    )
+    verdict = verdict.select(
+        "file_path", "_utf8", "_opens", _folded(F.col("splits"), lambda split: split["codes"]).alias("_codes")
+    )
     checked = probes.join(verdict, "file_path", "left")
-    long_file = ~F.col("whole") & (F.col("file_format") == "csv")
+    long_file = ~F.col("whole") & (F.col("file_format") == "csv") & (F.col("status") == "ok") & F.col("_utf8").isNotNull()
+    last = len(_QUOTINGS)
+    place = F.when(F.col("quote") == "'", last)
+    for at, sep in enumerate(decode.DELIMITERS, start=1):
+        place = place.when(F.col("sep") == sep, at)
     not_utf8 = long_file & (F.col("charset") == "UTF-8") & ~F.col("_utf8")
+    charset = F.when(not_utf8, F.lit("ISO-8859-1")).otherwise(F.col("charset"))
+    open_end = long_file & (F.element_at("_codes", place) % 2 == 1)
+    rescued = open_end & (charset == "UTF-8") & F.col("alt_header").isNotNull() & (F.element_at("_codes", F.lit(last)) % 2 == 0)
+    lost = open_end & ~rescued
     recoded = F.transform("header", lambda name: F.decode(F.encode(name, "UTF-8"), "ISO-8859-1"))
-    return checked.select(
-        *[
-            {
-                "header": F.when(not_utf8, recoded).otherwise(F.col("header")),
-                "charset": F.when(not_utf8, F.lit("ISO-8859-1")).otherwise(F.col("charset")),
-                "multiline": F.when(long_file & F.col("_broken"), F.lit(True)).otherwise(F.col("multiline")),
-            }
-            .get(name, F.col(name))
-            .alias(name)
-            for name in probes.columns
-        ]
-    )
+    broken = F.when(rescued, F.element_at("_opens", F.lit(last))).otherwise(F.element_at("_opens", place))
+    settled = {
+        "header": F.when(rescued, F.col("alt_header")).when(not_utf8, recoded).otherwise(F.col("header")),
+        "charset": charset,
+        "sep": F.when(rescued, F.lit(",")).otherwise(F.col("sep")),
+        "quote": F.when(rescued, F.lit("'")).otherwise(F.col("quote")),
+        "skip_lead": F.when(rescued, F.lit(False)).otherwise(F.col("skip_lead")),
+        "multiline": F.when(long_file, broken).otherwise(F.col("multiline")),
+        "status": F.when(lost, F.lit("failed")).otherwise(F.col("status")),
+        "error": F.when(lost, F.lit(decode.NO_TABLE)).otherwise(F.col("error")),
+        "read_method": F.when(~lost, F.col("read_method")),
+    }
+    return checked.select(*[settled.get(name, F.col(name)).alias(name) for name in probes.columns])
 
 
 def probe_catalog(files: DataFrame, root: str, large_file_mb: float | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,25 +36,37 @@ def cell(position: int) -> str:
     return f"c{position}"
 
 
+def _csv_options(dialect: Dialect, width: int) -> dict[str, str]:
+    return {
+        "sep": dialect.sep,
+        "quote": dialect.quote,
+        "escape": dialect.quote,
+        "ignoreLeadingWhiteSpace": str(dialect.skip_lead),
+        "maxColumns": str(max(20_480, width + 1_024)),
+        "columnNameOfCorruptRecord": RECORD,
+    }
+
+
+def _record_schema(width: int) -> T.StructType:
+    fields = [T.StructField(cell(i), T.StringType()) for i in range(width)]
+    return T.StructType([*fields, T.StructField(RECORD, T.StringType())])
+
+
 def scan_csv(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dialect) -> DataFrame:
     """All records of the files as strings ``c0..``, with provenance.
 
     ``_record`` holds the raw text of a record whose field count is not ``width``. Files are
-    split by line unless a quoted line break was found in them.
+    split by line; where quoted line breaks were found, lines are joined to records first. Only
+    UTF-16 files, whose lines Spark can't split, are read whole.
     """
-    fields = [T.StructField(cell(i), T.StringType()) for i in range(width)]
-    schema = T.StructType([*fields, T.StructField(RECORD, T.StringType())])
+    if dialect.multiline and dialect.charset != "UTF-16":
+        return scan_records(spark, paths, width, dialect)
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(_record_schema(width))
+        .options(**_csv_options(dialect, width))
         .option("header", True)
-        .option("sep", dialect.sep)
         .option("encoding", dialect.charset)
-        .option("quote", dialect.quote)
-        .option("escape", dialect.quote)
-        .option("ignoreLeadingWhiteSpace", dialect.skip_lead)
         .option("multiLine", dialect.multiline)
-        .option("maxColumns", max(20_480, width + 1_024))
-        .option("columnNameOfCorruptRecord", RECORD)
         # Field counts need whole records, whichever columns a query reads.
         .option("columnPruning", False)
         .option("recursiveFileLookup", True)
@@ -69,10 +81,109 @@ def scan_csv(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dia
     )
 
 
+# What a line does to the state "inside quotes": bit 0 is the state after it if it starts outside
+# quotes, bit 1 if it starts inside. 2 leaves the state, 1 flips it, 0 and 3 set it.
+KEEPS = 2
+
+
+def line_code(line: Column, sep: str, mark: str, skip_lead: bool) -> Column:
+    """The code of a line under one dialect."""
+    whole, opened = decode.quoted_field(sep, mark, skip_lead), decode.open_quote(sep, mark, skip_lead)
+    closing = f"^(?:[^{mark}]|{mark}{mark})*+{mark}"
+
+    def ends_inside(text: Column) -> Column:
+        return F.regexp_replace(text, whole, "x").rlike(opened)
+
+    inside = ~line.rlike(closing) | ends_inside(F.regexp_replace(line, closing, "x"))
+    code = ends_inside(line).cast("int") + F.lit(2) * inside.cast("int")
+    return F.when(F.contains(line, F.lit(mark)), code).otherwise(F.lit(KEEPS))
+
+
+def then(first: Column, second: Column) -> Column:
+    """The code of two pieces of text, one after the other."""
+
+    def after(state: Column) -> Column:
+        return F.pmod(F.floor(second / F.when(state == 1, 2).otherwise(1)), F.lit(2)).cast("int")
+
+    return after(F.pmod(first, F.lit(2))) + F.lit(2) * after(F.floor(first / 2))
+
+
+def scan_records(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dialect) -> DataFrame:
+    """Records of files with quoted line breaks, read in splits like any other file.
+
+    Every line's effect on the quoting state is a code that combines along the file: one code
+    per split gives each split its first state, and running values inside a split give each
+    line's. A line that starts outside quotes starts a record.
+    """
+    text = (
+        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+        .text(list(paths))
+    )
+    value = F.col("value")
+    if dialect.charset != "UTF-8":
+        value = F.decode(value.cast("binary"), dialect.charset)
+    lines = text.select(
+        F.regexp_replace(value, "^\ufeff", "").alias("value"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    ).withColumn("code", line_code(F.col("value"), dialect.sep, dialect.quote, dialect.skip_lead))
+    # Running values of each split, whose lines one task sorts by their place.
+    before = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    flips = lines.withColumn("flips", F.coalesce(F.sum((F.col("code") == 1).cast("long")).over(before), F.lit(0)))
+    setting = F.when(F.col("code").isin(0, 3), F.struct((F.col("code") == 3).cast("long").alias("state"), "flips"))
+    placed = flips.withColumn("set", F.last(setting, ignorenulls=True).over(before))
+    codes = (
+        placed.where(F.col("code") != KEEPS)
+        .groupBy("_file", "_block")
+        .agg(F.max_by(F.struct("set", "flips", "code"), "_row").alias("end"))
+    )
+    # One row per split. Its code, from the running values before its last effective line.
+    since = F.when(F.col("end.set").isNull(), F.col("end.flips")).otherwise(F.col("end.flips") - F.col("end.set.flips"))
+    from_state = lambda start: F.pmod(F.coalesce(F.col("end.set.state"), F.lit(start)) + since, F.lit(2))
+    so_far = (from_state(0) + F.lit(2) * from_state(1)).cast("int")
+    splits = lines.select("_file", "_block").distinct().join(
+        codes.select("_file", "_block", then(so_far, F.col("end.code")).alias("split_code")), ["_file", "_block"], "left"
+    )
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.collect_list(F.coalesce("split_code", F.lit(KEEPS))).over(earlier)
+    first_state = F.aggregate(parts, F.lit(KEEPS), then) % 2
+    splits = splits.select("_file", "_block", first_state.alias("first_state"))
+
+    known = F.coalesce(F.col("set.state") + F.col("flips") - F.col("set.flips"), F.col("first_state") + F.col("flips"))
+    starts = placed.join(splits, ["_file", "_block"]).withColumn("starts", known % 2 == 0)
+    record = F.last(F.when(F.col("starts"), F.col("_row")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    marked = starts.withColumn("record", record)
+    # Lines at the head of a split that go on with a record of an earlier split.
+    last_of = marked.groupBy("_file", "_block").agg(F.max("record").alias("last_record"))
+    going_on = last_of.select("_file", "_block", F.last("last_record", ignorenulls=True).over(earlier).alias("open_record"))
+    whole = (
+        marked.join(going_on, ["_file", "_block"])
+        .withColumn("record", F.coalesce("record", "open_record"))
+        .groupBy("_file", "record")
+        .agg(
+            F.min("_block").alias("_block"),
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("_block", "_row", "value"))), lambda x: x["value"]), "\n"
+            ).alias("text"),
+        )
+        .withColumn("text", F.regexp_replace("text", "\r$", ""))
+        .where(F.trim("text") != "")
+    )
+    header = whole.groupBy("_file").agg(F.min_by("record", F.struct("_block", "record")).alias("header"))
+    rows = whole.join(header, "_file").where(F.col("record") != F.col("header"))
+    names = [cell(i) for i in range(width)]
+    parsed = F.from_csv("text", ", ".join(f"{name} string" for name in [*names, RECORD]), _csv_options(dialect, width))
+    return rows.select(parsed.alias("p"), "_file", "_block", F.col("record").alias("_row")).select("p.*", *PROVENANCE)
+
+
 def field_count(record: Column, dialect: Dialect) -> Column:
-    """Number of fields in a raw record: delimiters outside quotes, plus one."""
-    q = dialect.quote
-    bare = F.regexp_replace(record, f"{q}[^{q}]*+{q}", "")
+    """Number of fields in a raw record: delimiters outside quoted fields, plus one.
+
+    A quote opens a field only where the field starts; any other one is a plain character.
+    """
+    whole = decode.quoted_field(dialect.sep, dialect.quote, dialect.skip_lead)
+    bare = F.regexp_replace(record, f"{whole}|{decode.open_quote(dialect.sep, dialect.quote, dialect.skip_lead)}(?s:.*)", "x")
     return F.length(bare) - F.length(F.replace(bare, F.lit(dialect.sep), F.lit(""))) + 1
 
 
@@ -98,7 +209,7 @@ def rejected_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
         field_count(F.col(RECORD), dialect).alias("n_fields"),
         F.lit(width).alias("n_columns"),
         F.array(*[F.col(cell(i)) for i in range(width)]).alias("cells"),
-        F.col(RECORD).alias("record"),
+        F.regexp_replace(RECORD, "[\r\n]+$", "").alias("record"),
     )
 
 

@@ -205,11 +205,122 @@ def test_preflight(spark, write):
     root = write("b/1.csv", "k,v\n1,2\n")
     run = consolidate(spark, root, {"sort_by": ["v"]})
     assert not run.success and run.outputs == {} and len(run.errors) == 1
-    assert "file '2.csv': missing required columns: ['v']" in run.errors[0]
+    assert "1 file(s) lack required columns, first '2.csv': ['v']" in run.errors[0]
+    assert [tuple(r) for r in run.findings(spark).collect()] == [("a", "2.csv", "error", "missing required columns: v")]
     report = consolidate(spark, root, {"sort_by": ["v"], "preflight": "report"})
     assert report.success and report.outputs["a"].count() == 2
 
 
+def test_every_lacking_file_counts(spark, write):
+    for n in range(30):
+        root = write(f"a/{n}.csv", "k\n1\n")
+    run = consolidate(spark, root, {"sort_by": ["v"]})
+    assert len(run.errors) == 1 and run.n_errors == 30 and run.findings(spark).count() == 30
+    assert run_summary(spark, run).first()["errors"] == 30
+
+
+def test_unknown_option_values_are_refused():
+    for key in ("conflict_policy", "on_duplicate", "preflight", "null_keys", "median"):
+        with pytest.raises(ValueError, match=key):
+            MergeOptions.from_dict({key: "keep_frist"})
+    with pytest.raises(ValueError, match="subdirectories.d.conflict_policy"):
+        MergeOptions.from_dict({"subdirectories": {"d": {"conflict_policy": "no"}}})
+
+
+def test_untrimmed_variants_are_settled(spark, write):
+    write("c/a.csv", "Brand ,Brands,n\n,x,1\ny,w,2\n")
+    root = write("c/b.csv", "Brand,n\nz,3\n")
+    out = consolidate(spark, root, {"clean_columns": False, "conflict_policy": "keep_first"}).outputs["c"]
+    assert sorted(out.columns) == ["Brand", "n"] and rows(out, "n") == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_one_bad_policy_refuses_its_dataset_only(spark, write):
+    for name in ("good", "bad"):
+        write(f"{name}/a.csv", "Brand,Brands,n\n,x,1\n")
+        root = write(f"{name}/b.csv", "Brand,n\nz,3\n")
+    run = consolidate(spark, root, {"conflict_policy": {"Other": "Other"}, "subdirectories": {"good": {"conflict_policy": "keep_first"}}})
+    assert {s[0]: s[1] for s in run.status} == {"bad": "failed", "good": "merged"}
+    assert any("no kept name given" in e for e in run.errors)
+
+
+@pytest.mark.parametrize("head", [64, 1 << 20])
+def test_quotes_decide_alike_at_any_size(spark, write, monkeypatch, head):
+    """The same files, probed by their head or whole."""
+    monkeypatch.setattr(decode, "HEAD_BYTES", head)
+    body = "".join(f"{i},n{i}\n" for i in range(300))
+    for name in "ab":
+        write(f"open/{name}.csv", "k,v\n" + body + '-1,"open\n-2,z\n')
+        write(f"closed/{name}.csv", "k,v\n" + body + '-1,"two\nlines, ""x"""\n-2,5"z\n')
+        root = write(f"lost/{name}.csv", "k,v\n" + body + "-1,\"open\n-2,'z\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        run = consolidate(spark, root)
+        found = {r["dataset"]: (r["quote"], r["multiline"]) for r in run.files.where("status = 'ok'").collect()}
+        assert found == {"open": ("'", False), "closed": ('"', True)}
+        tail = lambda name: sorted(tuple(r) for r in run.outputs[name].where("k < 0").collect())
+        assert tail("open") == [(-2, "z")] * 2 + [(-1, '"open')] * 2
+        assert tail("closed") == [(-2, '5"z')] * 2 + [(-1, 'two\nlines, "x"')] * 2
+        assert run.outputs["closed"].count() == run.outputs["open"].count() == 604
+        assert {s[0]: s[1] for s in run.status}["lost"] == "failed"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_line_breaks_are_read_in_splits(spark, write):
+    """Records cross splits of a few bytes; more scan tasks than files."""
+    import random
+
+    rng = random.Random(4)
+    cells = ["plain", "a,b", 'q"uo"te', "two\nlines", "\n\n", '"', "x\n\"y\"\n", "é"]
+    data = [(i, rng.choice(cells), rng.choice(cells)) for i in range(200)]
+    quote = lambda t: '"' + t.replace('"', '""') + '"' if set(t) & set('",\n') else t
+    text = "k,v,w\n" + "".join(f"{k},{quote(v)},{quote(w)}\n" for k, v, w in data)
+    write("s/a.csv", text)
+    root = write("s/b.csv", ("k,v,w\n1000,x,\"l\n1\"\n1001,ü,\n").encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        out = consolidate(spark, root).outputs["s"]
+        got = sorted(tuple(r) for r in out.collect())
+        assert got == sorted([*data, (1000, "x", "l\n1"), (1001, "ü", None)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stray_quotes_hide_no_fields(spark, write):
+    write("q/a.csv", 'a,b,c\n1,5"x,6"y,extra\n2,5"x,6\n3,"p, ""q""" ,7\n')
+    root = write("q/b.csv", "a,b,c\n4,x,8\n")
+    run = consolidate(spark, root)
+    assert rows(run.outputs["q"], "a") == [(2, '5"x', 6), (3, 'p, "q"', 7), (4, "x", 8)]
+    assert [(r["n_fields"], r["record"]) for r in run.rejects.collect()] == [(4, '1,5"x,6"y,extra')]
+
+
+def test_hidden_and_empty_files_are_reported(spark, write):
+    write("d/a.csv", "a,b\n1,2\n")
+    write("d/_b.csv", "a,b\n3,4\n")
+    root = write("d/c.csv", "")
+    run = consolidate(spark, root)
+    assert [s[:4] for s in run.status] == [("d", "merged", 3, 1)] and run.outputs["d"].count() == 1
+    assert {r["file_name"] for r in run.findings(spark).collect()} == {"_b.csv", "c.csv"}
+
+
+def test_csv_output_reads_back(spark, tmp_path):
+    import pandas as pd
+
+    from tabmeld.plans.consolidate import Consolidation
+    from tabmeld.plans.sink import read_output
+
+    data = [(1, 'say "hi", ok'), (2, " blanks "), (3, "two\nlines"), (4, ""), (5, None), (6, "\\"), (7, '\\"')]
+    table = spark.createDataFrame(data, "k int, v string")
+    run = Consolidation(success=True, outputs={"t": table}, status=[("t", "merged", 2, 2, 7, None)])
+    path = write_outputs(run, str(tmp_path / "csv"), fmt="csv", single_file=True)["t"]
+    assert rows(read_output(spark, path, "csv", table.schema), "k") == data
+    frame = pd.concat(pd.read_csv(f, keep_default_na=False) for f in (tmp_path / "csv" / "t_merged").glob("part-*"))
+    assert frame.sort_values("k")["v"].tolist() == [v or "" for _, v in data]
+    assert output_shapes(spark, run, {"t": path}, "csv").first()["n_rows"] == 7
+    assert write_outputs(run, str(tmp_path / "csv"), fmt="csv") == {}
+    assert run.status[0][1] == "failed" and run_summary(spark, run).first()["total_files_merged"] == 0
+
+
 def test_unusable_roots(spark, write, tmp_path):
     assert "does not exist" in consolidate(spark, str(tmp_path / "nowhere")).errors[0]
     root = write("alone.csv", "a,b\n1,2\n")

@@ -141,12 +141,14 @@ def test_ranked_median_equals_builtin(spark, null_keys):
     assert len(got[0]) == (3 if null_keys == "drop" else 4)
 
 
-def test_large_group_switches_to_ranks(spark, monkeypatch):
-    monkeypatch.setattr(aggregate, "MEDIAN_GROUP_ROWS", 3)
-    df = spark.range(100).selectExpr("'hot' AS k", "id AS v")
-    out = aggregate.aggregate_by(df, ["k"], {"v": "median"})
-    assert out.first()["v"] == 49.5
-    assert "percentile" not in out._jdf.queryExecution().toString().lower()
+@pytest.mark.parametrize("case", ["distinct", "ties", "skewed", "few"])
+def test_bracketed_median_of_large_groups(spark, case):
+    value = {"distinct": "id * 7919 % 100003", "ties": "id % 3", "skewed": "if(id < 40000, 5, id)", "few": "id"}[case]
+    df = spark.range(5 if case == "few" else 60_001).selectExpr("if(id % 10 = 0, 'b', 'hot') AS k", f"{value} AS v", "-id AS w")
+    got = aggregate.aggregate_by(df, ["k"], {"v": "median", "w": "median"})
+    assert "percentile(" not in got._jdf.queryExecution().toString().lower()
+    want = aggregate.aggregate_by(df, ["k"], {"v": "median", "w": "median"}, median="builtin")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_rank_is_dense_and_total_over_partitions(spark):

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabmeld.operators.spread import widen
-from tabmeld.plans.consolidate import consolidate
+from tabmeld.plans.consolidate import Consolidation, consolidate
 from tabmeld.plans.report import metric_table, output_shapes, run_summary
-from tabmeld.plans.sink import stacked, write_outputs, write_partitioned
+from tabmeld.plans.sink import read_output, stacked, write_outputs, write_partitioned
 from workload import query, table
-from workload.exports import new_root, write_csv
+from workload.exports import new_root, write_csv, write_file
+
+
+ADS_FILES = 8
 
 
 def _ads(spark, sf_dir, label: str) -> str:
     """lineitem as three exports with differing headers, customers and a lone table beside it."""
     root = new_root(spark, label)
-    lineitem = widen(table(spark, sf_dir, "lineitem"))
+    # A fixed number of files per export, as the run summary counts them.
+    lineitem = table(spark, sf_dir, "lineitem").repartition(ADS_FILES)
     common = ["l_orderkey AS ` Order   Key`", "l_linestatus AS State"]
     write_csv(
         lineitem.where("l_returnflag = 'R'").selectExpr(
@@ -32,14 +35,13 @@ def _ads(spark, sf_dir, label: str) -> str:
             *common, "l_returnflag AS Flag", "l_quantity AS Impressions", "l_extendedprice AS Spend"
         ), root, "ads", sep="\t",
     )
-    customer = table(spark, sf_dir, "customer")
+    customer = table(spark, sf_dir, "customer").coalesce(1)
     write_csv(customer.where("c_nationkey < 10").selectExpr("c_custkey AS id", "c_mktsegment AS Segment"), root, "people")
     write_csv(
         customer.where("c_nationkey >= 10").selectExpr("c_custkey AS ID", "c_mktsegment AS Segment", "c_acctbal AS balance"),
         root, "people",
     )
-    # A table read as one partition gives one file.
-    write_csv(table(spark, sf_dir, "region"), root, "lone")
+    write_csv(table(spark, sf_dir, "region").coalesce(1), root, "lone")
     return root
 
 
@@ -167,13 +169,109 @@ def shapes(spark, sf_dir):
 
 @query(
     "consolidate_summary_table",
-    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'skipped_single_file', 'errors'])
-       AS metric, unnest(['true', '3', '3', '1', '0']) AS value FROM (SELECT count(*) FROM lineitem))""",
+    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
+       'skipped_single_file', 'errors']) AS metric, unnest(['true', '3', '3', '26', '1', '0']) AS value
+       FROM (SELECT count(*) FROM lineitem))""",
 )
 def summary_table(spark, sf_dir):
-    run = consolidate(spark, _ads(spark, sf_dir, "summary"))
-    # The number of files depends on how Spark splits the exports.
-    return metric_table(run_summary(spark, run)).where("metric <> 'total_files_merged'")
+    """All totals of a run: three exports of eight files, two of one, and a lone file."""
+    return metric_table(run_summary(spark, consolidate(spark, _ads(spark, sf_dir, "summary"))))
+
+
+@query(
+    "consolidate_failed_write",
+    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
+       'skipped_single_file', 'errors']) AS metric, unnest(['true', '2', '3', '2', '1', '1']) AS value
+       FROM (SELECT count(*) FROM lineitem))""",
+)
+def failed_write(spark, sf_dir):
+    """A dataset whose output exists already is not merged, and its files do not count."""
+    run = consolidate(spark, _ads(spark, sf_dir, "failed-write"))
+    target = new_root(spark, "taken")
+    spark.range(1).write.parquet(f"{target}/ads_merged")
+    write_outputs(run, target)
+    return metric_table(run_summary(spark, run))
+
+
+@query("sink_csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """Whole documents, with quotes, delimiters and line breaks, written as CSV and read back."""
+    documents = table(spark, sf_dir, "documents")
+    run = Consolidation(success=True, outputs={"documents": documents}, status=[("documents", "merged", 1, 1, None, None)])
+    written = write_outputs(run, new_root(spark, "csv"), fmt="csv")
+    return read_output(spark, written["documents"], "csv", documents.schema)
+
+
+@query(
+    "consolidate_preflight_findings",
+    """SELECT 'ads' AS dataset, 'error' AS level, 'missing required columns: Tax' AS message
+       FROM range((SELECT ((count(*) + 49) // 50)::BIGINT FROM lineitem))""",
+)
+def preflight_findings(spark, sf_dir):
+    """One row per file that lacks a required column, however many there are."""
+    root = new_root(spark, "findings")
+    lacking = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").coalesce(1)
+    lacking.write.option("header", True).option("maxRecordsPerFile", 50).csv(f"{root}/ads")
+    run = consolidate(spark, root, {"sort_by": ["Tax"]})
+    return run.findings(spark).select("dataset", "level", "message")
+
+
+@query(
+    "consolidate_unread_files",
+    """SELECT 'regions' AS dataset, file_name, 'warning' AS level, status, n_files, n_rows FROM
+       (VALUES ('_x.csv'), ('empty.csv')) AS f(file_name), (SELECT 'merged' AS status, 3 AS n_files, count(*) AS n_rows FROM region)""",
+)
+def unread_files(spark, sf_dir):
+    """A hidden and an empty file count, are reported, and leave the good file to be merged."""
+    root = new_root(spark, "unread")
+    write_csv(table(spark, sf_dir, "region").coalesce(1), root, "regions")
+    write_file(spark, f"{root}/regions/_x.csv", "r_regionkey,r_name\n99,hidden\n")
+    write_file(spark, f"{root}/regions/empty.csv", "")
+    run = consolidate(spark, root)
+    status = run.status_table(spark).select("dataset", "status", F.col("n_files").cast("int").alias("n_files"), "n_rows")
+    return run.findings(spark).select("dataset", "file_name", "level").join(status, "dataset")
+
+
+_POLICIES = {
+    "conflict_policy": "keep_first",
+    "subdirectories": {
+        "second": {"conflict_policy": "keep_second"},
+        "mapped": {"conflict_policy": {"Segment": "Segments"}},
+        "gap": {"conflict_policy": {"Other": "Others"}},
+        "strict": {"conflict_policy": "fail"},
+    },
+}
+
+
+@query(
+    "consolidate_conflict_policies",
+    """SELECT dataset, kept, c_custkey AS "ID", CASE WHEN kept = 'Segment' THEN coalesce(a, b) ELSE coalesce(b, a) END AS value
+       FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS a, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS b
+             FROM customer), (VALUES ('first', 'Segment'), ('second', 'Segments'), ('mapped', 'Segments')) AS p(dataset, kept)
+       UNION ALL SELECT dataset, 'refused', NULL, NULL FROM (VALUES ('gap'), ('strict')) AS q(dataset)""",
+)
+def conflict_policies(spark, sf_dir):
+    """One policy per dataset; a map without an answer and ``fail`` refuse their own dataset only."""
+    root = new_root(spark, "policies")
+    customer = table(spark, sf_dir, "customer").coalesce(1).selectExpr(
+        "c_custkey AS ID", "CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS Segment",
+        "CASE WHEN c_custkey % 3 < 2 THEN c_name END AS Segments",
+    )
+    for dataset in ("first", "second", "mapped", "gap", "strict"):
+        for test in ("ID % 2 = 0", "ID % 2 = 1"):
+            write_csv(customer.where(test), root, dataset)
+    run = consolidate(spark, root, _POLICIES)
+    parts = []
+    for dataset, merged in sorted(run.outputs.items()):
+        kept = next(name for name in merged.columns if name != "ID")
+        parts.append(merged.select(F.lit(dataset).alias("dataset"), F.lit(kept).alias("kept"), "ID", F.col(kept).alias("value")))
+    refused = run.status_table(spark).where("status = 'failed'").selectExpr(
+        "dataset", "'refused' AS kept", "CAST(NULL AS BIGINT) AS ID", "CAST(NULL AS STRING) AS value"
+    )
+    out = refused
+    for part in parts:
+        out = out.union(part)
+    return out
 
 
 @query(

@@ -15,6 +15,9 @@ from tabmeld.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of one workbook; the format allows about a million.
+WORKBOOK_ROWS = 50_000
+
 
 def new_root(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, f"export-{label}")
@@ -36,6 +39,14 @@ def write_csv(df: DataFrame, root: str, dataset: str, sep: str = ",", charset: s
     )
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with a given name, through Spark's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
 def write_lines(df: DataFrame, line, header: str, root: str, dataset: str, charset: str = "UTF-8") -> None:
     """Add raw lines under a raw header line, without any quoting."""
     (
@@ -54,27 +65,37 @@ def write_lines(df: DataFrame, line, header: str, root: str, dataset: str, chars
 
 
 def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: str) -> int:
-    """Write each partition of ``df`` as one .xlsx file; returns the number of rows written."""
+    """Write ``df`` as .xlsx files of bounded length; returns the number of rows written."""
     spark = df.sparkSession
     target = f"{root}/{dataset}"
     # Spark makes the folder; tasks add their files to it.
     spark.range(0).write.mode("append").csv(target)
     build = sheet_bytes
     titles = list(header)
-    batch_id = uuid.uuid4().hex
+    batch_id, most = uuid.uuid4().hex, WORKBOOK_ROWS
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        # A task that runs again writes the same file again.
+        # A task that runs again writes the same files again.
         part = TaskContext.get().partitionId()
-        rows = [row for batch in batches for row in batch.itertuples(index=False, name=None)]
-        if rows:
-            system, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
-            with system.open_output_stream(f"{path}/part-{batch_id}-{part:05d}.xlsx") as out:
+        system, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
+        number, rows = 0, []
+
+        def flush() -> pd.DataFrame:
+            with system.open_output_stream(f"{path}/part-{batch_id}-{part:05d}-{number:05d}.xlsx") as out:
                 out.write(build(titles, rows))
-        yield pd.DataFrame({"n": [len(rows)]})
+            return pd.DataFrame({"n": [len(rows)]})
+
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                rows.append(row)
+                if len(rows) == most:
+                    yield flush()
+                    number, rows = number + 1, []
+        if rows:
+            yield flush()
 
     return df.mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0]
 

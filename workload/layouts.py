@@ -58,7 +58,11 @@ extra AS (SELECT c.dataset, c.file_path, c.name AS column_name, c.ordinal AS col
           WHERE NOT EXISTS (SELECT 1 FROM ref_cat r WHERE r.dataset = c.dataset AND r.name = c.name))
 """
 
-_PARTNER = "({b} = {a} || 's' OR {b} = {a} || 'es' OR {a} = {b} || 's' OR {a} = {b} || 'es')"
+
+def _partners(select: str, tables: str, a: str, b: str) -> str:
+    """Plural/singular partners as plain equality joins, one per spelling; ``tables`` ends in a join condition."""
+    spellings = (f"{b} = {a} || 's'", f"{b} = {a} || 'es'", f"{a} = {b} || 's'", f"{a} = {b} || 'es'")
+    return " UNION ALL ".join(f"SELECT {select} FROM {tables} AND {spelling}" for spelling in spellings)
 
 
 def headers(spark, sf_dir):
@@ -117,8 +121,8 @@ def plural_pairs(spark, sf_dir):
 
 @query(
     "layout_same_file_conflicts",
-    f"""{_WITH}, hits AS (SELECT a.dataset, a.file_path, a.file_seq, least(a.ordinal, b.ordinal) AS lo, greatest(a.ordinal, b.ordinal) AS hi
-        FROM cat a JOIN cat b ON a.file_path = b.file_path AND (b.name = a.name || 's' OR b.name = a.name || 'es')),
+    f"""{_WITH}, hits AS ({_partners('a.dataset, a.file_path, a.file_seq, least(a.ordinal, b.ordinal) AS lo, greatest(a.ordinal, b.ordinal) AS hi',
+        'cat a JOIN cat b ON a.file_path = b.file_path', 'a.name', 'b.name')}),
         first AS (SELECT dataset, file_path, file_seq, min((lo, hi)) AS p FROM hits GROUP BY ALL)
         SELECT f.dataset, f.file_path, f.file_seq, a.name AS name_a, b.name AS name_b FROM first f
         JOIN cat a ON a.file_path = f.file_path AND a.ordinal = f.p[1]
@@ -130,9 +134,9 @@ def same_file_conflicts(spark, sf_dir):
 
 @query(
     "layout_conflicts_kept_second",
-    f"""{_WITH}, folds AS (SELECT a.dataset, a.file_path, a.name AS dropped, arg_min(b.name, b.ordinal) AS kept
-        FROM cat a JOIN cat b ON a.file_path = b.file_path AND b.ordinal > a.ordinal
-        AND {_PARTNER.format(a='a.name', b='b.name')} GROUP BY ALL)
+    f"""{_WITH}, later AS ({_partners('a.dataset, a.file_path, a.name AS dropped, b.name AS kept, b.ordinal',
+        'cat a JOIN cat b ON a.file_path = b.file_path AND b.ordinal > a.ordinal', 'a.name', 'b.name')}),
+        folds AS (SELECT dataset, file_path, dropped, arg_min(kept, ordinal) AS kept FROM later GROUP BY ALL)
         SELECT c.dataset, c.file_path, count(*) - count(f.dropped) AS n_columns, count(f.dropped) AS n_folded,
         coalesce(string_agg(f.kept || '<' || f.dropped, ' ' ORDER BY c.ordinal) FILTER (WHERE f.kept IS NOT NULL), '') AS folds
         FROM cat c LEFT JOIN folds f ON f.file_path = c.file_path AND f.dropped = c.name GROUP BY c.dataset, c.file_path""",
@@ -197,14 +201,11 @@ def extra_columns(spark, sf_dir):
 @query(
     "layout_issue_hints",
     f"""{_WITH}, {_ISSUES_SQL},
-        hinted AS (
-          SELECT m.dataset, m.file_path, m.issue_type, m.column_name, arg_min(e.column_name, e.column_index) AS partner
-          FROM missing m JOIN extra e ON m.file_path = e.file_path AND {_PARTNER.format(a='m.column_name', b='e.column_name')}
-          GROUP BY ALL
-          UNION ALL
-          SELECT e.dataset, e.file_path, e.issue_type, e.column_name, arg_min(r.name, r.ordinal)
-          FROM extra e JOIN ref_cat r ON r.dataset = e.dataset AND {_PARTNER.format(a='e.column_name', b='r.name')}
-          GROUP BY ALL)
+        near AS ({_partners('m.dataset, m.file_path, m.issue_type, m.column_name, e.column_name AS other, e.column_index AS place',
+          'missing m JOIN extra e ON m.file_path = e.file_path', 'm.column_name', 'e.column_name')}
+          UNION ALL {_partners('e.dataset, e.file_path, e.issue_type, e.column_name, r.name, r.ordinal',
+          'extra e JOIN ref_cat r ON r.dataset = e.dataset', 'e.column_name', 'r.name')}),
+        hinted AS (SELECT dataset, file_path, issue_type, column_name, arg_min(other, place) AS partner FROM near GROUP BY ALL)
         SELECT dataset, file_path, issue_type, column_name,
         'Possible plural/singular: ''' || column_name || ''' vs ''' || partner || '''' AS hint FROM hinted""",
 )
@@ -232,8 +233,9 @@ def verdict(spark, sf_dir):
 @query(
     "layout_issue_report",
     f"""{_WITH}, {_ISSUES_SQL},
-        hint AS (SELECT e.file_path, e.column_name, arg_min(r.name, r.ordinal) AS partner
-          FROM extra e JOIN ref_cat r ON r.dataset = e.dataset AND {_PARTNER.format(a='e.column_name', b='r.name')} GROUP BY ALL)
+        near AS ({_partners('e.file_path, e.column_name, r.name, r.ordinal',
+          'extra e JOIN ref_cat r ON r.dataset = e.dataset', 'e.column_name', 'r.name')}),
+        hint AS (SELECT file_path, column_name, arg_min(name, ordinal) AS partner FROM near GROUP BY ALL)
         SELECT dataset, file_path, 'Column ' || CASE WHEN n < 26 THEN chr(65 + n)
         WHEN n < 702 THEN chr(65 + (n - 26) // 26) || chr(65 + (n - 26) % 26)
         WHEN n < 18278 THEN chr(65 + (n - 702) // 676) || chr(65 + (n - 702) // 26 % 26) || chr(65 + (n - 702) % 26)

@@ -8,13 +8,14 @@ from tabmeld.plans.consolidate import consolidate
 from tabmeld.sources.catalog import check_root, list_files, select_datasets, supported_files
 from tabmeld.sources.probe import probe_catalog
 from workload import query, table
-from workload.exports import new_root, write_csv, write_lines, write_workbooks
+from workload.exports import new_root, write_csv, write_file, write_lines, write_workbooks
 
 
 def _orders_by_status(spark, sf_dir, root):
     (
         table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_totalprice", "o_orderstatus")
+        .coalesce(1)
         .write.partitionBy("o_orderstatus")
         .option("header", True)
         .csv(root)
@@ -34,6 +35,31 @@ def file_catalog(spark, sf_dir):
     return files.select("dataset", "file_format", "status", (F.col("size") > 0).alias("has_bytes")).distinct()
 
 
+@query(
+    "source_unlisted_files",
+    """SELECT 'o_orderstatus=' || o_orderstatus AS dataset, name, status, visible, has_bytes
+       FROM (SELECT DISTINCT o_orderstatus FROM orders),
+       (VALUES ('part', 'supported', true, true), ('_x.csv', 'supported', false, true), ('.y.csv', 'supported', false, false),
+               ('empty.csv', 'supported', true, false), ('~$lock.xlsx', 'lock', true, true), ('merged', 'own_output', true, true))
+       AS f(name, status, visible, has_bytes)""",
+)
+def unlisted_files(spark, sf_dir):
+    """Hidden, empty and lock files and earlier results, one row per file."""
+    root = new_root(spark, "unlisted")
+    _orders_by_status(spark, sf_dir, root)
+    statuses = table(spark, sf_dir, "orders").select("o_orderstatus").distinct().collect()
+    for (status,) in statuses:
+        dataset = f"o_orderstatus={status}"
+        content = {"_x.csv": "a,b\n1,2\n", ".y.csv": "", "empty.csv": "", "~$lock.xlsx": "x", f"{dataset}_merged.csv": "a,b\n1,2\n"}
+        for name, text in content.items():
+            write_file(spark, f"{root}/{dataset}/{name}", text)
+    name = F.col("file_name")
+    kind = F.when(name.startswith("part-"), "part").when(name.contains("_merged."), "merged").otherwise(name)
+    return list_files(spark, root).select(
+        "dataset", kind.alias("name"), "status", "visible", (F.col("size") > 0).alias("has_bytes")
+    )
+
+
 @query(
     "source_dataset_selection",
     "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus AS dataset FROM orders WHERE o_orderstatus = 'F'",
@@ -109,11 +135,14 @@ def _ragged_exports(spark, sf_dir) -> str:
     root = new_root(spark, "ragged")
     part = table(spark, sf_dir, "part")
     size = F.col("p_size")
+    # A quote that does not open a field is a plain character, and hides no delimiter.
     line = (
-        F.when(size < 5, F.concat_ws(",", "p_partkey", "p_name", size, F.lit("surplus")))
+        F.when(size < 3, F.concat(F.col("p_partkey"), F.lit(',5"'), "p_name", F.lit(',6"'), size, F.lit(",surplus")))
+        .when(size < 5, F.concat_ws(",", "p_partkey", "p_name", size, F.lit("surplus")))
         .when(size < 10, F.concat_ws(",", "p_partkey", "p_name", size, F.lit("")))
         .when(size < 15, F.concat_ws(",", "p_partkey", "p_name"))
         .when(size < 20, F.concat(F.col("p_partkey"), F.lit(',"'), "p_name", F.lit(', ""big"""  ,  '), size))
+        .when(size < 25, F.concat(F.col("p_partkey"), F.lit(',5"'), "p_name", F.lit(","), size))
         .otherwise(F.concat_ws(",", "p_partkey", "p_name", size))
     )
     for brand_test in ("p_brand < 'Brand#2'", "p_brand >= 'Brand#2'"):
@@ -123,20 +152,20 @@ def _ragged_exports(spark, sf_dir) -> str:
 
 @query(
     "source_short_and_long_records",
-    """SELECT p_partkey, CASE WHEN p_size >= 15 AND p_size < 20 THEN p_name || ', "big"' ELSE p_name END AS p_name,
+    """SELECT p_partkey, CASE WHEN p_size >= 15 AND p_size < 20 THEN p_name || ', "big"'
+       WHEN p_size >= 20 AND p_size < 25 THEN '5"' || p_name ELSE p_name END AS p_name,
        CASE WHEN p_size >= 15 THEN p_size::BIGINT END AS p_size FROM part WHERE p_size >= 10""",
 )
 def short_and_long(spark, sf_dir):
     """Short records are padded, long ones are left out of the result."""
-    out = consolidate(spark, _ragged_exports(spark, sf_dir)).outputs["part"]
-    # Spark keeps trailing blanks of a quoted field's unquoted tail away from the value.
-    return out.withColumn("p_name", F.rtrim("p_name"))
+    return consolidate(spark, _ragged_exports(spark, sf_dir)).outputs["part"]
 
 
 @query(
     "source_rejected_records",
     """SELECT 'part' AS dataset, p_partkey::VARCHAR AS first_cell, 4::BIGINT AS n_fields,
-       p_partkey || ',' || p_name || ',' || p_size || CASE WHEN p_size < 5 THEN ',surplus' ELSE ',' END AS record
+       CASE WHEN p_size < 3 THEN p_partkey || ',5"' || p_name || ',6"' || p_size || ',surplus'
+       ELSE p_partkey || ',' || p_name || ',' || p_size || CASE WHEN p_size < 5 THEN ',surplus' ELSE ',' END END AS record
        FROM part WHERE p_size < 10""",
 )
 def rejected_records(spark, sf_dir):
@@ -195,6 +224,30 @@ def long_files(spark, sf_dir):
     return consolidate(spark, root).outputs["lineitem"]
 
 
+@query(
+    "source_dialect_any_size",
+    """WITH rows AS (SELECT l_orderkey * 10 + l_linenumber AS k, repeat(l_returnflag, 60) AS v FROM lineitem),
+       ends AS (SELECT -1 AS k, '"open' AS v UNION ALL SELECT -2, 'z')
+       SELECT 'long' AS dataset, k, v FROM rows UNION ALL SELECT 'short', k, v FROM rows WHERE k % 1000 = 11
+       UNION ALL SELECT dataset, k, v FROM ends, (VALUES ('long'), ('long'), ('short'), ('short')) AS d(dataset)""",
+)
+def dialect_any_size(spark, sf_dir):
+    """A quote that stays open at the end makes apostrophes the quotes, in short and in long files."""
+    root = new_root(spark, "any-size")
+    lineitem = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.expr("repeat(l_returnflag, 60)").alias("v")
+    )
+    ends = spark.createDataFrame([(-1, '"open'), (-2, "z")], "k bigint, v string")
+    half = F.col("k") % 20 < 10
+    for dataset, rows in (("long", lineitem), ("short", lineitem.where("k % 1000 = 11"))):
+        for part in (rows.where(half), rows.where(~half)):
+            lines = part.union(ends).coalesce(1).sortWithinPartitions((F.col("k") < 0), F.desc("k"))
+            write_lines(lines, F.concat_ws(",", "k", "v"), "k,v", root, dataset)
+    outputs = consolidate(spark, root).outputs
+    both = [outputs[name].select(F.lit(name).alias("dataset"), "k", "v") for name in ("long", "short")]
+    return both[0].union(both[1])
+
+
 @query(
     "source_quoted_line_breaks",
     "SELECT doc_id, text, lang, source, n_chars FROM documents",
