@@ -12,6 +12,7 @@ from tabmeld.llm import (
     license_scan,
     mixing,
     near_dedup,
+    oracles,
     pii,
     quality_classifier,
     quality_rules,
@@ -56,26 +57,7 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-# CRC-32 in SQL: its table of 256 values follows from the reflected polynomial, and a text's
-# value from one step per byte, read from hexadecimal digits.
-_CRC_SQL = """
-crc_table AS MATERIALIZED (
-  SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
-    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM range(256) r(i)
-),
-crcs AS (
-  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size,
-    xor(4294967295::UBIGINT, list_reduce(
-      list_prepend(4294967295::UBIGINT,
-        list_transform(range(0, 2 * coalesce(octet_length(encode(text)), 0), 2), lambda p:
-          (instr('0123456789ABCDEF', substr(digits, p + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(digits, p + 2, 1)) - 17)::UBIGINT)),
-      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32
-  FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS digits FROM documents), crc_table
-)"""
-
-
-@query("op1_sharding")
+@query("op1_sharding", oracles.SHARDING)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", sharding.text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32")
@@ -112,7 +94,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), F.col("doc_id")).drop("places")
 
 
-@query("op5_warc_derivatives")
+@query("op5_warc_derivatives", oracles.WARC)
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.derive(warc.responses(pages, "url", "html", "page_id"))
@@ -143,44 +125,6 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MIX_SQL = """
-WITH sized AS (
-  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS size,
-    greatest(0.1, 1.0::DOUBLE - 10.0::DOUBLE * CASE WHEN length(text) > 0
-      THEN (length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / length(text) ELSE 0 END) AS quality,
-    md5(coalesce(text, '')) AS text_md5
-  FROM documents
-), keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || text_md5), 1, 13))::BIGINT::DOUBLE + 0.5)
-    / 4503599627370496.0::DOUBLE) / quality AS key
-  FROM sized
-), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
-  FROM sized GROUP BY source
-), levels AS (
-  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0))
-    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
-  FROM sources
-  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), targets AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight *
-    (SELECT max(level) FROM levels WHERE 3.0::DOUBLE * source_size >= level * weight)) AS target
-  FROM levels
-), summed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, text_md5
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_words
-  FROM keyed
-), joined AS (
-  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
-  FROM summed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (epochs + CASE WHEN epochs < 3 AND before_words + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM joined
-"""
-
-
 def mixed(docs: DataFrame, *carry: str) -> DataFrame:
     """``docs`` by their identity, with their size and what the mix takes of them."""
     sized = docs.select(
@@ -194,7 +138,7 @@ def mixed(docs: DataFrame, *carry: str) -> DataFrame:
     return mixing.mix_sources(sized, "source", "size", "quality", ["doc_id", "text_md5"])
 
 
-@query("op8_mixing", _MIX_SQL)
+@query("op8_mixing", oracles.MIXING)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
