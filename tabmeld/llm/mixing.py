@@ -104,12 +104,13 @@ def mix_sources(
     """
     added = ("source_size", "target", "copies", "taken")
     kept = [name for name in df.columns if name not in added]
-    keyed = df.select(
-        *kept, (-F.log(uniform(*[F.col(c) for c in identity])) / F.col(quality)).alias("_key")
+    # Written once: the sort samples its input, and the targets need it too.
+    keyed = materialize(
+        df.select(*kept, (-F.log(uniform(*[F.col(c) for c in identity])) / F.col(quality)).alias("_key")), "keyed"
     )
     order = [F.col(source).asc_nulls_last(), F.col("_key"), *[F.col(c).asc_nulls_first() for c in identity], F.col(size)]
     summed = with_running_sums(keyed, order, {"_before": size}, "mix")
-    targets = source_targets(df, source, size, weights, most)
+    targets = source_targets(keyed, source, size, weights, most)
     begins = Window.orderBy(F.col("_of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     targets = targets.withColumn("_begin", F.coalesce(F.sum("source_size").over(begins), F.lit(0)))
     joined = summed.join(targets, summed[source].eqNullSafe(targets["_of"]), "left")

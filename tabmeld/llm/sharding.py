@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabmeld.llm.prefix import with_running_sums
+from tabmeld.session import materialize
 
 ROW_BYTES = 8
 
@@ -26,7 +27,8 @@ def assign_shards(df: DataFrame, order: list[str], size: str, shards: int) -> Da
     Columns named like the results are replaced. An empty table gives an empty table; rows that tie in ``order`` are interchangeable.
     """
     kept = [name for name in df.columns if name not in ("shard", "slot")]
-    df = df.select(*kept)
+    # Written once: the sort samples its input, and the total needs it too.
+    df = materialize(df.select(*kept), "sizes")
     keys = [F.col(name).asc_nulls_first() for name in order]
     summed = with_running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, {"_before": size, "_rank": "_one"}, "shards")
     total = df.agg(F.sum(size).alias("_total"))
