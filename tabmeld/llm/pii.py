@@ -233,8 +233,9 @@ def _value(tree: tuple, features: tuple) -> float:
 def fit(counts: list[tuple[tuple, bool, int, int]]) -> Selector | None:
     """Fit one kind on (features, part held out?, candidates, positive ones) and set its threshold.
 
-    The threshold is the lowest score from which candidates held out are positive with the
-    wanted precision; None if there are too few positive candidates or no such score.
+    The threshold is the lowest score, even odds at least, from which candidates held out are
+    positive with the wanted precision; None if there are too few positive candidates or no such
+    score.
     """
     cells = [(features, n, good) for features, held, n, good in counts if not held and n]
     if sum(good for *_, good in cells) < LEAST_POSITIVE:
@@ -256,11 +257,15 @@ def fit(counts: list[tuple[tuple, bool, int, int]]) -> Selector | None:
             slot[0] += count
             slot[1] += positive
     threshold, seen, right = None, 0, 0
-    for score in sorted(judged, reverse=True):
+    ordered = sorted(judged, reverse=True)
+    for at, score in enumerate(ordered):
+        if score < 0:  # less likely than not, however precise the scores above are
+            break
         seen += judged[score][0]
         right += judged[score][1]
         if right >= PRECISION * seen:
-            threshold = score
+            # Halfway to the next lower score, as rare combinations score between those that were held out.
+            threshold = max(0.0, (score + ordered[at + 1]) / 2) if at + 1 < len(ordered) else 0.0
     return None if threshold is None else Selector(start, trees, threshold - 1e-6)
 
 
