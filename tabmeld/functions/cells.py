@@ -27,6 +27,11 @@ def null_if_missing(cell: str) -> Column:
     return F.expr(f"CASE WHEN {cell} NOT IN ({tokens}) THEN {cell} END")
 
 
+def null_if_missing_value(cell: Column) -> Column:
+    """The same for a value that has no name, like an item of an array."""
+    return F.when(~cell.isin(*NA_TOKENS), cell)
+
+
 def as_integer(cell: Column) -> Column:
     # A failing cast is slow, so only number texts reach it; an overlong one gives NULL.
     return F.when(cell.rlike(_WHOLE), cell.try_cast("bigint"))

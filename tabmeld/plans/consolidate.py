@@ -1,7 +1,7 @@
 """End-to-end consolidation of a root folder: one lazy result per dataset.
 
 Stages: file catalogue, head probe, header cleaning, pre-flight, conflict and variant
-resolution, then per dataset a union of one scan per layout, typed, optionally aggregated,
+resolution, then per dataset a union of one scan per dialect, typed, optionally aggregated,
 sorted and put in column order. File facts stay in DataFrames; the driver sees distinct
 layouts, plus the path lists that a reader call needs.
 """
@@ -24,18 +24,23 @@ from tabmeld.functions.names import clean_header, column, header_changes, strip
 from tabmeld.operators import layout
 from tabmeld.operators.aggregate import AggregateError, aggregate_if_tall
 from tabmeld.operators.order import sort_rows
+from tabmeld.operators.spread import salted_left_join
 from tabmeld.operators.typing import profile_text
 from tabmeld.operators.union import order_columns, union_by_name
 from tabmeld.plans.options import DatasetOptions, MergeOptions
 from tabmeld.session import configure, materialize
 from tabmeld.sources.catalog import check_root, list_files, normal_root, select_datasets, supported_files
 from tabmeld.sources.probe import probe_catalog
-from tabmeld.sources.scan import Dialect, cell, good_rows, rejected_rows, scan_csv, scan_workbooks
+from tabmeld.sources.scan import PROVENANCE, Dialect, cell, good_rows, rejected_rows, scan_csv, scan_workbooks
 
 ROW_ORDER = "__row_order"
 
 STATUS_SCHEMA = "dataset string, status string, n_files bigint, n_merged bigint, n_rows bigint, error string"
-LAYOUT_KEYS = ("file_format", "charset", "sep", "quote", "skip_lead", "multiline", "header", "clean")
+DIALECT_KEYS = ("charset", "sep", "quote", "skip_lead", "multiline")
+LAYOUT_KEYS = ("file_format", *DIALECT_KEYS, "header", "clean")
+
+# Files with their headers' places are broadcast up to about this size, and joined beyond it.
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass
@@ -181,7 +186,8 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     paths = _scan_paths(root, n_csv, files, [g for name in merging for g in groups[name]])
 
     def build(name: str):
-        return _build_dataset(spark, name, groups[name], paths, renames.get(name, {}), options)
+        of_dataset = files.where(F.col("dataset") == name)
+        return _build_dataset(spark, name, groups[name], of_dataset, paths, renames.get(name, {}), options)
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_datasets)) as pool:
         built = dict(zip(merging, pool.map(build, merging)))
@@ -285,7 +291,7 @@ def _layout_group(row, reference: str, first: str) -> LayoutGroup:
         dataset=row["dataset"],
         layout_id=row["layout_id"],
         file_format=row["file_format"],
-        dialect=Dialect(row["charset"], row["sep"], row["quote"], row["skip_lead"], row["multiline"]) if csv else Dialect(),
+        dialect=Dialect(*[row[k] for k in DIALECT_KEYS]) if csv else Dialect(),
         header=tuple(row["header"]),
         clean=tuple(row["clean"]),
         columns=tuple(row["columns"]),
@@ -391,24 +397,27 @@ def _moved(seq: Column, reference: Column, first: Column) -> Column:
 
 def _scan_paths(
     root: str, n_csv: Mapping[str, int], files: DataFrame, groups: Sequence[LayoutGroup]
-) -> dict[tuple[str, str], list[str]]:
-    """Paths to read per layout group: the folder when it holds nothing else, else the files."""
-    paths: dict[tuple[str, str], list[str]] = {}
-    listed: set[tuple[str, str]] = set()
+) -> dict[tuple[str, Dialect], list[str]]:
+    """CSV paths to read per dataset and dialect: the folder when all its files have it, else the files."""
+    n_files: dict[tuple[str, Dialect], int] = {}
     for group in groups:
-        if group.file_format == "csv" and group.n_files == n_csv.get(group.dataset):
-            paths[group.dataset, group.layout_id] = [_literal_path(f"{normal_root(root)}/{group.dataset}")]
+        if group.file_format == "csv":
+            key = (group.dataset, group.dialect)
+            n_files[key] = n_files.get(key, 0) + group.n_files
+    paths: dict[tuple[str, Dialect], list[str]] = {}
+    listed = set()
+    for (dataset, dialect), n in n_files.items():
+        if n == n_csv.get(dataset):
+            paths[dataset, dialect] = [_literal_path(f"{normal_root(root)}/{dataset}")]
         else:
-            listed.add((group.dataset, group.layout_id))
+            listed.add(dataset)
     if listed:
         # The same paths that Spark's file index of these readers holds.
-        wanted = F.col("dataset").isin(*{d for d, _ in listed}) & F.col("layout_id").isin(*{i for _, i in listed})
-        for row in files.where(wanted).select("dataset", "layout_id", "path", "file_path", "file_format").collect():
-            key = (row["dataset"], row["layout_id"])
-            if key in listed:
-                paths.setdefault(key, []).append(
-                    _literal_path(row["path"]) if row["file_format"] == "csv" else row["file_path"]
-                )
+        wanted = F.col("dataset").isin(*listed) & (F.col("file_format") == "csv")
+        for row in files.where(wanted).select("dataset", "path", *DIALECT_KEYS).collect():
+            key = (row["dataset"], Dialect(*[row[k] for k in DIALECT_KEYS]))
+            if key in n_files:
+                paths.setdefault(key, []).append(_literal_path(row["path"]))
     return paths
 
 
@@ -426,59 +435,106 @@ class _Built:
     warnings: list[str]
 
 
-def _mapped(group: LayoutGroup, renames: Mapping[str, str]) -> dict[str, tuple[Column, Column]]:
-    """Final name to (text, is-date) columns of one layout group, in layout order."""
-    dated = group.file_format == "excel"
-    out: dict[str, tuple[Column, Column]] = {}
-
-    def add(name: str, value: tuple[Column, Column]) -> None:
-        out[name] = _fill(out[name], value) if name in out else value
-
-    for position, name in enumerate(group.clean):
-        add(name, (F.col(cell(position)), F.col(f"d{position}") if dated else F.lit(False)))
+def _places(group: LayoutGroup, renames: Mapping[str, str]) -> dict[str, list[int]]:
+    """Final name to the places of its cells, the preferred one first, in layout order."""
+    own: dict[str, list[int]] = {}
+    for place, name in enumerate(group.clean):
+        own.setdefault(name, []).append(place)
     for kept, dropped in group.folds:
-        out[kept] = _fill(out[kept], out.pop(dropped))
-    found, out = list(out.items()), {}
-    for name, value in found:
-        add(renames.get(name, name), value)
+        own[kept] = own[kept] + own.pop(dropped)
+    out: dict[str, list[int]] = {}
+    for name, places in own.items():
+        out.setdefault(renames.get(name, name), []).extend(places)
     return out
 
 
-def _fill(first: tuple[Column, Column], second: tuple[Column, Column]) -> tuple[Column, Column]:
-    return F.coalesce(first[0], second[0]), F.when(first[0].isNotNull(), first[1]).otherwise(second[1])
+def _join_places(
+    rows: DataFrame, files: DataFrame, names: Sequence[str], members: Sequence[tuple[LayoutGroup, Mapping[str, list[int]]]]
+) -> DataFrame:
+    """Add ``width`` and ``places`` of each row's file: per final name the places of its cells."""
+    at = {name: i for i, name in enumerate(names)}
+    pairs = [
+        (g.layout_id, len(g.header), [(at[name], place) for name, found in places.items() if name in at for place in found])
+        for g, places in members
+    ]
+    table = rows.sparkSession.createDataFrame(
+        pairs, "layout_id string, width int, pairs array<struct<name: int, place: int>>"
+    )
+
+    def of_name(i: Column) -> Column:
+        return F.transform(F.filter("pairs", lambda pair: pair["name"] == i), lambda pair: pair["place"])
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), of_name)
+    known = files.select("layout_id", F.col("file_path").alias("_file")).join(table, "layout_id")
+    known = materialize(known.select("_file", "width", every.alias("places")), "places")
+    size = sum(g.n_files for g, _ in members) * (256 + 32 * len(names))
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), "_file")
+    return salted_left_join(rows, known.hint("merge"), ["_file"], ["_row"])
+
+
+def _first_value(places: Sequence[Any], text: Callable, dated: Callable | None) -> tuple[Column, Column]:
+    """The first value at the places, and whether it comes from a date cell."""
+    if not places:
+        return F.lit(None).cast("string"), F.lit(False)
+    is_date = F.lit(False)
+    for place in reversed(places if dated else []):
+        is_date = F.when(text(place).isNotNull(), dated(place)).otherwise(is_date)
+    return F.coalesce(*[text(place) for place in places]), is_date
 
 
 def _build_dataset(
     spark: SparkSession,
     name: str,
     groups: list[LayoutGroup],
-    paths: Mapping[tuple[str, str], list[str]],
+    files: DataFrame,
+    paths: Mapping[tuple[str, Dialect], list[str]],
     renames: Mapping[str, str],
     options: MergeOptions,
 ) -> _Built:
     own = options.for_dataset(name)
-    maps = [_mapped(group, renames) for group in groups]
-    names = list(own.columns) or list(dict.fromkeys(n for mapped in maps for n in mapped))
+    placed = [(group, _places(group, renames)) for group in groups]
+    names = list(own.columns) or list(dict.fromkeys(n for _, places in placed for n in places))
     with_dates = any(group.file_format == "excel" for group in groups)
+    # One scan reads all layouts of a dialect, and one all workbooks.
+    scans: dict[tuple[str, Dialect], list] = {}
+    for group, places in placed:
+        scans.setdefault((group.file_format, group.dialect), []).append((group, places))
 
     parts, rejects = [], []
-    for group, mapped in zip(groups, maps):
-        width = len(group.header)
-        where = paths[(group.dataset, group.layout_id)]
-        if group.file_format == "csv":
-            scan = scan_csv(spark, where, width, group.dialect)
-            rows = good_rows(scan, width, group.dialect)
-            over = rejected_rows(scan, width, group.dialect)
+    for (file_format, dialect), members in scans.items():
+        widest = max(len(group.header) for group, _ in members)
+        varied = len(members) > 1
+        if file_format == "csv":
+            scan = scan_csv(spark, paths[name, dialect], widest, dialect)
+            width = None
+            if varied:
+                scan, width = _join_places(scan, files, names, members), F.col("width")
+            over = rejected_rows(scan, widest, dialect, width)
             rejects.append(over.select(F.lit(name).alias("dataset"), "file_path", "n_fields", "n_columns", "cells", "record"))
+            rows = good_rows(scan, widest, dialect, width)
+            if varied:
+                rows = rows.select(F.array(*[cell(i) for i in range(widest)]).alias("cells"), "places", *PROVENANCE)
         else:
             # Decoding a sheet costs more than writing its rows, and they are read twice.
-            sheets = scan_workbooks(spark.createDataFrame([(p,) for p in where], "file_path string"), width)
-            rows = materialize(sheets, "sheets")
-        rank = "0:" if group.file_format == "excel" else "2:"
+            books = files.where(F.col("file_format") == "excel").select("file_path", F.size("header").alias("width"))
+            rows = materialize(scan_workbooks(books), "sheets")
+            if varied:
+                rows = _join_places(rows, files, names, members)
+        dated = (lambda place: F.get("dated", place)) if file_format == "excel" else None
+        text = (lambda place: F.get("cells", place)) if varied or dated else (lambda place: F.col(cell(place)))
+        cells = []
+        for i, n in enumerate(names):
+            if varied:
+                most = max(len(places.get(n, ())) for _, places in members)
+                at = [F.get(F.get("places", F.lit(i)), F.lit(k)) for k in range(most)]
+            else:
+                at = [F.lit(p) for p in members[0][1].get(n, ())] if dated else members[0][1].get(n, ())
+            cells.append(_first_value(at, text, dated))
+        lead = members[0][0]
+        rank = "0:" if file_format == "excel" else "2:"
         seq = F.concat(F.lit(rank), F.element_at(F.split("_file", "/"), -1))
-        seq = _moved(seq, F.lit(group.reference), F.lit(group.first))
-        blank = (F.lit(None).cast("string"), F.lit(False))
-        cells = [mapped.get(n, blank) for n in names]
+        seq = _moved(seq, F.lit(lead.reference), F.lit(lead.first))
         flags = [d.alias(f"t{i}") for i, (_, d) in enumerate(cells)] if with_dates else []
         parts.append(
             rows.select(

@@ -1,4 +1,4 @@
-"""Row scans: one reader per layout group (files that share dialect and header)."""
+"""Row scans: one reader per dialect, whichever headers its files have."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabmeld.functions.cells import null_if_missing
+from tabmeld.functions.cells import null_if_missing, null_if_missing_value
 from tabmeld.sources import decode
 
 # Rows handed to Spark at a time by the workbook reader.
@@ -22,7 +22,7 @@ PROVENANCE = ("_file", "_block", "_row")
 
 @dataclass(frozen=True)
 class Dialect:
-    """How the files of one CSV layout group are written."""
+    """How CSV files are written; one scan reads all files of a dialect."""
 
     charset: str = "UTF-8"
     sep: str = ","
@@ -187,44 +187,63 @@ def field_count(record: Column, dialect: Dialect) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(dialect.sep), F.lit(""))) + 1
 
 
-def is_overlong(width: int, dialect: Dialect) -> Column:
-    """True for records with more fields than the header; short ones are padded instead."""
+def is_overlong(width: Column, widest: int, dialect: Dialect) -> Column:
+    """True for records with more fields than the ``width`` of their file's header.
+
+    ``widest`` is the number of cells scanned; short records are padded instead.
+    """
     record = F.col(RECORD)
     # Spark refuses a scan that reads nothing but the raw record, hence a look at one cell.
     readable = F.length(F.concat_ws("", record, cell(0))) >= 0
-    return record.isNotNull() & readable & (field_count(record, dialect) > width)
+    # Delimiters inside quotes count here too, so few records need the costly count.
+    may_be = F.length(record) - F.length(F.replace(record, F.lit(dialect.sep), F.lit(""))) >= width
+    over = readable & may_be & (field_count(record, dialect) > width)
+    return F.when(record.isNull(), F.lit(widest) > width).otherwise(over)
 
 
-def good_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
-    """Records that fit the header, with missing-value tokens as NULL."""
-    return scan.where(~is_overlong(width, dialect)).select(
-        *[null_if_missing(cell(i)).alias(cell(i)) for i in range(width)], *PROVENANCE
-    )
+def good_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | None = None) -> DataFrame:
+    """Records that fit their header, with missing-value tokens as NULL.
+
+    Without ``width`` all headers are as wide as the scan. Further columns of ``scan`` stay.
+    """
+    width = F.lit(widest) if width is None else width
+    names = [cell(i) for i in range(widest)]
+    others = [name for name in scan.columns if name not in names and name != RECORD]
+    fitting = scan.where(~is_overlong(width, widest, dialect))
+    return fitting.select(*[null_if_missing(name).alias(name) for name in names], *others)
+
 
+def rejected_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | None = None) -> DataFrame:
+    """Records with too many fields: their leading cells and their raw text.
 
-def rejected_rows(scan: DataFrame, width: int, dialect: Dialect) -> DataFrame:
-    """Records with too many fields: their leading cells and their raw text."""
-    return scan.where(is_overlong(width, dialect)).select(
+    A record with just as many fields as the widest header has no raw text; its fields are
+    written afresh.
+    """
+    width = F.lit(widest) if width is None else width
+    cells = [F.col(cell(i)) for i in range(widest)]
+    afresh = F.to_csv(F.struct(*cells), {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.quote})
+    n_fields = F.coalesce(field_count(F.col(RECORD), dialect), F.lit(widest))
+    return scan.where(is_overlong(width, widest, dialect)).select(
         F.col("_file").alias("file_path"),
-        field_count(F.col(RECORD), dialect).alias("n_fields"),
-        F.lit(width).alias("n_columns"),
-        F.array(*[F.col(cell(i)) for i in range(width)]).alias("cells"),
-        F.regexp_replace(RECORD, "[\r\n]+$", "").alias("record"),
+        n_fields.alias("n_fields"),
+        width.alias("n_columns"),
+        F.slice(F.array(*cells), 1, width).alias("cells"),
+        F.coalesce(F.regexp_replace(RECORD, "[\r\n]+$", ""), afresh).alias("record"),
     )
 
 
-def scan_workbooks(files: DataFrame, width: int) -> DataFrame:
+def scan_workbooks(files: DataFrame) -> DataFrame:
     """Rows of the first sheet of each workbook, as ``cells`` and ``dated`` arrays.
 
-    ``files`` needs a ``file_path`` column. Sheets are decoded block by block, so a task
-    never holds a whole workbook's rows.
+    ``files`` needs a ``file_path`` and the ``width`` of each header. Sheets are decoded block
+    by block, so a task never holds a whole workbook's rows.
     """
     rows_of = decode.workbook_rows
     block_rows = WORKBOOK_BLOCK_ROWS
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uri in batch["file_path"]:
+            for uri, width in zip(batch["file_path"], batch["width"]):
                 block = []
                 for number, cells, dated in rows_of(uri, width):
                     block.append((uri, 0, number, cells, dated))
@@ -236,9 +255,6 @@ def scan_workbooks(files: DataFrame, width: int) -> DataFrame:
     names = [*PROVENANCE, "cells", "dated"]
     schema = "_file string, _block bigint, _row bigint, cells array<string>, dated array<boolean>"
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
-    rows = files.select("file_path").repartition(tasks).mapInPandas(read, schema)
-    return rows.select(
-        *[null_if_missing(f"cells[{i}]").alias(cell(i)) for i in range(width)],
-        *[F.col("dated")[i].alias(f"d{i}") for i in range(width)],
-        *PROVENANCE,
-    )
+    rows = files.select("file_path", "width").repartition(tasks).mapInPandas(read, schema)
+    known = F.transform("cells", null_if_missing_value)
+    return rows.select(known.alias("cells"), "dated", *PROVENANCE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabmeld.plans.consolidate import consolidate
 from tabmeld.plans.options import MergeOptions
@@ -374,3 +375,33 @@ def test_name_change_log_and_scratch(spark, write):
     assert [r["change"] for r in run.name_changes.collect()] == ["'id ' → 'ID'"]
     assert run.outputs["n"].count() == 2
     assert clear_scratch(spark) > 0 and clear_scratch(spark) == 0
+
+
+def test_headers_of_one_dialect_share_a_scan(spark, write):
+    """Differing headers, widths and folds: one scan, per-file places, per-file record checks."""
+    write("d/a.csv", "ID,Flag,x\n1,f,7\n2,g,8\n")
+    write("d/b.csv", "x,ID\n9,3\n9,4,5\n9,4,5,6\n\"1,1\",5\n")
+    write("d/c.csv", "Flag,id,ID\n,,6\nh,7,8,z\nh,7,8\n")
+    write("d/e.csv", "x,Flags,Flag,ID\n1,p,,9\n2,,q,10\n3\n")
+    root = write("d/f.csv", "Flag;ID\nk;11\n")
+    run = consolidate(spark, root, {"conflict_policy": "keep_second"})
+    out = run.outputs["d"]
+    assert rows(out.select("ID", "Flag", "x"), "ID", "x") == [
+        (None, None, "3"), (1, "f", "7"), (2, "g", "8"), (3, None, "9"), (5, None, "1,1"), (6, None, None),
+        (7, "h", None), (9, "p", "1"), (10, "q", "2"), (11, "k", None),
+    ]
+    found = run.rejects.select(F.element_at(F.split("file_path", "/"), -1), "n_fields", "n_columns", "cells", "record")
+    assert sorted(tuple(row) for row in found.collect()) == [
+        ("b.csv", 3, 2, ["9", "4"], "9,4,5"), ("b.csv", 4, 2, ["9", "4"], "9,4,5,6"),
+        ("c.csv", 4, 3, ["h", "7", "8"], "h,7,8,z"),
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(" csv") == 2
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_many_files_are_joined_with_their_places(spark, write, monkeypatch, limit):
+    monkeypatch.setattr("tabmeld.plans.consolidate.BROADCAST_BYTES", limit)
+    for n in range(12):
+        root = write(f"d/f{n:02d}.csv", f"a,b\n{n},x\n" if n % 2 else f"b,c,a\ny,1,{n}\n")
+    out = consolidate(spark, root).outputs["d"]
+    assert rows(out.select("a", "b", "c"), "a") == [(n, "x", None) if n % 2 else (n, "y", 1) for n in range(12)]
