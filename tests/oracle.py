@@ -58,8 +58,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     right = sorted(tuple(map(_cell, row)) for row in want)
     if left == right:
         return True, f"{len(left)} rows, {spent}"
-    odd_left = [row for row in left if row not in set(right)][:2]
-    odd_right = [row for row in right if row not in set(left)][:2]
+    known_left, known_right = set(left), set(right)
+    odd_left = [row for row in left if row not in known_right][:2]
+    odd_right = [row for row in right if row not in known_left][:2]
     return False, f"{len(left)} vs {len(right)} rows\n   spark {str(odd_left)[:700]}\n   sql   {str(odd_right)[:700]}"
 
 

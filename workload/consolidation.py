@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice, permutations
+
 from pyspark.sql import functions as F
 
 from tabmeld.plans.consolidate import Consolidation, consolidate
 from tabmeld.plans.report import metric_table, output_shapes, run_summary
 from tabmeld.plans.sink import read_output, stacked, write_outputs, write_partitioned
 from workload import query, table
-from workload.exports import new_root, write_csv, write_file
+from workload.exports import new_root, write_csv, write_file, write_varied_headers
 
 
 ADS_FILES = 8
@@ -283,3 +285,29 @@ def conflict_policies(spark, sf_dir):
 def dataset_status(spark, sf_dir):
     run = consolidate(spark, _ads(spark, sf_dir, "status"))
     return run.status_table(spark).select("dataset", "status", "n_rows")
+
+
+# One file per header: orders of the columns, and a plural in every third one.
+MANY_HEADERS = 1000
+
+
+@query(
+    "consolidate_many_headers",
+    """SELECT l_orderkey AS "ID", l_linenumber AS "Line", l_returnflag AS "Flag", l_linestatus AS "State",
+       l_quantity AS "Impressions", l_extendedprice AS "Cost", l_partkey AS "Part", 1 AS n_scans FROM lineitem""",
+)
+def many_headers(spark, sf_dir):
+    """A thousand distinct headers of one dialect: all rows in one layout, from one scan."""
+    columns = [
+        "l_orderkey AS id", "l_linenumber AS Line", "l_returnflag AS Flag", "l_linestatus AS State",
+        "l_quantity AS Impressions", "l_extendedprice AS Cost", "l_partkey AS Part",
+    ]
+    headers = [list(order) for order in islice(permutations(columns), MANY_HEADERS)]
+    for header in headers[::3]:
+        header[header.index("l_quantity AS Impressions")] = "l_quantity AS Impression"
+    root = new_root(spark, "headers")
+    lines = table(spark, sf_dir, "lineitem").select(*[part.split(" AS ")[0] for part in columns])
+    write_varied_headers(lines, headers, root, "ads")
+    out = consolidate(spark, root).outputs["ads"]
+    n_scans = out._jdf.queryExecution().executedPlan().toString().count("FileScan csv")
+    return out.select("ID", "Line", "Flag", "State", "Impressions", "Cost", "Part", F.lit(n_scans).alias("n_scans"))

@@ -18,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Rows of one workbook; the format allows about a million.
 WORKBOOK_ROWS = 50_000
 
+# Files that one task writes at a time.
+HEADERS_PER_TASK = 50
+
 
 def new_root(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, f"export-{label}")
@@ -64,6 +67,41 @@ def write_lines(df: DataFrame, line, header: str, root: str, dataset: str, chars
     )
 
 
+def write_varied_headers(df: DataFrame, headers: Sequence[Sequence[str]], root: str, dataset: str) -> None:
+    """One comma-separated file per header, all columns of ``df`` in the order of that header.
+
+    A header names its columns as ``source AS title``; values must not need quoting.
+    """
+    spark = df.sparkSession
+    target = f"{root}/{dataset}"
+    spark.range(0).write.mode("append").csv(target)
+    orders = [[part.split(" AS ") for part in header] for header in headers]
+
+    each = HEADERS_PER_TASK
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from contextlib import ExitStack
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        mine = orders[part * each : (part + 1) * each]
+        system, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
+        with ExitStack() as stack:
+            names = [f"{path}/part-{part:05d}-{number:03d}.csv" for number in range(len(mine))]
+            files = [stack.enter_context(system.open_output_stream(name)) for name in names]
+            for out, order in zip(files, mine):
+                out.write((",".join(title for _, title in order) + "\n").encode("utf-8"))
+            for batch in batches:
+                for number, (out, order) in enumerate(zip(files, mine)):
+                    rows = batch.iloc[number :: len(mine)][[source for source, _ in order]]
+                    out.write(rows.to_csv(index=False, header=False).encode("utf-8"))
+        yield pd.DataFrame({"n": [len(mine)]})
+
+    df.repartition(-(-len(orders) // each)).mapInPandas(write, "n bigint").agg(F.sum("n")).first()
+
+
 def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: str) -> int:
     """Write ``df`` as .xlsx files of bounded length; returns the number of rows written."""
     spark = df.sparkSession
