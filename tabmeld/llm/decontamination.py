@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from tabmeld.llm.near_dedup import text_key
 from tabmeld.llm.text import ALNUM, Words, mix, pieces
 from tabmeld.session import materialize
 
-# Places that each mask keeps, from its first token.
-MASKS = ((0, 1, 3, 5, 8, 9), (0, 2, 3, 6, 7, 10), (0, 1, 4, 5, 7, 8))
+# Places that each mask keeps, from its first token. Any stretch of LEAST_TOKENS or more of which
+# LEAST_SHARE agrees, both ends included, holds one of them: no stretch without a hit agrees that much.
+MASKS = ((0, 1, 3, 5, 8, 9), (0, 2, 3, 6, 7, 10), (0, 1, 4, 5, 7, 8), (0, 1, 2, 3, 5, 6), (0, 1, 2, 8, 9, 10))
 SPAN = 1 + max(mask[-1] for mask in MASKS)
 LEAST_TOKENS = 13
 LEAST_SHARE = 0.8
@@ -40,9 +42,24 @@ FILTER_BITS = 1 << 24
 _STEP = 0x9E3779B97F4A7C15
 
 
+def short_masks(tokens: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item below LEAST_TOKENS tokens: one of them misses all substitutions that it may have.
+
+    The places between the ends are cut into two blocks more than there may be substitutions; each
+    mask leaves out as many blocks as there may be substitutions.
+    """
+    spare = tokens - -(-tokens * 4 // 5)  # substitutions that leave 80 percent
+    if not spare:
+        return [tuple(range(tokens))]
+    blocks = np.array_split(np.arange(1, tokens - 1), spare + 2)
+    return [
+        tuple(sorted({0, tokens - 1}.union(*(block.tolist() for block in kept)))) for kept in combinations(blocks, 2)
+    ]
+
+
 def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
-    """The fixed masks, and an unspaced one for each length of items too short for all of them."""
-    return [*MASKS, *(tuple(range(n)) for n in sorted(lengths) if 0 < n < SPAN)]
+    """The fixed masks, and those of each length of items below LEAST_TOKENS."""
+    return [*MASKS, *(mask for n in sorted(lengths) if 0 < n < LEAST_TOKENS for mask in short_masks(n))]
 
 
 def seed_hashes(hashes: np.ndarray, first: np.ndarray, mask: tuple[int, ...], number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +228,9 @@ def _seed_rows(masks: list[tuple[int, ...]]):
             for number, mask in enumerate(masks):
                 hashes, places = seed_hashes(words.hashes, words.first, mask, number)
                 owner = np.searchsorted(words.first, places, side="right") - 1
+                if number >= len(MASKS):  # the masks of one length are for items of that length
+                    whole = words.counts()[owner] == mask[-1] + 1
+                    hashes, places, owner = hashes[whole], places[whole], owner[whole]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.view(np.int64)),
@@ -316,8 +336,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: Column, index_rows: in
         tests.select("item_id", "text").mapInArrow(_token_rows, "item_id long, item_tokens binary, n_tokens long"),
         "tokens",
     )
-    # At most SPAN different lengths below the span.
-    short = {row.n_tokens for row in tokens.where(F.col("n_tokens") < SPAN).select("n_tokens").distinct().collect()}
+    # Fewer than LEAST_TOKENS different lengths.
+    short = {row.n_tokens for row in tokens.where(F.col("n_tokens") < LEAST_TOKENS).select("n_tokens").distinct().collect()}
     masks = masks_for(short)
     seeds = materialize(
         tests.select("item_id", "text").mapInArrow(_seed_rows(masks), "hash long, item_id long, item_place long"),
