@@ -10,7 +10,12 @@ There are no labelled spans to learn from. Teachers label candidates instead, by
 the trees do not see: a contact is personal if it holds a valid address, a number if the digits
 of a valid card, phone or ip meet it, a secret if a word such as "token" or "password" assigns
 it. The trees see formats and neighbouring characters only, and so carry the teachers' verdict
-over to candidates of the same look that no rule covers.
+over to candidates of the same look that no rule covers. What a teacher confirms is always
+redacted; the trees decide about the rest only.
+
+A contact or number that the rules reject counts as clean, as they test its content. A secret
+without a cue counts as unlabelled: the cue is taken to stand beside a share of the secrets that
+does not depend on their look, estimated from held-out secrets with a cue.
 
 All work on rows is done by column expressions. Features have few values, so the fit needs only
 one count per combination of them, which bounds what the driver gets.
@@ -50,8 +55,8 @@ TREES = 24
 RATE = 0.3
 PRECISION = 0.9
 FIT_PARTS = 5
-# A kind without this many positive candidates selects nothing.
-LEAST_POSITIVE = 20
+# Kinds whose candidates are unlabelled, not clean, where the teacher confirms nothing.
+UNLABELLED = ("secret",)
 
 
 def _cuts(value: Column, limits: tuple[float, ...]) -> Column:
@@ -230,15 +235,19 @@ def _value(tree: tuple, features: tuple) -> float:
     return tree[1]
 
 
-def fit(counts: list[tuple[tuple, bool, int, int]]) -> Selector | None:
+def fit(counts: list[tuple[tuple, bool, int, int]], unlabelled: bool = False) -> Selector | None:
     """Fit one kind on (features, part held out?, candidates, positive ones) and set its threshold.
 
     The threshold is the lowest score, even odds at least, from which candidates held out are
-    positive with the wanted precision; None if there are too few positive candidates or no such
-    score.
+    personal with the wanted precision; None without a positive candidate or such a score. With
+    ``unlabelled``, a candidate that is not positive counts as personal by its estimated chance
+    (Elkan and Noto), which no number of missing cues brings down for a whole look. Without a
+    positive candidate on either side of the split, all are fitted and judged.
     """
+    if any(not any(good for _, held, _, good in counts if held == side) for side in (True, False)):
+        counts = [(features, held, n, good) for features, _, n, good in counts for held in (True, False)]
     cells = [(features, n, good) for features, held, n, good in counts if not held and n]
-    if sum(good for *_, good in cells) < LEAST_POSITIVE:
+    if not sum(good for *_, good in cells):
         return None
     n, good = sum(c[1] for c in cells), sum(c[2] for c in cells)
     start = math.log((good + 1) / (n - good + 1))
@@ -256,16 +265,25 @@ def fit(counts: list[tuple[tuple, bool, int, int]]) -> Selector | None:
             slot = judged[round(start + RATE * sum(_value(tree, features) for tree in trees), 9)]
             slot[0] += count
             slot[1] += positive
-    threshold, seen, right = None, 0, 0
+    odds = {score: math.exp(max(-30.0, min(30.0, score))) for score in judged}
+    share = 1.0  # of the personal candidates, how many are positive
+    if unlabelled:
+        # One more that is surely positive keeps a few positives from calling everything personal.
+        positives = sum(positive for _, positive in judged.values())
+        told = sum(positive * odds[score] / (1 + odds[score]) for score, (_, positive) in judged.items())
+        share = (told + 1) / (positives + 1)
+    threshold, seen, right = None, 0, 0.0
     ordered = sorted(judged, reverse=True)
+    even = math.log(share / (2 - share))  # the score at which a candidate is personal by even odds
     for at, score in enumerate(ordered):
-        if score < 0:  # less likely than not, however precise the scores above are
+        if score < even:  # less likely than not, however precise the scores above are
             break
-        seen += judged[score][0]
-        right += judged[score][1]
+        count, positive = judged[score]
+        seen += count
+        right += positive + (count - positive) * min(1.0, (1 - share) / share * odds[score])
         if right >= PRECISION * seen:
             # Halfway to the next lower score, as rare combinations score between those that were held out.
-            threshold = max(0.0, (score + ordered[at + 1]) / 2) if at + 1 < len(ordered) else 0.0
+            threshold = max(even, (score + ordered[at + 1]) / 2) if at + 1 < len(ordered) else even
     return None if threshold is None else Selector(start, trees, threshold - 1e-6)
 
 
@@ -323,16 +341,22 @@ def train(gathered: DataFrame, held_out: Column) -> dict[str, Selector]:
     by_kind: dict[str, list] = defaultdict(list)
     for row in sorted(counted):
         by_kind[row.kind].append((tuple(row[name] for name in FEATURES), row.held, row.n, row.good))
-    fitted = {kind: fit(counts) for kind, counts in by_kind.items()}
+    fitted = {kind: fit(counts, kind in UNLABELLED) for kind, counts in by_kind.items()}
     return {kind: selector for kind, selector in fitted.items() if selector is not None}
 
 
-def _added(kind: str, selector: Selector) -> Column:
-    """Spans of the selected candidates of a kind that meet none in ``found``."""
+def _added(kind: str, selector: Selector | None) -> Column:
+    """Spans of a kind beside those in ``found``: selected ones that meet none, and cued ones that none covers.
+
+    A valid rule's span confirms a contact or a number, and is in ``found`` itself.
+    """
 
     def wanted(cell: Column) -> Column:
-        free = ~F.exists("found", lambda f: _meet(cell, f))
-        return (cell["kind"] == kind) & _selected(selector, cell) & free
+        covered = F.exists("found", lambda f: (f["start"] <= cell["start"]) & (cell["end"] <= f["end"]))
+        out = F.lit(kind == "secret") & F.coalesce(cell["cue"], F.lit(False)) & ~covered
+        if selector is not None:
+            out = out | (_selected(selector, cell) & ~F.exists("found", lambda f: _meet(cell, f)))
+        return (cell["kind"] == kind) & out
 
     return F.transform(F.filter("loose", wanted), lambda c: F.struct(c["rank"], c["start"], c["end"], c["kind"]))
 
@@ -340,9 +364,10 @@ def _added(kind: str, selector: Selector) -> Column:
 def find_personal_data(docs: DataFrame, doc_id: Column) -> DataFrame:
     """doc_id and ``found`` for every row: an array of (rank of the kind, start, end, kind), sorted.
 
-    The four rules' valid matches are all there. A loose candidate is added if the trees select it
-    and no rule's span, and no selected loose span of an earlier kind in the order secret, contact,
-    number, meets it. Null and empty texts and texts without matches give an empty array;
+    The four rules' valid matches are all there, and so are secrets that a cue confirms, unless one
+    rule's span covers all of them. Any other loose candidate is added if the trees select it and no
+    rule's span, and no added loose span of an earlier kind in the order secret, contact, number,
+    meets it. Null and empty texts and texts without matches give an empty array;
     repeated rows get equal results; an empty table gives an empty table.
     """
     gathered = materialize(gather(judge_rules(candidates(docs, doc_id))), "candidates")
@@ -350,13 +375,12 @@ def find_personal_data(docs: DataFrame, doc_id: Column) -> DataFrame:
     selectors = train(gathered, held)
     out = gathered.withColumnRenamed("sure", "found")
     for kind in ("secret", "contact", "number"):
-        if kind in selectors:
-            out = out.withColumn("found", F.concat("found", _added(kind, selectors[kind])))
+        out = out.withColumn("found", F.concat("found", _added(kind, selectors.get(kind))))
     return out.select("doc_id", F.array_sort("found").alias("found"))
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with every span of ``found`` replaced by its kind in brackets; of spans that meet, the first counts."""
+    """The text with every span of ``found`` replaced by its kind in brackets; spans that meet go as one, by the first's kind."""
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
@@ -365,7 +389,7 @@ def redact(text: Column, found: Column) -> Column:
         piece = F.concat(state["text"], gap, F.lit("["), s["kind"], F.lit("]"))
         return F.when(
             s["start"] >= state["at"], F.struct(piece.alias("text"), s["end"].alias("at"))
-        ).otherwise(state)
+        ).otherwise(F.struct(state["text"].alias("text"), F.greatest(state["at"], s["end"]).alias("at")))
 
     return F.aggregate(
         ordered, start, add,
