@@ -3,22 +3,27 @@
 Every response record gives one ``metadata`` record about it and one ``conversion`` record with
 its plain text. Both refer to the response by its record id and keep its URI and date; the
 metadata block names the source's headers and digests. Record ids are derived from the source
-id and the block, so reruns agree. All steps are column expressions.
+id and the block, so reruns agree. All steps but the decoding of character references are column
+expressions.
 """
 
 from __future__ import annotations
 
+import html as html_names
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VERSION = "WARC/1.1"
 TEXT_TYPE = "text/plain"
 FIELDS_TYPE = "application/warc-fields"
 
-# Entities that text often holds; "&amp;" comes last, so nothing is decoded twice.
+# The entities that the query's SQL decodes; plain_text decodes all of HTML.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BLOCK_TAGS = (
@@ -40,14 +45,29 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
+
+
+@lru_cache(1 << 14)
+def _referred(reference: str) -> str:
+    value = html_names.unescape(reference)
+    return " " if value in ("\t", "\n", "\f", "\r", "\xa0") else value
+
+
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Texts with all named and numeric character references of HTML decoded once; those of blanks give a space."""
+    return texts.map(
+        lambda text: _REFERENCE.sub(lambda found: _referred(found[0]), text) if text and "&" in text else text
+    )
+
+
 def plain_text(html: Column) -> Column:
     """Visible text of a page: one line per block, blanks squeezed, no empty lines."""
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
     text = F.regexp_replace(text, BLOCK_TAGS, "\n")
     text = F.regexp_replace(text, ANY_TAG, "")
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
+    text = F.pandas_udf(_decoded, T.StringType())(text)
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
