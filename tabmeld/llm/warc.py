@@ -95,19 +95,53 @@ def responses(pages: DataFrame, uri: str, payload: str, identity: str, date: str
     ).withColumn("block_digest", digest(F.concat("http_headers", "payload")))
 
 
+def _as_text(payloads: pd.Series, headers: pd.Series) -> pd.Series:
+    """Payload bytes as text, by the charset that the headers name, else as UTF-8."""
+    def text(payload: bytes | None, header: str | None) -> str | None:
+        named = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([A-Za-z0-9._:-]+)", header or "")
+        try:
+            return None if payload is None else payload.decode(named[1] if named else "utf-8", "replace")
+        except (LookupError, UnicodeError):
+            return payload.decode("utf-8", "replace")
+
+    return pd.Series([text(*pair) for pair in zip(payloads, headers, strict=True)], dtype=object)
+
+
+def _other_headers(http: Column, content_type: Column, length: Column) -> Column:
+    """A field for every header line that no other field repeats, in their order; folded lines as one."""
+    lines = F.split(F.regexp_replace(http, r"\r?\n[ \t]+", " "), r"\r?\n")
+
+    def told(line: Column) -> Column:
+        name = F.lower(F.trim(F.substring_index(line, ":", 1)))
+        value = F.trim(F.regexp_replace(line, r"^[^:]*:", ""))
+        return ((name == "content-type") & (value == content_type)) | ((name == "content-length") & (value == length))
+
+    kept = F.filter(lines, lambda line, at: (at > 0) & (F.trim(line) != "") & ~told(line))
+    return F.array_join(F.transform(kept, lambda line: F.concat(F.lit("\r\nsource-header: "), line)), "")
+
+
 def derive(source: DataFrame) -> DataFrame:
     """Two records per response: page_id, record_type, the WARC headers as columns, and ``block``.
 
-    Pages without visible text give an empty conversion record. Repeated responses give equal
-    records; an empty table gives an empty table.
+    The metadata block has a ``source-header`` field for each header line of the response but
+    Content-Type, and Content-Length where it is the payload's, which have fields of their own.
+    ``payload`` is text or bytes; transfer and content codings of bytes are not undone. Pages
+    without visible text give an empty conversion record. Repeated responses give equal records;
+    an empty table gives an empty table.
     """
-    text = source.withColumn("_text", plain_text(F.col("payload")))
+    payload = F.col("payload")
+    if isinstance(source.schema["payload"].dataType, T.BinaryType):
+        payload = F.pandas_udf(_as_text, T.StringType())("payload", "http_headers")
+    text = source.withColumn("_text", plain_text(payload))
+    length = F.octet_length("payload").cast("string")
+    content_type = F.trim(F.regexp_extract("http_headers", r"(?im)^content-type:([^\r\n]*)", 1))
     fields = F.concat(
         F.lit("source-payload-digest: "), F.col("payload_digest"),
         F.lit("\r\nsource-block-digest: "), F.col("block_digest"),
-        F.lit("\r\nsource-payload-length: "), F.octet_length("payload").cast("string"),
+        F.lit("\r\nsource-payload-length: "), length,
         F.lit("\r\nsource-http-status: "), F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1),
-        F.lit("\r\nsource-content-type: "), F.regexp_extract("http_headers", r"(?i)\r\ncontent-type: ([^\r\n]*)", 1),
+        F.lit("\r\nsource-content-type: "), content_type,
+        _other_headers(F.col("http_headers"), content_type, length),
         F.lit("\r\ntext-digest: "), digest(F.col("_text")),
         F.lit("\r\n"),
     )
@@ -160,28 +194,80 @@ def write_records(records: DataFrame, path: str) -> None:
     record_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+# Columns of a record read from a file, by the header that each one holds.
+_NAMED = {
+    "record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to",
+    "target_uri": "warc-target-uri", "warc_date": "warc-date", "block_digest": "warc-block-digest",
+    "payload_digest": "warc-payload-digest", "content_type": "content-type",
+}
+
+
+def _fields(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines; a line that begins with a blank goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        else:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import gzip
 
-    names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Block-Digest")
     for batch in batches:
         for content in batch["content"]:
             data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
             rows, at = [], 0
             while at < len(data):
                 end = data.index(b"\r\n\r\n", at)
-                lines = data[at:end].decode("utf-8").split("\r\n")
-                fields = dict(line.split(": ", 1) for line in lines[1:])
+                fields = _fields(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+                named = {name.lower(): value for name, value in reversed(fields)}
                 begin = end + 4
-                stop = begin + int(fields["Content-Length"])
-                rows.append([*(fields.get(name) for name in names), data[begin:stop].decode("utf-8")])
+                stop = begin + int(named["content-length"])
+                block, http, payload = data[begin:stop], None, None
+                if named.get("content-type", "").lower().startswith("application/http"):
+                    border = re.search(rb"\r?\n\r?\n", block)
+                    cut = border.end() if border else len(block)
+                    http, payload = block[:cut].decode("latin-1"), block[cut:]
+                held = [named.get(name) for name in _NAMED.values()]
+                pairs = [{"name": name, "value": value} for name, value in fields]
+                rows.append([*held, stop - begin, pairs, http, payload, block.decode("utf-8", "replace")])
                 at = stop + 4
-            yield pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "block_digest", "block"])
+            yield pd.DataFrame(rows, columns=[*_NAMED, "content_length", "fields", "http_headers", "payload", "block"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, gzipped or not, cut by their Content-Length. Each file is held by one task."""
+    """Records of WARC files, gzipped or not, cut by their Content-Length. Each file is held by one task.
+
+    ``fields`` has all header lines as (name, value), and the named ones are columns too. Of HTTP
+    messages, ``http_headers`` ends with the empty line and ``payload`` holds the bytes after it;
+    they are null for other records. ``block`` is the block as UTF-8 text.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(
-        _parse, "record_type string, record_id string, refers_to string, target_uri string, block_digest string, block string"
+        _parse,
+        ", ".join(f"{name} string" for name in _NAMED)
+        + ", content_length long, fields array<struct<name string, value string>>"
+        ", http_headers string, payload binary, block string",
+    )
+
+
+def read_responses(records: DataFrame) -> DataFrame:
+    """The responses among records read from files, as ``derive`` takes them; the record id is the page_id.
+
+    A digest that the file does not give is taken from the bytes.
+    """
+    head = F.encode("http_headers", "ISO-8859-1")
+    return records.where((F.col("record_type") == "response") & F.col("payload").isNotNull()).select(
+        F.col("record_id").alias("page_id"),
+        "record_id",
+        F.coalesce("target_uri", F.lit("")).alias("target_uri"),
+        "warc_date",
+        "http_headers",
+        "payload",
+        F.coalesce("payload_digest", digest(F.col("payload"))).alias("payload_digest"),
+        F.coalesce("block_digest", digest(F.concat(head, F.col("payload")))).alias("block_digest"),
     )

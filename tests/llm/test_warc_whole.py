@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from html.entities import html5
 
 import pytest
@@ -39,3 +41,47 @@ def test_no_given_page_keeps_a_reference(ready):
     pages = ready.read.parquet("/root/testdata/sf0.001/pages.parquet")
     made = warc.derive(warc.responses(pages, "url", "html", "page_id")).where("record_type = 'conversion'")
     assert made.count() == pages.count() and made.where(F.col("block").rlike("&(copy|middot);")).count() == 0
+
+
+def test_files_to_derivatives(ready, tmp_path):
+    """Responses read from a file keep all their headers in the metadata record."""
+    body = "<p>caf\u00e9 &copy;</p>".encode("latin-1")
+    http = (
+        b"HTTP/1.1 404 Not Found\r\nDate: Mon, 01 Jan 2024 00:00:00 GMT\r\nServer: some\r\n thing\r\n"
+        b"content-type:text/html; charset=ISO-8859-1\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Length: 7\r\n"
+        b"Last-Modified: Sun, 31 Dec 2023 00:00:00 GMT\r\n\r\n"
+    )
+
+    def record(kind: str, number: int, content_type: str, block: bytes, *more: str) -> bytes:
+        lines = [
+            "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{number}>", "WARC-Date: 2024-01-01T00:00:00Z",
+            f"Content-Type: {content_type}", *more, f"Content-Length: {len(block)}",
+        ]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    data = record("warcinfo", 1, "application/warc-fields", b"software: x\r\n", "WARC-Filename: f.warc.gz")
+    data += record("response", 2, "application/http; msgtype=response", http + body, "WARC-Target-URI: http://a/", "WARC-IP-Address: 10.0.0.1")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
+    records = warc.read_records(ready, str(tmp_path))
+    info, response = sorted(records.collect(), key=lambda r: r.record_id)
+    assert ("WARC-Filename", "f.warc.gz") in [tuple(f) for f in info.fields] and info.payload is None
+    assert (response.warc_date, response.content_type) == ("2024-01-01T00:00:00Z", "application/http; msgtype=response")
+    assert ("WARC-IP-Address", "10.0.0.1") in [tuple(f) for f in response.fields]
+    assert response.http_headers.encode("latin-1") == http and bytes(response.payload) == body
+    made = {r.record_type: r for r in warc.derive(warc.read_responses(records)).collect()}
+    assert made["conversion"].block == "caf\u00e9 \u00a9"
+    assert {(r.target_uri, r.warc_date, r.refers_to) for r in made.values()} == {("http://a/", "2024-01-01T00:00:00Z", "<urn:uuid:2>")}
+    lines = made["metadata"].block.split("\r\n")
+    assert lines[:-2] == [
+        "source-payload-digest: sha256:" + hashlib.sha256(body).hexdigest(),
+        "source-block-digest: sha256:" + hashlib.sha256(http + body).hexdigest(),
+        f"source-payload-length: {len(body)}",
+        "source-http-status: 404",
+        "source-content-type: text/html; charset=ISO-8859-1",
+        "source-header: Date: Mon, 01 Jan 2024 00:00:00 GMT",
+        "source-header: Server: some thing",
+        "source-header: Set-Cookie: a=1",
+        "source-header: Set-Cookie: b=2",
+        "source-header: Content-Length: 7",
+        "source-header: Last-Modified: Sun, 31 Dec 2023 00:00:00 GMT",
+    ]
