@@ -6,6 +6,7 @@ from itertools import islice, permutations
 
 from pyspark.sql import functions as F
 
+from tabmeld.operators.spread import with_global_rank
 from tabmeld.plans.consolidate import Consolidation, consolidate
 from tabmeld.plans.report import metric_table, output_shapes, run_summary
 from tabmeld.plans.sink import read_output, stacked, write_outputs, write_partitioned
@@ -204,6 +205,14 @@ def csv_round_trip(spark, sf_dir):
     return read_output(spark, written["documents"], "csv", documents.schema)
 
 
+def _write_files_of(df, n_rows, order, root, dataset):
+    """Files of ``n_rows`` rows each, the last one of the rest, written by many tasks."""
+    ranked = with_global_rank(df, order)
+    # A task gets whole groups, so only the one with the last group ends in a shorter file.
+    dealt = ranked.repartition(F.floor((F.col("row_rank") - 1) / n_rows)).drop("row_rank")
+    dealt.write.option("header", True).option("maxRecordsPerFile", n_rows).csv(f"{root}/{dataset}")
+
+
 @query(
     "consolidate_preflight_findings",
     """SELECT 'ads' AS dataset, 'error' AS level, 'missing required columns: Tax' AS message
@@ -212,8 +221,8 @@ def csv_round_trip(spark, sf_dir):
 def preflight_findings(spark, sf_dir):
     """One row per file that lacks a required column, however many there are."""
     root = new_root(spark, "findings")
-    lacking = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").coalesce(1)
-    lacking.write.option("header", True).option("maxRecordsPerFile", 50).csv(f"{root}/ads")
+    lacking = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    _write_files_of(lacking, 50, [F.col("l_orderkey"), F.col("l_quantity")], root, "ads")
     run = consolidate(spark, root, {"sort_by": ["Tax"]})
     return run.findings(spark).select("dataset", "level", "message")
 

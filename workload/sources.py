@@ -11,15 +11,11 @@ from workload import query, table
 from workload.exports import new_root, write_csv, write_file, write_lines, write_workbooks
 
 
-def _orders_by_status(spark, sf_dir, root):
-    (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_totalprice", "o_orderstatus")
-        .coalesce(1)
-        .write.partitionBy("o_orderstatus")
-        .option("header", True)
-        .csv(root)
-    )
+def _orders_by_status(spark, sf_dir, root, one_file: bool = False):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    # One file per folder takes one task per folder.
+    orders = orders.repartition("o_orderstatus") if one_file else orders
+    orders.write.partitionBy("o_orderstatus").option("header", True).csv(root)
 
 
 @query(
@@ -46,7 +42,7 @@ def file_catalog(spark, sf_dir):
 def unlisted_files(spark, sf_dir):
     """Hidden, empty and lock files and earlier results, one row per file."""
     root = new_root(spark, "unlisted")
-    _orders_by_status(spark, sf_dir, root)
+    _orders_by_status(spark, sf_dir, root, one_file=True)
     statuses = table(spark, sf_dir, "orders").select("o_orderstatus").distinct().collect()
     for (status,) in statuses:
         dataset = f"o_orderstatus={status}"
@@ -224,6 +220,12 @@ def long_files(spark, sf_dir):
     return consolidate(spark, root).outputs["lineitem"]
 
 
+def _write_with_ends(rows, ends, root, dataset):
+    """Files of descending ranges of ``k``; the end rows, whose keys are the lowest, end the last one."""
+    lines = rows.union(ends).repartitionByRange(F.desc("k")).sortWithinPartitions(F.desc("k"))
+    write_lines(lines, F.concat_ws(",", "k", "v"), "k,v", root, dataset)
+
+
 @query(
     "source_dialect_any_size",
     """WITH rows AS (SELECT l_orderkey * 10 + l_linenumber AS k, repeat(l_returnflag, 60) AS v FROM lineitem),
@@ -241,8 +243,7 @@ def dialect_any_size(spark, sf_dir):
     half = F.col("k") % 20 < 10
     for dataset, rows in (("long", lineitem), ("short", lineitem.where("k % 1000 = 11"))):
         for part in (rows.where(half), rows.where(~half)):
-            lines = part.union(ends).coalesce(1).sortWithinPartitions((F.col("k") < 0), F.desc("k"))
-            write_lines(lines, F.concat_ws(",", "k", "v"), "k,v", root, dataset)
+            _write_with_ends(part, ends, root, dataset)
     outputs = consolidate(spark, root).outputs
     both = [outputs[name].select(F.lit(name).alias("dataset"), "k", "v") for name in ("long", "short")]
     return both[0].union(both[1])
