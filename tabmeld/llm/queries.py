@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmeld.llm import (
     decontamination,
+    importance_resampling,
     license_scan,
     mixing,
     near_dedup,
@@ -18,7 +19,9 @@ from tabmeld.llm import (
     quality_rules,
     sharding,
     suffix_tree,
+    token_counts,
     warc,
+    whitening,
 )
 from tabmeld.llm.text import ROWS_PER_BATCH
 from tabmeld.session import configure
@@ -153,3 +156,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return suffix_tree.score_documents(docs, F.col("doc_id"), quality_classifier.held_out(F.col("doc_id"), 10))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), F.col("doc_id"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
+@query("op12_importance_resampling")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, F.col("doc_id")).drop("n_words")
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"))
