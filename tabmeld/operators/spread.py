@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tabmeld.session import materialize
 
 SALTS = 32
+# A key is hot if it has more rows than this share of what one task gets on average.
+HOT_SHARE = 0.5
+# Counters of the sketch that finds hot keys; keys beyond one in that many rows are never missed.
+TRACKED = 10_000
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -35,6 +39,46 @@ def salted_left_join(
     return spread.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
+def hot_keys(df: DataFrame, key: Column, tasks: int | None = None) -> DataFrame:
+    """(key, salts) of the keys of ``df`` that hold too large a share of its rows for one task.
+
+    One pass with a mergeable frequent-items sketch of bounded size; nothing is shuffled by key. A
+    key gets as many salts as the tasks that its rows would fill evenly, so their number follows
+    the cluster and all other keys have none. Counts may be too high by one in TRACKED rows, never
+    too low by more. ``key`` must not be an array, struct or map; nulls are not counted.
+    """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(int(tasks / HOT_SHARE) + 1, TRACKED // 3)
+    found = df.select(key.alias("key")).where("key is not null")
+    sketch = found.agg(F.expr(f"approx_top_k(key, {most}, {TRACKED})").alias("top"), F.count("*").alias("n"))
+    share = F.col("item.count") * tasks / F.col("n")  # of what one task gets
+    return (
+        sketch.select("n", F.explode("top").alias("item"))
+        .select(F.col("item.item").alias("key"), F.ceil(share).cast("int").alias("salts"), share.alias("_share"))
+        .where(F.col("_share") > HOT_SHARE)
+        .where("salts > 1")
+        .drop("_share")
+    )
+
+
+def hot_join(
+    big: DataFrame, small: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner", tasks: int | None = None
+) -> DataFrame:
+    """Join on one column that may be hot on the ``big`` side.
+
+    Rows of ``small`` are repeated only for hot keys, once per salt; rows of ``big`` with such a key
+    spread over its salts by a hash of ``spread_by``. ``how`` is inner, left or left_semi.
+    """
+    # At most 2 * tasks rows by the sketch's own limit.
+    hot = materialize(hot_keys(big, F.col(key), tasks), "hot_keys").select(F.col("key").alias("_hot"), F.col("salts").alias("_salts"))
+    dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.expr("cast(pmod(xxhash64(%s), _salts) as int)" % ", ".join(f"`{c}`" for c in spread_by)), F.lit(0)))
+    copies = small.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+    joined = dealt.drop("_hot", "_salts").join(copies.drop("_hot", "_salts"), [key, "_salt"], how)
+    return joined.drop("_salt")
+
+
 def with_global_rank(df: DataFrame, order: Sequence[Column], rank: str = "row_rank") -> DataFrame:
     """Add the 1-based position of each row in a total order.
 

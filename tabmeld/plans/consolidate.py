@@ -2,8 +2,8 @@
 
 Stages: file catalogue, head probe, header cleaning, pre-flight, conflict and variant
 resolution, then per dataset a union of one scan per dialect, typed, optionally aggregated,
-sorted and put in column order. File facts stay in DataFrames; the driver sees distinct
-layouts, plus the path lists that a reader call needs.
+sorted and put in column order. File facts and paths stay in DataFrames; the driver sees distinct
+layouts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -31,7 +31,7 @@ from tabmeld.plans.options import DatasetOptions, MergeOptions
 from tabmeld.session import configure, materialize
 from tabmeld.sources.catalog import check_root, list_files, normal_root, select_datasets, supported_files
 from tabmeld.sources.probe import probe_catalog
-from tabmeld.sources.scan import PROVENANCE, Dialect, cell, good_rows, rejected_rows, scan_csv, scan_workbooks
+from tabmeld.sources.scan import PROVENANCE, Dialect, cell, good_rows, rejected_rows, scan_csv, scan_files, scan_workbooks
 
 ROW_ORDER = "__row_order"
 
@@ -126,7 +126,7 @@ def describe_files(probes: DataFrame, options: MergeOptions) -> DataFrame:
     clean = F.transform(clean_header(F.col("header"), options.rules), strip)
     described = probes.where("status = 'ok'").withColumn("clean", clean)
     return described.select(
-        "dataset", "path", "file_path", "file_seq", *LAYOUT_KEYS,
+        "dataset", "file_path", "file_seq", "size", *LAYOUT_KEYS,
         F.array_distinct("clean").alias("columns"),
         F.sha2(F.to_json(F.struct(*LAYOUT_KEYS)), 256).alias("layout_id"),
     )
@@ -142,7 +142,7 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
     except AnalysisException:
         return Consolidation(success=False, errors=check_root(spark, root))
     chosen = select_datasets(listing, options.subdir_include, options.subdir_exclude)
-    probes = probe_catalog(supported_files(chosen), root, options.large_file_threshold_mb)
+    probes = probe_catalog(supported_files(chosen), options.large_file_threshold_mb)
     run = Consolidation(success=True, files=probes)
     files = describe_files(probes, options)
     run.headers = files.select("dataset", "file_path", "file_seq", "columns")
@@ -183,11 +183,11 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
         run.errors.append(message)
         run.status.append((name, "failed", datasets[name][0], 0, None, message))
     merging = [name for name in merging if name not in refused]
-    paths = _scan_paths(root, n_csv, files, [g for name in merging for g in groups[name]])
+    folders = {name: _literal_path(f"{normal_root(root)}/{name}") for name in merging if _one_scan(groups[name], n_csv[name])}
 
     def build(name: str):
         of_dataset = files.where(F.col("dataset") == name)
-        return _build_dataset(spark, name, groups[name], of_dataset, paths, renames.get(name, {}), options)
+        return _build_dataset(spark, name, groups[name], of_dataset, folders.get(name), renames.get(name, {}), options)
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_datasets)) as pool:
         built = dict(zip(merging, pool.map(build, merging)))
@@ -211,9 +211,13 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
 
 
 def _dataset_counts(chosen: DataFrame, probes: DataFrame) -> tuple[dict[str, tuple[int, int]], dict[str, int]]:
-    """Per dataset (supported files, readable files), and the CSV files of its whole folder."""
-    listed = F.col("visible") & (F.col("size") > 0) & F.col("file_name").endswith(".csv")
-    every = chosen.groupBy("dataset").agg(F.count_if(listed).alias("n_csv"))
+    """Per dataset (supported files, readable files), and the CSV files of its whole folder.
+
+    A folder with files that Spark's own readers leave out has -1 of them.
+    """
+    listed = (F.col("size") > 0) & F.col("file_name").endswith(".csv")
+    n_csv = F.when(F.max(listed & ~F.col("visible")), -1).otherwise(F.count_if(listed))
+    every = chosen.groupBy("dataset").agg(n_csv.alias("n_csv"))
     counts = probes.groupBy("dataset").agg(
         F.count("*").alias("n_files"), F.count_if(F.col("status") == "ok").alias("n_ok")
     )
@@ -395,30 +399,13 @@ def _moved(seq: Column, reference: Column, first: Column) -> Column:
     return F.when(seq == reference, F.lit("")).when(seq == first, reference).otherwise(seq)
 
 
-def _scan_paths(
-    root: str, n_csv: Mapping[str, int], files: DataFrame, groups: Sequence[LayoutGroup]
-) -> dict[tuple[str, Dialect], list[str]]:
-    """CSV paths to read per dataset and dialect: the folder when all its files have it, else the files."""
-    n_files: dict[tuple[str, Dialect], int] = {}
-    for group in groups:
-        if group.file_format == "csv":
-            key = (group.dataset, group.dialect)
-            n_files[key] = n_files.get(key, 0) + group.n_files
-    paths: dict[tuple[str, Dialect], list[str]] = {}
-    listed = set()
-    for (dataset, dialect), n in n_files.items():
-        if n == n_csv.get(dataset):
-            paths[dataset, dialect] = [_literal_path(f"{normal_root(root)}/{dataset}")]
-        else:
-            listed.add(dataset)
-    if listed:
-        # The same paths that Spark's file index of these readers holds.
-        wanted = F.col("dataset").isin(*listed) & (F.col("file_format") == "csv")
-        for row in files.where(wanted).select("dataset", "path", *DIALECT_KEYS).collect():
-            key = (row["dataset"], Dialect(*[row[k] for k in DIALECT_KEYS]))
-            if key in n_files:
-                paths.setdefault(key, []).append(_literal_path(row["path"]))
-    return paths
+def _one_scan(groups: Sequence[LayoutGroup], n_csv: int) -> bool:
+    """Whether Spark's own reader can read a dataset's folder: all its CSV files have one header and
+    a dialect that it splits by line. All others are read by ranges, with their paths as rows."""
+    found = [group for group in groups if group.file_format == "csv"]
+    if len(found) != 1 or found[0].n_files != n_csv:
+        return False
+    return found[0].dialect.charset != "UTF-16" and not found[0].dialect.multiline
 
 
 def _literal_path(path: str) -> str:
@@ -488,7 +475,7 @@ def _build_dataset(
     name: str,
     groups: list[LayoutGroup],
     files: DataFrame,
-    paths: Mapping[tuple[str, Dialect], list[str]],
+    folder: str | None,
     renames: Mapping[str, str],
     options: MergeOptions,
 ) -> _Built:
@@ -506,7 +493,12 @@ def _build_dataset(
         widest = max(len(group.header) for group, _ in members)
         varied = len(members) > 1
         if file_format == "csv":
-            scan = scan_csv(spark, paths[name, dialect], widest, dialect)
+            if folder:
+                scan = scan_csv(spark, folder, widest, dialect)
+            else:
+                same = [F.col(key).eqNullSafe(F.lit(getattr(dialect, key))) for key in DIALECT_KEYS]
+                of_dialect = files.where((F.col("file_format") == "csv") & reduce(Column.__and__, same))
+                scan = scan_files(of_dialect, widest, dialect)
             width = None
             if varied:
                 scan, width = _join_places(scan, files, names, members), F.col("width")
@@ -517,7 +509,7 @@ def _build_dataset(
                 rows = rows.select(F.array(*[cell(i) for i in range(widest)]).alias("cells"), "places", *PROVENANCE)
         else:
             # Decoding a sheet costs more than writing its rows, and they are read twice.
-            books = files.where(F.col("file_format") == "excel").select("file_path", F.size("header").alias("width"))
+            books = files.where(F.col("file_format") == "excel").select("file_path", "size", F.size("header").alias("width"))
             rows = materialize(scan_workbooks(books), "sheets")
             if varied:
                 rows = _join_places(rows, files, names, members)

@@ -129,8 +129,7 @@ def dialect(charset: str, attempt: dict, text: str, names: Sequence[str]) -> dic
         "quote": mark,
         "skip_lead": skip_lead,
         "header": [str(name) for name in names],
-        "multiline": charset == "UTF-16"
-        or any(mark in line and has_open_quote(line, sep, mark, skip_lead) for line in text.splitlines()),
+        "multiline": any(mark in line and has_open_quote(line, sep, mark, skip_lead) for line in text.splitlines()),
     }
 
 
@@ -176,18 +175,88 @@ def probe_csv_file(uri: str, size: int) -> dict:
             head *= 2
 
 
-class Workbook:
-    """Streaming reader for the first sheet of an .xlsx file."""
+class Cells:
+    """Cells of a sheet's row elements as (text, is_date)."""
 
     _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def __init__(self, strings, date_styles: set[int], from_1904: bool):
+        self.strings, self.date_styles = strings, date_styles
+        self.epoch = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+
+    @classmethod
+    def text(cls, node) -> str:
+        """Text of a string element, without readings of it."""
+        if node.find(cls._MAIN + "r") is None and node.find(cls._MAIN + "rPh") is None:
+            return node.findtext(cls._MAIN + "t") or ""
+        skip = {id(t) for run in node.iter(cls._MAIN + "rPh") for t in run.iter(cls._MAIN + "t")}
+        return "".join(t.text or "" for t in node.iter(cls._MAIN + "t") if id(t) not in skip)
+
+    def of_row(self, row) -> list[tuple[str | None, bool]]:
+        cells: list[tuple[str | None, bool]] = []
+        for cell in row.iterfind(self._MAIN + "c"):
+            position = self._position(cell.get("r"), len(cells))
+            cells.extend([(None, False)] * (position - len(cells)))
+            cells.append(self._cell(cell))
+        return cells
+
+    @staticmethod
+    def _position(reference: str | None, default: int) -> int:
+        if not reference:
+            return default
+        position = 0
+        for letter in reference.rstrip("0123456789"):
+            position = position * 26 + ord(letter) - 64
+        return position - 1
+
+    def _cell(self, cell) -> tuple[str | None, bool]:
+        kind = cell.get("t") or "n"
+        if kind == "inlineStr":
+            inline = cell.find(self._MAIN + "is")
+            return (None if inline is None else self.text(inline) or None), False
+        value = cell.findtext(self._MAIN + "v")
+        if value is None or value == "" or kind == "e":
+            return None, False
+        if kind == "s":
+            return self.strings[int(value)], False
+        if kind == "b":
+            return ("True" if value == "1" else "False"), False
+        if kind == "d":
+            return datetime.fromisoformat(value).isoformat(" "), True
+        if kind != "n":
+            return value, False
+        number = float(value)
+        if int(cell.get("s") or 0) in self.date_styles:
+            moment = self.epoch + timedelta(milliseconds=round(number * 86_400_000))
+            return moment.isoformat(" "), True
+        return (str(int(number)) if number.is_integer() else repr(number)), False
+
+
+class SharedStrings:
+    """Shared strings by number, read from their stream no further than somebody asks for."""
+
+    def __init__(self, nodes: Iterator):
+        self.nodes, self.known = nodes, []
+
+    def __getitem__(self, number: int) -> str:
+        while len(self.known) <= number:
+            node = next(self.nodes)
+            self.known.append(Cells.text(node))
+            node.clear()
+        return self.known[number]
+
+
+class Workbook(Cells):
+    """Streaming reader for the first sheet of an .xlsx file."""
+
     _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
     def __init__(self, handle):
         self.archive = zipfile.ZipFile(handle)
         members = set(self.archive.namelist())
-        self.sheet, self.epoch = self._first_sheet()
-        self.strings = self._shared_strings() if "xl/sharedStrings.xml" in members else []
-        self.date_styles = self._date_styles() if "xl/styles.xml" in members else set()
+        self.sheet, from_1904 = self._first_sheet()
+        strings = SharedStrings(self._elements("xl/sharedStrings.xml", "si")) if "xl/sharedStrings.xml" in members else []
+        super().__init__(strings, self._date_styles() if "xl/styles.xml" in members else set(), from_1904)
 
     def _elements(self, member: str, *tags: str):
         wanted = {self._MAIN + tag for tag in tags}
@@ -197,33 +266,19 @@ class Workbook:
                     yield node
 
     def _first_sheet(self):
-        target, epoch = None, datetime(1899, 12, 30)
+        target, from_1904 = None, False
         for node in self._elements("xl/workbook.xml", "workbookPr", "sheet"):
             if node.tag.endswith("workbookPr"):
-                if node.get("date1904") in ("1", "true"):
-                    epoch = datetime(1904, 1, 1)
+                from_1904 = node.get("date1904") in ("1", "true")
             elif target is None:
                 target = node.get(self._REL)
         with self.archive.open("xl/_rels/workbook.xml.rels") as stream:
             for _, node in iterparse(stream):
                 if node.get("Id") == target:
                     path = node.get("Target")
-                    return (path.lstrip("/") if path.startswith("/") else "xl/" + path), epoch
+                    return (path.lstrip("/") if path.startswith("/") else "xl/" + path), from_1904
         raise ValueError("workbook has no sheet")
 
-    def _shared_strings(self) -> list[str]:
-        out = []
-        for node in self._elements("xl/sharedStrings.xml", "si"):
-            out.append(self._text(node))
-            node.clear()
-        return out
-
-    def _text(self, node) -> str:
-        if node.find(self._MAIN + "r") is None and node.find(self._MAIN + "rPh") is None:
-            return node.findtext(self._MAIN + "t") or ""
-        skip = {id(t) for run in node.iter(self._MAIN + "rPh") for t in run.iter(self._MAIN + "t")}
-        return "".join(t.text or "" for t in node.iter(self._MAIN + "t") if id(t) not in skip)
-
     def _date_styles(self) -> set[int]:
         custom, dates = set(), set()
         for node in self._elements("xl/styles.xml", "numFmt", "cellXfs"):
@@ -246,11 +301,7 @@ class Workbook:
                 if node.tag != self._MAIN + "row":
                     continue
                 number = int(node.get("r") or last + 1)
-                cells: list[tuple[str | None, bool]] = []
-                for cell in node.iterfind(self._MAIN + "c"):
-                    position = self._position(cell.get("r"), len(cells))
-                    cells.extend([(None, False)] * (position - len(cells)))
-                    cells.append(self._cell(cell))
+                cells = self.of_row(node)
                 node.clear()
                 held += number - last - 1
                 last = number
@@ -262,37 +313,6 @@ class Workbook:
                 held = 0
                 yield cells
 
-    @staticmethod
-    def _position(reference: str | None, default: int) -> int:
-        if not reference:
-            return default
-        position = 0
-        for letter in reference.rstrip("0123456789"):
-            position = position * 26 + ord(letter) - 64
-        return position - 1
-
-    def _cell(self, cell) -> tuple[str | None, bool]:
-        kind = cell.get("t") or "n"
-        if kind == "inlineStr":
-            inline = cell.find(self._MAIN + "is")
-            return (None if inline is None else self._text(inline) or None), False
-        value = cell.findtext(self._MAIN + "v")
-        if value is None or value == "" or kind == "e":
-            return None, False
-        if kind == "s":
-            return self.strings[int(value)], False
-        if kind == "b":
-            return ("True" if value == "1" else "False"), False
-        if kind == "d":
-            return datetime.fromisoformat(value).isoformat(" "), True
-        if kind != "n":
-            return value, False
-        number = float(value)
-        if int(cell.get("s") or 0) in self.date_styles:
-            moment = self.epoch + timedelta(milliseconds=round(number * 86_400_000))
-            return moment.isoformat(" "), True
-        return (str(int(number)) if number.is_integer() else repr(number)), False
-
 
 def header_names(cells: list[tuple[str | None, bool]], blank_as_empty: bool) -> list[str]:
     """Header texts; blank cells are numbered and repeats get a suffix, as for CSV files."""

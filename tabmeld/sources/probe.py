@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabmeld.session import materialize
 from tabmeld.sources import decode
-from tabmeld.sources.catalog import normal_root
+from tabmeld.sources.ranges import read_lines
 from tabmeld.sources.scan import KEEPS, line_code, then
 
 PROBE_SCHEMA = (
@@ -40,9 +40,7 @@ def probe_files(files: DataFrame, large_file_mb: float | None = None) -> DataFra
                 large = large_bytes is not None and row["size"] >= large_bytes
                 whole = row["size"] <= head_bytes
                 try:
-                    if not row["visible"]:
-                        found = {"status": "failed", "error": "Spark's readers leave out names that start with _ or ."}
-                    elif row["status"] == "unsupported":
+                    if row["status"] == "unsupported":
                         found = {"error": "no decoder for the legacy binary workbook format"}
                     elif row["file_format"] == "excel":
                         found = probe_workbook(row["file_path"], large)
@@ -72,31 +70,24 @@ def _folded(items: Column, codes: Callable[[Column], Column]) -> Column:
     return F.aggregate(items, start, lambda done, item: F.zip_with(done, codes(item), then))
 
 
-def verify_long_files(probes: DataFrame, root: str) -> DataFrame:
+def verify_long_files(probes: DataFrame) -> DataFrame:
     """Settle charset, quoting and line breaks of files that are longer than the probed head.
 
-    A line-split text scan checks every byte, so one huge file is checked by many tasks. What
+    Their ranges are read, and no other file, so one huge file is checked by many tasks. What
     quotes do to a line is a code that combines along the file, per split first: the file's
     code tells whether a quote is open at its end, in which case the reader of last resort
     counts, as for short files.
     """
-    long_csv = probes.where("status = 'ok' AND file_format = 'csv' AND NOT whole AND charset <> 'UTF-16'")
-    datasets = [row["dataset"] for row in long_csv.select("dataset").distinct().collect()]
-    if not datasets:
+    long_csv = probes.where("status = 'ok' AND file_format = 'csv' AND NOT whole")
+    if long_csv.isEmpty():
         return probes
-    spark = probes.sparkSession
     codes = F.array(*[line_code(F.col("value"), *quoting) for quoting in _QUOTINGS])
     quoted = F.col("value").contains('"') | F.col("value").contains("'")
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .text([f"{normal_root(root)}/{dataset}" for dataset in datasets])
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.is_valid_utf8("value").alias("utf8"),
-            F.when(quoted, F.struct(F.monotonically_increasing_id().alias("row"), codes.alias("codes"))).alias("line"),
-        )
+    lines = read_lines(long_csv.select("file_path", "size", "charset")).select(
+        F.col("_file").alias("file_path"),
+        F.col("_block").alias("block"),
+        F.is_valid_utf8("value").alias("utf8"),
+        F.when(quoted, F.struct(F.col("_row").alias("row"), codes.alias("codes"))).alias("line"),
     )
     opens = [F.bool_or(F.col("line.codes")[i] % 2 == 1) for i in range(len(_QUOTINGS))]
     per_split = lines.groupBy("file_path", "block").agg(
@@ -140,8 +131,8 @@ def verify_long_files(probes: DataFrame, root: str) -> DataFrame:
     return checked.select(*[settled.get(name, F.col(name)).alias(name) for name in probes.columns])
 
 
-def probe_catalog(files: DataFrame, root: str, large_file_mb: float | None = None) -> DataFrame:
+def probe_catalog(files: DataFrame, large_file_mb: float | None = None) -> DataFrame:
     """Probe once, keep the result as a written table, and settle the long files."""
     probes = materialize(probe_files(files, large_file_mb), "probe")
-    checked = verify_long_files(probes, root)
+    checked = verify_long_files(probes)
     return probes if checked is probes else materialize(checked, "probe-checked")

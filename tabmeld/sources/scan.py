@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from tabmeld.functions.cells import null_if_missing, null_if_missing_value
 from tabmeld.sources import decode
+from tabmeld.sources.ranges import read_lines
+from tabmeld.sources.workbook_parts import scan_large_workbooks
 
 # Rows handed to Spark at a time by the workbook reader.
 WORKBOOK_BLOCK_ROWS = 50_000
+# Workbooks from this size on are cut into parts that many tasks parse.
+SPLIT_BYTES = 1 << 20
 
 RECORD = "_record"
 PROVENANCE = ("_file", "_block", "_row")
@@ -52,26 +56,22 @@ def _record_schema(width: int) -> T.StructType:
     return T.StructType([*fields, T.StructField(RECORD, T.StringType())])
 
 
-def scan_csv(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dialect) -> DataFrame:
-    """All records of the files as strings ``c0..``, with provenance.
+def scan_csv(spark: SparkSession, folder: str, width: int, dialect: Dialect) -> DataFrame:
+    """All records of the CSV files of a folder as strings ``c0..``, with provenance.
 
-    ``_record`` holds the raw text of a record whose field count is not ``width``. Files are
-    split by line; where quoted line breaks were found, lines are joined to records first. Only
-    UTF-16 files, whose lines Spark can't split, are read whole.
+    ``_record`` holds the raw text of a record whose field count is not ``width``. For folders whose
+    files all have one header and one dialect that Spark can split by line.
     """
-    if dialect.multiline and dialect.charset != "UTF-16":
-        return scan_records(spark, paths, width, dialect)
     raw = (
         spark.read.schema(_record_schema(width))
         .options(**_csv_options(dialect, width))
         .option("header", True)
         .option("encoding", dialect.charset)
-        .option("multiLine", dialect.multiline)
         # Field counts need whole records, whichever columns a query reads.
         .option("columnPruning", False)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .csv(list(paths))
+        .csv(folder)
     )
     return raw.select(
         "*",
@@ -81,6 +81,24 @@ def scan_csv(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dia
     )
 
 
+def scan_files(files: DataFrame, width: int, dialect: Dialect) -> DataFrame:
+    """The same for a table of files with ``file_path`` and ``size``, whatever their names and charset.
+
+    ``_record`` holds the raw text of every record. Files are split by ranges of lines; where quoted
+    line breaks were found, lines are joined to records first.
+    """
+    lines = read_lines(files.select("file_path", "size", F.lit(dialect.charset).alias("charset")), not dialect.multiline)
+    if dialect.multiline:
+        records = join_lines(lines, dialect)
+    else:
+        records = lines.where(~F.col("_first") & (F.trim("value") != "")).select(F.col("value").alias("text"), *PROVENANCE)
+    names = ", ".join(f"{cell(i)} string" for i in range(width))
+    parsed = F.from_csv("text", f"{names}, {RECORD} string", _csv_options(dialect, width))
+    return records.select(
+        parsed.alias("p"), F.col("text").alias(RECORD), *PROVENANCE
+    ).select(*[F.col(f"p.{cell(i)}") for i in range(width)], RECORD, *PROVENANCE)
+
+
 # What a line does to the state "inside quotes": bit 0 is the state after it if it starts outside
 # quotes, bit 1 if it starts inside. 2 leaves the state, 1 flips it, 0 and 3 set it.
 KEEPS = 2
@@ -108,26 +126,16 @@ def then(first: Column, second: Column) -> Column:
     return after(F.pmod(first, F.lit(2))) + F.lit(2) * after(F.floor(first / 2))
 
 
-def scan_records(spark: SparkSession, paths: Sequence[str], width: int, dialect: Dialect) -> DataFrame:
-    """Records of files with quoted line breaks, read in splits like any other file.
+def join_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
+    """Records (``text`` and provenance) of files with quoted line breaks, without each file's header.
 
     Every line's effect on the quoting state is a code that combines along the file: one code
     per split gives each split its first state, and running values inside a split give each
     line's. A line that starts outside quotes starts a record.
     """
-    text = (
-        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .text(list(paths))
-    )
-    value = F.col("value")
-    if dialect.charset != "UTF-8":
-        value = F.decode(value.cast("binary"), dialect.charset)
-    lines = text.select(
-        F.regexp_replace(value, "^\ufeff", "").alias("value"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    ).withColumn("code", line_code(F.col("value"), dialect.sep, dialect.quote, dialect.skip_lead))
+    lines = lines.select("value", *PROVENANCE).withColumn(
+        "code", line_code(F.col("value"), dialect.sep, dialect.quote, dialect.skip_lead)
+    )
     # Running values of each split, whose lines one task sorts by their place.
     before = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     flips = lines.withColumn("flips", F.coalesce(F.sum((F.col("code") == 1).cast("long")).over(before), F.lit(0)))
@@ -172,9 +180,7 @@ def scan_records(spark: SparkSession, paths: Sequence[str], width: int, dialect:
     )
     header = whole.groupBy("_file").agg(F.min_by("record", F.struct("_block", "record")).alias("header"))
     rows = whole.join(header, "_file").where(F.col("record") != F.col("header"))
-    names = [cell(i) for i in range(width)]
-    parsed = F.from_csv("text", ", ".join(f"{name} string" for name in [*names, RECORD]), _csv_options(dialect, width))
-    return rows.select(parsed.alias("p"), "_file", "_block", F.col("record").alias("_row")).select("p.*", *PROVENANCE)
+    return rows.select("text", "_file", "_block", F.col("record").alias("_row"))
 
 
 def field_count(record: Column, dialect: Dialect) -> Column:
@@ -214,29 +220,23 @@ def good_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | No
 
 
 def rejected_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | None = None) -> DataFrame:
-    """Records with too many fields: their leading cells and their raw text.
-
-    A record with just as many fields as the widest header has no raw text; its fields are
-    written afresh.
-    """
+    """Records with too many fields: their leading cells and their raw text."""
     width = F.lit(widest) if width is None else width
     cells = [F.col(cell(i)) for i in range(widest)]
-    afresh = F.to_csv(F.struct(*cells), {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.quote})
-    n_fields = F.coalesce(field_count(F.col(RECORD), dialect), F.lit(widest))
     return scan.where(is_overlong(width, widest, dialect)).select(
         F.col("_file").alias("file_path"),
-        n_fields.alias("n_fields"),
+        field_count(F.col(RECORD), dialect).alias("n_fields"),
         width.alias("n_columns"),
         F.slice(F.array(*cells), 1, width).alias("cells"),
-        F.coalesce(F.regexp_replace(RECORD, "[\r\n]+$", ""), afresh).alias("record"),
+        F.regexp_replace(RECORD, "[\r\n]+$", "").alias("record"),
     )
 
 
-def scan_workbooks(files: DataFrame) -> DataFrame:
+def scan_workbooks(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Rows of the first sheet of each workbook, as ``cells`` and ``dated`` arrays.
 
-    ``files`` needs a ``file_path`` and the ``width`` of each header. Sheets are decoded block
-    by block, so a task never holds a whole workbook's rows.
+    ``files`` needs a ``file_path``, its ``size`` and the ``width`` of each header. A workbook of less
+    than ``split_bytes`` is decoded by one task, block by block; a longer one is cut into parts.
     """
     rows_of = decode.workbook_rows
     block_rows = WORKBOOK_BLOCK_ROWS
@@ -255,6 +255,9 @@ def scan_workbooks(files: DataFrame) -> DataFrame:
     names = [*PROVENANCE, "cells", "dated"]
     schema = "_file string, _block bigint, _row bigint, cells array<string>, dated array<boolean>"
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
-    rows = files.select("file_path", "width").repartition(tasks).mapInPandas(read, schema)
+    small, large = files.where(F.col("size") < split_bytes), files.where(F.col("size") >= split_bytes)
+    rows = small.select("file_path", "width").repartition(tasks).mapInPandas(read, schema)
+    if not large.isEmpty():
+        rows = rows.unionByName(scan_large_workbooks(large))
     known = F.transform("cells", null_if_missing_value)
     return rows.select(known.alias("cells"), "dated", *PROVENANCE)

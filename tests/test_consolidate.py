@@ -295,13 +295,13 @@ def test_stray_quotes_hide_no_fields(spark, write):
     assert [(r["n_fields"], r["record"]) for r in run.rejects.collect()] == [(4, '1,5"x,6"y,extra')]
 
 
-def test_hidden_and_empty_files_are_reported(spark, write):
+def test_hidden_files_are_read_and_empty_ones_reported(spark, write):
     write("d/a.csv", "a,b\n1,2\n")
     write("d/_b.csv", "a,b\n3,4\n")
     root = write("d/c.csv", "")
     run = consolidate(spark, root)
-    assert [s[:4] for s in run.status] == [("d", "merged", 3, 1)] and run.outputs["d"].count() == 1
-    assert {r["file_name"] for r in run.findings(spark).collect()} == {"_b.csv", "c.csv"}
+    assert [s[:4] for s in run.status] == [("d", "merged", 3, 2)] and run.outputs["d"].count() == 2
+    assert {r["file_name"] for r in run.findings(spark).collect()} == {"c.csv"}
 
 
 def test_csv_output_reads_back(spark, tmp_path):

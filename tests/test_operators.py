@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabmeld.operators import aggregate, layout
 from tabmeld.operators.order import rank_rows, sort_rows
-from tabmeld.operators.spread import salted_left_join
+from tabmeld.operators.spread import hot_join, hot_keys, salted_left_join
 from tabmeld.operators.typing import reconcile_text
 from tabmeld.operators.union import common_type, reindex, union_by_name
 
@@ -231,3 +231,17 @@ def test_structure_issues_and_verdict(spark):
     verdict = {r["dataset"]: r["success"] for r in layout.validation_verdict(files).collect()}
     assert verdict == {"d": False, "ok": True}
     assert all(r["success"] for r in layout.validation_verdict(files, allow_missing=True).collect())
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_join_equals_a_plain_join(spark, how):
+    big = spark.range(5000).selectExpr("id", "CASE WHEN id < 2500 THEN 'hot' WHEN id < 4000 THEN 'warm' WHEN id < 4100 THEN NULL ELSE string(id) END AS k")
+    small = spark.range(4000, 4500).selectExpr("string(id) AS k", "id AS x").union(spark.createDataFrame([("hot", 1), ("hot", 2), ("gone", 3)], "k string, x long"))
+    found = {r["key"]: r["salts"] for r in hot_keys(big, big.k, 20).collect()}
+    assert set(found) == {"hot", "warm"} and found["hot"] == 11 and found["warm"] == 7
+    got = hot_join(big, small, "k", ["id"], how, tasks=20)
+    want = big.join(small, "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    nothing = hot_join(big.limit(0), small, "k", ["id"], how, tasks=20)
+    assert nothing.count() == 0

@@ -229,17 +229,20 @@ def preflight_findings(spark, sf_dir):
 
 @query(
     "consolidate_unread_files",
-    """SELECT 'regions' AS dataset, file_name, 'warning' AS level, status, n_files, n_rows FROM
-       (VALUES ('_x.csv'), ('empty.csv')) AS f(file_name), (SELECT 'merged' AS status, 3 AS n_files, count(*) AS n_rows FROM region)""",
+    """SELECT 'o_orderstatus=' || o_orderstatus AS dataset, 'empty.csv' AS file_name, 'warning' AS level, 'merged' AS status,
+       count(*) + 1 AS n_rows FROM orders GROUP BY o_orderstatus""",
 )
 def unread_files(spark, sf_dir):
-    """A hidden and an empty file count, are reported, and leave the good file to be merged."""
+    """An empty file of every folder is reported, a hidden one is read, and both leave the others to be merged."""
     root = new_root(spark, "unread")
-    write_csv(table(spark, sf_dir, "region").coalesce(1), root, "regions")
-    write_file(spark, f"{root}/regions/_x.csv", "r_regionkey,r_name\n99,hidden\n")
-    write_file(spark, f"{root}/regions/empty.csv", "")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders.write.partitionBy("o_orderstatus").option("header", True).csv(root)
+    for row in orders.select("o_orderstatus").distinct().collect():  # one folder per status
+        folder = f"{root}/o_orderstatus={row['o_orderstatus']}"
+        write_file(spark, f"{folder}/_x.csv", "o_orderkey,o_totalprice\n-1,2.5\n")
+        write_file(spark, f"{folder}/empty.csv", "")
     run = consolidate(spark, root)
-    status = run.status_table(spark).select("dataset", "status", F.col("n_files").cast("int").alias("n_files"), "n_rows")
+    status = run.status_table(spark).select("dataset", "status", "n_rows")
     return run.findings(spark).select("dataset", "file_name", "level").join(status, "dataset")
 
 
@@ -318,5 +321,5 @@ def many_headers(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(*[part.split(" AS ")[0] for part in columns])
     write_varied_headers(lines, headers, root, "ads")
     out = consolidate(spark, root).outputs["ads"]
-    n_scans = out._jdf.queryExecution().executedPlan().toString().count("FileScan csv")
+    n_scans = out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
     return out.select("ID", "Line", "Flag", "State", "Impressions", "Cost", "Part", F.lit(n_scans).alias("n_scans"))

@@ -102,15 +102,40 @@ def write_varied_headers(df: DataFrame, headers: Sequence[Sequence[str]], root:
     df.repartition(-(-len(orders) // each)).mapInPandas(write, "n bigint").agg(F.sum("n")).first()
 
 
-def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: str) -> int:
-    """Write ``df`` as .xlsx files of bounded length; returns the number of rows written."""
+def write_hidden(df: DataFrame, root: str, dataset: str, lead: str) -> None:
+    """One CSV file per partition, with names that begin with ``lead``; values must not need quoting."""
+    target = f"{root}/{dataset}"
+    df.sparkSession.range(0).write.mode("append").csv(target)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, path = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
+        with system.open_output_stream(f"{path}/{lead}{TaskContext.get().partitionId():05d}.csv") as out:
+            out.write((",".join(names) + "\n").encode("utf-8"))
+            for batch in batches:
+                out.write(batch.to_csv(index=False, header=False).encode("utf-8"))
+        yield pd.DataFrame({"n": [1]})
+
+    names = df.columns
+    df.mapInPandas(write, "n bigint").agg(F.sum("n")).first()
+
+
+def write_workbooks(
+    df: DataFrame, header: Sequence[str], root: str, dataset: str, most: int = WORKBOOK_ROWS, shared: bool = False
+) -> int:
+    """Write ``df`` as .xlsx files of at most ``most`` rows; returns the number of rows written.
+
+    Texts stand in their cells, or with ``shared`` in the table of shared strings.
+    """
     spark = df.sparkSession
     target = f"{root}/{dataset}"
     # Spark makes the folder; tasks add their files to it.
     spark.range(0).write.mode("append").csv(target)
     build = sheet_bytes
     titles = list(header)
-    batch_id, most = uuid.uuid4().hex, WORKBOOK_ROWS
+    batch_id = uuid.uuid4().hex
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -123,7 +148,7 @@ def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: st
 
         def flush() -> pd.DataFrame:
             with system.open_output_stream(f"{path}/part-{batch_id}-{part:05d}-{number:05d}.xlsx") as out:
-                out.write(build(titles, rows))
+                out.write(build(titles, rows, shared))
             return pd.DataFrame({"n": [len(rows)]})
 
         for batch in batches:
@@ -138,8 +163,8 @@ def write_workbooks(df: DataFrame, header: Sequence[str], root: str, dataset: st
     return df.mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0]
 
 
-def sheet_bytes(header: Sequence[str | None], rows: Sequence[tuple]) -> bytes:
-    """A minimal workbook: strings inline, numbers, booleans and dates typed."""
+def sheet_bytes(header: Sequence[str | None], rows: Sequence[tuple], shared: bool = False) -> bytes:
+    """A minimal workbook: strings inline or shared, numbers, booleans and dates typed."""
     import io
     import math
     import zipfile
@@ -162,6 +187,8 @@ def sheet_bytes(header: Sequence[str | None], rows: Sequence[tuple]) -> bytes:
         if isinstance(value, (datetime, date)):
             days = (pd.Timestamp(value) - pd.Timestamp("1899-12-30")) / pd.Timedelta(days=1)
             return f'<c r="{reference}" s="1"><v>{days!r}</v></c>'
+        if isinstance(value, str) and shared:
+            return f'<c r="{reference}" t="s"><v>{texts.setdefault(value, len(texts))}</v></c>'
         if isinstance(value, str):
             return f'<c r="{reference}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
         return f'<c r="{reference}"><v>{value!r}</v></c>'
@@ -169,7 +196,7 @@ def sheet_bytes(header: Sequence[str | None], rows: Sequence[tuple]) -> bytes:
     def native(value):
         return value.item() if hasattr(value, "item") else value
 
-    lines = []
+    lines, texts = [], {}
     for number, row in enumerate([tuple(header), *rows], start=1):
         cells = "".join(cell(native(value), f"{letters(i)}{number}") for i, value in enumerate(row))
         if cells:
@@ -194,6 +221,15 @@ def sheet_bytes(header: Sequence[str | None], rows: Sequence[tuple]) -> bytes:
         "xl/styles.xml": f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
     }
+    if shared:
+        items = "".join(f'<si><t xml:space="preserve">{escape(text)}</t></si>' for text in texts)
+        members["xl/sharedStrings.xml"] = f'<sst xmlns="{main}">{items}</sst>'
+        members["[Content_Types].xml"] = members["[Content_Types].xml"].replace(
+            "</Types>", f'<Override PartName="/xl/sharedStrings.xml" ContentType="{content}.sharedStrings+xml"/></Types>'
+        )
+        members["xl/_rels/workbook.xml.rels"] = members["xl/_rels/workbook.xml.rels"].replace(
+            "</Relationships>", f'<Relationship Id="rId3" Type="{rel}/sharedStrings" Target="sharedStrings.xml"/></Relationships>'
+        )
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for name, text in members.items():

@@ -21,6 +21,8 @@ ref AS (SELECT dataset, arg_min(file_path, (-n_columns, file_seq)) AS reference_
 ref_cat AS (SELECT cat.* FROM cat JOIN ref ON cat.dataset = ref.dataset AND cat.file_path = ref.reference_file)
 """
 _WITH = f"WITH {_CATALOG_SQL}"
+# Each step computed once and joined on a single key, so that no plan can pair rows of one file or dataset.
+_STEPS = _WITH.replace("cat AS (", "cat AS MATERIALIZED (", 1)
 
 _PAIRS_SQL = """
 names AS (SELECT DISTINCT dataset, name FROM cat),
@@ -121,12 +123,13 @@ def plural_pairs(spark, sf_dir):
 
 @query(
     "layout_same_file_conflicts",
-    f"""{_WITH}, hits AS ({_partners('a.dataset, a.file_path, a.file_seq, least(a.ordinal, b.ordinal) AS lo, greatest(a.ordinal, b.ordinal) AS hi',
-        'cat a JOIN cat b ON a.file_path = b.file_path', 'a.name', 'b.name')}),
-        first AS (SELECT dataset, file_path, file_seq, min((lo, hi)) AS p FROM hits GROUP BY ALL)
-        SELECT f.dataset, f.file_path, f.file_seq, a.name AS name_a, b.name AS name_b FROM first f
-        JOIN cat a ON a.file_path = f.file_path AND a.ordinal = f.p[1]
-        JOIN cat b ON b.file_path = f.file_path AND b.ordinal = f.p[2]""",
+    f"""{_STEPS}, forms AS MATERIALIZED (
+          SELECT *, file_path || chr(1) || unnest([name || 's', name || 'es']) AS partner FROM cat),
+        hits AS (SELECT f.dataset, f.file_path, f.file_seq, CASE WHEN f.ordinal < c.ordinal
+            THEN {{'lo': f.ordinal, 'hi': c.ordinal, 'a': f.name, 'b': c.name}}
+            ELSE {{'lo': c.ordinal, 'hi': f.ordinal, 'a': c.name, 'b': f.name}} END AS p
+          FROM forms f JOIN (SELECT *, file_path || chr(1) || name AS key FROM cat) c ON c.key = f.partner)
+        SELECT dataset, file_path, file_seq, min(p).a AS name_a, min(p).b AS name_b FROM hits GROUP BY dataset, file_path, file_seq""",
 )
 def same_file_conflicts(spark, sf_dir):
     return layout.same_file_conflicts(headers(spark, sf_dir))
@@ -200,42 +203,14 @@ def extra_columns(spark, sf_dir):
 
 @query(
     "layout_issue_hints",
-    f"""{_WITH}, {_ISSUES_SQL},
-        near AS ({_partners('m.dataset, m.file_path, m.issue_type, m.column_name, e.column_name AS other, e.column_index AS place',
-          'missing m JOIN extra e ON m.file_path = e.file_path', 'm.column_name', 'e.column_name')}
-          UNION ALL {_partners('e.dataset, e.file_path, e.issue_type, e.column_name, r.name, r.ordinal',
-          'extra e JOIN ref_cat r ON r.dataset = e.dataset', 'e.column_name', 'r.name')}),
-        hinted AS (SELECT dataset, file_path, issue_type, column_name, arg_min(other, place) AS partner FROM near GROUP BY ALL)
-        SELECT dataset, file_path, issue_type, column_name,
-        'Possible plural/singular: ''' || column_name || ''' vs ''' || partner || '''' AS hint FROM hinted""",
-)
-def issue_hints(spark, sf_dir):
-    issues = layout.structure_issues(headers(spark, sf_dir)).where("hint IS NOT NULL")
-    return issues.select("dataset", "file_path", "issue_type", "column_name", "hint")
-
-
-@query(
-    "layout_verdict",
-    f"""{_WITH}, {_ISSUES_SQL},
-        m AS (SELECT dataset, count(*) AS n FROM missing GROUP BY dataset),
-        e AS (SELECT dataset, count(*) AS n FROM extra GROUP BY dataset)
-        SELECT ref.dataset, reference_file, coalesce(m.n, 0) AS n_missing, coalesce(e.n, 0) AS n_extra,
-        coalesce(m.n, 0) + coalesce(e.n, 0) = 0 AS success, true AS success_when_missing_allowed
-        FROM ref LEFT JOIN m USING (dataset) LEFT JOIN e USING (dataset)""",
-)
-def verdict(spark, sf_dir):
-    files = headers(spark, sf_dir)
-    strict = layout.validation_verdict(files).drop("reference_columns")
-    lenient = layout.validation_verdict(files, allow_missing=True)
-    return strict.join(lenient.select("dataset", F.col("success").alias("success_when_missing_allowed")), "dataset")
-
-
-@query(
-    "layout_issue_report",
-    f"""{_WITH}, {_ISSUES_SQL},
-        near AS ({_partners('e.file_path, e.column_name, r.name, r.ordinal',
-          'extra e JOIN ref_cat r ON r.dataset = e.dataset', 'e.column_name', 'r.name')}),
-        hint AS (SELECT file_path, column_name, arg_min(name, ordinal) AS partner FROM near GROUP BY ALL)
+    f"""{_STEPS}, known AS MATERIALIZED (SELECT dataset || chr(1) || name AS key, name, ordinal FROM ref_cat),
+        odd AS MATERIALIZED (
+          SELECT n.* FROM (SELECT DISTINCT dataset, name, dataset || chr(1) || name AS key FROM cat) n ANTI JOIN known k ON k.key = n.key),
+        forms AS MATERIALIZED (SELECT key, dataset || chr(1) || unnest([name || 's', name || 'es']
+          || CASE WHEN name LIKE '%s' THEN [left(name, -1)] ELSE [] END
+          || CASE WHEN name LIKE '%es' THEN [left(name, -2)] ELSE [] END) AS partner FROM odd),
+        hint AS MATERIALIZED (
+          SELECT f.key, arg_min(k.name, k.ordinal) AS partner FROM forms f JOIN known k ON k.key = f.partner GROUP BY f.key)
         SELECT dataset, file_path, 'Column ' || CASE WHEN n < 26 THEN chr(65 + n)
         WHEN n < 702 THEN chr(65 + (n - 26) // 26) || chr(65 + (n - 26) % 26)
         WHEN n < 18278 THEN chr(65 + (n - 702) // 676) || chr(65 + (n - 702) // 26 % 26) || chr(65 + (n - 702) % 26)
@@ -243,7 +218,8 @@ def verdict(spark, sf_dir):
             || chr(65 + (n - 18278) % 26) END
         || ' (' || column_name || '): extra - Extra column (not in reference): ' || column_name
         || coalesce(' | Hint: Possible plural/singular: ''' || column_name || ''' vs ''' || partner || '''', '') AS line
-        FROM (SELECT *, column_index::INT AS n FROM extra) LEFT JOIN hint USING (file_path, column_name)""",
+        FROM (SELECT dataset, file_path, name AS column_name, ordinal::INT AS n, dataset || chr(1) || name AS key FROM cat)
+        SEMI JOIN odd USING (key) LEFT JOIN hint USING (key)""",
 )
 def issue_report(spark, sf_dir):
     return layout.issue_report(layout.structure_issues(headers(spark, sf_dir), allow_missing=True))

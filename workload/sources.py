@@ -8,7 +8,7 @@ from tabmeld.plans.consolidate import consolidate
 from tabmeld.sources.catalog import check_root, list_files, select_datasets, supported_files
 from tabmeld.sources.probe import probe_catalog
 from workload import query, table
-from workload.exports import new_root, write_csv, write_file, write_lines, write_workbooks
+from workload.exports import new_root, write_csv, write_file, write_hidden, write_lines, write_workbooks
 
 
 def _orders_by_status(spark, sf_dir, root, one_file: bool = False):
@@ -123,7 +123,7 @@ def csv_dialects(spark, sf_dir):
 )
 def dialect_probe(spark, sf_dir):
     root = _mixed_exports(spark, sf_dir)
-    probes = probe_catalog(supported_files(list_files(spark, root)), root)
+    probes = probe_catalog(supported_files(list_files(spark, root)))
     return probes.select("sep", "charset", F.array_join("header", ",").alias("header"), "status").distinct()
 
 
@@ -312,3 +312,63 @@ def workbooks_and_csv(spark, sf_dir):
     write_csv(customers, root, "parties")
     run = consolidate(spark, root, {"large_file_threshold_mb": 0.0001, "column_cleaning_options": {"handle_common_variations": False}})
     return run.outputs["parties"]
+
+
+# Rows of a large workbook; the format allows 1 048 576 with the header.
+LARGE_WORKBOOK_ROWS = 1_000_000
+
+
+@query(
+    "source_large_workbooks",
+    """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_extendedprice, l_returnflag || '-' || l_linestatus AS l_state,
+       CASE WHEN l_linenumber < 3 THEN 'part ' || l_partkey END AS l_label, l_shipdate::TIMESTAMP AS l_shipdate FROM lineitem""",
+)
+def large_workbooks(spark, sf_dir):
+    """A million rows a workbook, texts shared: sheets and shared strings are parsed in parts by many tasks."""
+    root = new_root(spark, "large-workbooks")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.concat_ws("-", "l_returnflag", "l_linestatus").alias("l_state"),
+        F.when(F.col("l_linenumber") < 3, F.concat(F.lit("part "), "l_partkey")).alias("l_label"), "l_shipdate",
+    )
+    n_books = max(2, -(-lines.count() // LARGE_WORKBOOK_ROWS))
+    write_workbooks(lines.repartition(n_books), lines.columns, root, "lines", LARGE_WORKBOOK_ROWS, shared=True)
+    return consolidate(spark, root).outputs["lines"].withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+
+
+@query(
+    "source_hidden_files",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'merged' AS status FROM orders",
+)
+def hidden_files(spark, sf_dir):
+    """Files whose names start with an underscore or a dot are read like all others."""
+    root = new_root(spark, "hidden")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    for status, lead in (("F", "_x"), ("O", ".y"), ("P", "z")):
+        write_hidden(orders.where(F.col("o_orderstatus") == status), root, "orders", lead)
+    run = consolidate(spark, root)
+    (status,) = [state for _, state, *_ in run.status]
+    return run.outputs["orders"].withColumn("status", F.lit(status))
+
+
+@query(
+    "source_rejected_raw_text",
+    """SELECT file, n_fields, o_orderkey || CASE o_orderstatus WHEN 'F' THEN ' , "' || o_orderpriority || '" ,x'
+       WHEN 'O' THEN ',"' || o_orderpriority || ' ""?"" ",  9 ' ELSE ',,' END AS record
+       FROM orders, (VALUES ('UTF-8', 3::BIGINT), ('UTF-16', 3::BIGINT)) AS f(file, n_fields) WHERE o_orderkey % 3 = 0""",
+)
+def rejected_raw_text(spark, sf_dir):
+    """Records with as many fields as the widest header of their dialect come back as they stand in the file."""
+    root = new_root(spark, "raw")
+    orders = table(spark, sf_dir, "orders")
+    key, priority = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    odd = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(key, F.lit(' , "'), priority, F.lit('" ,x')))
+        .when(F.col("o_orderstatus") == "O", F.concat(key, F.lit(',"'), priority, F.lit(' ""?"" ",  9 ')))
+        .otherwise(F.concat(key, F.lit(",,")))
+    )
+    line = F.when(F.col("o_orderkey") % 3 == 0, odd).otherwise(F.concat_ws(",", key, priority))
+    for charset in ("UTF-8", "UTF-16"):
+        write_lines(orders, line, "key,priority", root, charset, charset)
+        write_lines(orders.where("o_orderkey % 3 = 1"), F.concat_ws(",", key, priority, key), "key,priority,more", root, charset, charset)
+    rejects = consolidate(spark, root).rejects
+    return rejects.select(F.col("dataset").alias("file"), F.col("n_fields").cast("bigint").alias("n_fields"), "record")
