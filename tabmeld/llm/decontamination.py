@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tabmeld.llm.graph import sized
 from tabmeld.llm.near_dedup import text_key
 from tabmeld.llm.text import ALNUM, Words, mix, pieces
+from tabmeld.operators.spread import hot_join
 from tabmeld.session import materialize
 
 # Places that each mask keeps, from its first token. Any stretch of LEAST_TOKENS or more of which
@@ -32,8 +33,6 @@ MASKS = ((0, 1, 3, 5, 8, 9), (0, 2, 3, 6, 7, 10), (0, 1, 4, 5, 7, 8), (0, 1, 2,
 SPAN = 1 + max(mask[-1] for mask in MASKS)
 LEAST_TOKENS = 13
 LEAST_SHARE = 0.8
-# Tokens that go with a hit on either side; enough for any overlap of the least length.
-AROUND = 64
 # Seeds of the test side that a task may hold in memory (24 bytes each); more are joined by Spark.
 INDEX_ROWS = 2_000_000
 # Bits of the filter that training hashes pass before they are joined.
@@ -80,7 +79,8 @@ def seed_hashes(hashes: np.ndarray, first: np.ndarray, mask: tuple[int, ...], nu
 def best_overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
     """(agreeing tokens, first item token, tokens) of the longest tolerant overlap on one diagonal.
 
-    Item token i faces text token i + shift. Zeros if no overlap is long and close enough.
+    Item token i faces text token i + shift. Of overlaps of one length the one with most agreeing
+    tokens counts, then the first. Zeros if no overlap is long and close enough.
     """
     low, high = max(0, -shift), min(len(item), len(text) - shift)
     need = min(LEAST_TOKENS, len(item))
@@ -98,16 +98,52 @@ def best_overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, i
     # Largest value from each end on tells how far a start can reach.
     reach = np.maximum.accumulate(value[ends][::-1])[::-1]
     for start in starts:
-        if high - low - start < max(need, best[2] + 1):
+        if high - low - start < max(need, best[2]):
             break
         last = int(np.searchsorted(-reach, -value[start], side="right")) - 1
         if last >= 0:
             end = int(ends[last])
-            if end - start >= need and end - start > best[2]:
-                best = (int(agreed[end] - agreed[start]), int(low + start), int(end - start))
+            found = (int(agreed[end] - agreed[start]), int(low + start), int(end - start))
+            if found[2] >= need and (found[2], found[0]) > (best[2], best[0]):
+                best = found
     return best
 
 
+def longest_overlap(text: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(start in text, start in item, tokens, agreeing tokens) of the longest overlap on any diagonal.
+
+    Then most agreeing tokens, then the first place in the text, then in the item decide. ``shifts``
+    rise. A diagonal is left out if it is too short to win, and all that follow a whole, equal item.
+    """
+    best = (0, 0, 0, 0)
+    for shift in shifts.tolist():
+        if min(len(item), len(text) - shift) - max(0, -shift) < best[2]:
+            continue
+        agreed, first, length = best_overlap(text, item, shift)
+        if length and (length, agreed, -first - shift, -first) > (best[2], best[3], -best[0], -best[1]):
+            best = (first + shift, first, length, agreed)
+            if agreed == len(item):
+                break
+    return best
+
+
+class Diagonals:
+    """Distinct diagonals of one text and one item, in space that grows with their lengths only."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.parts = most, 0, []
+
+    def add(self, shifts: np.ndarray) -> None:
+        self.parts.append(shifts)
+        self.held += len(shifts)
+        if self.held > 2 * self.most + 4096:
+            self.parts = [self.all()]
+            self.held = len(self.parts[0])
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts))
+
+
 @dataclass
 class Index:
     """Test items in memory: their tokens, and their seeds in the order of the hash."""
@@ -119,69 +155,54 @@ class Index:
     tokens: dict[int, np.ndarray]
 
 
-def _hit_rows(masks: list[tuple[int, ...]], passes):
-    """Rows of one text's neighbouring hits: the tokens around them, and the hits themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in pieces(batches):
-            words = Words(texts, ALNUM)
-            found = [
-                (hashes[ok], places[ok])
-                for number, mask in enumerate(masks)
-                for hashes, places in [seed_hashes(words.hashes, words.first, mask, number)]
-                for ok in [passes(hashes)]
-            ]
-            hashes, places = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
-            if not len(places):
-                continue
-            order = np.argsort(places, kind="stable")
-            hashes, places = hashes[order], places[order]
-            owner = np.searchsorted(words.first, places, side="right") - 1
-            apart = (np.diff(places) > AROUND) | (np.diff(owner) > 0)
-            borders = np.concatenate(([0], np.flatnonzero(apart) + 1, [len(places)]))
-            out: dict[str, list] = {"row": [], "start": [], "tokens": [], "hashes": [], "places": []}
-            for low, high in zip(borders[:-1], borders[1:], strict=True):
-                text = owner[low]
-                begin = max(words.first[text], places[low] - AROUND)
-                end = min(words.first[text + 1], places[high - 1] + SPAN + AROUND)
-                out["row"].append(int(text))
-                out["start"].append(int(begin - words.first[text]))
-                out["tokens"].append(words.hashes[begin:end].tobytes())
-                out["hashes"].append(hashes[low:high].view(np.int64))
-                out["places"].append((places[low:high] - begin).astype(np.int64))
-            rows = pa.array(out.pop("row"), pa.int64())
-            kinds = {"start": pa.int64(), "tokens": pa.binary(), "hashes": pa.list_(pa.int64()), "places": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").take(rows), *[pa.array(out[name], kind) for name, kind in kinds.items()]],
-                names=["doc_id", *kinds],
-            )
-
-    return run
+def _hits(texts: list[bytes], masks: list[tuple[int, ...]], passes) -> Iterator[tuple[int, np.ndarray, list, list]]:
+    """(index of the text, its tokens, hashes, places of each hash) of every text with hits."""
+    words = Words(texts, ALNUM)
+    found = [
+        (hashes[ok], places[ok])
+        for number, mask in enumerate(masks)
+        for hashes, places in [seed_hashes(words.hashes, words.first, mask, number)]
+        for ok in [passes(hashes)]
+    ]
+    hashes, places = np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
+    if not len(places):
+        return
+    owner = np.searchsorted(words.first, places, side="right") - 1
+    order = np.lexsort((places, hashes, owner))
+    hashes, places, owner = hashes[order], places[order], owner[order]
+    begins = np.flatnonzero((np.diff(owner, prepend=-1) > 0) | (np.diff(hashes, prepend=hashes[:1]) != 0))
+    ends = np.append(begins[1:], len(places))
+    by_text = np.flatnonzero(np.diff(owner[begins], prepend=-1) > 0)
+    for low, high in zip(by_text, [*by_text[1:], len(begins)], strict=True):
+        text = int(owner[begins[low]])
+        start = words.first[text]
+        tokens = words.hashes[start : words.first[text + 1]]
+        runs = [places[begins[at] : ends[at]] - start for at in range(low, high)]
+        yield text, tokens, hashes[begins[low:high]], runs
 
 
 def _leaks_in_memory(index: Index):
-    """Hit rows to leaks (doc_id, item_id, ...), with the test side in memory."""
-    hits = _hit_rows(index.masks, lambda hashes: _member(index.seeds, hashes))
+    """Rows (doc_id, item_id, ...) of the longest overlaps, with the test side in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in hits(batches):
-            found = []
-            columns = [batch.column(name).to_pylist() for name in ("doc_id", "start", "tokens", "hashes", "places")]
-            for doc_id, start, tokens, hashes, places in zip(*columns, strict=True):
-                text = np.frombuffer(tokens, np.uint64)
-                keys = np.array(hashes, np.int64).view(np.uint64)
-                low = np.searchsorted(index.seeds, keys, "left")
-                high = np.searchsorted(index.seeds, keys, "right")
-                seen = {
-                    (int(index.items[at]), place - int(index.places[at]))
-                    for place, begin, end in zip(places, low, high, strict=True)
-                    for at in range(begin, end)
-                }
-                for item, shift in sorted(seen):
-                    agreed, first, length = best_overlap(text, index.tokens[item], shift)
-                    if length:
-                        found.append((doc_id, item, start + first + shift, first, length, agreed))
-            yield _leak_batch(found, batch.schema.field("doc_id").type)
+        for piece, texts in pieces(batches):
+            found, rows = [], []
+            for text, tokens, hashes, runs in _hits(texts, index.masks, lambda h: _member(index.seeds, h)):
+                low = np.searchsorted(index.seeds, hashes, "left")
+                high = np.searchsorted(index.seeds, hashes, "right")
+                seen: dict[int, Diagonals] = {}
+                for places, begin, end in zip(runs, low, high, strict=True):
+                    for at in range(begin, end):
+                        item = int(index.items[at])
+                        if item not in seen:
+                            seen[item] = Diagonals(len(tokens) + len(index.tokens[item]))
+                        seen[item].add(places - index.places[at])
+                for item, diagonals in seen.items():
+                    best = longest_overlap(tokens, index.tokens[item], diagonals.all())
+                    if best[2]:
+                        rows.append(text)
+                        found.append((item, *best))
+            yield _leak_batch(piece.column("doc_id").take(pa.array(rows, pa.int64())), found)
 
     return run
 
@@ -189,10 +210,9 @@ def _leaks_in_memory(index: Index):
 _LEAK = ("doc_id", "item_id", "start_word", "item_word", "n_words", "n_equal")
 
 
-def _leak_batch(found: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [()] * len(_LEAK)
-    arrays = [pa.array(columns[0], id_type), *[pa.array(c, pa.int64()) for c in columns[1:]]]
-    return pa.RecordBatch.from_arrays(arrays, names=list(_LEAK))
+def _leak_batch(doc_ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [()] * (len(_LEAK) - 1)
+    return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, pa.int64()) for c in columns]], names=list(_LEAK))
 
 
 def _member(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -253,19 +273,42 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _hit_rows(masks: list[tuple[int, ...]], passes):
+    """Texts with hits: their tokens, and the places of each hash."""
+    kinds = {"tokens": pa.binary(), "hashes": pa.list_(pa.int64()), "places": pa.list_(pa.list_(pa.int64()))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in pieces(batches):
+            rows, out = [], {name: [] for name in kinds}
+            for text, tokens, hashes, runs in _hits(texts, masks, passes):
+                rows.append(text)
+                out["tokens"].append(tokens.tobytes())
+                out["hashes"].append(hashes.view(np.int64))
+                out["places"].append([run.tolist() for run in runs])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(out[name], kind) for name, kind in kinds.items()]],
+                names=["doc_id", *kinds],
+            )
+
+    return run
+
+
 def _overlap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("doc_id", "start", "tokens", "item_id", "item_tokens", "shift")
+    names = ("tokens", "item_id", "item_tokens", "met")
     for batch in batches:
-        found = []
-        for doc_id, start, tokens, item, item_tokens, shift in zip(
-            *[batch.column(name).to_pylist() for name in names], strict=True
-        ):
-            agreed, first, length = best_overlap(
-                np.frombuffer(tokens, np.uint64), np.frombuffer(item_tokens, np.uint64), shift
-            )
-            if length:
-                found.append((doc_id, item, start + first + shift, first, length, agreed))
-        yield _leak_batch(found, batch.schema.field("doc_id").type)
+        found, rows = [], []
+        for row, (tokens, item, item_tokens, met) in enumerate(zip(*[batch.column(n).to_pylist() for n in names], strict=True)):
+            text, test = np.frombuffer(tokens, np.uint64), np.frombuffer(item_tokens, np.uint64)
+            diagonals = Diagonals(len(text) + len(test))
+            for seeds in met:
+                places = np.array(seeds["places"], np.int64)
+                for place in seeds["item_places"]:
+                    diagonals.add(places - place)
+            best = longest_overlap(text, test, diagonals.all())
+            if best[2]:
+                rows.append(row)
+                found.append((item, *best))
+        yield _leak_batch(batch.column("doc_id").take(pa.array(rows, pa.int64())), found)
 
 
 def _leaks_by_join(chosen: DataFrame, seeds: DataFrame, tokens: DataFrame, masks: list, schema: str) -> DataFrame:
@@ -293,21 +336,24 @@ def _leaks_by_join(chosen: DataFrame, seeds: DataFrame, tokens: DataFrame, masks
     hits = materialize(
         chosen.mapInArrow(
             _hit_rows(masks, passes),
-            f"doc_id {kind}, start long, tokens binary, hashes array<bigint>, places array<bigint>",
+            f"doc_id {kind}, tokens binary, hashes array<bigint>, places array<array<bigint>>",
         ).withColumn("hit", F.monotonically_increasing_id()),
         "hits",
     )
-    seen = (
-        hits.select("hit", F.explode(F.arrays_zip("hashes", "places")).alias("at"))
-        .select("hit", F.col("at.hashes").alias("hash"), F.col("at.places").alias("place"))
-        .join(seeds, "hash")
-        .select("hit", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
-        .distinct()
+    met = hits.select("hit", F.explode(F.arrays_zip("hashes", "places")).alias("at")).select(
+        "hit", F.col("at.hashes").alias("hash"), F.col("at.places").alias("places")
+    )
+    # One row per hash and item, and per hash and text, however often it repeats in them.
+    held = seeds.groupBy("hash", "item_id").agg(F.collect_list("item_place").alias("item_places"))
+    pairs = (
+        hot_join(met, held, "hash", ["hit"])
+        .groupBy("hit", "item_id")
+        .agg(F.collect_list(F.struct("places", "item_places")).alias("met"))
     )
     return (
-        seen.join(hits.select("hit", "doc_id", "start", "tokens"), "hit")
+        pairs.join(hits.select("hit", "doc_id", "tokens"), "hit")
         .join(tokens.select("item_id", "item_tokens"), "item_id")
-        .select("doc_id", "start", "tokens", "item_id", "item_tokens", "shift")
+        .select("doc_id", "tokens", "item_id", "item_tokens", "met")
         .mapInArrow(_overlap_rows, schema)
     )
 
@@ -315,7 +361,9 @@ def _leaks_by_join(chosen: DataFrame, seeds: DataFrame, tokens: DataFrame, masks
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: Column, index_rows: int = INDEX_ROWS) -> DataFrame:
     """One row per (document, item) that overlap: the longest overlap's place, length and agreement.
 
-    ``start_word`` counts the document's words from 0 and ``item_word`` the item's; ``n_equal`` of
+    Overlaps are measured over whole texts. Ties go to the overlap with most agreeing words, then to
+    the first in the document, then in the item. Long and repetitive texts take work in proportion
+    to their diagonals; a word that many texts repeat is one row for each text and item. ``start_word`` counts the document's words from 0 and ``item_word`` the item's; ``n_equal`` of
     ``n_words`` agree; ``share`` is ``n_equal`` over the item's words. Items whose id or text is null
     and items without words leak nowhere; null and empty documents hold nothing; rows that repeat
     a doc_id are one document; a null doc_id is carried as such. Items with one id are parts of one

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabmeld.llm.warc import ANY_TAG, BLOCK_TAGS, ENTITIES, HIDDEN
+from html.entities import html5
 
 
 def _crc_steps(value: int, steps: int) -> int:
@@ -48,18 +48,29 @@ def _record_id(*parts: str) -> str:
     return f"'<urn:uuid:' || {pieces} || '>'"
 
 
-def _plain_text(html: str) -> str:
-    def replaced(text: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
+# The page's markup in RE2, stated apart from the operator's own scan.
+_REGIONS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+_BLOCKS = (
+    r"(?i)</?(?:p|div|br|hr|li|[uod]l|d[td]|h[1-6]|t[rdh]|table|article|section|nav|header|footer|main|aside"
+    r"|blockquote|pre|form|body|html)\b[^<>]*>"
+)
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+# HTML's names as rows; those that may stand without a semicolon are also prefixes of longer words.
+_NAMES = ", ".join(f"({_quoted(name)}, {_quoted(value)})" for name, value in sorted(html5.items()))
+# Numbers that stand for Windows-1252 bytes; the five that it leaves open stand for themselves.
+_BYTES = ", ".join(f"({byte}, {ord(bytes([byte]).decode('cp1252', 'ignore') or chr(byte))})" for byte in range(0x80, 0xA0))
+
 
-    text = replaced(html, HIDDEN, "' '")
-    text = replaced(text, r"[ \t\r\n\f]+", "' '")
-    text = replaced(text, BLOCK_TAGS, "chr(10)")
-    text = replaced(text, ANY_TAG, "''")
-    for name, value in ENTITIES:
-        text = f"replace({text}, {_quoted(name)}, {_quoted(value)})"
-    text = replaced(text, r" *\n[ \n]*", "chr(10)")
-    return replaced(text, r"^[ \n]+|[ \n]+$", "''")
+def _replaced(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
+
+
+def _tagless(html: str) -> str:
+    text = _replaced(html, _REGIONS, "' '")
+    text = _replaced(text, r"[ \t\r\n\f]+", "' '")
+    text = _replaced(text, _BLOCKS, "chr(10)")
+    return _replaced(text, r"<[a-zA-Z/!][^<>]*>", "''")
 
 
 def _digest(text: str) -> str:
@@ -74,11 +85,47 @@ WITH source AS (
 ), responses AS (
   SELECT *, {_record_id("'response'", "coalesce(page_id::VARCHAR, '')", 'target_uri', 'payload')} AS source_id,
     'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: '
-      || octet_length(encode(payload)) || {_CRLF} || {_CRLF} AS http,
-    {_plain_text('payload')} AS plain
+      || octet_length(encode(payload)) || {_CRLF} || {_CRLF} AS http
   FROM source
+), tagless AS (
+  SELECT DISTINCT payload, {_tagless('payload')} AS text FROM source
+), parts AS (
+  SELECT payload, unnest(string_split_regex(text, {_quoted(_REFERENCE)})) AS before,
+    generate_subscripts(string_split_regex(text, {_quoted(_REFERENCE)}), 1) AS place,
+    regexp_extract_all(text, {_quoted(_REFERENCE)}) AS refs
+  FROM tagless
+), placed AS (
+  SELECT payload, place, before, refs[place] AS ref FROM parts
+), names(name, value) AS (VALUES {_NAMES}
+), old_bytes(code, value) AS (VALUES {_BYTES}
+), refs AS (
+  SELECT DISTINCT ref, CASE WHEN ref[2] = '#' THEN coalesce(TRY_CAST(CASE WHEN lower(ref[3]) = 'x'
+    THEN '0x' || rtrim(substr(ref, 4), ';') ELSE rtrim(substr(ref, 3), ';') END AS BIGINT), 1114112) END AS code
+  FROM placed WHERE ref IS NOT NULL
+), numbers AS (
+  SELECT ref, CASE
+    WHEN code IN (9, 10, 12, 13, 160) THEN ' '
+    WHEN old_bytes.value IS NOT NULL THEN chr(old_bytes.value::INT)
+    WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533)
+    WHEN code < 32 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN ''
+    ELSE chr(code::INT) END AS value
+  FROM refs LEFT JOIN old_bytes USING (code) WHERE code IS NOT NULL
+), begins AS (
+  SELECT ref, unnest(range(2, len(ref))) AS size FROM refs WHERE code IS NULL
+), named AS (
+  SELECT ref, arg_max(names.value || substr(ref, size + 2), size) AS value
+  FROM begins JOIN names ON names.name = substr(ref, 2, size) GROUP BY ref
+), decoded AS (
+  SELECT ref, value FROM numbers UNION ALL
+  SELECT ref, CASE WHEN value IN (chr(9), chr(10), chr(160)) THEN ' ' ELSE value END FROM named
+), plain AS (
+  SELECT payload, string_agg(before || coalesce(value, ref, ''), '' ORDER BY place) AS text
+  FROM placed LEFT JOIN decoded USING (ref) GROUP BY payload
+), converted AS (
+  SELECT responses.*, {_replaced(_replaced('plain.text', r" *\n[ \n]*", 'chr(10)'), r"^[ \n]+|[ \n]+$", "''")} AS plain
+  FROM responses JOIN plain USING (payload)
 ), blocks AS (
-  SELECT page_id, target_uri, source_id, 'conversion' AS record_type, 'text/plain' AS content_type, plain AS block FROM responses
+  SELECT page_id, target_uri, source_id, 'conversion' AS record_type, 'text/plain' AS content_type, plain AS block FROM converted
   UNION ALL
   SELECT page_id, target_uri, source_id, 'metadata', 'application/warc-fields',
     'source-payload-digest: ' || {_digest('payload')} || {_CRLF}
@@ -86,7 +133,7 @@ WITH source AS (
     || 'source-payload-length: ' || octet_length(encode(payload)) || {_CRLF}
     || 'source-http-status: 200' || {_CRLF} || 'source-content-type: text/html; charset=utf-8' || {_CRLF}
     || 'text-digest: ' || {_digest('plain')} || {_CRLF}
-  FROM responses
+  FROM converted
 )
 SELECT page_id, record_type, {_record_id('record_type', 'source_id', 'block')} AS record_id, source_id AS refers_to,
   target_uri, '1970-01-01T00:00:00Z' AS warc_date, content_type, octet_length(encode(block))::BIGINT AS content_length,

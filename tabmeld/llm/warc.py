@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as html_names
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,14 +24,19 @@ VERSION = "WARC/1.1"
 TEXT_TYPE = "text/plain"
 FIELDS_TYPE = "application/warc-fields"
 
-# The entities that the query's SQL decodes; plain_text decodes all of HTML.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-BLOCK_TAGS = (
-    r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside"
-    r"|blockquote|pre|form|body|html)\b[^<>]*>"
+BLOCK_TAGS = re.compile(
+    r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside"
+    r"|blockquote|pre|form|body|html)\b[^<>]*>",
+    re.ASCII | re.IGNORECASE,
 )
-ANY_TAG = r"<[a-zA-Z/!][^<>]*>"
+ANY_TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
+BLANKS = re.compile(r"[ \t\r\n\f]+")
+# Regions without visible text begin with these; a region that never ends is none.
+REGION = re.compile(r"<!--|<(?:script|style|head)\b", re.ASCII | re.IGNORECASE)
+REGION_END = {
+    begin: re.compile(end, re.ASCII | re.IGNORECASE)
+    for begin, end in (("<!--", "-->"), *((f"<{name}", rf"</{name}\s*>") for name in ("script", "style", "head")))
+}
 
 
 def digest(content: Column) -> Column:
@@ -54,22 +60,41 @@ def _referred(reference: str) -> str:
     return " " if value in ("\t", "\n", "\f", "\r", "\xa0") else value
 
 
-def _decoded(texts: pd.Series) -> pd.Series:
-    """Texts with all named and numeric character references of HTML decoded once; those of blanks give a space."""
-    return texts.map(
-        lambda text: _REFERENCE.sub(lambda found: _referred(found[0]), text) if text and "&" in text else text
-    )
+def _without_regions(html: str) -> str:
+    """The page with a blank for each hidden region, in one pass over it.
+
+    Once no end of a kind is left, all further beginnings of that kind are passed over.
+    """
+    kept, at, seek, endless = [], 0, 0, set()
+    while found := REGION.search(html, seek):
+        kind = found[0].lower()
+        end = None if kind in endless else REGION_END[kind].search(html, found.end())
+        if end:
+            kept += [html[at : found.start()], " "]
+            at = seek = end.end()
+        else:
+            endless.add(kind)
+            seek = found.start() + 1
+    return "".join([*kept, html[at:]])
+
+
+def _visible(html: str) -> str:
+    text = BLANKS.sub(" ", _without_regions(html))
+    text = ANY_TAG.sub("", BLOCK_TAGS.sub("\n", text))
+    # All references once, from left to right; those of blanks give a blank.
+    text = _REFERENCE.sub(lambda found: _referred(found[0]), text)
+    lines = (line.strip(" ") for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text of a page: one line per block, blanks squeezed, no empty lines."""
-    text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
-    text = F.regexp_replace(text, BLOCK_TAGS, "\n")
-    text = F.regexp_replace(text, ANY_TAG, "")
-    text = F.pandas_udf(_decoded, T.StringType())(text)
-    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    """Visible text of a page: one line per block, blanks squeezed, no empty lines, all named and
+    numeric character references of HTML decoded. Its work grows with a page's length, whatever it holds."""
+
+    def visible(pages: pd.Series) -> pd.Series:
+        return pages.map(_visible, na_action="ignore")
+
+    return F.pandas_udf(visible, T.StringType())(html)
 
 
 def responses(pages: DataFrame, uri: str, payload: str, identity: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -214,29 +239,71 @@ def _fields(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import gzip
+def _unzipped(content: bytes) -> tuple[bytes, str | None]:
+    """Bytes of all gzip members, as far as they are sound, and what is wrong with the rest."""
+    out = []
+    while content:
+        if content[:2] != b"\x1f\x8b":
+            if out and not content.strip(b"\0"):  # padding
+                break
+            return b"".join(out) + (b"" if out else content), "not gzip after a member" if out else None
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error as error:
+            return b"".join(out), str(error)
+        if not member.eof:
+            return b"".join(out), "gzip member cut short"
+        content = member.unused_data
+    return b"".join(out), None
+
+
+def _record(data: bytes, at: int) -> tuple[list, int]:
+    """One row, and where the next record begins."""
+    end = data.find(b"\r\n\r\n", at)
+    stop, status, fields = len(data), None, []
+    if not data.startswith(b"WARC/", at):
+        status = "no version line"
+    elif end < 0:
+        status = "header cut short"
+    else:
+        fields = _fields(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+    named = {name.lower(): value for name, value in reversed(fields)}
+    length = named.get("content-length", "")
+    if status is None and not (length.isascii() and length.isdigit()):
+        status = "no content length"
+    begin = end + 4
+    if status is None:
+        stop = begin + int(length)
+        status = "ok" if stop <= len(data) else "block cut short"
+    if status in ("no version line", "no content length"):
+        # The next record is the next one that shows itself.
+        found = data.find(b"\r\n\r\nWARC/", at + 1)
+        stop = found if found >= 0 else len(data)
+    pairs = [{"name": name, "value": value} for name, value in fields]
+    held = [named.get(name) for name in _NAMED.values()]
+    if status != "ok":
+        return [*held, None, pairs, None, None, None, status], stop + 4
+    block, http, payload = data[begin:stop], None, None
+    if named.get("content-type", "").lower().startswith("application/http"):
+        border = re.search(rb"\r?\n\r?\n", block)
+        cut = border.end() if border else len(block)
+        http, payload = block[:cut].decode("latin-1"), block[cut:]
+    return [*held, stop - begin, pairs, http, payload, block.decode("utf-8", "replace"), status], stop + 4
+
 
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [*_NAMED, "content_length", "fields", "http_headers", "payload", "block", "status"]
     for batch in batches:
         for content in batch["content"]:
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+            data, wrong = _unzipped(content)
             rows, at = [], 0
             while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                fields = _fields(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-                named = {name.lower(): value for name, value in reversed(fields)}
-                begin = end + 4
-                stop = begin + int(named["content-length"])
-                block, http, payload = data[begin:stop], None, None
-                if named.get("content-type", "").lower().startswith("application/http"):
-                    border = re.search(rb"\r?\n\r?\n", block)
-                    cut = border.end() if border else len(block)
-                    http, payload = block[:cut].decode("latin-1"), block[cut:]
-                held = [named.get(name) for name in _NAMED.values()]
-                pairs = [{"name": name, "value": value} for name, value in fields]
-                rows.append([*held, stop - begin, pairs, http, payload, block.decode("utf-8", "replace")])
-                at = stop + 4
-            yield pd.DataFrame(rows, columns=[*_NAMED, "content_length", "fields", "http_headers", "payload", "block"])
+                row, at = _record(data, at)
+                rows.append(row)
+            if wrong:
+                rows.append([None] * (len(columns) - 1) + [wrong])
+            yield pd.DataFrame(rows, columns=columns).astype({"content_length": "Int64"})
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -244,14 +311,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     ``fields`` has all header lines as (name, value), and the named ones are columns too. Of HTTP
     messages, ``http_headers`` ends with the empty line and ``payload`` holds the bytes after it;
-    they are null for other records. ``block`` is the block as UTF-8 text.
+    they are null for other records. ``block`` is the block as UTF-8 text. ``status`` is "ok", or says
+    why a record could not be read: such a row has no block, and reading goes on with the next
+    record that begins after an empty line. A damaged gzip member ends its file with such a row.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(
         _parse,
         ", ".join(f"{name} string" for name in _NAMED)
         + ", content_length long, fields array<struct<name string, value string>>"
-        ", http_headers string, payload binary, block string",
+        ", http_headers string, payload binary, block string, status string",
     )
 
 

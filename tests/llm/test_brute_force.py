@@ -152,31 +152,77 @@ def test_op4_counts_phrase_places(run, texts):
         assert base <= set(filter(None, row.labels.split(","))) and 0 <= row.score <= 1
 
 
+def best_overlaps(text: str, item: str) -> tuple | None:
+    """(start_word, item_word, n_words, n_equal) of the longest tolerant stretch on any diagonal, by trying all."""
+    words, tokens = ALNUM_WORD.findall(lower(text)), ALNUM_WORD.findall(lower(item))
+    need, best = min(13, len(tokens)), None
+    for shift in range(-len(tokens) + 1, len(words)):
+        same = [0 <= i + shift < len(words) and words[i + shift] == w for i, w in enumerate(tokens)]
+        if sum(same) < 0.8 * need:
+            continue
+        agreed = np.concatenate(([0], np.cumsum(same))).tolist()
+        for i in range(len(tokens)):
+            for j in range(i + max(need, 1) - 1, len(tokens)) if same[i] else ():
+                n, equal = j + 1 - i, agreed[j + 1] - agreed[i]
+                if same[j] and 5 * equal >= 4 * n:
+                    best = max(best or (0, 0, 0, 0), (n, equal, -(i + shift), -i))
+    return best and (-best[2], -best[3], best[0], best[1])
+
+
+def found_leaks(docs, items, **options):
+    rows = decontamination.find_leaks(docs, items, docs.doc_id, **options).collect()
+    return {(r.doc_id, r.item_id): (r.start_word, r.item_word, r.n_words, r.n_equal) for r in rows}
+
+
 def test_op6_finds_every_long_run(run, ready, texts):
-    """Items share a tolerant diagonal stretch with a text exactly when the query says so."""
+    """Items share a tolerant diagonal stretch with a text exactly when the query says so, and exactly there."""
     items = {r.item_id: r.text for r in ready.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
-    found = {(r.doc_id, r.item_id): r for r in run("op6_benchmark_decontamination")}
-    item_words = {i: ALNUM_WORD.findall(lower(t)) for i, t in items.items()}
-    want = set()
+    rows = run("op6_benchmark_decontamination")
+    found = {(r.doc_id, r.item_id): (r.start_word, r.item_word, r.n_words, r.n_equal) for r in rows}
+    item_words = {i: set(ALNUM_WORD.findall(lower(t))) for i, t in items.items()}
+    want = {}
     for doc_id, text in texts.items():
-        words = ALNUM_WORD.findall(lower(text))
-        where = defaultdict(list)
-        for at, word in enumerate(words):
-            where[word].append(at)
-        for item, tokens in item_words.items():
-            shifts = Counter(at - i for i, w in enumerate(tokens) for at in where.get(w, ()))
-            need = min(13, len(tokens))
-            for shift, n in shifts.items():
-                if n < 0.8 * need:
-                    continue
-                same = [0 <= i + shift < len(words) and words[i + shift] == w for i, w in enumerate(tokens)]
-                if any(
-                    same[i] and same[j] and 5 * sum(same[i : j + 1]) >= 4 * (j + 1 - i)
-                    for i in range(len(same))
-                    for j in range(i + need - 1, len(same))
-                ):
-                    want.add((doc_id, item))
-    assert set(found) == want and want
+        words = set(ALNUM_WORD.findall(lower(text)))
+        for item, held in item_words.items():
+            if len(words & held) >= 0.2 * len(held) and (best := best_overlaps(text, items[item])):
+                want[doc_id, item] = best
+    assert found == want and want
+    sizes = {i: len(ALNUM_WORD.findall(lower(t))) for i, t in items.items()}
+    assert all(r.share == pytest.approx(r.n_equal / sizes[r.item_id]) for r in rows)
+
+
+def test_op6_extents_on_both_paths(ready):
+    """Long stretches with a gap, repeated words and periods, random texts over few words."""
+    rng = np.random.default_rng(8)
+    long = [f"w{i}" for i in range(400)]
+    changed = [*long[:160], *[f"x{i}" for i in range(75)], *long[235:]]
+    items = [(0, " ".join(long)), (1, "same " * 60), (2, "one two " * 20), (3, " ".join(rng.choice(["a", "b", "c"], 40)))]
+    docs = [
+        (0, "go " + " ".join(changed) + " end"), (1, "same " * 300), (2, "x " + "one two " * 50 + "one one " * 9), (3, "same one " * 40),
+        (4, " ".join(rng.choice(["a", "b", "c"], 300))), (5, items[3][1].replace("a", "d", 2)), (6, "same " * 12 + "x " * 3 + "same " * 30),
+    ]
+    want = {(d, i): best for d, text in docs for i, item in items if (best := best_overlaps(text, item))}
+    assert want[0, 0] == (1, 0, 400, 325) and (1, 1) in want
+    left, right = ready.createDataFrame(docs, "doc_id long, text string"), ready.createDataFrame(items, "item_id long, text string")
+    assert found_leaks(left, right) == want
+    assert found_leaks(left, right, index_rows=0) == want
+
+
+def test_op6_repeated_words_cost_no_more_than_their_diagonals():
+    import time
+
+    spent = []
+    for size in (100, 200, 400):
+        index_hash = np.zeros(size, np.uint64)
+        text = np.zeros(20 * size, np.uint64)
+        diagonals = decontamination.Diagonals(21 * size)
+        began = time.process_time()
+        for place in range(size):
+            diagonals.add(np.arange(20 * size) - place)
+        best = decontamination.longest_overlap(text, index_hash, diagonals.all())
+        spent.append(time.process_time() - began)
+        assert best == (0, 0, size, size)
+    assert spent[-1] < 1
 
 
 def test_op6_tolerates_substitutions_on_both_paths(ready):

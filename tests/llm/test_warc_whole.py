@@ -85,3 +85,70 @@ def test_files_to_derivatives(ready, tmp_path):
         "source-header: Content-Length: 7",
         "source-header: Last-Modified: Sun, 31 Dec 2023 00:00:00 GMT",
     ]
+
+
+def test_regions_that_never_end(ready):
+    """Unclosed regions stay, and cost one look for their end."""
+    import time
+
+    began = time.process_time()
+    assert warc._visible("<!-- a <script> b <p>c</p>") == "<!-- a  b\nc"
+    assert warc._visible("<script>x</script >y<!--z-->w<STYLE>v</style>") == "y w"
+    for kind in ("<!-- ", "<script ", "<style>", "<head ", "<", "< b> ", "&#", " \n "):
+        warc._visible(kind * 40_000)
+    assert time.process_time() - began < 5
+
+
+def test_broken_records_get_a_status(ready, tmp_path):
+    def record(head: str, block: str = "abc") -> bytes:
+        return f"{head}\r\n\r\n{block}\r\n\r\n".encode()
+
+    good = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{}>\r\nContent-Length: 3"
+    cases = {
+        "length": record(good.format(1)) + record("WARC/1.1\r\nWARC-Type: resource") + record(good.format(2)),
+        "bad_length": record("WARC/1.0\r\nContent-Length: x3") + record(good.format(3)),
+        "version": b"nothing\r\n\r\nmore\r\n\r\n" + record(good.format(4)),
+        "header": record(good.format(5)) + b"WARC/1.1\r\nContent-Len",
+        "block": record(good.format(6)) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc",
+        "empty": b"",
+    }
+    for name, data in cases.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    whole = gzip.compress(record(good.format(7)))
+    (tmp_path / "cut.warc.gz").write_bytes(whole + gzip.compress(record(good.format(8)))[:10])
+    (tmp_path / "junk.warc.gz").write_bytes(whole + b"junk")
+    rows = warc.read_records(ready, str(tmp_path)).collect()
+    sound = sorted(r.record_id for r in rows if r.status == "ok" and r.block == "abc" and r.content_length == 3)
+    assert sound == sorted(["<urn:1>", "<urn:2>", "<urn:3>", "<urn:4>", "<urn:5>", "<urn:6>", "<urn:7>", "<urn:7>"])
+    broken = sorted(r.status for r in rows if r.status != "ok")
+    assert broken == sorted(["no content length", "no content length", "no version line", "header cut short", "block cut short",
+                             "gzip member cut short", "not gzip after a member"])
+    assert warc.read_responses(warc.read_records(ready, str(tmp_path))).count() == 0
+
+
+def test_records_equal_plain_python(ready):
+    """Whole records of the given pages, from their definition."""
+    pages = ready.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = {(r.page_id, r.record_type): r for r in warc.derive(warc.responses(pages, "url", "html", "page_id")).collect()}
+    sha = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+    def urn(*parts: str) -> str:
+        h = hashlib.md5("\n".join(parts).encode()).hexdigest()
+        return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+    given = pages.collect()
+    assert len(made) == 2 * len(given)
+    for page in given:
+        html, url = page.html or "", page.url or ""
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}\r\n\r\n"
+        source = urn("response", str(page.page_id), url, html)
+        text, fields = made[page.page_id, "conversion"], made[page.page_id, "metadata"]
+        assert fields.block == (
+            f"source-payload-digest: {sha(html)}\r\nsource-block-digest: {sha(head + html)}\r\n"
+            f"source-payload-length: {len(html.encode())}\r\nsource-http-status: 200\r\n"
+            f"source-content-type: text/html; charset=utf-8\r\ntext-digest: {sha(text.block)}\r\n"
+        )
+        for row, kind in ((text, "text/plain"), (fields, "application/warc-fields")):
+            assert (row.refers_to, row.target_uri, row.content_type) == (source, url, kind)
+            assert (row.content_length, row.block_digest) == (len(row.block.encode()), sha(row.block))
+            assert row.record_id == urn(row.record_type, source, row.block)
