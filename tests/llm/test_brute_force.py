@@ -362,8 +362,8 @@ def test_op9_keeps_good_documents(run, ready):
     assert sum(r.kept for r in junk) <= 0.15 * len(junk)
 
 
-def test_op10_base_and_tree(run, texts):
-    from tabmeld.llm import suffix_tree
+def test_op10_base_and_tree(run, ready, texts):
+    from tabmeld.llm import quality_classifier, suffix_tree
 
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
     counts = Counter(t for i, own in tokens.items() if not held_out(i, 10) for t in own)
@@ -377,44 +377,57 @@ def test_op10_base_and_tree(run, texts):
         assert row.n_known == sum(counts[t] > 0 for t in own)
         assert row.base_score == pytest.approx(want, abs=1e-6)
     # The tree, from plain counts of all contexts.
-    depth = suffix_tree.DEPTH
+    lengths, depth = suffix_tree.LENGTHS, suffix_tree.LENGTHS[-1]
     train = [suffix_tree.normal(texts[i].encode()) for i in texts if not held_out(i, 10)]
-    seen: dict[tuple, Counter] = defaultdict(Counter)
+    seen: dict[bytes, Counter] = defaultdict(Counter)
     for text in train:
         padded = b"\n" * depth + text + b"\n"
         for at in range(depth, len(padded)):
-            for level in range(depth + 1):
-                seen[level, padded[at - level : at]][padded[at]] += 1
-    places = sum(seen[0, b""].values())
-    kept = {(0, b"")}
-    for (level, context), nexts in seen.items():
+            for length in lengths:
+                seen[padded[at - length : at]][padded[at]] += 1
+    places = sum(seen[b""].values())
+    shorter = {length: lengths[level - 1] for level, length in enumerate(lengths) if level}
+    kept = set()
+    for context, nexts in seen.items():
         n = sum(nexts.values())
-        if level and n >= suffix_tree.LEAST_SHARE * places:
-            parent = seen[level - 1, context[1:]]
+        if context and n >= suffix_tree.FLOOR:
+            parent = seen[context[len(context) - shorter[len(context)] :]]
             parent_total = sum(parent.values())
             gain = sum(c * math.log(c / n / (parent[s] / parent_total)) for s, c in nexts.items())
             if gain > (len(nexts) - 1) / 2 * math.log(places):
-                kept.add((level, context))
+                kept.add(context)
+    assert {len(context) for context in kept} == set(lengths[1:])
 
     def chance(context: bytes, symbol: int) -> float:
         if not context:
-            return (seen[0, b""][symbol] + 0.5) / (places + 128)
-        shorter = chance(context[1:], symbol)
-        if (len(context), context) not in kept:
-            return shorter
-        nexts = seen[len(context), context]
-        return (nexts[symbol] + len(nexts) * shorter) / (sum(nexts.values()) + len(nexts))
+            return (seen[b""][symbol] + 0.5) / (places + 128)
+        below = chance(context[len(context) - shorter[len(context)] :], symbol)
+        if context not in kept:
+            return below
+        nexts = seen[context]
+        return (nexts[symbol] + len(nexts) * below) / (sum(nexts.values()) + len(nexts))
 
     memo: dict[tuple, float] = {}
+    wanted = {}
     for row in rows[:40]:
         padded = b"\n" * depth + suffix_tree.normal(texts[row.doc_id].encode()) + b"\n"
         score = 0.0
         for at in range(depth, len(padded)):
-            longest = next(padded[at - n : at] for n in range(depth, -1, -1) if (n, padded[at - n : at]) in kept)
-            state = (longest, padded[at])
+            state = (padded[at - depth : at], padded[at])
             memo[state] = memo.get(state) or math.log10(chance(*state))
             score += memo[state]
-        assert row.score == pytest.approx(score, rel=1e-4)
+        wanted[row.doc_id] = score
+        assert row.score == pytest.approx(score, rel=1e-9)
+    # The same with few states held and the others joined.
+    docs = ready.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for most in (0, 500):
+        again = suffix_tree.score_documents(docs, docs.doc_id, quality_classifier.held_out(docs.doc_id, 10), most=most)
+        scores = {r.doc_id: r.score for r in again.collect()}
+        assert all(scores[i] == pytest.approx(score, rel=1e-9) for i, score in wanted.items())
+    # What is kept is just that.
+    tokens, levels, _, total = suffix_tree.grow(docs.where(~quality_classifier.held_out(docs.doc_id, 10)))
+    found = sum(rows.where("kept").count() for rows in levels)
+    assert (found, total) == (len(kept), places)
 
 
 def test_pipeline_decisions(ready):
