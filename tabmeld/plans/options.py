@@ -22,7 +22,7 @@ CHOICES = {
     "on_duplicate": ("coalesce", "error"),
     "preflight": ("abort", "report"),
     "null_keys": ("drop", "keep"),
-    "median": ("auto", "builtin", "ranked"),
+    "median": ("auto", "builtin", "ranked", "sketch"),
 }
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmeld.plans.consolidate import Consolidation
+from tabmeld.functions.names import column
+from tabmeld.plans.consolidate import Consolidation, _literal_path
 from tabmeld.plans.sink import read_output
 
 
@@ -33,21 +36,49 @@ def metric_table(summary: DataFrame) -> DataFrame:
     return text.unpivot([], summary.columns, "metric", "value")
 
 
+SHAPE_SCHEMA = "dataset string, written boolean, n_rows bigint, columns array<string>"
+PREVIEW_SCHEMA = "dataset string, row int, record string"
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    """All parts, by a plan whose depth grows with the logarithm of their number."""
+    while len(parts) > 1:
+        parts = [parts[i].union(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def output_shapes(spark: SparkSession, run: Consolidation, written: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """Per dataset: whether its output was written, and its shape, read back from the output."""
-    rows = []
+    lacking = [(name, False, None, None) for name, *_ in run.status if name not in written]
+    parts = [spark.createDataFrame(lacking, SHAPE_SCHEMA)]
+    for name, *_ in run.status:
+        if name in written:
+            table = read_output(spark, written[name], fmt)
+            names = F.array(*[F.lit(c) for c in table.columns]).cast("array<string>")
+            counted = table.agg(F.count("*").alias("n_rows"))
+            parts.append(counted.select(F.lit(name).alias("dataset"), F.lit(True).alias("written"), "n_rows", names.alias("columns")))
+    return _stacked(parts)
+
+
+def output_previews(
+    spark: SparkSession, run: Consolidation, written: dict[str, str], fmt: str = "parquet", n_rows: int = 3
+) -> DataFrame:
+    """The first rows of each written output, as JSON records numbered from 1.
+
+    Outputs are sorted across files that are numbered by name, so only the first files are read, until
+    they have given enough rows. Datasets without an output have no rows here.
+    """
+    found = []
     for name, *_ in run.status:
-        path = written.get(name)
-        if path is None:
-            rows.append(spark.range(1).select(F.lit(name).alias("dataset"), F.lit(False).alias("written"),
-                                              F.lit(None).cast("bigint").alias("n_rows"),
-                                              F.lit(None).cast("array<string>").alias("columns")))
+        if name not in written:
             continue
-        table = read_output(spark, path, fmt)
-        names = F.array(*[F.lit(c) for c in table.columns])
-        rows.append(table.agg(F.count("*").alias("n_rows")).select(
-            F.lit(name).alias("dataset"), F.lit(True).alias("written"), "n_rows", names.alias("columns")))
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+        table = read_output(spark, written[name], fmt)
+        records: list[str] = []
+        for file in sorted(table.inputFiles()):
+            if len(records) == n_rows:
+                break
+            rows = read_output(spark, _literal_path(unquote(file)), fmt, table.schema)
+            record = F.to_json(F.struct(*[column(c) for c in rows.columns]), {"ignoreNullFields": "false"}).alias("record")
+            records += [row["record"] for row in rows.select(record).take(n_rows - len(records))]
+        found += [(name, place, record) for place, record in enumerate(records, start=1)]
+    return spark.createDataFrame(found, PREVIEW_SCHEMA)

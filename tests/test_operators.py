@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabmeld.operators import aggregate, layout
+from tabmeld.operators.aggregate import SKETCH_ERROR, aggregate_by, median_sketches, merge_sketches, sketch_medians
 from tabmeld.operators.order import rank_rows, sort_rows
 from tabmeld.operators.spread import hot_join, hot_keys, salted_left_join
 from tabmeld.operators.typing import reconcile_text
@@ -245,3 +246,19 @@ def test_hot_join_equals_a_plain_join(spark, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     nothing = hot_join(big.limit(0), small, "k", ["id"], how, tasks=20)
     assert nothing.count() == 0
+
+
+def test_median_sketches_merge(spark):
+    """Sketches of parts give the rank that one pass gives; groups without values have none."""
+    df = spark.range(30000).selectExpr("id % 3 AS g", "id % 7 AS part", "CASE WHEN id % 3 < 2 THEN double(pmod(id * 7919, 30011)) END AS x")
+    stored = median_sketches(df, ["g", "part"], ["x"])
+    merged = {r["g"]: r["x"] for r in sketch_medians(merge_sketches(stored, ["g"], ["x"]), ["g"], ["x"]).collect()}
+    direct = {r["g"]: r["x"] for r in aggregate_by(df.drop("part"), ["g"], {"x": "median"}, median="sketch").collect()}
+    assert merged[2] is None and direct[2] is None
+    for g in (0, 1):
+        values = sorted(r["x"] for r in df.where(df.g == g).collect())
+        for value in (merged[g], direct[g]):
+            assert abs(values.index(value) / len(values) - 0.5) <= 2 * SKETCH_ERROR
+    small = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", float("nan"))], "g string, x double")
+    out = {r["g"]: r["x"] for r in aggregate_by(small, ["g"], {"x": "median"}, median="sketch").collect()}
+    assert out == {"a": 2.0, "b": None}

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabmeld.operators.aggregate import aggregate_by, aggregate_if_tall
+from tabmeld.operators.aggregate import (
+    SKETCH_ERROR,
+    aggregate_by,
+    aggregate_if_tall,
+    median_sketches,
+    merge_sketches,
+    sketch_medians,
+)
+from tabmeld.session import materialize
 from workload import query, table
 
 # Values above 30 are blanked and one event type loses its key, so gaps are exercised.
@@ -192,3 +200,30 @@ def all_functions(spark, sf_dir):
         {"l_quantity": F.round("l_quantity", 2), "l_extendedprice": F.round("l_extendedprice", 4),
          "l_suppkey": F.round("l_suppkey", 6)}
     )
+
+
+@query(
+    "agg_median_sketch",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, true AS merged_in_bounds, true AS direct_in_bounds
+       FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+def median_sketch(spark, sf_dir):
+    """Medians within the stated share of the middle rank: of stored sketches per line number, merged, and of one pass."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice")
+    keys, name = ["l_returnflag", "l_linestatus"], ["l_extendedprice"]
+    stored = materialize(median_sketches(rows, [*keys, "l_linenumber"], name), "sketches")
+    merged = sketch_medians(merge_sketches(stored, keys, name), keys, name).withColumnRenamed("l_extendedprice", "merged")
+    direct = aggregate_by(rows.drop("l_linenumber"), keys, {"l_extendedprice": "median"}, median="sketch")
+    medians = merged.join(direct.withColumnRenamed("l_extendedprice", "direct"), keys)  # one row per group
+    # A rank may be off by one value in small groups, and twice the error leaves room for the improbable.
+    slack = 2 * SKETCH_ERROR * F.col("n") + 1
+
+    def in_bounds(which: str):
+        return (F.col(f"below_{which}") <= F.col("n") / 2 + slack) & (F.col(f"upto_{which}") >= F.col("n") / 2 - slack)
+
+    ranks = rows.join(F.broadcast(medians), keys).groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col("l_extendedprice") < F.col(which)).alias(f"below_{which}") for which in ("merged", "direct")],
+        *[F.count_if(F.col("l_extendedprice") <= F.col(which)).alias(f"upto_{which}") for which in ("merged", "direct")],
+    )
+    return ranks.select(*keys, "n", *[in_bounds(which).alias(f"{which}_in_bounds") for which in ("merged", "direct")])

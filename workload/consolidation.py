@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 
 from tabmeld.operators.spread import with_global_rank
 from tabmeld.plans.consolidate import Consolidation, consolidate
-from tabmeld.plans.report import metric_table, output_shapes, run_summary
+from tabmeld.plans.report import metric_table, output_previews, output_shapes, run_summary
 from tabmeld.plans.sink import read_output, stacked, write_outputs, write_partitioned
 from workload import query, table
 from workload.exports import new_root, write_csv, write_file, write_varied_headers
 
 
+# Files of an export at least, and rows of a file at most.
 ADS_FILES = 8
+ADS_ROWS = 1_000_000
+
+
+def _dealt(df, least: int = 1):
+    """Rows in so many partitions as their number asks for, one file each."""
+    return df.repartition(max(least, -(-df.count() // ADS_ROWS)))
+
+
+# The number of files that this gives, in SQL.
+_N_FILES = "greatest({least}, (count(*) + {most} - 1) // {most})"
+_LINE_FILES = _N_FILES.format(least=ADS_FILES, most=ADS_ROWS)
+_PEOPLE_FILES = _N_FILES.format(least=1, most=ADS_ROWS)
 
 
 def _ads(spark, sf_dir, label: str) -> str:
     """lineitem as three exports with differing headers, customers and a lone table beside it."""
     root = new_root(spark, label)
-    # A fixed number of files per export, as the run summary counts them.
-    lineitem = table(spark, sf_dir, "lineitem").repartition(ADS_FILES)
+    lineitem = _dealt(table(spark, sf_dir, "lineitem"), ADS_FILES)
     common = ["l_orderkey AS ` Order   Key`", "l_linestatus AS State"]
     write_csv(
         lineitem.where("l_returnflag = 'R'").selectExpr(
@@ -38,7 +50,7 @@ def _ads(spark, sf_dir, label: str) -> str:
             *common, "l_returnflag AS Flag", "l_quantity AS Impressions", "l_extendedprice AS Spend"
         ), root, "ads", sep="\t",
     )
-    customer = table(spark, sf_dir, "customer").coalesce(1)
+    customer = _dealt(table(spark, sf_dir, "customer"))
     write_csv(customer.where("c_nationkey < 10").selectExpr("c_custkey AS id", "c_mktsegment AS Segment"), root, "people")
     write_csv(
         customer.where("c_nationkey >= 10").selectExpr("c_custkey AS ID", "c_mktsegment AS Segment", "c_acctbal AS balance"),
@@ -170,22 +182,39 @@ def shapes(spark, sf_dir):
     return out.withColumn("columns", ordered)
 
 
+@query(
+    "consolidate_output_previews",
+    """SELECT 'ads' AS dataset, row_number() OVER (ORDER BY m DESC)::INT AS row, key FROM
+         (SELECT l_returnflag || '-' || l_linestatus AS key, median(l_extendedprice) AS m FROM lineitem GROUP BY ALL) QUALIFY row <= 3
+       UNION ALL SELECT 'people', row_number() OVER (ORDER BY c_acctbal, c_custkey)::INT AS row, c_custkey::VARCHAR
+       FROM customer WHERE c_nationkey >= 10 QUALIFY row <= 3""",
+)
+def previews(spark, sf_dir):
+    """The first three rows of every written output, of different columns."""
+    options = {**_OPTIONS, "subdirectories": {"people": {"group_by": None, "sort_by": ["balance", "ID"], "sort_ascending": True}}}
+    run = consolidate(spark, _ads(spark, sf_dir, "previews"), options)
+    out = output_previews(spark, run, write_outputs(run, new_root(spark, "previewed")))
+    field = lambda name: F.get_json_object("record", f"$['{name}']")
+    key = F.coalesce(field("ID"), F.concat_ws("-", field("Flag"), field("State")))
+    return out.select("dataset", "row", key.alias("key"))
+
+
 @query(
     "consolidate_summary_table",
-    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
-       'skipped_single_file', 'errors']) AS metric, unnest(['true', '3', '3', '26', '1', '0']) AS value
-       FROM (SELECT count(*) FROM lineitem))""",
+    f"""SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
+       'skipped_single_file', 'errors']) AS metric, unnest(['true', '3', '3', (3 * l.n + 2 * c.n)::VARCHAR, '1', '0']) AS value
+       FROM (SELECT {_LINE_FILES} AS n FROM lineitem) l, (SELECT {_PEOPLE_FILES} AS n FROM customer) c)""",
 )
 def summary_table(spark, sf_dir):
-    """All totals of a run: three exports of eight files, two of one, and a lone file."""
+    """All totals of a run: three exports of lineitem, two of customer, and a lone file."""
     return metric_table(run_summary(spark, consolidate(spark, _ads(spark, sf_dir, "summary"))))
 
 
 @query(
     "consolidate_failed_write",
-    """SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
-       'skipped_single_file', 'errors']) AS metric, unnest(['true', '2', '3', '2', '1', '1']) AS value
-       FROM (SELECT count(*) FROM lineitem))""",
+    f"""SELECT metric, value FROM (SELECT unnest(['success', 'processed_datasets', 'total_datasets', 'total_files_merged',
+       'skipped_single_file', 'errors']) AS metric, unnest(['true', '2', '3', (2 * n)::VARCHAR, '1', '1']) AS value
+       FROM (SELECT {_PEOPLE_FILES} AS n FROM customer))""",
 )
 def failed_write(spark, sf_dir):
     """A dataset whose output exists already is not merged, and its files do not count."""
@@ -267,7 +296,7 @@ _POLICIES = {
 def conflict_policies(spark, sf_dir):
     """One policy per dataset; a map without an answer and ``fail`` refuse their own dataset only."""
     root = new_root(spark, "policies")
-    customer = table(spark, sf_dir, "customer").coalesce(1).selectExpr(
+    customer = _dealt(table(spark, sf_dir, "customer")).selectExpr(
         "c_custkey AS ID", "CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS Segment",
         "CASE WHEN c_custkey % 3 < 2 THEN c_name END AS Segments",
     )

@@ -11,10 +11,8 @@ from workload import query, table
 from workload.exports import new_root, write_csv, write_file, write_hidden, write_lines, write_workbooks
 
 
-def _orders_by_status(spark, sf_dir, root, one_file: bool = False):
+def _orders_by_status(spark, sf_dir, root):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    # One file per folder takes one task per folder.
-    orders = orders.repartition("o_orderstatus") if one_file else orders
     orders.write.partitionBy("o_orderstatus").option("header", True).csv(root)
 
 
@@ -40,9 +38,9 @@ def file_catalog(spark, sf_dir):
        AS f(name, status, visible, has_bytes)""",
 )
 def unlisted_files(spark, sf_dir):
-    """Hidden, empty and lock files and earlier results, one row per file."""
+    """Hidden, empty and lock files and earlier results; one row for all files that the export wrote to a folder."""
     root = new_root(spark, "unlisted")
-    _orders_by_status(spark, sf_dir, root, one_file=True)
+    _orders_by_status(spark, sf_dir, root)
     statuses = table(spark, sf_dir, "orders").select("o_orderstatus").distinct().collect()
     for (status,) in statuses:
         dataset = f"o_orderstatus={status}"
@@ -53,7 +51,7 @@ def unlisted_files(spark, sf_dir):
     kind = F.when(name.startswith("part-"), "part").when(name.contains("_merged."), "merged").otherwise(name)
     return list_files(spark, root).select(
         "dataset", kind.alias("name"), "status", "visible", (F.col("size") > 0).alias("has_bytes")
-    )
+    ).distinct()
 
 
 @query(
