@@ -62,15 +62,19 @@ def hot_keys(df: DataFrame, key: Column, tasks: int | None = None) -> DataFrame:
 
 
 def hot_join(
-    big: DataFrame, small: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner", tasks: int | None = None
+    big: DataFrame, small: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner", tasks: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on one column that may be hot on the ``big`` side.
 
     Rows of ``small`` are repeated only for hot keys, once per salt; rows of ``big`` with such a key
-    spread over its salts by a hash of ``spread_by``. ``how`` is inner, left or left_semi.
+    spread over its salts by a hash of ``spread_by``. ``how`` is inner, left or left_semi. ``hot`` names
+    the hot keys (key, salts), a task's share each at least, where they are known without a look.
     """
+    if hot is None:
+        hot = materialize(hot_keys(big, F.col(key), tasks), "hot_keys")
     # At most 2 * tasks rows by the sketch's own limit.
-    hot = materialize(hot_keys(big, F.col(key), tasks), "hot_keys").select(F.col("key").alias("_hot"), F.col("salts").alias("_salts"))
+    hot = hot.select(F.col("key").alias("_hot"), F.col("salts").alias("_salts"))
     dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     dealt = dealt.withColumn("_salt", F.coalesce(F.expr("cast(pmod(xxhash64(%s), _salts) as int)" % ", ".join(f"`{c}`" for c in spread_by)), F.lit(0)))
     copies = small.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")

@@ -19,13 +19,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmeld.functions.cells import read_as
+from tabmeld.functions.cells import read_as, unreadable_as
 from tabmeld.functions.names import clean_header, column, header_changes, strip
 from tabmeld.operators import layout
 from tabmeld.operators.aggregate import AggregateError, aggregate_if_tall
 from tabmeld.operators.order import sort_rows
-from tabmeld.operators.spread import salted_left_join
-from tabmeld.operators.typing import profile_text
+from tabmeld.operators.spread import hot_join, salted_left_join
+from tabmeld.operators.typing import ColumnProfile, profile_text
 from tabmeld.operators.union import order_columns, union_by_name
 from tabmeld.plans.options import DatasetOptions, MergeOptions
 from tabmeld.session import configure, materialize
@@ -39,6 +39,9 @@ STATUS_SCHEMA = "dataset string, status string, n_files bigint, n_merged bigint,
 DIALECT_KEYS = ("charset", "sep", "quote", "skip_lead", "multiline")
 LAYOUT_KEYS = ("file_format", *DIALECT_KEYS, "header", "clean")
 
+# From so many datasets of CSV files on, they are read by one scan per dialect, unless told otherwise.
+TOGETHER = 16
+
 # Files with their headers' places are broadcast up to about this size, and joined beyond it.
 BROADCAST_BYTES = 16 << 20
 
@@ -189,9 +192,16 @@ def consolidate(spark: SparkSession, root: str, options: Mapping[str, Any] | Mer
         of_dataset = files.where(F.col("dataset") == name)
         return _build_dataset(spark, name, groups[name], of_dataset, folders.get(name), renames.get(name, {}), options)
 
+    plain = [name for name in merging if all(g.file_format == "csv" for g in groups[name])]
+    together = plain if options.together or (options.together is None and len(plain) >= TOGETHER) else []
+    apart = [name for name in merging if name not in set(together)]
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_datasets)) as pool:
-        built = dict(zip(merging, pool.map(build, merging)))
+        built = dict(zip(apart, pool.map(build, apart)))
     rejects = []
+    if together:
+        both, over = _build_together(spark, {name: groups[name] for name in together}, files, renames, options)
+        built |= both
+        rejects.append(over)
     for name in merging:
         part = built[name]
         run.errors.extend(part.errors)
@@ -541,13 +551,18 @@ def _build_dataset(
     texts = [f"v{i}" for i in range(len(names))]
     dated = {f"v{i}": F.col(f"t{i}") for i in range(len(names))} if with_dates else {}
     n_rows, profiles = profile_text(text, texts, dated)
-    typed = text.select(
-        *[read_as(F.col(v), profiles[v].data_type()).alias(n) for v, n in zip(texts, names)], ROW_ORDER
-    )
-    warnings = [
-        f"requested column not present in any file: {n}" for v, n in zip(texts, names)
-        if own.columns and not profiles[v].has_values
-    ]
+    cells = {n: F.col(v) for v, n in zip(texts, names)}
+    return _typed(name, text, cells, {n: profiles[v] for v, n in zip(texts, names)}, n_rows, rejects, options)
+
+
+def _typed(
+    name: str, text: DataFrame, cells: Mapping[str, Column], profiles: Mapping[str, ColumnProfile], n_rows: int,
+    rejects: list[DataFrame], options: MergeOptions,
+) -> _Built:
+    """The finished table of a dataset from its text cells and what they read as."""
+    own = options.for_dataset(name)
+    typed = text.select(*[read_as(value, profiles[n].data_type()).alias(n) for n, value in cells.items()], ROW_ORDER)
+    warnings = [f"requested column not present in any file: {n}" for n in cells if own.columns and not profiles[n].has_values]
     errors: list[str] = []
     try:
         result = finish(typed, own, n_rows, options, errors, warnings)
@@ -556,6 +571,89 @@ def _build_dataset(
     return _Built(result, n_rows, rejects, errors, warnings)
 
 
+def _first_values(cells: Column) -> Column:
+    """For each final name the first value at its ``places``."""
+
+    def value(at: Column) -> Column:
+        found = F.transform(at, lambda place: F.get(cells, place))
+        return F.get(F.filter(found, lambda text: text.isNotNull()), F.lit(0))
+
+    return F.transform("places", value)
+
+
+def _build_together(
+    spark: SparkSession, groups: Mapping[str, list[LayoutGroup]], files: DataFrame, renames: Mapping[str, Mapping[str, str]],
+    options: MergeOptions,
+) -> tuple[dict[str, _Built], DataFrame]:
+    """Many datasets of CSV files in a fixed number of jobs: one scan per dialect over all of them, whose
+    cells are staged once in the order of the datasets, and one type profile keyed by dataset and column.
+
+    Returns what each dataset gives, and the rejected records of all.
+    """
+    names: dict[str, list[str]] = {}
+    rows, dialects = [], {}
+    for dataset, found in groups.items():
+        placed = [(group, _places(group, renames.get(dataset, {}))) for group in found]
+        names[dataset] = list(options.for_dataset(dataset).columns) or list(dict.fromkeys(n for _, at in placed for n in at))
+        for group, at in placed:
+            dialects[group.dialect] = max(dialects.get(group.dialect, 0), len(group.header))
+            rows.append((dataset, group.layout_id, len(group.header), [at.get(n, []) for n in names[dataset]], group.reference, group.first))
+    # One row per layout of a dataset.
+    layouts = spark.createDataFrame(
+        rows, "dataset string, layout_id string, width int, places array<array<int>>, reference string, first string"
+    )
+    csv = files.where(F.col("file_format") == "csv")
+    known = materialize(
+        csv.join(layouts, ["dataset", "layout_id"]).select(
+            "dataset", F.col("file_path").alias("_file"), "size", *DIALECT_KEYS, "width", "places",
+            _moved(F.concat(F.lit("2:"), F.element_at(F.split("file_path", "/"), -1)), F.col("reference"), F.col("first")).alias("seq"),
+        ),
+        "places",
+    )
+    total = known.agg(F.sum("size").alias("bytes"), F.sum(256 + 32 * F.size("places")).alias("held")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Files that hold more than a task's share of all bytes.
+    share = F.col("size") * tasks / max(1, total.bytes or 0)
+    large = known.where(share > 1).select(F.col("_file").alias("key"), F.ceil(share).cast("int").alias("salts"))
+
+    parts, rejects = [], []
+    for dialect, widest in dialects.items():
+        same = [F.col(key).eqNullSafe(F.lit(getattr(dialect, key))) for key in DIALECT_KEYS]
+        own = known.where(reduce(Column.__and__, same))
+        scan = scan_files(own.select(F.col("_file").alias("file_path"), "size"), widest, dialect)
+        at = own.select("_file", "dataset", "width", "places", "seq")
+        if (total.held or 0) <= BROADCAST_BYTES:
+            scan = scan.join(F.broadcast(at), "_file")
+        else:
+            scan = hot_join(scan, at.hint("merge"), "_file", ["_row"], hot=large)
+        over = rejected_rows(scan, widest, dialect, F.col("width"), "dataset")
+        rejects.append(over.select("dataset", "file_path", "n_fields", "n_columns", "cells", "record"))
+        good = good_rows(scan, widest, dialect, F.col("width"))
+        values = _first_values(F.array(*[cell(i) for i in range(widest)]))
+        parts.append(good.select("dataset", values.alias("values"), F.struct("seq", "_block", "_row").alias(ROW_ORDER)))
+    # Even ranges of rows, whatever share a dataset has; a filter on the dataset reads its ranges only.
+    text = reduce(DataFrame.unionByName, parts).repartitionByRange("dataset", ROW_ORDER)
+    text = materialize(text.sortWithinPartitions("dataset"), "staged")
+    exploded = text.select("dataset", F.posexplode("values").alias("place", "value"))
+    profiled = exploded.groupBy("dataset", "place").agg(
+        F.count("*").alias("n"), F.bit_or(unreadable_as(F.col("value"), F.lit(False))).alias("mask")
+    )
+    masks: dict[str, dict[int, int]] = {}
+    counts: dict[str, int] = {}
+    for row in profiled.collect():  # one row per column of a dataset
+        masks.setdefault(row["dataset"], {})[row["place"]] = row["mask"]
+        counts[row["dataset"]] = row["n"]
+    built = {}
+    for dataset, columns in names.items():
+        mine = masks.get(dataset, {})
+        profiles = {n: ColumnProfile(mine.get(i, 0)) for i, n in enumerate(columns)}
+        cells = {n: F.get("values", F.lit(i)) for i, n in enumerate(columns)}
+        built[dataset] = _typed(
+            dataset, text.where(F.col("dataset") == dataset), cells, profiles, counts.get(dataset, 0), [], options
+        )
+    return built, reduce(DataFrame.unionByName, rejects)
+
+
 def finish(
     typed: DataFrame, own: DatasetOptions, n_rows: int, options: MergeOptions, errors: list[str], warnings: list[str]
 ) -> DataFrame:

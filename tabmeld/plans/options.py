@@ -80,6 +80,7 @@ class MergeOptions:
     median: str = "auto"
     stage: bool = False
     parallel_datasets: int = 4
+    together: bool | None = None
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any] | None = None) -> MergeOptions:
@@ -111,7 +112,7 @@ class MergeOptions:
         extra = {
             key: given[key]
             for key in ("validate_structure", "on_duplicate", "preflight", "null_keys",
-                        "median", "stage", "parallel_datasets")
+                        "median", "stage", "parallel_datasets", "together")
             if key in given
         }
         for name, own in overrides.items():

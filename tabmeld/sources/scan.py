@@ -219,8 +219,8 @@ def good_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | No
     return fitting.select(*[null_if_missing(name).alias(name) for name in names], *others)
 
 
-def rejected_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | None = None) -> DataFrame:
-    """Records with too many fields: their leading cells and their raw text."""
+def rejected_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column | None = None, *carry: str) -> DataFrame:
+    """Records with too many fields: their leading cells and their raw text, and the columns in ``carry``."""
     width = F.lit(widest) if width is None else width
     cells = [F.col(cell(i)) for i in range(widest)]
     return scan.where(is_overlong(width, widest, dialect)).select(
@@ -229,6 +229,7 @@ def rejected_rows(scan: DataFrame, widest: int, dialect: Dialect, width: Column
         width.alias("n_columns"),
         F.slice(F.array(*cells), 1, width).alias("cells"),
         F.regexp_replace(RECORD, "[\r\n]+$", "").alias("record"),
+        *carry,
     )
 
 

@@ -18,7 +18,8 @@ def rows(df, *order):
     return [tuple(row) for row in df.orderBy(*order).collect()]
 
 
-def test_many_datasets_in_one_run(spark, write, tmp_path):
+@pytest.mark.parametrize("together", [False, True])
+def test_many_datasets_in_one_run(spark, write, tmp_path, together):
     base = "Advertiser,Seller Domain,Impressions,Clicks,Media Cost (Adv Currency)\n"
     for n in (1, 2, 3):
         write(f"plain/f{n}.csv", base + f"a,d{n},{n},{n},1.5\nb,d{n},1,NA,2\n")
@@ -44,7 +45,7 @@ def test_many_datasets_in_one_run(spark, write, tmp_path):
     write("legacy/b.csv", "a,b\n1,2\n")
     write("bad/a.csv", b"caf\xe9\n1\n")
     root = write("bad/b.xlsx", b"not a zip")
-    run = consolidate(spark, root)
+    run = consolidate(spark, root, {"together": together})
     status = {name: state for name, state, *_ in run.status}
     assert status == {
         "plain": "merged", "missing": "merged", "plural": "merged", "conflict": "failed", "types": "merged",
@@ -78,12 +79,13 @@ def test_many_datasets_in_one_run(spark, write, tmp_path):
     assert again == {} and any("Error saving" in e for e in run.errors)
 
 
-def test_dialects_and_bad_records(spark, write):
+@pytest.mark.parametrize("together", [False, True])
+def test_dialects_and_bad_records(spark, write, together):
     write("d/a.csv", "a,b,t\n1,2,x\n3,4,y,z\n5\n\n6,7,\n8,9,,\n")
     write("d/b.csv", "a;b;t\n10;11;é\n".encode("latin-1"))
     write("d/c.csv", "a\tb\tt\n\t12\t \"q \"\"w\"\"\"\n".encode("utf-8-sig"))
     root = write("d/e [x].csv", "a|b|t\n13|14|\"li\nne\"\n".encode("utf-16"))
-    run = consolidate(spark, root, {"sort_by": ["b"], "sort_ascending": True})
+    run = consolidate(spark, root, {"sort_by": ["b"], "sort_ascending": True, "together": together})
     assert [tuple(r) for r in run.outputs["d"].collect()] == [
         (1, 2, "x"), (6, 7, None), (10, 11, "é"), (None, 12, 'q "w"'), (13, 14, "li\nne"), (5, None, None)
     ]
@@ -430,3 +432,27 @@ def test_shapes_and_previews(spark, write, tmp_path):
         first = json.loads(rows[0]["record"])
         assert {c: str(v) for c, v in first.items()} == {"k": "-1", "v": "y", "w": "q, r"}
         assert [str(json.loads(r["record"])["k"]) for r in rows[:3]] == ["-1", "0", "1"]
+
+
+def test_number_of_jobs_does_not_grow_with_datasets(spark, write):
+    """Aggregates, orders, rejects and types of many datasets, from as many jobs as of a few."""
+    options = {"group_by": ["g"], "max_rows_before_aggregate": 1, "aggregate_columns": {"k": "first", "v": "last"}, "sort_by": ["g"],
+               "sort_ascending": True, "preflight": "report", "together": True}
+    jobs = {}
+    for n in (3, 12):
+        for i in range(n):
+            write(f"../many{n}/d{i}/b.csv", f"g;k;v\nx;{i};a\ny;7;\nx;9;z\n")
+            write(f"../many{n}/d{i}/c.csv", f"v,g,k\nlast,x,1\n,y,{i}.5\na,b,c,d\n")
+            root = write(f"../many{n}/d{i}/a.csv", "g,K,more\nx,,1\n").replace("/root", f"/many{n}")
+        spark.sparkContext.setJobGroup(f"many{n}", "")
+        run = consolidate(spark, root, options)
+        spark.sparkContext.setJobGroup("other", "")
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"many{n}"))
+        for i in (0, n - 1):
+            assert [tuple(r) for r in run.outputs[f"d{i}"].select("g", "k", "v").collect()] == [("x", float(i), "last"), ("y", 7.0, None)]
+        assert run.rejects.count() == n and run.rejects.select("record").distinct().first()[0] == "a,b,c,d"
+        apart = consolidate(spark, root, {**options, "together": False})
+        assert {s[:5] for s in run.status} == {s[:5] for s in apart.status}
+        last = f"d{n - 1}"
+        assert run.outputs[last].schema == apart.outputs[last].schema and run.outputs[last].collect() == apart.outputs[last].collect()
+    assert jobs[12] <= jobs[3] + 2

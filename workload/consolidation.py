@@ -352,3 +352,23 @@ def many_headers(spark, sf_dir):
     out = consolidate(spark, root).outputs["ads"]
     n_scans = out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
     return out.select("ID", "Line", "Flag", "State", "Impressions", "Cost", "Part", F.lit(n_scans).alias("n_scans"))
+
+
+@query(
+    "consolidate_many_datasets",
+    """SELECT 'l_suppkey=' || l_suppkey AS dataset, 'merged' AS status, 2::BIGINT AS n_files, count(*) AS n_rows
+       FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_linenumber < 3) > 0 AND count(*) FILTER (l_linenumber >= 3) > 0""",
+)
+def many_datasets(spark, sf_dir):
+    """A dataset per supplier, two headers each, read together by one scan and typed by one profile."""
+    root = new_root(spark, "suppliers")
+    lines = table(spark, sf_dir, "lineitem").repartition("l_suppkey")
+    for test, columns in (
+        ("l_linenumber < 3", ["l_orderkey AS ID", "l_quantity AS Amount", "l_returnflag AS Flag"]),
+        ("l_linenumber >= 3", ["l_returnflag AS Flags", "l_orderkey AS ID", "l_shipdate AS Day", "l_quantity AS Amount"]),
+    ):
+        part = lines.where(test).selectExpr("l_suppkey", *columns)
+        part.write.mode("append").option("header", True).partitionBy("l_suppkey").csv(root)
+    run = consolidate(spark, root, {"together": True})
+    status = run.status_table(spark).where("status = 'merged'")
+    return status.select("dataset", "status", "n_files", "n_rows")
