@@ -17,20 +17,23 @@ _CRC_TABLE = ", ".join(f"{_crc_steps(half, 4)}::UBIGINT" for half in range(16))
 
 SHARDING = f"""
 WITH halves AS (
-  SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, coalesce(octet_length(encode(text)), 0) AS bytes,
     list_transform(list_filter(string_split(regexp_replace(lower(hex(encode(coalesce(text, '')))), '(.)(.)', '\\2\\1', 'g'), ''),
       lambda digit: digit <> ''), lambda digit: (instr('0123456789abcdef', digit) - 1)::UBIGINT) AS half
   FROM documents
 ), crcs AS (
-  SELECT doc_id, (bytes + 8)::BIGINT AS size,
+  SELECT doc_id, digest, (bytes + 8)::BIGINT AS size,
     xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, half),
       lambda c, h: xor(c >> 4, [{_CRC_TABLE}][((xor(c, h) & 15) + 1)::BIGINT])))::BIGINT AS text_crc32
   FROM halves
 ), summed AS (
   SELECT *, coalesce(sum(size) OVER place, 0) AS before_bytes, sum(size) OVER () AS total, count(*) OVER place AS rank
-  FROM crcs WINDOW place AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM crcs WINDOW place AS (ORDER BY digest, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), grouped AS (
+  SELECT *, CASE WHEN sum(size) OVER same * 96 <= total THEN min(before_bytes) OVER same ELSE before_bytes END AS start
+  FROM summed WINDOW same AS (PARTITION BY digest)
 ), placed AS (
-  SELECT *, least(23, (before_bytes * 24) // total)::INT AS shard FROM summed
+  SELECT *, least(23, (start * 24) // total)::INT AS shard FROM grouped
 )
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot,
   NULL::INT AS grown_shard

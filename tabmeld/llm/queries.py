@@ -60,12 +60,18 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def text_digest(text: Column) -> Column:
+    """Equal for equal texts; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 @query("op1_sharding", oracles.SHARDING)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", sharding.text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32")
-    )
-    return sharding.assign_shards(docs, ["doc_id", "size", "text_crc32"], "size", SHARDS).select(
+        "doc_id", sharding.text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"),
+        text_digest(F.col("text")).alias("digest"),
+    )
+    return sharding.assign_shards(docs, ["doc_id"], "size", SHARDS, "digest").select(
         "doc_id",
         "size",
         "text_crc32",

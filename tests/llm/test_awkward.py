@@ -30,8 +30,8 @@ def labels(ready):
 
 def test_sharding(awkward, empty):
     def shard(df):
-        sized = df.withColumn("size", sharding.text_size(F.col("text")))
-        return sharding.assign_shards(sized, ["doc_id", "size"], "size", 4)
+        sized = df.withColumn("size", sharding.text_size(F.col("text"))).withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        return sharding.assign_shards(sized, ["doc_id", "size"], "size", 4, "digest")
 
     rows = shard(awkward).collect()
     assert len(rows) == awkward.count() and shard(empty).count() == 0

@@ -27,20 +27,33 @@ def held_out(doc_id, parts: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % parts == 0
 
 
-def test_op1_shards_are_contiguous_and_even(run, texts):
+def test_op1_shards_are_even_and_keep_equal_texts_together(run, texts):
+    digest = {i: hashlib.md5(t.encode()).hexdigest() for i, t in texts.items()}
     rows = sorted(run("op1_sharding"), key=lambda r: (r.shard, r.slot))
-    assert [r.doc_id for r in rows] == sorted(texts)
+    assert [r.doc_id for r in rows] == sorted(texts, key=lambda i: (digest[i], i))
     total = sum(r.size for r in rows)
+    groups = defaultdict(list)
     before = 0
-    slots = Counter()
     for row in rows:
         assert row.size == len(texts[row.doc_id].encode()) + 8
         assert row.text_crc32 == zlib.crc32(texts[row.doc_id].encode())
-        assert row.shard == min(23, before * 24 // total)
-        assert row.slot == slots[row.shard]
         assert row.law == "bytes" and row.grown_shard is None
-        slots[row.shard] += 1
+        groups[digest[row.doc_id]].append((before, row))
         before += row.size
+    slots = Counter()
+    for row in rows:
+        assert row.slot == slots[row.shard]
+        slots[row.shard] += 1
+    for members in groups.values():
+        whole = sum(row.size for _, row in members) * 24 * 4 <= total
+        for before, row in members:
+            assert row.shard == min(23, (members[0][0] if whole else before) * 24 // total)
+    assert sum(len(members) > 1 for members in groups.values()) > 5
+    bytes_of = Counter()
+    for row in rows:
+        bytes_of[row.shard] += row.size
+    largest = max(r.size for r in rows)
+    assert all(abs(n - total / 24) <= max(largest, total / 96) * 2 for n in bytes_of.values())
 
 
 def test_op2_separates_held_out_documents(run, ready):
