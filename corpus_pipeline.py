@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmeld.llm import decontamination, mixing, near_dedup, quality_classifier, sharding
-from tabmeld.llm.queries import QUERIES, SHARDS, prepare, table, text_crc32
+from tabmeld.llm.queries import QUERIES, SHARDS, prepare, table, text_crc32, text_digest
 from tabmeld.session import materialize
 
 # The stages use trained models and alignments, which SQL does not express.
@@ -45,9 +45,10 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every row of the mix."""
     prepare(spark)
     sized = docs.select(
-        "doc_id", "source", sharding.text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32")
-    )
-    return sharding.assign_shards(sized, ["doc_id", "size", "text_crc32", "source"], "size", SHARDS)
+        "doc_id", "source", sharding.text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"),
+        text_digest(F.col("text")).alias("digest"),
+    )
+    return sharding.assign_shards(sized, ["doc_id", "source"], "size", SHARDS, "digest").drop("digest")
 
 
 STAGES = [
