@@ -226,7 +226,7 @@ def scan_licenses(docs: DataFrame, doc_id: Column, templates: dict[str, str] | N
 
     ``score`` is the share of a text's words inside phrases or accepted places. Null and empty
     texts have no words, no labels (empty strings), null word places and the score 0; repeated
-    rows get equal results; an empty table gives an empty table.
+    rows get equal results; long texts are scanned whole; an empty table gives an empty table.
     """
     automata = compile_all(TEMPLATES if templates is None else templates)
     chosen = docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))

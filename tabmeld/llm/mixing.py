@@ -100,7 +100,8 @@ def mix_sources(
     row in which the budget ends counts if it lies more than half inside. Keys depend only on
     ``identity``, so reruns agree; rows that tie in all of these columns are interchangeable.
     Null sources are one source; sources without words have the target 0; an empty table gives
-    an empty table. Columns named like the results are replaced.
+    an empty table. A text longer than its target's rest is left out of the last epoch unless half of it
+    fits. Columns named like the results are replaced.
     """
     added = ("source_size", "target", "copies", "taken")
     kept = [name for name in df.columns if name not in added]

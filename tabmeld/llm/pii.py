@@ -368,7 +368,7 @@ def find_personal_data(docs: DataFrame, doc_id: Column) -> DataFrame:
     rule's span covers all of them. Any other loose candidate is added if the trees select it and no
     rule's span, and no added loose span of an earlier kind in the order secret, contact, number,
     meets it. Null and empty texts and texts without matches give an empty array;
-    repeated rows get equal results; an empty table gives an empty table.
+    repeated rows get equal results; long texts are searched whole; an empty table gives an empty table.
     """
     gathered = materialize(gather(judge_rules(candidates(docs, doc_id))), "candidates")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FIT_PARTS == 0

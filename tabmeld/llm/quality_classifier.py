@@ -114,7 +114,7 @@ def score_documents(docs: DataFrame, model: crf.Model, carry: dict[str, Column])
     """Columns ``carry`` plus ``score`` (0 to 1, higher is better) and ``n_lines`` for every row.
 
     Null and empty texts are one empty line, scored by the model as such. Rows are independent,
-    so repeated rows get equal scores; an empty table gives an empty table.
+    so repeated rows get equal scores; all lines of a long text count; an empty table gives an empty table.
     """
     chosen = docs.select(*[column.alias(name) for name, column in carry.items()], F.col("text").cast("binary").alias("text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text"]

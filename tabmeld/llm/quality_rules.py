@@ -83,7 +83,8 @@ def judge_documents(docs: DataFrame, model: crf.Model, doc_id: Column, least_con
 
     ``base_failed``: under 20 words, or more than 30 percent of them in repeated windows. ``kept``:
     not failed and at least ``least_content`` of the bytes on content lines. Null texts count as
-    empty, and empty texts fail; repeated rows get equal results; an empty table gives an empty table.
+    empty, and empty texts fail; repeated rows get equal results; all lines and words of a long text count;
+    an empty table gives an empty table.
     """
     chosen = docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()

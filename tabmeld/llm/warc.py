@@ -152,7 +152,7 @@ def derive(source: DataFrame) -> DataFrame:
     Content-Type, and Content-Length where it is the payload's, which have fields of their own.
     ``payload`` is text or bytes; transfer and content codings of bytes are not undone. Pages
     without visible text give an empty conversion record. Repeated responses give equal records;
-    an empty table gives an empty table.
+    an empty table gives an empty table. Long pages take work in proportion to their length.
     """
     payload = F.col("payload")
     if isinstance(source.schema["payload"].dataType, T.BinaryType):
