@@ -144,3 +144,66 @@ def test_parts_of_workbooks_equal_whole_reading(spark, tmp_path, part_bytes):
     got = sorted((r["_file"], r["_row"], r["cells"], r["dated"]) for r in workbook_parts.scan_large_workbooks(files, part_bytes).collect())
     want = sorted((uri, *row) for name in books for uri in [str(tmp_path / name)] for row in workbook_rows(uri, 3))
     assert got == want and len(got) > 1000
+
+
+def _peak(work) -> int:
+    """Most bytes of Python and numpy objects held while ``work`` runs."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_range_is_held_a_few_times_only():
+    """An index of eight bytes for every byte of a range filled the workers."""
+    data = b"".join(b"%d,%s\r\n" % (i, b"N" * 60) for i in range(50_000))
+    assert _peak(lambda: ranges._lines(data, True)) < 8 * len(data)
+    assert ranges.RANGE_BYTES <= 4 << 20
+
+
+def test_a_file_that_gives_no_table_is_not_read_whole(tmp_path, monkeypatch):
+    """One column in a charset other than UTF-8: no longer head can change the verdict."""
+    from tabmeld.sources import decode
+
+    monkeypatch.setattr(decode, "HEAD_BYTES", 1 << 12)
+    path = tmp_path / "words.csv"
+    path.write_bytes("tête\n".encode("latin-1") * 200_000)
+    size = path.stat().st_size
+    found = []
+    assert _peak(lambda: found.append(decode.probe_csv_file(str(path), size))) < size
+    assert found == [{"status": "failed", "error": decode.NO_TABLE}]
+    # A UTF-8 letter cut by the end of a head without a line end is no proof of another charset.
+    path.write_bytes(("x" + "é" * 4000 + ",b\n1,2\n").encode())
+    assert decode.probe_csv_file(str(path), path.stat().st_size)["header"] == ["x" + "é" * 4000, "b"]
+
+
+def test_a_workbook_is_written_row_by_row(tmp_path):
+    from workload.exports import write_sheet
+
+    rows = ((i, f"text {i % 5}", None) for i in range(60_000))
+    path = tmp_path / "a.xlsx"
+    with open(path, "wb") as out:
+        assert _peak(lambda: write_sheet(out, ["k", "v", "n"], rows, True)) < 2 << 20
+    got = [cells for _, cells, _ in workbook_rows(str(path), 3)]
+    assert got == [[str(i), f"text {i % 5}", None] for i in range(60_000)]
+
+
+def test_parts_are_read_from_small_files(spark, tmp_path, monkeypatch):
+    """A reader decodes thousands of rows of a Parquet file at once, and each is a part."""
+    from tabmeld.session import _WRITTEN
+
+    monkeypatch.setattr(workbook_parts, "_BLOCK", 1000)
+    path = tmp_path / "a.xlsx"
+    path.write_bytes(sheet_bytes(["k", "v"], [(i, f"s{i}") for i in range(2000)], True))
+    files = spark.createDataFrame([(path.as_uri(), path.stat().st_size, 2)], "file_path string, size bigint, width int")
+    rows = workbook_parts.scan_large_workbooks(files, 1000)
+    assert rows.count() == 2000
+    written = next(p for p in reversed(_WRITTEN) if "workbook_parts" in p)
+    parts = spark.read.parquet(written)
+    assert parts.count() > 5 * workbook_parts.PARTS_PER_FILE
+    per_file = parts.groupBy("_metadata.file_path").count()
+    assert per_file.agg({"count": "max"}).first()[0] <= workbook_parts.PARTS_PER_FILE
