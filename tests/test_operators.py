@@ -262,3 +262,28 @@ def test_median_sketches_merge(spark):
     small = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", float("nan"))], "g string, x double")
     out = {r["g"]: r["x"] for r in aggregate_by(small, ["g"], {"x": "median"}, median="sketch").collect()}
     assert out == {"a": 2.0, "b": None}
+
+
+def test_many_outputs_are_planned_when_asked_for(spark):
+    from tabmeld.plans.consolidate import Plans
+
+    asked = []
+    outputs = Plans()
+    for name in ("a", "b"):
+        outputs.plan(name, lambda name=name: asked.append(name) or spark.range(1))
+    assert sorted(outputs) == ["a", "b"] and len(outputs) == 2 and not asked
+    assert outputs["a"].count() == 1 and outputs["a"] is outputs["a"] and asked == ["a"]
+
+
+def test_issue_hints_cover_missing_columns_too(spark, tmp_path):
+    from workload import QUERIES
+
+    texts = [(1, "en", "Item Cost Brands Day"), (2, "en", "Items Cost Brand Brand"), (3, "de", "Tag Tage"), (4, "de", "Tags Tag")]
+    spark.createDataFrame(texts, "doc_id bigint, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["file_path"], r["issue_type"], r["column_name"], r["hint"]) for r in QUERIES["layout_issue_hints"](spark, str(tmp_path)).collect()}
+    hint = "Possible plural/singular: '{}' vs '{}'".format
+    assert got == {
+        ("2", "missing", "Item", hint("Item", "Items")), ("2", "missing", "Brands", hint("Brands", "Brand")),
+        ("2", "extra", "Items", hint("Items", "Item")), ("2", "extra", "Brand", hint("Brand", "Brands")),
+        ("4", "extra", "Tags", hint("Tags", "Tag")),
+    }
