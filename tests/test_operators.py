@@ -287,3 +287,15 @@ def test_issue_hints_cover_missing_columns_too(spark, tmp_path):
         ("2", "extra", "Items", hint("Items", "Item")), ("2", "extra", "Brand", hint("Brand", "Brands")),
         ("4", "extra", "Tags", hint("Tags", "Tag")),
     }
+
+
+def test_extra_columns_count_once_and_need_a_reference(spark):
+    from tabmeld.operators import layout
+
+    rows = [("a", "1", 1, ["x", "y", "z", "w"]), ("a", "2", 2, ["q", "x", "q", "ys"]), ("b", "3", 3, None), ("b", "4", 4, ["k"])]
+    headers = spark.createDataFrame(rows, "dataset string, file_path string, file_seq int, columns array<string>")
+    issues = layout.structure_issues(headers, allow_missing=True).collect()
+    got = sorted((r["file_path"], r["column_name"], r["column_index"], r["hint"]) for r in issues)
+    assert got == [("2", "q", 0, None), ("2", "ys", 3, "Possible plural/singular: 'ys' vs 'y'")]
+    pairs = layout.extra_column_files(headers).collect()
+    assert sorted((r["file_path"], r["column_name"]) for r in pairs) == [("2", "q"), ("2", "ys")]
