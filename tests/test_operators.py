@@ -276,11 +276,12 @@ def test_many_outputs_are_planned_when_asked_for(spark):
 
 
 def test_issue_hints_cover_missing_columns_too(spark, tmp_path):
-    from workload import QUERIES
+    import workload
 
+    workload.load_all()
     texts = [(1, "en", "Item Cost Brands Day"), (2, "en", "Items Cost Brand Brand"), (3, "de", "Tag Tage"), (4, "de", "Tags Tag")]
     spark.createDataFrame(texts, "doc_id bigint, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["file_path"], r["issue_type"], r["column_name"], r["hint"]) for r in QUERIES["layout_issue_hints"](spark, str(tmp_path)).collect()}
+    got = {(r["file_path"], r["issue_type"], r["column_name"], r["hint"]) for r in workload.QUERIES["layout_issue_hints"](spark, str(tmp_path)).collect()}
     hint = "Possible plural/singular: '{}' vs '{}'".format
     assert got == {
         ("2", "missing", "Item", hint("Item", "Items")), ("2", "missing", "Brands", hint("Brands", "Brand")),
