@@ -103,3 +103,20 @@ def test_normalize_columns_of_a_frame(spark):
     with pytest.raises(ValueError, match="share a name"):
         normalize_columns(df, on_duplicate="error")
     assert cleaned_names(df, NameRules())[1] == ["' id' → 'ID'"]
+
+
+def test_plurals_of_wide_headers_are_not_compared_with_all_names(spark):
+    import time
+
+    n = 40_000
+    raw = F.concat(
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("n"), i.cast("string"))),
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit("s"))),
+        F.array(F.lit("p7"), F.lit(" wide  name ")),
+    )
+    header = spark.range(1).select(F.when(F.col("id") >= 0, raw).alias("raw"))
+    clean = clean_header(F.col("raw"), NameRules(normalize_plural_singular=True))
+    start = time.perf_counter()
+    out = header.select(clean.alias("c")).first()["c"]
+    assert time.perf_counter() - start < 10
+    assert out[n - 1] == f"n{n}" and out[n + 6] == "p7s" and out[n + 7] == "p8" and out[-2:] == ["p7", "wide name"]

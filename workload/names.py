@@ -18,6 +18,7 @@ from tabmeld.functions.names import (
     standard_spelling,
     strip,
 )
+from tabmeld.operators.spread import widen
 from workload import query, table
 
 # White space as the engine sees it, written as an RE2 class.
@@ -108,7 +109,7 @@ _WORDS_SQL = r"SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), la
 
 def _words(spark, sf_dir):
     words = F.filter(F.split("text", r"\s+"), lambda word: word != "")
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    return widen(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("words"))
 
 
 @query(
