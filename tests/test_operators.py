@@ -197,6 +197,25 @@ def test_renames_are_idempotent(spark):
     assert layout.canonical_renames(once).count() == 0
 
 
+def test_renames_move_whole_headers(spark, monkeypatch):
+    files = headers(spark, [
+        ("x", "f1", ["Brand", "Id", "Brand"]), ("x", "f2", ["Brands", None]), ("y", "f3", ["Brand"]),
+        (None, "f4", ["Brand"]), ("x", None, ["Brand", "z"]), ("x", "f5", []), ("x", "f6", None),
+    ])
+    files = files.union(files.where("file_path = 'f1'").withColumn("columns", F.array(F.lit("Brand"), F.lit("More"))))
+    renames = spark.createDataFrame([("x", "Brand", "Brands")], "dataset string, from_name string, to_name string")
+    out = layout.apply_renames(files, renames)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # no row per name
+    rows = sorted(out.collect(), key=str)
+    found = {(r["dataset"], r["file_path"]): r["columns"] for r in rows}
+    assert found == {
+        ("x", "f1"): ["Brands", "Brands", "Id", "More", "Brands"], ("x", "f2"): ["Brands", None], ("y", "f3"): ["Brand"],
+        (None, "f4"): ["Brand"], ("x", None): ["Brands", "z"],
+    }
+    monkeypatch.setattr(layout, "RENAMES_BYTES", -1)
+    assert sorted(layout.apply_renames(files, renames).collect(), key=str) == rows
+
+
 @pytest.mark.parametrize(
     ("policy", "expected"),
     [
