@@ -42,3 +42,16 @@ def test_end_rows_end_the_last_range(uncoalesced, tmp_path):
     files = lines(tmp_path / "long")
     assert tasks(files) > 1 and sum(map(len, files.values())) == 1002
     assert [own[-2:] for own in files.values() if any(line.startswith("-") for line in own)] == [['-1,"open', "-2,z"]]
+
+
+def test_short_files_hold_n_rows_each(spark, tmp_path):
+    from workload.exports import write_short_files
+
+    rows = spark.range(1, 1004, numPartitions=1).selectExpr("id", "id / 2 AS half")
+    write_short_files(rows, 50, str(tmp_path), "short")
+    names = sorted(p.name for p in (tmp_path / "short").iterdir() if p.name.startswith("part"))
+    assert len(names) == 21 and all(name.endswith(".csv") for name in names)  # nothing else to list beside them
+    texts = [(tmp_path / "short" / name).read_text().splitlines() for name in names]
+    assert {text[0] for text in texts} == {"id,half"}
+    assert [len(text) - 1 for text in texts] == [50] * 20 + [3]
+    assert sorted(int(line.split(",")[0]) for text in texts for line in text[1:]) == list(range(1, 1004))
