@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import statistics
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,6 +154,28 @@ def test_bracketed_median_of_large_groups(spark, case):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_median_of_rows_that_spark_takes_for_few(spark, tmp_path, monkeypatch, wide):
+    """Rows that tasks make from a short list, as those of files: they are never broadcast."""
+    spark.range(4).write.parquet(str(tmp_path / "list"))
+
+    def rows(batches):
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                ids = pa.array(range(at * 30_000, at * 30_000 + 30_000))
+                yield pa.RecordBatch.from_arrays([pc.cast(pc.divide(ids, 40_000), pa.string()), ids], names=["k", "v"])
+
+    df = spark.read.parquet(str(tmp_path / "list")).mapInArrow(rows, "k string, v bigint")
+    if wide:
+        monkeypatch.setattr(aggregate, "BROADCAST_BYTES", 100)
+    for n_rows in (None, 120_000):
+        out = aggregate.aggregate_by(df, ["k"], {"v": "median"}, n_rows=n_rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan
+        assert not (wide and n_rows and "BroadcastHashJoin" in plan)
+        assert {r["k"]: r["v"] for r in out.collect()} == {"0": 19_999.5, "1": 59_999.5, "2": 99_999.5}
+
+
 def test_rank_is_dense_and_total_over_partitions(spark):
     df = spark.range(5000).withColumn("hot", F.lit(1)).repartition(40)
     out = rank_rows(df, "hot", ties=[F.col("id")])
