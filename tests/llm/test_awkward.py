@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from tabmeld.llm import (
     suffix_tree,
     warc,
 )
+from tabmeld.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -190,6 +193,26 @@ def test_table_finds_keys():
     assert (suffix_tree.Table(keys[:0], np.empty(0, np.int64)).find(keys) == -1).all()
 
 
+def test_blobs_go_in_small_batches():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 5_000, dtype=np.uint64))
+    batches = list(suffix_tree._blobs(3, keys, np.arange(5_000) + 1, bits=8))
+    assert max(batch.num_rows for batch in batches) <= 32
+    found, counts = suffix_tree._merged(pa.Table.from_batches(batches))
+    assert (found == keys).all() and (counts == np.arange(5_000) + 1).all()
+
+
+def test_counts_are_written_in_small_files(ready, monkeypatch):
+    limits = {}
+
+    def written(df, label, rows_per_file=0):
+        limits[label] = rows_per_file
+        return materialize(df, label, rows_per_file)
+
+    monkeypatch.setattr(suffix_tree, "materialize", written)
+    suffix_tree.grow(ready.createDataFrame([("a text of some words",)] * 30, "text string"))
+    assert 0 < limits["counts"] <= 16 * 16 * ready.sparkContext.defaultParallelism
+
+
 def test_counter_merges(monkeypatch):
     import numpy as np
 
