@@ -16,8 +16,9 @@ Texts without words are near copies only of the same text.
   all its buckets. Verified pairs are linked, and linked texts form components.
 * Rest: texts of buckets of three texts or more that still hold several components meet all texts of
   other components there that an exact prefix filter admits: k-mers ordered from rare to frequent,
-  two texts of k-mer similarity 0.8 share one so early that enough others can follow. Pairs of less
-  that never met a common hub are left to the links of their class. Nothing is capped or sampled.
+  two near copies share one so early that enough others can follow. Of these pairs, one for each text
+  and component is verified first; the pairs whose texts are still in two components follow, all of
+  them. Nothing is capped or sampled.
 * Verification: the k-mers first, then L by banded alignment, row by row on bit vectors. A similarity
   of 0.8 allows at most (n + m) / 9 words outside the alignment, so matches further than that off
   the diagonal can't take part.
@@ -40,8 +41,8 @@ from tabmeld.session import materialize
 K = 5
 SIMILARITY = 0.8
 KMER_SIMILARITY = 0.5
-# Pairs of so much k-mer similarity that share a bucket are all compared, whatever hub they meet.
-REST_SIMILARITY = 0.8
+# The first k-mers of a text, by which a pair that shares one of them is not found again at a later k-mer.
+LEADING = 4
 SKETCHES = 32
 MINIMA = 3
 
@@ -261,9 +262,10 @@ def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest_pairs(members: DataFrame, linked: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a bucket, by an exact prefix filter.
+    """Candidate pairs (a, b) between components that share a bucket, by an exact prefix filter.
 
-    ``members`` has (bucket, key, n), ``linked`` (key, root) of the texts in components.
+    ``members`` has (bucket, key, n), ``linked`` (key, root) of the texts in components. ``root`` is the
+    component of ``b``, and ``rank`` rises with the k-mers that may follow the first that both share.
     """
     placed = members.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
@@ -283,26 +285,65 @@ def _rest_pairs(members: DataFrame, linked: DataFrame, words: DataFrame) -> Data
     # Rare first. K-mers of one text alone come before all others and never match.
     shared = rows.join(frequency, "kmer")
     order = Window.partitionBy("key").orderBy("df", "kmer")  # one text's k-mers
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # What the shortest text that fits needs.
+    shortest = F.greatest(F.lit(1.0), SIMILARITY * (F.col("n") + (K - 1)) - (K - 1))
+    least = KMER_SIMILARITY / (1 + KMER_SIMILARITY)
     early = (
-        shared.withColumn("place", F.row_number().over(order))
-        .withColumn("n_shared", F.count("*").over(Window.partitionBy("key")))
+        shared.select(
+            "key", "kmer", F.row_number().over(order).alias("place"),
+            F.count("*").over(Window.partitionBy("key")).alias("n_shared"),
+            F.array_compact(F.array(*[F.nth_value("kmer", i + 1).over(before) for i in range(LEADING)])).alias("leading"),
+        )
         .join(texts, "key")
         .withColumn("left_over", F.col("n_shared") - F.col("place") + 1)
-        .where(F.col("left_over") >= REST_SIMILARITY * F.col("n"))
-        .select("kmer", "key", "n", "root", "seeks", "left_over")
+        .where(F.col("left_over") >= least * (F.col("n") + shortest) - 1e-6)
+        .select("kmer", "key", "n", "root", "seeks", "left_over", "leading")
     )
     early = materialize(early, "early")
-    seekers = early.where("seeks").select("kmer", *[F.col(c).alias(f"s_{c}") for c in ("key", "n", "root", "left_over")])
-    need = REST_SIMILARITY / (1 + REST_SIMILARITY) * (F.col("n") + F.col("s_n")) - 1e-6
+    seekers = early.where("seeks").select(
+        "kmer", *[F.col(c).alias(f"s_{c}") for c in ("key", "n", "root", "left_over", "leading")]
+    )
+    need = least * (F.col("n") + F.col("s_n")) - 1e-6
     return (
         seekers.join(early, "kmer")
         .where((F.col("root") != F.col("s_root")) & _lengths_fit(F.col("n"), F.col("s_n")))
         .where(F.least("left_over", "s_left_over") >= need)
-        .select(F.least("key", "s_key").alias("a"), F.greatest("key", "s_key").alias("b"))
-        .distinct()
+        # Met at an earlier k-mer already.
+        .where(~F.arrays_overlap("leading", "s_leading"))
+        # Two seekers meet from both sides.
+        .where(~F.col("seeks") | (F.col("s_key") < F.col("key")))
+        .groupBy(F.col("s_key").alias("a"), F.col("key").alias("b"))
+        .agg(F.first("root").alias("root"), F.max(F.least("left_over", "s_left_over")).alias("rank"))
     )
 
 
+def _with_rest(members: DataFrame, linked: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, root) of the texts in components, those of ``linked`` joined by the links between them."""
+    pairs = materialize(_rest_pairs(members, linked, words), "rest_pairs")
+    if pairs.isEmpty():
+        return linked
+
+    def joined(more: DataFrame) -> DataFrame:
+        edges = linked.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more)
+        return materialize(components(edges).select(F.col("node").alias("key"), "root"), "linked")
+
+    # A link to one text of a component settles the pairs with its others.
+    firsts = pairs.groupBy("a", "root").agg(F.max(F.struct("rank", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    firsts = materialize(firsts, "firsts")
+    found = materialize(verify(firsts, words).select("a", "b"), "links")
+    left = pairs.select("a", "b").join(firsts, ["a", "b"], "left_anti")
+    if not found.isEmpty():
+        linked = joined(found)
+        for end in ("a", "b"):
+            own = linked.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}"))
+            left = left.join(own, end, "left")
+        left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    left = materialize(left, "left_pairs")
+    found = materialize(verify(left, words).select("a", "b"), "links")
+    return linked if found.isEmpty() else joined(found)
+
+
 def near_classes(docs: DataFrame, row: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): ``row`` columns and ``key`` of every document, and (key, root) of linked texts.
 
@@ -345,10 +386,7 @@ def near_classes(docs: DataFrame, row: dict[str, Column]) -> tuple[DataFrame, Da
     linked = materialize(
         components(links).select(F.col("node").alias("key"), "root"), "linked"
     )
-    more = materialize(verify(_rest_pairs(members, linked, words), words).select("a", "b"), "links")
-    if more.isEmpty():
-        return rows.drop("n", "buckets"), linked
-    return rows.drop("n", "buckets"), components(links.union(more)).select(F.col("node").alias("key"), "root")
+    return rows.drop("n", "buckets"), _with_rest(members, linked, words)
 
 
 def dedup_classes(docs: DataFrame, doc_id: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -175,6 +176,21 @@ def test_one_large_group_of_near_copies_is_one_class(ready):
     assert all(found[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_rest_links_pairs_of_any_similarity_that_counts(ready):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    copy = [f"new{i}" if i % 25 == 12 else word for i, word in enumerate(base)]
+    hub = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    cells = [Words([" ".join(x).encode()], ALNUM).hashes.astype(np.uint32) for x in (base, copy, hub)]
+    assert 0.5 < near_dedup.kmer_similarity(*cells[:2]) < 0.75 and near_dedup.similarity(*cells[:2]) >= 0.8
+    rows = [(bytes([i]) * 16, cell.tobytes()) for i, cell in enumerate(cells)]
+    words = ready.createDataFrame(rows, "key binary, words binary")
+    members = ready.createDataFrame([(1, key, 146) for key, _ in rows], "bucket long, key binary, n int")
+    linked = ready.createDataFrame([], "key binary, root binary")
+    found = near_dedup._with_rest(members, linked, words).collect()
+    assert {(bytes(r.key), bytes(r.root)) for r in found} == {(rows[0][0], rows[0][0]), (rows[1][0], rows[0][0])}
+
+
 def test_op4_counts_phrase_places(run, texts):
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     for row in run("op4_license_scan"):
