@@ -15,10 +15,11 @@ Texts without words are near copies only of the same text.
 * Stars: in every bucket each text meets the bucket's hub, the text with the most company in
   all its buckets. Verified pairs are linked, and linked texts form components.
 * Rest: texts of buckets of three texts or more that still hold several components meet all texts of
-  other components there that an exact prefix filter admits: k-mers ordered from rare to frequent,
-  two near copies share one so early that enough others can follow. Of these pairs, one for each text
-  and component is verified first; the pairs whose texts are still in two components follow, all of
-  them. Nothing is capped or sampled.
+  other components there, and the join drops pairs that can't be near copies. A text sets one bit for
+  each of its k-mers, so bits of one text alone count k-mers that the other lacks; of the pairs that
+  this leaves, the words are compared without their order. Of the pairs left, one for each text and
+  component is verified first; the pairs whose texts are still in two components follow, all of them.
+  Nothing is capped or sampled.
 * Verification: the k-mers first, then L by banded alignment, row by row on bit vectors. A similarity
   of 0.8 allows at most (n + m) / 9 words outside the alignment, so matches further than that off
   the diagonal can't take part.
@@ -27,6 +28,7 @@ Texts without words are near copies only of the same text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ from tabmeld.session import materialize
 K = 5
 SIMILARITY = 0.8
 KMER_SIMILARITY = 0.5
-# The first k-mers of a text, by which a pair that shares one of them is not found again at a later k-mer.
-LEADING = 4
+# Bits of the signatures that bound the k-mers that two texts share; those of long texts bound it less sharply.
+KMER_BITS = 2048
 SKETCHES = 32
 MINIMA = 3
 
@@ -246,75 +248,70 @@ def _lengths_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) + (K - 1) >= SIMILARITY * (F.greatest(n, m) + (K - 1))
 
 
-def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct occurrence-labelled k-mers of each text."""
+_SIGNATURE = [f"k{i}" for i in range(KMER_BITS // 64)]
+
+
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32 bits of each of a text's occurrence-labelled words, and a bit for each of its labelled k-mers.
+
+    ``n_words`` counts the words; ``w_spare`` and ``k_spare`` are how many words and k-mers share their bits with others.
+    """
+    names = ["n_words", "w_spare", "k_spare", *_SIGNATURE]
     for batch in batches:
-        cells = batch.column("words").to_pylist()
-        for low in range(0, len(cells), 200):
-            made = [
-                label_occurrences(kmers(np.frombuffer(cell, np.uint32).astype(np.uint64))).view(np.int64)
-                for cell in cells[low : low + 200]
-            ]
-            part = batch.slice(low, 200)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(made, pa.list_(pa.int64()))], names=["key", "kmers"]
-            )
+        bags, rows = [], []
+        for cell in batch.column("words").to_pylist():
+            hashes = np.frombuffer(cell, np.uint32).astype(np.uint64)
+            labelled = label_occurrences(kmers(hashes))
+            flags = np.zeros(KMER_BITS, bool)
+            flags[labelled & np.uint64(KMER_BITS - 1)] = True
+            bags.append(np.unique(label_occurrences(hashes).astype(np.uint32)).view(np.int32))
+            spare = [len(hashes), len(hashes) - len(bags[-1]), len(labelled) - int(flags.sum())]
+            rows.append(np.concatenate((spare, np.packbits(flags, bitorder="little").view(np.int64))))
+        columns = np.array(rows, np.int64).reshape(len(rows), len(names)).T
+        cells = [pa.array(np.ascontiguousarray(column)) for column in columns]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(bags, pa.list_(pa.int32())), *cells], names=["key", "bag", *names]
+        )
 
 
 def _rest_pairs(members: DataFrame, linked: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between components that share a bucket, by an exact prefix filter.
+    """Pairs (a, b) between components that share a bucket and have words enough in common.
 
     ``members`` has (bucket, key, n), ``linked`` (key, root) of the texts in components. ``root`` is the
-    component of ``b``, and ``rank`` rises with the k-mers that may follow the first that both share.
+    component of ``b``, and ``rank`` the number of common words.
     """
     placed = members.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("bucket").agg(
         F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("texts")
     ).where("parts > 1 and texts > 2")  # a bucket of two has been settled by its star
-    # Texts outside the largest component of a bucket seek; all texts of such buckets are sought.
+    # Texts outside the largest component of a bucket seek; all texts of the bucket are sought.
     texts = materialize(
-        placed.join(largest, "bucket")
-        .groupBy("key", "n", "root")
-        .agg(F.max(F.col("root") != F.col("top.root")).alias("seeks")),
+        placed.join(largest, "bucket").select("bucket", "key", "n", "root", (F.col("root") != F.col("top.root")).alias("seeks")),
         "rest",
     )
-    rows = texts.join(words, "key").select("key", "words").mapInArrow(_kmer_rows, "key binary, kmers array<bigint>")
-    rows = materialize(rows.select("key", F.explode("kmers").alias("kmer")), "kmers")
-    frequency = rows.groupBy("kmer").agg(F.count("*").alias("df")).where("df > 1")
-    # Rare first. K-mers of one text alone come before all others and never match.
-    shared = rows.join(frequency, "kmer")
-    order = Window.partitionBy("key").orderBy("df", "kmer")  # one text's k-mers
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # What the shortest text that fits needs.
-    shortest = F.greatest(F.lit(1.0), SIMILARITY * (F.col("n") + (K - 1)) - (K - 1))
-    least = KMER_SIMILARITY / (1 + KMER_SIMILARITY)
-    early = (
-        shared.select(
-            "key", "kmer", F.row_number().over(order).alias("place"),
-            F.count("*").over(Window.partitionBy("key")).alias("n_shared"),
-            F.array_compact(F.array(*[F.nth_value("kmer", i + 1).over(before) for i in range(LEADING)])).alias("leading"),
-        )
-        .join(texts, "key")
-        .withColumn("left_over", F.col("n_shared") - F.col("place") + 1)
-        .where(F.col("left_over") >= least * (F.col("n") + shortest) - 1e-6)
-        .select("kmer", "key", "n", "root", "seeks", "left_over", "leading")
-    )
-    early = materialize(early, "early")
-    seekers = early.where("seeks").select(
-        "kmer", *[F.col(c).alias(f"s_{c}") for c in ("key", "n", "root", "left_over", "leading")]
-    )
-    need = least * (F.col("n") + F.col("s_n")) - 1e-6
+    own = texts.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most 32
+    schema = ", ".join(["key binary, bag array<int>, n_words long, w_spare long, k_spare long", *[f"{c} long" for c in _SIGNATURE]])
+    bags = words.join(own, "key").select("key", "words").mapInArrow(_bag_rows, schema)
+    bags = materialize(bags.join(own, "key"), "bags")
+    met = texts.join(bags, "key")
+    seekers = met.where("seeks").select("bucket", *[F.col(c).alias(f"s_{c}") for c in met.columns if c not in ("bucket", "seeks")])
+    # Bits that both have, and those that share a bit: no fewer than the k-mers that both have.
+    both = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseAND(F.col(f"s_{c}"))) for c in _SIGNATURE])
+    most_kmers = both + F.least("k_spare", "s_k_spare")
+    # A common subsequence is no longer than the number of words that both have.
+    most_words = F.size(F.array_intersect("bag", "s_bag")) + F.least("w_spare", "s_w_spare")
+    # Conditions run in this order, cheap ones first.
     return (
-        seekers.join(early, "kmer")
+        seekers.join(met, "bucket")
         .where((F.col("root") != F.col("s_root")) & _lengths_fit(F.col("n"), F.col("s_n")))
-        .where(F.least("left_over", "s_left_over") >= need)
-        # Met at an earlier k-mer already.
-        .where(~F.arrays_overlap("leading", "s_leading"))
         # Two seekers meet from both sides.
         .where(~F.col("seeks") | (F.col("s_key") < F.col("key")))
-        .groupBy(F.col("s_key").alias("a"), F.col("key").alias("b"))
-        .agg(F.first("root").alias("root"), F.max(F.least("left_over", "s_left_over")).alias("rank"))
+        .where(most_kmers >= KMER_SIMILARITY / (1 + KMER_SIMILARITY) * (F.col("n") + F.col("s_n")) - 1e-6)
+        # In one of the buckets that both share.
+        .where(F.col("bucket") == F.array_min(F.array_intersect("buckets", "s_buckets")))
+        .where(most_words >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_words") + F.col("s_n_words")) - 1e-6)
+        .select(F.col("s_key").alias("a"), F.col("key").alias("b"), "root", most_words.alias("rank"))
     )
 
 

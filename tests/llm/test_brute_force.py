@@ -191,6 +191,28 @@ def test_rest_links_pairs_of_any_similarity_that_counts(ready):
     assert {(bytes(r.key), bytes(r.root)) for r in found} == {(rows[0][0], rows[0][0]), (rows[1][0], rows[0][0])}
 
 
+def test_rest_makes_no_pairs_without_words_in_common(ready):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+
+    def changed(places):
+        return [f"x{rng.randrange(10**9)}" if i in places else word for i, word in enumerate(base)]
+
+    # One group: no two of its texts are near copies, but for the last two.
+    group = [changed(set(rng.sample(range(150), 9))) for _ in range(60)]
+    group.append([*group[-1][:-1], "end"])
+    cells = [Words([" ".join(x).encode()], ALNUM).hashes.astype(np.uint32) for x in group]
+    alike = {(i, j) for j in range(61) for i in range(j) if near_dedup.similarity(cells[i], cells[j]) >= near_dedup.SIMILARITY}
+    assert (59, 60) in alike and len(alike) < 10
+    rows = [(bytes([i]) * 16, cell.tobytes()) for i, cell in enumerate(cells)]
+    words = ready.createDataFrame(rows, "key binary, words binary")
+    members = ready.createDataFrame([(bucket, key, 146) for key, _ in rows for bucket in (1, 2)], "bucket long, key binary, n int")
+    linked = ready.createDataFrame([], "key binary, root binary")
+    pairs = near_dedup._rest_pairs(members, linked, words).collect()
+    found = [tuple(sorted((bytes(r.a)[0], bytes(r.b)[0]))) for r in pairs]
+    assert len(found) == len(set(found)) < 100 and alike <= set(found)
+
+
 def test_op4_counts_phrase_places(run, texts):
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     for row in run("op4_license_scan"):
