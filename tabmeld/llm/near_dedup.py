@@ -301,6 +301,7 @@ def _rest_pairs(members: DataFrame, linked: DataFrame, words: DataFrame) -> Data
     most_kmers = both + F.least("k_spare", "s_k_spare")
     # A common subsequence is no longer than the number of words that both have.
     most_words = F.size(F.array_intersect("bag", "s_bag")) + F.least("w_spare", "s_w_spare")
+    shared, spot = F.array_intersect("buckets", "s_buckets"), F.xxhash64("key", "s_key")
     # Conditions run in this order, cheap ones first.
     return (
         seekers.join(met, "bucket")
@@ -308,8 +309,8 @@ def _rest_pairs(members: DataFrame, linked: DataFrame, words: DataFrame) -> Data
         # Two seekers meet from both sides.
         .where(~F.col("seeks") | (F.col("s_key") < F.col("key")))
         .where(most_kmers >= KMER_SIMILARITY / (1 + KMER_SIMILARITY) * (F.col("n") + F.col("s_n")) - 1e-6)
-        # In one of the buckets that both share.
-        .where(F.col("bucket") == F.array_min(F.array_intersect("buckets", "s_buckets")))
+        # In one of the buckets that both share, which their hash picks, so that pairs of one group meet in several.
+        .where(F.col("bucket") == F.element_at(F.array_sort(shared), (F.pmod(spot, F.size(shared)) + 1).cast("int")))
         .where(most_words >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_words") + F.col("s_n_words")) - 1e-6)
         .select(F.col("s_key").alias("a"), F.col("key").alias("b"), "root", most_words.alias("rank"))
     )
