@@ -333,6 +333,41 @@ def test_issue_hints_cover_missing_columns_too(spark, tmp_path):
     }
 
 
+def test_missing_columns_by_places_and_by_joins_agree(spark, monkeypatch):
+    """Repeated files and names, NULLs and odd white space included."""
+    import random
+
+    from tabmeld.operators import layout
+
+    rng = random.Random(7)
+    names = ["a", "as", "ases", "b", "bs", "bes", "c", "c s", "\u2003d", "ds", "\u2003ds", "", "s", "es", "es\u00a0", "f", None]
+    rows = [(rng.choice(["x", "y", None]), str(i // 2), i // 2, rng.choices(names, k=rng.randint(0, 14))) for i in range(60)]
+    headers = spark.createDataFrame([*rows, ("x", None, 1, ["a"]), ("y", "n", 2, None)], "dataset string, file_path string, file_seq int, columns array<string>")
+    reference = layout.materialize(layout.reference_layout(headers), "reference")
+    by_places = layout._missing_columns(headers, reference)
+    monkeypatch.setattr(layout, "NAMES_BYTES", 0)
+    by_joins = layout._missing_columns(headers, reference)
+    assert by_places.columns == by_joins.select(by_places.columns).columns
+    rows = lambda df: sorted(map(repr, df.select(by_joins.columns).collect()))
+    assert rows(by_places) == rows(by_joins) and by_places.where("partner is not null").count() > 4
+
+
+def test_hints_do_not_list_all_missing_names(spark):
+    """A row for every reference name that a file lacks was made, and then dropped, before."""
+    from tabmeld.operators import layout
+
+    rows = [("a", "1", 1, ["x", "y", "z", "w"]), ("a", "2", 2, ["q", "x", "ys"])]
+    headers = spark.createDataFrame(rows, "dataset string, file_path string, file_seq int, columns array<string>")
+    issues = layout.structure_issues(headers)
+    hinted = issues.where("hint IS NOT NULL")
+    assert sorted((r["issue_type"], r["column_name"]) for r in hinted.collect()) == [("extra", "ys"), ("missing", "y")]
+    assert "array_except" not in hinted._jdf.queryExecution().optimizedPlan().toString()
+    lacking = issues.where("issue_type = 'missing'")
+    assert sorted((r["column_name"], r["column_index"]) for r in lacking.collect()) == [("w", 3), ("y", 1), ("z", 2)]
+    # Names are looked up, and reference names counted by place: no text is compared for those that a file lacks.
+    assert "array_except(reference_columns" not in lacking._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_extra_columns_count_once_and_need_a_reference(spark):
     from tabmeld.operators import layout
 
