@@ -193,6 +193,19 @@ def test_table_finds_keys():
     assert (suffix_tree.Table(keys[:0], np.empty(0, np.int64)).find(keys) == -1).all()
 
 
+def test_blobs_code_text_bytes_by_their_few_values():
+    """Keys went as plain bytes, 16 for each with its count, and shuffles found little to compress in them."""
+    rng = np.random.default_rng(3)
+    letters = rng.choice(np.frombuffer(b"etaoin shr", np.uint8), (200_000, 3)).astype(np.uint64)
+    suffixes = rng.integers(0, 1 << 40, 20_000, np.uint64)[rng.integers(0, 20_000, 200_000)]
+    keys = np.unique(suffixes << np.uint64(24) | letters[:, 0] << np.uint64(16) | letters[:, 1] << np.uint64(8) | letters[:, 2])
+    counts = rng.integers(1, 4, len(keys))
+    batches = list(suffix_tree._blobs(7, keys, counts, bits=4))
+    assert sum(len(cell) for batch in batches for name in ("keys", "counts") for cell in batch.column(name).to_pylist()) < 4 * len(keys)
+    found, n = suffix_tree._merged(pa.Table.from_batches(batches))
+    assert (found == keys).all() and (n == counts).all()
+
+
 def test_blobs_go_in_small_batches():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 5_000, dtype=np.uint64))
     batches = list(suffix_tree._blobs(3, keys, np.arange(5_000) + 1, bits=8))
