@@ -259,3 +259,18 @@ def test_parts_are_read_from_small_files(spark, tmp_path, monkeypatch):
     assert parts.count() > 5 * workbook_parts.PARTS_PER_FILE
     per_file = parts.groupBy("_metadata.file_path").count()
     assert per_file.agg({"count": "max"}).first()[0] <= workbook_parts.PARTS_PER_FILE
+
+
+def test_parts_are_written_closely(spark, tmp_path):
+    """Inflated sheets took nearly twice the space of their workbooks."""
+    import pyarrow.parquet as pq
+
+    from tabmeld.session import _WRITTEN
+
+    path = tmp_path / "a.xlsx"
+    path.write_bytes(sheet_bytes(["k", "v"], [(i, f"s{i}") for i in range(2000)], True))
+    files = spark.createDataFrame([(path.as_uri(), path.stat().st_size, 2)], "file_path string, size bigint, width int")
+    workbook_parts.scan_large_workbooks(files, 1000)
+    written = next(p for p in reversed(_WRITTEN) if "workbook_parts" in p)
+    name = spark.read.parquet(written).select("_metadata.file_path").first()[0].removeprefix("file:")
+    assert pq.ParquetFile(name).metadata.row_group(0).column(0).compression == "ZSTD"
